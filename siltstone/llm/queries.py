@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .spotsigs import edit_and_compare
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_and_compare(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
