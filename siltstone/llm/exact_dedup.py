@@ -2,10 +2,11 @@
 
 1. Local and salted: rows are grouped by (digest, salt, full normalised text). Spark combines within
    each input partition first, and the salt (a hash of doc_id) spreads a hot text over many tasks.
-2. Global: the salt winners of a digest meet, again grouped by digest and full text.
-3. Back to the rows: (doc_id, digest) joins the groups. A digest that stands for one text only, which
+2. Global: the salt winners of a digest meet, again compared by digest and full text, and each learns
+   the winner of its group.
+3. Back to the rows: (doc_id, digest, salt) joins the salt winners. A digest that stands for one text only, which
    stage 2 has proved by comparing texts, needs no text here; for a digest with several texts the rows'
-   texts are compared. The join's hot keys are left to the adaptive skew join, which splits the row side.
+   texts are compared. The salt keeps a hot digest's rows apart here too.
 
 Defined cases: a null text counts as empty; null doc_ids come last among candidates to stay; rows
 repeated with the same doc_id are all members, count each and are all marked kept with the row that stays; an empty table gives no rows.
@@ -37,7 +38,7 @@ def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    salts: int = 16,
+    salts: int = 64,
     digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
@@ -49,26 +50,26 @@ def exact_groups(
         columns(docs, doc_id=id_col, text=text_col)
         .select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("body"))
         .withColumn("digest", digest(F.col("body")))
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     )
     # Among equals the largest (n, some, not id) stays: ~id reverses the order of ids, null ids come last.
     rank = F.struct(F.col("n").alias("n"), F.col("doc_id").isNotNull().alias("some"), F.bitwise_not("doc_id").alias("flip"))
     local = (
-        rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "body")
+        rows.groupBy("digest", "salt", "body")
         .agg(F.count("*").alias("size"), F.max(rank).alias("best"))
     )
-    # One exchange on the digest serves the global merge and the count of texts for each digest.
-    groups = (
-        local.drop("salt")
-        .repartition("digest")
-        .groupBy("digest", "body")
-        .agg(F.sum("size").alias("group_size"), F.max("best").alias("best"))
-        .withColumn("texts", F.count("*").over(Window.partitionBy("digest")))
-        .select("digest", "body", "texts", "group_size", F.bitwise_not("best.flip").alias("keep_id"))
+    # One exchange on the digest: its salt winners (at most ``salts`` for each text) learn their group's winner.
+    text, digests = Window.partitionBy("digest", "body"), Window.partitionBy("digest")
+    seats = (
+        local.repartition("digest")
+        .withColumns({"group_size": F.sum("size").over(text), "best": F.max("best").over(text)})
+        .withColumn("single", F.min("body").over(digests) == F.max("body").over(digests))
+        .select("digest", "salt", "body", "single", "group_size", F.bitwise_not("best.flip").alias("keep_id"))
     )
-    plain = rows.select("doc_id", "digest").join(groups.where("texts = 1").drop("body", "texts"), "digest")
+    plain = rows.select("doc_id", "digest", "salt").join(seats.where("single").drop("body", "single"), ["digest", "salt"])
     # Texts that share a digest: for SHA-256 there are none, so this side is empty and its broadcast bounded.
-    clash = rows.select("doc_id", "digest", "body").join(
-        F.broadcast(groups.where("texts > 1").drop("texts")), ["digest", "body"]
+    clash = rows.select("doc_id", "digest", "salt", "body").join(
+        F.broadcast(seats.where("not single").drop("single")), ["digest", "salt", "body"]
     ).drop("body")
     return plain.unionByName(clash).select(
         "doc_id",
