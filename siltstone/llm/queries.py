@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .exact_dedup import exact_groups
+from .minhash import near_duplicates
 from .mixing import mix
 from .spotsigs import edit_and_compare
 
@@ -22,7 +23,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources)}
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
