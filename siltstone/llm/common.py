@@ -74,3 +74,10 @@ def count_words(text):
     """
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")
     return F.length(squeezed) - F.length(F.replace(squeezed, F.lit("x"), F.lit("")))
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

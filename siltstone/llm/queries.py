@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .bpe import encode_decode
+from .common import scratch, tokenizer_file
 from .exact_dedup import exact_groups
 from .minhash import near_duplicates
 from .mixing import mix
 from .spotsigs import edit_and_compare
+from .warc import read_records, write_archives
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +30,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    index = write_archives(table(spark, sf_dir, "pages"), out)
+    return read_records(index, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash, op7_warc, op8_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
