@@ -10,6 +10,7 @@ from .common import scratch, tokenizer_file
 from .exact_dedup import exact_groups
 from .minhash import near_duplicates
 from .mixing import mix
+from .pii import find_pii
 from .spotsigs import edit_and_compare
 from .warc import read_records, write_archives
 
@@ -40,7 +41,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash, op7_warc, op8_bpe)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash, op7_warc, op8_bpe, op9_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
