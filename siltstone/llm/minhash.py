@@ -5,9 +5,9 @@
    smallest id, so copies never meet in the later steps.
 2. Representatives that share a band key are candidates. First each is compared with one pivot, the
    smallest id among the buckets it is in; links to pivots form a forest, whose roots are components.
-3. Buckets that still hold several components are compared completely but for pairs of one component:
-   members outside the bucket's main component against all, in tiles of bounded size, inside the tasks.
-   Tiles return at most one link for each member, never pairs.
+3. Buckets that still hold several components are compared completely but for pairs of one component. Of small
+   buckets the distinct pairs are verified. In large ones the members outside the bucket's main component meet
+   all members in tiles of bounded size, inside the tasks; a tile returns links between components, not pairs.
 4. The links between components are contracted until none is left.
 
 All comparisons use full shingle sets and integers: 100 * common >= 75 * union. With 32 bands of 4 rows a
@@ -132,20 +132,22 @@ def _check_pairs(percent: int):
             for x, y in zip(pdf["items"], pdf["pivot_items"]):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 keep.append(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
-            yield pdf.loc[keep, ["id", "pivot"]]
+            yield pdf.loc[keep].drop(columns=["items", "pivot_items"])
 
     return check
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over slices of the items."""
+    if len(left) * len(right) <= 64:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left], np.float32)
     both = left + right
     row = np.repeat(np.arange(len(both)), [len(x) for x in both])
     items, col, seen = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     shared = np.cumsum(seen > 1) - 1  # items of one set only are in no intersection
     row, col = row[seen[col] > 1], shared[col[seen[col] > 1]]
     out = np.zeros((len(left), len(right)), np.float32)
-    width = max(64, cells // max(len(both), 1))
+    width = min(max(64, cells // len(both)), len(items))
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
@@ -156,33 +158,46 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 2
     return out
 
 
-def _check_tile(percent: int):
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between components in one tile, as a spanning forest of its components."""
-        a, b = pdf[pdf["minor"]], pdf[~pdf["minor"]]
-        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        if not len(a) or not len(b):
-            return empty
-        left, right = ([np.frombuffer(x, np.uint64) for x in side["items"]] for side in (a, b))
-        common = _common(left, right)
-        na, nb = (side["n"].to_numpy(np.int64) for side in (a, b))
-        ca, cb = (side["comp"].to_numpy(np.int64) for side in (a, b))
-        hits = (100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (ca[:, None] != cb[None, :])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
-        found = []
-        for i, j in zip(*np.nonzero(hits)):
-            x, y = root(int(ca[i])), root(int(cb[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                found.append((x, y))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64) if found else empty
+def _tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between components in one tile, as a spanning forest of its components."""
+    sides = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+    if not all(sides):
+        return []
+    left, right = ([np.frombuffer(r[2], np.uint64) for r in side] for side in sides)
+    common = _common(left, right)
+    na, nb = (np.array([len(x) for x in sets]) for sets in (left, right))
+    ca, cb = (np.array([r[0] for r in side], np.int64) for side in sides)
+    hits = (100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (ca[:, None] != cb[None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(hits)):
+        x, y = root(int(ca[i])), root(int(cb[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((x, y))
+    return found
+
+
+def _check_tiles(percent: int):
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links of each tile; the rows come sorted by tile, and one tile is held at a time."""
+        tile, rows = None, []
+        for pdf in batches:
+            links = []
+            for key, i, j, comp, minor, items in zip(*(pdf[c] for c in ("key", "i", "j", "comp", "minor", "items"))):
+                if (key, i, j) != tile:
+                    links += _tile_links(rows, percent)
+                    tile, rows = (key, i, j), []
+                rows.append((comp, minor, items))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(_tile_links(rows, percent), columns=["a", "b"], dtype=np.int64)
 
     return check
 
@@ -227,12 +242,14 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     percent: int = 75,
+    small: int = 8,
     block: int = 1024,
     block_items: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    ``block`` members or ``block_items`` shingles bound one side of a tile.
+    Buckets of up to ``small`` members are compared pair by pair, each pair once whatever number of buckets it
+    shares; larger ones in tiles. ``block`` members or ``block_items`` shingles bound one side of a tile.
     """
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     drawn = written(rows.mapInPandas(_sketches, "doc_id long, n long, set_hash binary, bands array<bigint>"), "sketches")
@@ -248,14 +265,14 @@ def near_duplicates(
         rows.join(need, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, n long, items binary"), "sets"
     )
 
-    pairs = members.groupBy("id").agg(F.min("pivot").alias("pivot")).where("pivot < id")
-    pivots = sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items"))
-    hooks = (
-        pairs.join(sets.select("id", "items"), "id")
-        .join(pivots, "pivot")
-        .mapInPandas(_check_pairs(percent), "id long, pivot long")
-        .distinct()
-    )
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (id, pivot, ...) whose full sets are linked."""
+        other = sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items"))
+        schema = ", ".join(f"{c} long" for c in pairs.columns)
+        full = pairs.join(sets.select("id", "items"), "id").join(other, "pivot").select(*pairs.columns, "items", "pivot_items")
+        return full.mapInPandas(_check_pairs(percent), schema)
+
+    hooks = verified(members.groupBy("id").agg(F.min("pivot").alias("pivot")).where("pivot < id").select("id", "pivot")).distinct()
     first = _roots(hooks.select("id", F.col("pivot").alias("up")))
 
     at = members.join(first, "id", "left").select("key", "id", F.coalesce("up", "id").alias("comp"))
@@ -274,6 +291,7 @@ def near_duplicates(
         .where("comps > 1")
         .select(
             "key",
+            "size",
             F.col("main.comp").alias("main"),
             parts(F.col("size"), F.col("items")).alias("blocks"),
             parts(F.col("size") - F.col("main.size"), F.col("items") - F.col("main.items")).alias("minor_blocks"),
@@ -281,21 +299,29 @@ def near_duplicates(
         "mixed",
     )
     placed = at.join(mixed, "key")
+    few = placed.where(F.col("size") <= small).select("key", "id", "comp")
+    others = few.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    pairs = few.join(others, "key").where("pivot < id and pivot_comp != comp").select("id", "pivot", "comp", "pivot_comp").distinct()
+    near = verified(pairs).select(F.col("comp").alias("a"), F.col("pivot_comp").alias("b"))
+
+    many = placed.where(F.col("size") > small)
     spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tiles = placed.withColumn("minor", F.lit(False)).withColumn("j", spread(F.col("blocks"), 1)).withColumn("i", every("minor_blocks"))
+    majors = many.withColumn("minor", F.lit(False)).withColumn("j", spread(F.col("blocks"), 1)).withColumn("i", every("minor_blocks"))
     minors = (
-        placed.where("comp != main")
+        many.where("comp != main")
         .withColumn("minor", F.lit(True))
         .withColumn("i", spread(F.col("minor_blocks"), 2))
         .withColumn("j", every("blocks"))
     )
-    cells = tiles.unionByName(minors).select("key", "i", "j", "id", "comp", "minor")
-    links = (
-        cells.join(sets, "id")
-        .groupBy("key", "i", "j")
-        .applyInPandas(_check_tile(percent), "a long, b long")
+    cells = majors.unionByName(minors).select("key", "i", "j", "id", "comp", "minor")
+    tiles = (
+        cells.join(sets.select("id", "items"), "id")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInPandas(_check_tiles(percent), "a long, b long")
     )
+    links = near.unionByName(tiles)
     second = components(links)
     if second is not None:
         up = second.select(F.col("id").alias("up"), "comp")
