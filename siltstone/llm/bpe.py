@@ -148,7 +148,8 @@ def _round_trip(spec: str, path: str):
         lookup = _Lookup(spec, path)
         pieces = pa.array(byte_pieces(spec), pa.binary())
         for batch in batches:
-            for start, stop in _runs(batch.column("part").to_numpy()):
+            sizes = pc.list_value_length(batch.column("words")).to_numpy()
+            for start, stop in _runs(batch.column("part").to_numpy(), sizes):
                 rows = batch.slice(start, stop - start)
                 part = rows.column("part")[0].as_py()
                 lists = rows.column("words")
@@ -168,13 +169,21 @@ def _round_trip(spec: str, path: str):
                     [rows.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), pa.array(sha), pa.array(back)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+                del rows, lists, sizes, ids, joined, at, raw, text
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _runs(parts: np.ndarray) -> list[tuple[int, int]]:
-    cuts = [0, *(np.nonzero(np.diff(parts))[0] + 1).tolist(), len(parts)]
-    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+def _runs(parts: np.ndarray, sizes: np.ndarray, most: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of rows of one split with at most ``most`` words, or one row with more."""
+    out, start, words = [], 0, 0
+    for row in range(len(parts)):
+        if row > start and (parts[row] != parts[start] or words + sizes[row] > most):
+            out.append((start, row))
+            start, words = row, 0
+        words += int(sizes[row])
+    return [*out, (start, len(parts))] if len(parts) else []
 
 
 def with_splits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
