@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pii import find_pii
 from .spotsigs import edit_and_compare
+from .toxicity import score_toxicity
 from .warc import read_records, write_archives
 
 
@@ -45,7 +46,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash, op7_warc, op8_bpe, op9_pii)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash, op7_warc, op8_bpe, op9_pii, op10_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
