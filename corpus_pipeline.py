@@ -7,19 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import scratch
+from siltstone.llm.bpe import encode_decode
+from siltstone.llm.common import scratch, tokenizer_file
 from siltstone.llm.exact_dedup import exact_groups
+from siltstone.llm.minhash import near_duplicates
 from siltstone.llm.mixing import mix
+from siltstone.llm.toxicity import score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; all others stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = score_toxicity(docs, labels).where("predicted = 1").select("doc_id")
+    return docs.join(toxic, "doc_id", "left_anti")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     kept = exact_groups(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi")
 
 
+def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near duplicates one document stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or dropped so that the sources reach their target weights."""
     times = mix(docs).where("times > 0").select("doc_id", "times")
@@ -30,7 +46,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES: list[tuple[str, Stage]] = [("exact", exact), ("mix", mixed)]
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text, for each document of the mix."""
+    return encode_decode(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact),
+    ("near_dedup", minhash),
+    ("mix_sources", mixed),
+    ("bpe", bpe),
+]
 
 #: The stages learn, group iteratively and encode, which SQL can't express.
 ORACLE_SQL: str | None = None
