@@ -12,6 +12,8 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pii import find_pii
 from .spotsigs import edit_and_compare
+from .token_count import count_tokens, unigram_vocabulary
+from .token_store import materialise, read_sequences
 from .toxicity import score_toxicity
 from .warc import read_records, write_archives
 
@@ -24,10 +26,19 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_and_compare(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), unigram_vocabulary(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "tokens")
+    return read_sequences(materialise(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.json")), out)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +61,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_spotsigs, op4_mix_sources, op6_minhash, op7_warc, op8_bpe, op9_pii, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_spotsigs,
+        op3_token_counts,
+        op4_mix_sources,
+        op5_token_store,
+        op6_minhash,
+        op7_warc,
+        op8_bpe,
+        op9_pii,
+        op10_toxicity,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
