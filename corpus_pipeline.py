@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
-    kept = exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = exact_groups(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or dropped so that the sources reach their target weights."""
-    times = mix(docs).where("times > 0").select("doc_id", "times")
+    times = mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
     return (
         docs.join(times, "doc_id")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
