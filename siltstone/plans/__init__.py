@@ -1 +1,20 @@
+"""Queries over the supplied tables, with the SQL that they must equal."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import text_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+
+def all_queries():
+    return QUERIES
+
+
+def all_sql():
+    return SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["C06_tokenize"](spark, sf_dir)
