@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries  # noqa: F401
+from . import retrieval_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
@@ -17,4 +17,4 @@ def all_sql():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["C06_tokenize"](spark, sf_dir)
+    return QUERIES["J06_context_priority"](spark, sf_dir)
