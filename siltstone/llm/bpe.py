@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, scratch, ship, written
+from .common import arrow_rows, columns, scratch, ship, written
 
 # Fixed value: the pattern that splits text before the merges; (?U) gives \s its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,6 +198,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
+    arrow_rows(docs.sparkSession, 1000)
     rows = with_splits(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
     path = scratch(docs.sparkSession, "words")

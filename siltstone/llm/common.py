@@ -61,6 +61,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Let the session send at most ``rows`` rows to Python at a time, fewer where it says so already.
+
+    Arrow buffers live outside the heap on both sides, for every running task. Spark bounds them by rows
+    alone; a thousand rows of usual texts are some megabytes.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns under internal names, so clashing extra columns do no harm."""
     return df.select(*(F.col(f"`{src}`").alias(dst) for dst, src in wanted.items()))
