@@ -20,3 +20,185 @@ def open_conflicts_for(refs: DataFrame, conflicts: DataFrame, by: str, most: int
     found = refs.join(live, ["object_type", "object_id"]).dropDuplicates([by, "conflict_id"])
     w = Window.partitionBy(by).orderBy(severity_rank(F.col("severity")), F.col("conflict_id").desc())
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+
+
+def claim_records(nodes: DataFrame) -> DataFrame:
+    """Claims of live nodes (id, type, name, summary, status): text, normal form, subject and polarity."""
+    text = F.col("claim_text")
+    found = nodes.where(T.is_live(F.col("status"))).withColumn("claim_text", T.claim_text(F.col("type"), F.col("name"), F.col("summary")))
+    return (
+        found.where("claim_text != ''")
+        .withColumn("subject_key", T.subject_key(text))
+        .where("subject_key != ''")
+        .select(
+            T.stable_id("claimrec", F.col("id"), F.substring(T.normalize_text(text), 1, 400)).alias("claim_id"),
+            F.col("id").alias("node_id"),
+            "claim_text",
+            "subject_key",
+            T.polarity(text).alias("polarity"),
+            "status",
+        )
+    )
+
+
+def contradictions(claims: DataFrame) -> DataFrame:
+    """Pairs of claims of different nodes on one subject with opposite polarity. A pair is found once: the
+    positive side is joined to the negative one, so no pair within a side is ever formed."""
+    side = lambda p, x: claims.where(F.col("polarity") == p).select(
+        "subject_key", F.col("claim_id").alias(f"{x}_claim"), F.col("node_id").alias(f"{x}_node")
+    )
+    return side("positive", "pos").join(side("negative", "neg"), "subject_key").where("pos_node != neg_node")
+
+
+def item_key(*items: Column) -> Column:
+    """The sorted items of a conflict, each as type:id:role."""
+    return F.array_join(F.array_sort(F.array(*items)), "|")
+
+
+def conflict_id(kind: Column, *items: Column) -> Column:
+    return F.concat(F.lit("conflict:"), kind, F.lit(":"), F.substring(F.sha1(item_key(*items)), 1, 16))
+
+
+def duplicate_groups(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """Rows that share a key, as (key, keep_id, id): every other row points to the group's smallest id.
+
+    A group of n rows gives n - 1 links instead of n(n-1)/2 pairs; every pair follows from them.
+    """
+    keyed = rows.select(key.alias("key"), F.col(id_col).alias("id")).where("key is not null")
+    first = keyed.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(first, "key").where("id != keep_id").select("key", "keep_id", "id")
+
+
+def similar_titles(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """Pairs of sources of one type whose normalised titles are close: 1 - levenshtein / longest >= threshold.
+
+    Titles are blocked by type and length: with one edit in n characters allowed, lengths differ by that at most.
+    """
+    t = sources.select("id", "source_type", T.normalize_name(F.col("title")).alias("key")).where("key != ''").withColumn("n", F.length("key"))
+    a = t.select(F.col("id").alias("a"), "source_type", F.col("key").alias("ka"), F.col("n").alias("na"))
+    slack = F.floor((1 - threshold) * F.col("n") / threshold).cast("int")
+    b = t.select(F.col("id").alias("b"), "source_type", F.col("key").alias("kb"), F.explode(F.sequence(F.col("n") - slack, F.col("n") + slack)).alias("na"))
+    ratio = 1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
+    return a.join(b, ["source_type", "na"]).where("a < b").withColumn("ratio", ratio).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+
+
+def duplicate_sources(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """Pairs of visible sources with one canonical address, or of one type with close titles: (a, b, exact_url)."""
+    live = sources.where(F.col("status").isin("active", "stale_pending_refresh"))
+    url = duplicate_groups(live, T.canonical_url(F.col("url")), "id")
+    exact = url.select(F.least("keep_id", "id").alias("a"), F.greatest("keep_id", "id").alias("b"), F.lit(True).alias("exact_url"))
+    close = similar_titles(live, threshold).select("a", "b", F.lit(False).alias("exact_url"))
+    return exact.unionByName(close).groupBy("a", "b").agg(F.max("exact_url").alias("exact_url"))
+
+
+def duplicate_entities(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Live nodes of one type that share a normalised name or alias, as links to the smallest id."""
+    live = nodes.where(T.is_live(F.col("status")))
+    names = live.select("id", "type", T.normalize_name(F.col("name")).alias("key"))
+    more = live.join(aliases, live["id"] == aliases["node_id"]).select("id", "type", T.normalize_name(F.col("alias")).alias("key"))
+    keyed = names.unionByName(more).where("key != ''").distinct()
+    return duplicate_groups(keyed, F.concat_ws("|", "type", "key"), "id").select("keep_id", "id").distinct()
+
+
+# --- changes ---------------------------------------------------------------------------------------------------
+
+
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``incoming`` replace those with the same keys (null equals null); of several the last in order.
+
+    ``keep`` names columns whose stored value survives a conflict.
+    """
+    rank = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order] if order else [F.lit(0)])
+    new = incoming.withColumn("_rn", F.row_number().over(rank)).where("_rn = 1").drop("_rn")
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
+    both = current.withColumn("_c", F.lit(True)).alias("c").join(new.withColumn("_i", F.lit(True)).alias("i"), same, "full")
+    pick = lambda c: (
+        F.when(F.col("_c") & F.lit(c in (keep or [])), F.col(f"c.{c}")).when(F.col("_i"), F.col(f"i.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
+    )
+    return both.select(*(pick(c) for c in current.columns))
+
+
+def insert_missing(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``incoming`` whose keys are not there yet are added."""
+    return current.unionByName(incoming.dropDuplicates(keys).join(current, keys, "left_anti").select(*current.columns))
+
+
+def replace_by_key(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """All rows of a key are replaced by those of ``incoming`` (a document's chunks, for example)."""
+    return current.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
+
+
+def without_keys(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return current.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def change_items(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, action, before, after): what differs between two states; images are null where a row is absent."""
+    image = lambda side: F.to_json(F.struct(*(F.col(f"{side}.{c}").alias(c) for c in columns)))
+    b, a = before.withColumn("_b", F.lit(True)).alias("b"), after.withColumn("_a", F.lit(True)).alias("a")
+    both = b.join(a, F.col(f"b.{key}") == F.col(f"a.{key}"), "full").select(
+        F.coalesce(f"b.{key}", f"a.{key}").alias(key), F.when(F.col("_b"), image("b")).alias("before"), F.when(F.col("_a"), image("a")).alias("after")
+    )
+    action = F.when(F.col("before").isNull(), "create").when(F.col("after").isNull(), "delete").otherwise("update")
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("action", action)
+
+
+def set_status(rows: DataFrame, chosen: DataFrame, key: str, status: str) -> DataFrame:
+    """Rows whose key is chosen get a status; the others stay."""
+    mark = chosen.select(key).distinct().withColumn("_hit", F.lit(True))
+    return rows.join(mark, key, "left").withColumn("status", F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))).drop("_hit").select(*rows.columns)
+
+
+def rollback_conflicts(current: DataFrame, items: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Objects whose state is no longer the change set's after image; a rollback needs force for these."""
+    now = current.select(key, F.to_json(F.struct(*columns)).alias("now"))
+    return items.join(now, key, "left").where(~F.col("now").eqNullSafe(F.col("after"))).select(key, "after", "now")
+
+
+def rolled_back(current: DataFrame, items: DataFrame, key: str, schema: str) -> DataFrame:
+    """Current rows with every change undone: before images restored, created rows marked reverted."""
+    image = F.from_json("before", schema)
+    joined = current.join(items.select(key, "before", F.lit(True).alias("_hit")), key, "left").withColumn("_image", image)
+    restored = lambda c: (
+        F.when(F.col("before").isNotNull(), F.col(f"_image.{c}")).when(F.col("_hit") & F.lit(c == "status"), F.lit("reverted")).otherwise(F.col(c)).alias(c)
+    )
+    return joined.select(*(F.col(c) if c == key else restored(c) for c in current.columns))
+
+
+def merged_aliases(nodes: DataFrame, aliases: DataFrame, links: DataFrame) -> DataFrame:
+    """(keep_id, aliases): the canonical node takes over ids, names and aliases of its duplicates, sorted."""
+    own = nodes.select("id", F.array("id", "name").alias("names"))
+    known = aliases.groupBy(F.col("node_id").alias("id")).agg(F.collect_set("alias").alias("known"))
+    each = links.join(own, "id").join(known, "id", "left").select("keep_id", F.explode(F.array_union("names", F.coalesce("known", F.array().cast("array<string>")))).alias("alias"))
+    return each.groupBy("keep_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def recorded_conflicts(current: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """Found conflicts against the ledger: unresolved ones are updated, resolved ones recur under a new id."""
+    old = current.select(F.col("conflict_id").alias("base_id"), F.col("status").alias("old_status"))
+    rows = found.withColumnRenamed("conflict_id", "base_id").join(old, "base_id", "left")
+    again = F.col("old_status").isNotNull() & ~F.col("old_status").isin(*UNRESOLVED)
+    kind = F.regexp_replace("base_id", ":[0-9a-f]{16}$", "")
+    fresh = F.concat(kind, F.lit(":"), F.substring(F.sha1(F.concat_ws("|", "base_id", F.lit("recurrence"), F.lit(now))), 1, 16))
+    return rows.select(
+        F.when(again, fresh).otherwise(F.col("base_id")).alias("conflict_id"),
+        F.when(again | F.col("old_status").isNull(), F.lit("open")).otherwise(F.col("old_status")).alias("status"),
+        F.when(again, F.col("base_id")).alias("previous_conflict_id"),
+    )
+
+
+def is_stale(checked: Column, window_days: Column, now: Column) -> Column:
+    """Never checked, or the window has passed at ``now`` (the bound itself is stale)."""
+    return checked.isNull() | (checked + F.make_dt_interval(window_days) <= now)
+
+
+def refresh_candidates(sources: DataFrame, now: Column, limit: int) -> DataFrame:
+    """Visible sources, never checked first, then the oldest; the limit comes before the staleness test."""
+    visible = sources.where(F.col("status").isin("active", "stale_pending_refresh"))
+    first = visible.orderBy(F.col("last_checked_at").asc_nulls_first(), "title", "id").limit(limit)
+    return first.where(is_stale(F.col("last_checked_at"), F.col("freshness_window_days"), now))
+
+
+def owner_of(source_id: Column, part: int = 4) -> Column:
+    """The client in a derived source id: its fourth part between colons."""
+    return F.get(F.split(source_id, ":"), part - 1)
