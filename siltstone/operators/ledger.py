@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .matching import near_texts
 
 UNRESOLVED = ("open", "acknowledged")
 
@@ -70,16 +71,12 @@ def duplicate_groups(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
 
 
 def similar_titles(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Pairs of sources of one type whose normalised titles are close: 1 - levenshtein / longest >= threshold.
-
-    Titles are blocked by type and length: with one edit in n characters allowed, lengths differ by that at most.
-    """
-    t = sources.select("id", "source_type", T.normalize_name(F.col("title")).alias("key")).where("key != ''").withColumn("n", F.length("key"))
-    a = t.select(F.col("id").alias("a"), "source_type", F.col("key").alias("ka"), F.col("n").alias("na"))
-    slack = F.floor((1 - threshold) * F.col("n") / threshold).cast("int")
-    b = t.select(F.col("id").alias("b"), "source_type", F.col("key").alias("kb"), F.explode(F.sequence(F.col("n") - slack, F.col("n") + slack)).alias("na"))
-    ratio = 1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
-    return a.join(b, ["source_type", "na"]).where("a < b").withColumn("ratio", ratio).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+    """Pairs of sources of one type whose normalised titles are close: 1 - levenshtein / longest >= threshold."""
+    t = sources.select("id", "source_type", T.normalize_name(F.col("title")).alias("text"))
+    near = near_texts(t, t, threshold, ["source_type"])
+    side = lambda x, key: t.select(F.col("id").alias(x), "source_type", F.col("text").alias(key))
+    found = near.join(side("a", "left"), ["source_type", "left"]).join(side("b", "right"), ["source_type", "right"])
+    return found.where("a < b").select("a", "b", "ratio")
 
 
 def duplicate_sources(sources: DataFrame, threshold: float = 0.92) -> DataFrame:

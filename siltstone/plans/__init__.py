@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, retrieval_queries, text_queries  # noqa: F401
+from . import evidence_queries, graph_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
