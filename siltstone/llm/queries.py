@@ -36,7 +36,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
-    return read_sequences(materialise(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.json")), out)
+    return read_sequences(materialise(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.tiktoken")), out)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

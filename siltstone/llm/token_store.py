@@ -2,6 +2,7 @@
 
 1. Texts become token ids, each followed by the end mark, in sequences of ``length`` ids; the last of a text is
    padded. Every task numbers its sequences; the tasks' counts (one number each) give every sequence its index.
+   A row holds a whole text's ids; Spark cuts it into sequences only where they are sent to their shards.
 2. A keyed Feistel network with cycle-walking permutes the indexes 0..n-1: a sequence's slot.
 3. Range partitions of slots write shards of ``per_shard`` records of one stride, so slot s starts at byte
    (s mod per_shard) * stride of shard s div per_shard: readers go on at any slot, sequentially.
@@ -18,25 +19,26 @@ and read back as null; rows with one doc_id are rows of their own; an empty tabl
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encode_words, load_tokenizer
-from .common import columns, ship
+from .common import arrow_rows, columns, ship
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = np.dtype([("doc_id", "<i8"), ("seq_no", "<u4"), ("used", "<u4")])
-NO_ID = np.iinfo(np.int64).min
-SEQUENCE = "part int, pos long, doc_id long, seq_no int, used int, ids binary"
+NO_ID = -(2**63)
+TEXT = "part int, pos long, doc_id long, ids binary"
 SHARD = "shard long, first_slot long, records long, file string"
 RECORD = "slot long, shard long, doc_id long, seq_no int, n_tokens int, ids_sha256 string"
 
@@ -64,32 +66,20 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _tokenise(spec: str, length: int, width: str):
+def _tokenise(ranks: bytes, length: int, width: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
+        import tiktoken
 
-        find = regex.compile(PATTERN).findall
-        tok, kind = load_tokenizer(spec), np.dtype(width)
-        end = max(t["id"] for t in json.loads(spec)["added_tokens"])
-        mark, known, part, pos = np.array([end], kind).tobytes(), {}, TaskContext.get().partitionId(), 0
-        stride = length * kind.itemsize
+        table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, ranks.splitlines())}
+        encode = tiktoken.Encoding("table", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_to_numpy
+        kind = np.dtype(width)
+        mark, part, pos = np.array([len(table)], kind).tobytes(), TaskContext.get().partitionId(), 0
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                words = find(text)
-                if new := [w for w in set(words) if w not in known]:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                        new = list(set(words))
-                    known |= {w: x.astype(kind).tobytes() for w, x in zip(new, encode_words(tok, new))}
-                ids = b"".join([known[w] for w in words]) + mark
-                for k in range(0, len(ids), stride):
-                    piece = ids[k : k + stride]
-                    used = len(piece) // kind.itemsize
-                    rows.append((part, pos, None if pd.isna(doc_id) else int(doc_id), k // stride, used, piece))
-                    pos += 1
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SEQUENCE.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+            ids = [encode(t, disallowed_special=()).astype(kind).tobytes() + mark for t in pdf["text"]]
+            n = np.array([-(-len(x) // (length * kind.itemsize)) for x in ids], np.int64)
+            starts = pos + np.cumsum(n) - n
+            pos += int(n.sum())
+            yield pd.DataFrame({"part": part, "pos": starts, "doc_id": pdf["doc_id"], "ids": ids})
 
     return run
 
@@ -101,28 +91,39 @@ def _slots(n: int, key: int):
     return F.pandas_udf(slot, "long")
 
 
-def _write(out_dir: str, length: int, width: str, per_shard: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _write(out_dir: str, stride: int, per_shard: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out_dir)
-        attempt, kind = TaskContext.get().taskAttemptId(), np.dtype(width)
+        attempt = TaskContext.get().taskAttemptId()
         shard, out, first, count = None, None, 0, 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             out.close()
             name = f"shard-{shard:08d}.bin"
             fs.move(f"{root}/_{attempt}-{shard}", f"{root}/{name}")
-            return pd.DataFrame([(shard, first, count, name)], columns=[c.split()[0] for c in SHARD.split(", ")])
-
-        for pdf in batches:
-            for slot, doc_id, seq_no, used, ids in zip(pdf["slot"], pdf["doc_id"], pdf["seq_no"], pdf["used"], pdf["ids"]):
-                if slot // per_shard != shard:
+            row = {"shard": shard, "first_slot": first, "records": count, "file": name}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("records", pa.int64()), ("file", pa.string())]))
+
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            head = np.zeros(len(slots), HEAD)
+            head["doc_id"] = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy()
+            head["seq_no"], head["used"] = batch.column("seq_no").to_numpy(), batch.column("used").to_numpy()
+            ids = batch.column("ids")  # all padded to one length, so their bytes are one block
+            at = np.frombuffer(ids.buffers()[1], np.int32, 1, ids.offset * 4)[0]
+            body = np.frombuffer(ids.buffers()[2], np.uint8, len(slots) * stride, at).reshape(-1, stride)
+            rows = np.concatenate([head.view(np.uint8).reshape(-1, HEAD.itemsize), body], axis=1)
+            cuts = [0, *(np.nonzero(np.diff(slots // per_shard))[0] + 1).tolist(), len(slots)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if slots[lo] // per_shard != shard:
                     if out is not None:
                         yield close()
-                    shard, first, count = int(slot) // per_shard, int(slot), 0
+                    shard, first, count = int(slots[lo] // per_shard), int(slots[lo]), 0
                     out = fs.open_output_stream(f"{root}/_{attempt}-{shard}", compression=None)
-                head = np.array([(NO_ID if pd.isna(doc_id) else int(doc_id), seq_no, used)], HEAD)
-                out.write(head.tobytes() + ids.ljust(length * kind.itemsize, b"\0"))
-                count += 1
+                out.write(rows[lo:hi].tobytes())
+                count += hi - lo
         if out is not None:
             yield close()
 
@@ -132,7 +133,7 @@ def _write(out_dir: str, length: int, width: str, per_shard: int):
 def materialise(
     docs: DataFrame,
     out_dir: str,
-    tokenizer_path: str,
+    ranks_path: str,
     key: int = 0,
     length: int = 256,
     per_shard: int = 1 << 15,
@@ -141,28 +142,36 @@ def materialise(
 ) -> DataFrame:
     """Write the shards below ``out_dir``; return their manifest (shard, first_slot, records, file)."""
     spark = docs.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = f.read()
-    doc = json.loads(spec)
-    top = max([*doc["model"]["vocab"].values(), *(t["id"] for t in doc["added_tokens"])])
-    width = "<u2" if top < 1 << 16 else "<u4"
+    arrow_rows(spark, 1000)
+    with open(ranks_path, "rb") as f:
+        ranks = f.read()
+    width = "<u2" if len(ranks.splitlines()) < 1 << 16 else "<u4"
+    item = np.dtype(width).itemsize
+    stride = length * item
     rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInPandas(_tokenise(spec, length, width), SEQUENCE).persist(StorageLevel.MEMORY_AND_DISK)
+    made = rows.mapInPandas(_tokenise(ranks, length, width), TEXT).persist(StorageLevel.MEMORY_AND_DISK)
+    pieces = F.ceil(F.octet_length("ids") / stride)
     try:
-        counts = sorted((r[0], r[1]) for r in made.groupBy("part").count().collect())  # one row for each task
+        counts = sorted((r[0], r[1]) for r in made.groupBy("part").agg(F.sum(pieces)).collect())  # one row for each task
         starts, n = [], 0
         for part, size in counts:
             starts.append((part, n))
             n += size
         offsets = spark.createDataFrame(starts or [(0, 0)], "part int, start long")
-        slot = _slots(max(n, 1), key)(F.col("start") + F.col("pos"))
-        placed = made.join(F.broadcast(offsets), "part").select(slot.alias("slot"), "doc_id", "seq_no", "used", "ids")
+        cut = F.substring(F.col("ids"), (F.col("k") * stride + 1).cast("int"), F.lit(stride))
+        sequences = made.join(F.broadcast(offsets), "part").select(
+            (F.col("start") + F.col("pos")).alias("base"), "doc_id", "ids", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))).alias("k")
+        )
+        placed = sequences.select(
+            _slots(max(n, 1), key)(F.col("base") + F.col("k")).alias("slot"), "doc_id", F.col("k").alias("seq_no"),
+            (F.octet_length(cut) / item).cast("int").alias("used"), F.rpad(cut, F.lit(stride), F.lit(b"\0")).alias("ids"),
+        )
         fs, root = pafs.FileSystem.from_uri(out_dir)
         fs.create_dir(root, recursive=True)
         (
             placed.repartitionByRange(max(1, -(-n // per_shard)), F.floor(F.col("slot") / per_shard))
             .sortWithinPartitions("slot")
-            .mapInPandas(_write(out_dir, length, width, per_shard), SHARD)
+            .mapInArrow(_write(out_dir, stride, per_shard), SHARD)
             .write.parquet(f"{out_dir}/manifest")
         )
     finally:
