@@ -211,11 +211,11 @@ def status_score(c: Column) -> Column:
 
 def credibility_score(c: Column) -> Column:
     v = c.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / 5.0)), F.lit(0.5))
+    return F.coalesce(clamp(v / 5.0), F.lit(0.5))
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def freshness_score(checked: Column, window: Column, now: Column) -> Column:
