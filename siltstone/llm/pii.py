@@ -18,6 +18,7 @@ sample (no digits or at-signs, an empty table) the field adds nothing.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -221,38 +222,43 @@ class Field:
     @classmethod
     def fit(cls, cases: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 12, rate: float = 0.2, ridge: float = 1e-3) -> Field:
         """Gradient ascent on the conditional likelihood; ``cases`` are windows with their gold spans."""
-        field = cls({})
+        names: dict[str, int] = {}
         prepared = []
         for text, gold in cases:
             n, segs = candidates(text)
+            if not segs:
+                continue
+            found = [[names.setdefault(f, len(names)) for f in features(text, a, b)] for _, _, a, b in segs]
             want = {(a, b): k for a, b, k in gold}
-            prepared.append((n, segs, [features(text, a, b) for _, _, a, b in segs], [want.get((a, b), -1) for _, _, a, b in segs]))
+            flat, cuts = np.array([i for fs in found for i in fs]), np.cumsum([0, *map(len, found)])
+            prepared.append((n, segs, flat, cuts, [want.get((a, b), -1) for _, _, a, b in segs]))
+        w = np.zeros((len(names), len(KINDS)))
         for _ in range(epochs):
-            for n, segs, feats, gold in prepared:
-                if not segs:
-                    continue
-                s = field.scores(feats)
-                fwd, bwd = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-                fwd[0] = bwd[n] = 0.0
+            for n, segs, flat, cuts, gold in prepared:
+                s = np.add.reduceat(w[flat], cuts[:-1])
+                each = np.logaddexp.reduce(s, axis=1).tolist()
+                fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
                 ending, starting = {}, {}
                 for x, (i, j, _, _) in enumerate(segs):
-                    ending.setdefault(j, []).append(x)
-                    starting.setdefault(i, []).append(x)
-                each = np.logaddexp.reduce(s, axis=1)
+                    ending.setdefault(j, []).append((i, each[x]))
+                    starting.setdefault(i, []).append((j, each[x]))
                 for j in range(1, n + 1):
-                    fwd[j] = np.logaddexp.reduce([fwd[j - 1], *(fwd[segs[x][0]] + each[x] for x in ending.get(j, ()))])
+                    fwd[j] = _log_sum([fwd[j - 1], *(fwd[i] + e for i, e in ending.get(j, ()))])
                 for i in range(n - 1, -1, -1):
-                    bwd[i] = np.logaddexp.reduce([bwd[i + 1], *(bwd[segs[x][1]] + each[x] for x in starting.get(i, ()))])
-                for x, (i, j, _, _) in enumerate(segs):
-                    p = np.exp(fwd[i] + s[x] + bwd[j] - fwd[n])
-                    step = -p
-                    if gold[x] >= 0:
-                        step[gold[x]] += 1
-                    if np.abs(step).max() > 1e-3:
-                        for f in feats[x]:
-                            w = field.weights.setdefault(f, np.zeros(len(KINDS)))
-                            w += rate * (step - ridge * w)
-        return field
+                    bwd[i] = _log_sum([bwd[i + 1], *(bwd[j] + e for j, e in starting.get(i, ()))])
+                outside = np.array([fwd[i] + bwd[j] - fwd[n] for i, j, _, _ in segs])
+                step = -np.exp(outside[:, None] + s)
+                for x, k in enumerate(gold):
+                    if k >= 0:
+                        step[x, k] += 1
+                np.add.at(w, flat, rate * np.repeat(step, np.diff(cuts), axis=0))
+                w[np.unique(flat)] *= 1 - rate * ridge
+        return cls({f: w[i] for f, i in names.items()})
+
+
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top + math.log(sum(math.exp(x - top) for x in xs))
 
 
 def respell(text: str, gold: list[tuple[int, int, int]], turn: int) -> tuple[str, list[tuple[int, int, int]]]:
