@@ -47,7 +47,7 @@ def distances(adjacent: DataFrame, start: str, max_depth: int = 4) -> DataFrame:
     """
     from ..plans.shared import checkpointed
 
-    edges = adjacent.select("a", "b").distinct()
+    edges = checkpointed(adjacent.select("a", "b").distinct())
     spark = adjacent.sparkSession
     frontier = spark.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
     seen = frontier

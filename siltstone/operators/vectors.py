@@ -17,22 +17,35 @@ from ..functions import text as T
 DIMENSIONS, LETTERS, STRIDE, GRAM = 384, 8000, 2, 4
 
 
-def hash_embedding(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Signed counts of words, word pairs and letter groups in hashed places, with length 1."""
+def _place(feature: str, dimensions: int) -> int:
+    """Twice the place of a feature, plus one for a positive sign."""
+    d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+    return int.from_bytes(d[:4], "big") % dimensions * 2 + (d[4] & 1)
+
+
+def hash_embedding(text: str, dimensions: int = DIMENSIONS, known: dict[str, int] | None = None) -> np.ndarray:
+    """Signed counts of words, word pairs and letter groups in hashed places, with length 1.
+
+    ``known`` keeps the places of features between texts; most repeat.
+    """
+    known = {} if known is None else known
+    if len(known) > 500_000:
+        known.clear()
     low = text.lower()
     words = re.findall(T.TOKEN, low)
     found = [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]
     found += [f"char:{low[i : i + GRAM]}" for i in range(0, max(0, min(len(text), LETTERS) - GRAM + 1), STRIDE)]
-    out = np.zeros(dimensions)
-    for f in found:
-        d = hashlib.blake2b(f.encode(), digest_size=8).digest()
-        out[int.from_bytes(d[:4], "big") % dimensions] += 1.0 if d[4] & 1 else -1.0
+    for f in set(found) - known.keys():
+        known[f] = _place(f, dimensions)
+    counts = np.bincount([known[f] for f in found], minlength=2 * dimensions) if found else np.zeros(2 * dimensions)
+    out = counts[1::2] - counts[::2] + 0.0
     n = np.sqrt((out**2).sum())
     return out / n if n else out
 
 
 def local_provider(dimensions: int = DIMENSIONS) -> Callable[[list[str]], list[np.ndarray]]:
-    return lambda texts: [hash_embedding(t, dimensions) for t in texts]
+    known: dict[str, int] = {}
+    return lambda texts: [hash_embedding(t, dimensions, known) for t in texts]
 
 
 def embed(rows: DataFrame, id_col: str, text_col: str, provider: Callable[[list[str]], list] | None = None, batch: int = 32) -> DataFrame:
