@@ -97,7 +97,7 @@ def word_table(spec: str, docs: DataFrame, path: str) -> None:
         .agg(F.collect_set("part").alias("parts"))
         .mapInPandas(_encode(spec), "word string, ids binary, parts array<bigint>")
         .select(F.explode("parts").alias("part"), "word", "ids")
-        .repartition("part")
+        .repartition("part", F.pmod(F.xxhash64("word"), F.lit(4)))  # a split's words go to up to four tasks
         .sortWithinPartitions("part")
         .write.partitionBy("part")
         .parquet(path)
