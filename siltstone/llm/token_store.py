@@ -4,8 +4,9 @@
    padded. Every task numbers its sequences; the tasks' counts (one number each) give every sequence its index.
    A row holds a whole text's ids; Spark cuts it into sequences only where they are sent to their shards.
 2. A keyed Feistel network with cycle-walking permutes the indexes 0..n-1: a sequence's slot.
-3. Range partitions of slots write shards of ``per_shard`` records of one stride, so slot s starts at byte
-   (s mod per_shard) * stride of shard s div per_shard: readers go on at any slot, sequentially.
+3. Each range of ``per_shard`` slots is a partition, known without sampling, and writes a shard of records of
+   one stride. Slot s starts at byte (s mod per_shard) * stride of shard s div per_shard, so readers can go on
+   at any slot, sequentially.
 
 A shard is written under a name of the task attempt and moved into place, and its content depends on the
 data, key and sizes alone, so a repeated task does no harm. Tokenised sequences are kept by Spark (memory, then
@@ -158,18 +159,20 @@ def materialise(
             starts.append((part, n))
             n += size
         offsets = spark.createDataFrame(starts or [(0, 0)], "part int, start long")
-        cut = F.substring(F.col("ids"), (F.col("k") * stride + 1).cast("int"), F.lit(stride))
+        cut = lambda k: F.substring(F.col("ids"), (k * stride + 1).cast("int"), F.lit(stride))
         sequences = made.join(F.broadcast(offsets), "part").select(
-            (F.col("start") + F.col("pos")).alias("base"), "doc_id", "ids", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))).alias("k")
+            (F.col("start") + F.col("pos")).alias("base"),
+            "doc_id",
+            F.posexplode(F.transform(F.sequence(F.lit(0), (pieces - 1).cast("int")), cut)).alias("k", "piece"),
         )
         placed = sequences.select(
             _slots(max(n, 1), key)(F.col("base") + F.col("k")).alias("slot"), "doc_id", F.col("k").alias("seq_no"),
-            (F.octet_length(cut) / item).cast("int").alias("used"), F.rpad(cut, F.lit(stride), F.lit(b"\0")).alias("ids"),
+            (F.octet_length("piece") / item).cast("int").alias("used"), F.rpad("piece", F.lit(stride), F.lit(b"\0")).alias("ids"),
         )
         fs, root = pafs.FileSystem.from_uri(out_dir)
         fs.create_dir(root, recursive=True)
         (
-            placed.repartitionByRange(max(1, -(-n // per_shard)), F.floor(F.col("slot") / per_shard))
+            placed.repartitionById(max(1, -(-n // per_shard)), F.floor(F.col("slot") / per_shard).cast("int"))
             .sortWithinPartitions("slot")
             .mapInArrow(_write(out_dir, stride, per_shard), SHARD)
             .write.parquet(f"{out_dir}/manifest")
