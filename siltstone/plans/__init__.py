@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence_queries, graph_queries, intake_queries, more_queries, retrieval_queries, text_queries  # noqa: F401
+from . import evidence_queries, graph_queries, intake_queries, more_queries, record_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
