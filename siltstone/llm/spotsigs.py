@@ -15,6 +15,8 @@ doc_id comes in a block of its own, whose last row is followed by nothing (an em
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,12 +115,17 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A constant array as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     """Number of bounds at or below ``doc_id``, by binary search in a constant array."""
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    table, n = F.array(*map(F.lit, bounds)), len(bounds)
+    table, n = _constant(bounds, "bigint"), len(bounds)
     # try_element_at: a step beyond the end finds null, which takes no step
     return F.aggregate(
         F.array(*map(F.lit, steps)),
@@ -136,11 +143,12 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
+    cuts = F.percentile_approx("doc_id", _constant([i / n for i in range(1, n)], "double"), 10 * n)
     first, cuts = rows.agg(F.min("doc_id"), cuts).first()
     bounds = sorted({c for c in cuts or [] if c > first})
     own = F.coalesce(_bucket(F.col("doc_id"), bounds), F.lit(-1))
-    heads = F.when(F.col("doc_id").isin(bounds), F.col("own") - 1).when(F.col("doc_id") == first, F.lit(len(bounds)))
+    head = (F.col("own") > 0) & (F.try_element_at(_constant(bounds, "bigint"), F.nullif(F.col("own"), F.lit(0))) == F.col("doc_id"))
+    heads = F.when(head, F.col("own") - 1).when(F.col("doc_id") == first, F.lit(len(bounds)))
     block = Window.partitionBy("block").orderBy("guest", "doc_id", "text")
     sent = (
         rows.withColumn("own", own)
