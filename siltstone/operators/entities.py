@@ -42,18 +42,20 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows.drop(columns=["span"])
 
 
-def first_word(c: Column) -> Column:
-    return F.get(F.split(T.normalize_text(c), " "), 0)
+def key_word(c: Column) -> Column:
+    """The longest word of a name (the first of these): seldom a common one."""
+    words = F.split(T.normalize_text(c), " ")
+    return F.get(F.filter(words, lambda w: F.length(w) == F.array_max(F.transform(words, lambda x: F.length(x)))), 0)
 
 
 def known_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """Mentions of known entities with their offsets: (chunk_id, node_id, alias, start, end, confidence).
 
-    An alias is a candidate for a chunk when its first word occurs there: an equi-join on that word, so no
+    An alias is a candidate for a chunk when its longest word occurs there: an equi-join on that word, so no
     chunk meets every alias. The exact match with its boundaries runs on the candidates only.
     """
     words = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(T.normalize_text(F.col("text")), " "))).alias("word")).where("word != ''")
-    keys = entities.select("node_id", "alias", "origin", first_word(F.col("alias")).alias("word"))
+    keys = entities.select("node_id", "alias", "origin", key_word(F.col("alias")).alias("word"))
     pairs = words.join(keys, "word").select("chunk_id", "node_id", "alias", "origin")
     holds = pairs.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains(F.lower("text"), F.lower(F.trim("alias"))))
     spans = holds.select("chunk_id", "node_id", "alias", "origin", "text").mapInPandas(

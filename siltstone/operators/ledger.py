@@ -42,11 +42,22 @@ def claim_records(nodes: DataFrame) -> DataFrame:
     )
 
 
+def claim_classes(claims: DataFrame) -> DataFrame:
+    """Claims that say the same of a subject are one class: its smallest claim and node stand for it."""
+    return claims.groupBy("subject_key", "polarity", T.normalize_text(F.col("claim_text")).alias("said")).agg(
+        F.min_by("claim_id", "node_id").alias("claim_id"), F.min("node_id").alias("node_id"), F.count("*").alias("size")
+    )
+
+
 def contradictions(claims: DataFrame) -> DataFrame:
-    """Pairs of claims of different nodes on one subject with opposite polarity. A pair is found once: the
-    positive side is joined to the negative one, so no pair within a side is ever formed."""
-    side = lambda p, x: claims.where(F.col("polarity") == p).select(
-        "subject_key", F.col("claim_id").alias(f"{x}_claim"), F.col("node_id").alias(f"{x}_node")
+    """Pairs of claim classes on one subject with opposite polarity, with the classes' sizes.
+
+    The positive side is joined to the negative one, so a pair is found once and none within a side is formed;
+    copies of a claim are members of its class (``claim_classes``) and never multiply pairs.
+    """
+    classes = claim_classes(claims)
+    side = lambda p, x: classes.where(F.col("polarity") == p).select(
+        "subject_key", F.col("claim_id").alias(f"{x}_claim"), F.col("node_id").alias(f"{x}_node"), F.col("size").alias(f"{x}_size")
     )
     return side("positive", "pos").join(side("negative", "neg"), "subject_key").where("pos_node != neg_node")
 

@@ -302,14 +302,14 @@ def selected(t):
 
 @query(
     "F15_data_quality",
-    f"""WITH {ctes('conflicts')}, k AS (SELECT source AS client_id, bool_or(severity = 'high') AS high FROM conflicts c JOIN documents d ON d.doc_id = c.object_id WHERE c.status IN ('open', 'acknowledged') AND d.doc_id % 4 = 0 GROUP BY 1),
+    f"""WITH {ctes('conflicts')}, k AS (SELECT source AS client_id, bool_or(severity = 'high') AS high FROM conflicts c JOIN documents d ON d.doc_id = c.object_id WHERE c.status IN ('open', 'acknowledged') AND c.conflict_type = 'contradiction' GROUP BY 1),
     c AS (SELECT DISTINCT source AS client_id, CAST(substr(source, 4) AS INT) % 2 = 0 AS p FROM documents)
     SELECT client_id, CASE WHEN high IS NOT NULL AND p THEN 'partial_conflicted' WHEN high IS NOT NULL THEN 'conflicted' WHEN p THEN 'partial' ELSE 'ok' END AS quality,
         CAST(CASE WHEN p AND high THEN 0.35 WHEN high THEN 0.5 WHEN high IS NOT NULL AND p THEN 0.55 WHEN high IS NOT NULL THEN 0.7 WHEN p THEN 0.75 ELSE 1 END AS DOUBLE) AS score FROM c LEFT JOIN k USING (client_id)""",
 )
 def quality(t):
     clients = t.documents.select(F.col("source").alias("client_id"), (F.substring("source", 4, 9).cast("int") % 2 == 0).alias("partial")).distinct()
-    k = view(t, "conflicts").join(t.documents.where("doc_id % 4 = 0").select(F.col("doc_id").alias("object_id"), F.col("source").alias("client_id")), "object_id")
+    k = view(t, "conflicts").where("conflict_type = 'contradiction'").join(t.documents.select(F.col("doc_id").alias("object_id"), F.col("source").alias("client_id")), "object_id")
     return V.data_quality(k, clients)
 
 

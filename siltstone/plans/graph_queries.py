@@ -147,7 +147,8 @@ def missing(t):
 CLAIMS = f"""kt AS (SELECT *, CASE WHEN type IN {tuple(T.CLAIM_TYPES)} THEN CASE WHEN summary = '' THEN name ELSE summary END
         WHEN regexp_matches(lower(summary), '{T.MODAL.replace("'", "''")}') THEN summary ELSE '' END AS claim_text FROM nodes WHERE status IN ('active', 'provisional')),
     claims AS (SELECT 'claimrec:' || substr(sha1(id || '|' || substr({norm('claim_text')}, 1, 400)), 1, 16) AS claim_id, id AS node_id, claim_text, {subject_sql('claim_text')} AS subject_key,
-        {polarity_sql('claim_text')} AS polarity, status FROM kt WHERE claim_text <> '' AND {subject_sql('claim_text')} <> '')"""
+        {polarity_sql('claim_text')} AS polarity, status FROM kt WHERE claim_text <> '' AND {subject_sql('claim_text')} <> ''),
+    classes AS (SELECT subject_key, polarity, {norm('claim_text')} AS said, arg_min(claim_id, node_id) AS claim_id, min(node_id) AS node_id, count(*) AS size FROM claims GROUP BY 1, 2, 3)"""
 
 
 @query("D14_claim_records", f"WITH {ctes('nodes')}, {CLAIMS} SELECT claim_id, node_id, subject_key, polarity, status FROM claims")
@@ -155,14 +156,14 @@ def claims(t):
     return L.claim_records(view(t, "nodes")).select("claim_id", "node_id", "subject_key", "polarity", "status")
 
 
-@query("E15_contradictions", f"WITH {ctes('nodes')}, {CLAIMS} SELECT p.subject_key, p.claim_id AS pos_claim, n.claim_id AS neg_claim FROM claims p JOIN claims n ON p.subject_key = n.subject_key AND p.polarity = 'positive' AND n.polarity = 'negative' AND p.node_id <> n.node_id")
+@query("E15_contradictions", f"WITH {ctes('nodes')}, {CLAIMS} SELECT p.subject_key, p.claim_id AS pos_claim, n.claim_id AS neg_claim, p.size AS pos_size, n.size AS neg_size FROM classes p JOIN classes n ON p.subject_key = n.subject_key AND p.polarity = 'positive' AND n.polarity = 'negative' AND p.node_id <> n.node_id")
 def contradictions(t):
-    return L.contradictions(L.claim_records(view(t, "nodes"))).select("subject_key", "pos_claim", "neg_claim")
+    return L.contradictions(L.claim_records(view(t, "nodes"))).select("subject_key", "pos_claim", "neg_claim", "pos_size", "neg_size")
 
 
 @query(
     "L08_conflict_ids",
-    f"""WITH {ctes('nodes')}, {CLAIMS}, c AS (SELECT p.node_id AS a, n.node_id AS b FROM claims p JOIN claims n ON p.subject_key = n.subject_key AND p.polarity = 'positive' AND n.polarity = 'negative' AND p.node_id <> n.node_id),
+    f"""WITH {ctes('nodes')}, {CLAIMS}, c AS (SELECT p.node_id AS a, n.node_id AS b FROM classes p JOIN classes n ON p.subject_key = n.subject_key AND p.polarity = 'positive' AND n.polarity = 'negative' AND p.node_id <> n.node_id),
     i AS (SELECT *, 'conflict:contradiction:' || substr(sha1(array_to_string(list_sort(['node:' || a || ':positive', 'node:' || b || ':negative']), '|')), 1, 16) AS base FROM c),
     o AS (SELECT base, CASE length(a) % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' END AS st FROM i)
     SELECT CASE WHEN st = 'resolved' THEN 'conflict:contradiction:' || substr(sha1(base || '|recurrence|2024-02-10'), 1, 16) ELSE base END AS conflict_id,

@@ -205,9 +205,9 @@ def ledger_list(t):
     return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "event_type", F.col("ts").isNotNull().alias("dated"))
 
 
-@query("H08_detail", "SELECT o_orderkey, count(*) AS items, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1")
+@query("H08_detail", "SELECT o_orderkey, count(*) AS items, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def detail(t):
-    j = t.orders.where("o_orderkey < 500").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("o_orderkey").agg(F.count("*").alias("items"), F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("lines"))
 
 

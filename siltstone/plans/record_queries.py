@@ -179,9 +179,9 @@ def bundle(t):
     return L.replace_by_key(rows, new, "bundle_id").withColumn("row_hash", F.sha2(F.concat_ws("|", "bundle_id", "anchor_id"), 256))
 
 
-@query("N04_card_listing", "SELECT client_id, query_id, evidence_id FROM (SELECT user_id AS client_id, event_type AS query_id, event_id AS evidence_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND client_id % 3 = 0")
+@query("N04_card_listing", "SELECT client_id, query_id, evidence_id FROM (SELECT user_id AS client_id, event_type AS query_id, event_id AS evidence_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND query_id <> 'view'")
 def card_listing(t):
-    cards = t.events.where("user_id % 3 = 0").select(F.col("user_id").alias("client_id"), F.col("event_type").alias("query_id"), F.col("event_id").alias("evidence_id"), F.col("ts").alias("fresh_at"))
+    cards = t.events.where("event_type != 'view'").select(F.col("user_id").alias("client_id"), F.col("event_type").alias("query_id"), F.col("event_id").alias("evidence_id"), F.col("ts").alias("fresh_at"))
     return V.latest(cards, ["client_id", "query_id"]).select("client_id", "query_id", "evidence_id")
 
 
