@@ -210,3 +210,35 @@ def refresh_candidates(sources: DataFrame, now: Column, limit: int) -> DataFrame
 def owner_of(source_id: Column, part: int = 4) -> Column:
     """The client in a derived source id: its fourth part between colons."""
     return F.get(F.split(source_id, ":"), part - 1)
+
+
+def apply_proposal(
+    state: dict[str, DataFrame], proposal: dict[str, DataFrame], risk: str = "medium", allow_high_risk: bool = False
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The state (nodes, edges, evidence) after a proposal, and the change items of each table.
+
+    High risk needs to be allowed; edges whose ends are neither in the state nor in the proposal are refused.
+    Evidence comes before nodes and nodes before edges, whose key holds its evidence, null or not.
+    """
+    from .graph import missing_nodes
+
+    if risk == "high" and not allow_high_risk:
+        raise PermissionError("a high-risk proposal needs to be allowed")
+    known = state["nodes"].select("id").unionByName(proposal["nodes"].select("id"))
+    lacking = [r[0] for r in missing_nodes(proposal["edges"], known).orderBy("id").limit(20).collect()]
+    if lacking:
+        raise ValueError(f"edges refer to unknown nodes: {', '.join(lacking)}")
+    keys = {"evidence": ["id"], "nodes": ["id"], "edges": ["source_id", "relation", "target_id", "evidence_id"]}
+    after, items = dict(state), {}
+    for name, key in keys.items():
+        if name not in proposal:
+            continue
+        after[name] = upsert(state[name], proposal[name], key)
+        named = lambda df, key=key: df.withColumn("_key", F.concat_ws("|", *(F.coalesce(F.col(k), F.lit("")) for k in key)))
+        items[name] = change_items(named(state[name]), named(after[name]), "_key", state[name].columns)
+    return after, items
+
+
+def split_merged(nodes: DataFrame, conflicts: DataFrame, items: DataFrame, schema: str, conflict_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Undo a merge: its changes are rolled back and its conflicts are open again."""
+    return rolled_back(nodes, items, "id", schema), set_status(conflicts, conflict_ids, "conflict_id", "open")

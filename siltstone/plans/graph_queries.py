@@ -10,7 +10,7 @@ from ..operators import ledger as L
 from .registry import query
 from .retrieval_queries import NOW, now
 from .standins import ctes, view
-from .text_queries import listed, norm, polarity_sql, subject_sql, without
+from .text_queries import norm, polarity_sql, subject_sql, without
 
 VIEW = """v AS (SELECT e.*, s.name AS source_name, s.type AS source_type, s.status AS source_status, t.name AS target_name, t.type AS target_type, t.status AS target_status,
     ev.status AS evidence_status FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id LEFT JOIN evidence ev ON ev.id = e.evidence_id),

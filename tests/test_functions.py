@@ -184,3 +184,32 @@ def test_damaged_file_is_a_row(spark):
 def test_hash_embedding_has_length_one():
     v = vectors.hash_embedding("Some words and some more words")
     assert abs((v**2).sum() - 1) < 1e-9 and not vectors.hash_embedding("").any()
+
+
+def test_proposals(spark):
+    cols = {"nodes": "id string, name string, status string", "edges": "source_id string, relation string, target_id string, evidence_id string, status string", "evidence": "id string, status string"}
+    make = lambda rows: {k: spark.createDataFrame(rows.get(k, []), c) for k, c in cols.items()}
+    state = make({"nodes": [("a", "A", "active")], "edges": [("a", "r", "a", None, "active")], "evidence": [("e", "active")]})
+    good = make({"nodes": [("b", "B", "provisional")], "edges": [("a", "r", "b", None, "provisional"), ("a", "r", "a", None, "deprecated")], "evidence": [("e2", "active")]})
+    with pytest.raises(PermissionError):
+        ledger.apply_proposal(state, good, risk="high")
+    bad = make({"edges": [("a", "r", "zz", None, "active")]})
+    with pytest.raises(ValueError, match="zz"):
+        ledger.apply_proposal(state, bad)
+    after, items = ledger.apply_proposal(state, good)
+    assert {tuple(r) for r in after["edges"].collect()} == {("a", "r", "b", None, "provisional"), ("a", "r", "a", None, "deprecated")}
+    assert {r.action for r in items["edges"].collect()} == {"create", "update"} and items["nodes"].count() == 1
+
+
+def test_merge_and_split(spark):
+    nodes = spark.createDataFrame([("a", "Jack Abbott", "active"), ("b", "Dr. Jack Abbott", "active")], "id string, name string, status string").withColumn("type", F.lit("person"))
+    aliases = spark.createDataFrame([("b", "JA")], "node_id string, alias string")
+    links = ledger.duplicate_entities(nodes, aliases)
+    assert [tuple(r) for r in links.collect()] == [("a", "b")]
+    assert ledger.merged_aliases(nodes, aliases, links).first().aliases == ["Dr. Jack Abbott", "JA", "b"]
+    merged = ledger.set_status(nodes, links, "id", "merged")
+    items = ledger.change_items(nodes, merged, "id", ["name", "status", "type"])
+    conflicts = spark.createDataFrame([("c", "resolved"), ("d", "resolved")], "conflict_id string, status string")
+    back, opened = ledger.split_merged(merged, conflicts, items, "name string, status string, type string", conflicts.where("conflict_id = 'c'"))
+    assert {tuple(r) for r in back.select("id", "status").collect()} == {("a", "active"), ("b", "active")}
+    assert {tuple(r) for r in opened.collect()} == {("c", "open"), ("d", "resolved")}
