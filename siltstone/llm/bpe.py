@@ -100,6 +100,7 @@ def word_table(spec: str, docs: DataFrame, path: str) -> None:
         .repartition("part", F.pmod(F.xxhash64("word"), F.lit(4)))  # a split's words go to up to four tasks
         .sortWithinPartitions("part")
         .write.partitionBy("part")
+        .option("compression", "zstd")
         .parquet(path)
     )
 
