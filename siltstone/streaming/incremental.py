@@ -70,3 +70,33 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
         query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def freshness_alerts(captures: DataFrame, window_days: int = 30, late: str = "1 hour") -> DataFrame:
+    """(source_id, last, status) whenever a source is captured (fresh) or its window passes without (stale).
+
+    ``captures`` is a stream of (source_id, ts). One timestamp of state is kept for each source; a timer in event
+    time fires when the watermark passes the window's end.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    import pandas as pd
+
+    def update(key: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"source_id": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "status": ["stale"]})
+            return
+        last = state.get[0] if state.exists else 0
+        for pdf in batches:
+            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
+        state.update((last,))
+        due = last + window_days * 86_400_000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"source_id": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "status": ["fresh"]})
+
+    rows = captures.select("source_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("source_id").applyInPandasWithState(
+        update, "source_id string, last timestamp, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )

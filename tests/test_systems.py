@@ -138,3 +138,21 @@ def test_stream_drops_repeated_captures(spark, tmp_path):
     spark.createDataFrame(rows, "id long, text string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
     S.run_to_table(S.fresh_captures(S.table_stream(spark, f"{tmp_path}/in"), "ts").select("id", "text"), f"{tmp_path}/out", f"{tmp_path}/check")
     assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_stream_reports_stale_sources(spark, tmp_path):
+    def put(name, rows):
+        spark.createDataFrame(rows, "source_id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    put("a", [("quiet", day(0)), ("busy", day(0))])
+    stream = lambda: S.freshness_alerts(spark.readStream.schema("source_id string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
+    S.run_to_table(stream(), f"{tmp_path}/out", f"{tmp_path}/check")
+    put("b", [("busy", day(20))])
+    S.run_to_table(stream(), f"{tmp_path}/out", f"{tmp_path}/check")
+    put("c", [("busy", day(40))])
+    S.run_to_table(stream(), f"{tmp_path}/out", f"{tmp_path}/check")
+    put("d", [("busy", day(41))])
+    S.run_to_table(stream(), f"{tmp_path}/out", f"{tmp_path}/check")
+    got = {(r.source_id, r.status, r.n) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("source_id", "status").agg(F.count("*").alias("n")).collect()}
+    assert got == {("quiet", "fresh", 1), ("quiet", "stale", 1), ("busy", "fresh", 4)}
