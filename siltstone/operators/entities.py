@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 from .matching import near_texts
 
 # Confidences of the ways a mention is found, and scores of the ways it is resolved.
@@ -127,3 +128,6 @@ def top_chunks_per_entity(mentions: DataFrame, k: int) -> DataFrame:
     per = mentions.groupBy("node_id", "chunk_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
     w = Window.partitionBy("node_id").orderBy(F.desc("confidence"), F.desc("n"), "chunk_id")
     return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+ship(__name__)

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 
 # Size of the local model, how far its letter features reach, and their stride.
 DIMENSIONS, LETTERS, STRIDE, GRAM = 384, 8000, 2, 4
+TOKEN = T.TOKEN
 
 
 def _place(feature: str, dimensions: int) -> int:
@@ -32,7 +34,7 @@ def hash_embedding(text: str, dimensions: int = DIMENSIONS, known: dict[str, int
     if len(known) > 500_000:
         known.clear()
     low = text.lower()
-    words = re.findall(T.TOKEN, low)
+    words = re.findall(TOKEN, low)
     found = [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]
     found += [f"char:{low[i : i + GRAM]}" for i in range(0, max(0, min(len(text), LETTERS) - GRAM + 1), STRIDE)]
     for f in set(found) - known.keys():
@@ -80,3 +82,6 @@ def pending(chunks: DataFrame, embedded: DataFrame, key: str, force: bool = Fals
 
 def model_id(provider: str, model: str, dimensions: int) -> Column:
     return F.concat_ws(":", F.lit("embed"), T.slug(F.lit(provider)), T.slug(F.lit(model)), F.lit(str(dimensions)))
+
+
+ship(__name__)

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.dates import in_window
 from ..operators import evidence as V
+from ..shipping import ship
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}")
 
@@ -158,3 +159,6 @@ def numbered_rows(page: int, size: int):
     """A fetcher for tests: rows with their position."""
     for i in range(size):
         yield (page * size + i, f"row {page * size + i}")
+
+
+ship(__name__)

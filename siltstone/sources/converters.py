@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import media
 from .units import unit_id
 
@@ -338,3 +339,6 @@ def speakers(segments: DataFrame, turns: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key, "segment").orderBy(F.desc("overlap"), "ts", "speaker")
     best = hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(key, "segment", "speaker")
     return segments.select(key, "segment").join(best, [key, "segment"], "left").select(key, "segment", F.coalesce("speaker", F.lit("")).alias("speaker"))
+
+
+ship(__name__)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 from ..operators.chunking import chunk_rows
 
 
@@ -100,3 +101,6 @@ def freshness_alerts(captures: DataFrame, window_days: int = 30, late: str = "1
     return rows.groupBy("source_id").applyInPandasWithState(
         update, "source_id string, last timestamp, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+ship(__name__)
