@@ -82,16 +82,22 @@ def duplicate_groups(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
 
 
 def similar_titles(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Pairs of sources of one type whose normalised titles are close: 1 - levenshtein / longest >= threshold."""
-    t = sources.select("id", "source_type", T.normalize_name(F.col("title")).alias("text"))
-    near = near_texts(t, t, threshold, ["source_type"])
-    side = lambda x, key: t.select(F.col("id").alias(x), "source_type", F.col("text").alias(key))
-    found = near.join(side("a", "left"), ["source_type", "left"]).join(side("b", "right"), ["source_type", "right"])
-    return found.where("a < b").select("a", "b", "ratio")
+    """Links of sources of one type whose normalised titles are close: 1 - levenshtein / longest >= threshold.
+
+    Sources with one title are linked to the smallest id among them; close titles link these ids, so equal titles
+    never multiply pairs.
+    """
+    t = sources.select("id", "source_type", T.normalize_name(F.col("title")).alias("text")).where("text != ''")
+    first = t.groupBy("source_type", "text").agg(F.min("id").alias("first"))
+    same = t.join(first, ["source_type", "text"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+    near = near_texts(first, first, threshold, ["source_type"]).where(F.col("left") < F.col("right"))
+    side = lambda key, x: first.select("source_type", F.col("text").alias(key), F.col("first").alias(x))
+    found = near.join(side("left", "x"), ["source_type", "left"]).join(side("right", "y"), ["source_type", "right"])
+    return same.unionByName(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio"))
 
 
 def duplicate_sources(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Pairs of visible sources with one canonical address, or of one type with close titles: (a, b, exact_url)."""
+    """Links of visible sources with one canonical address, or of one type with close titles: (a, b, exact_url)."""
     live = sources.where(F.col("status").isin("active", "stale_pending_refresh"))
     url = duplicate_groups(live, T.canonical_url(F.col("url")), "id")
     exact = url.select(F.least("keep_id", "id").alias("a"), F.greatest("keep_id", "id").alias("b"), F.lit(True).alias("exact_url"))

@@ -185,9 +185,10 @@ def duplicate_content(t):
 @query(
     "E13_duplicate_sources",
     f"""WITH {ctes('sources')}, k AS (SELECT id, source_type, {without('title', T.NAME_STOP)} AS key, regexp_replace(lower(split_part(url, '?', 1)), '/+$', '') AS canon FROM sources WHERE status IN ('active', 'stale_pending_refresh')),
-    f AS (SELECT canon, min(id) AS keep FROM k GROUP BY canon HAVING count(*) > 1),
+    f AS (SELECT canon, min(id) AS keep FROM k GROUP BY canon HAVING count(*) > 1), t AS (SELECT source_type, key, min(id) AS first FROM k WHERE key <> '' GROUP BY 1, 2),
     p AS (SELECT keep AS a, k.id AS b, true AS exact_url FROM k JOIN f ON f.canon = k.canon WHERE k.id <> keep
-          UNION ALL SELECT x.id, y.id, false FROM k x JOIN k y ON x.id < y.id AND x.source_type = y.source_type AND x.key <> '' AND y.key <> ''
+          UNION ALL SELECT t.first, k.id, false FROM k JOIN t USING (source_type, key) WHERE k.id <> t.first
+          UNION ALL SELECT least(x.first, y.first), greatest(x.first, y.first), false FROM t x JOIN t y ON x.source_type = y.source_type AND x.key < y.key
               AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.92)
     SELECT a, b, bool_or(exact_url) AS exact_url FROM p GROUP BY a, b""",
 )
