@@ -37,8 +37,9 @@ def hash_embedding(text: str, dimensions: int = DIMENSIONS, known: dict[str, int
     words = re.findall(TOKEN, low)
     found = [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]
     found += [f"char:{low[i : i + GRAM]}" for i in range(0, max(0, min(len(text), LETTERS) - GRAM + 1), STRIDE)]
-    for f in set(found) - known.keys():
-        known[f] = _place(f, dimensions)
+    for f in set(found):
+        if f not in known:
+            known[f] = _place(f, dimensions)
     counts = np.bincount([known[f] for f in found], minlength=2 * dimensions) if found else np.zeros(2 * dimensions)
     out = counts[1::2] - counts[::2] + 0.0
     n = np.sqrt((out**2).sum())
