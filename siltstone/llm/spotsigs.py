@@ -5,8 +5,11 @@ A document's fingerprint is the set of its signatures, kept as sorted 32-bit has
 are compared by Jaccard; the ratio of their sizes bounds it, so sets whose lengths differ too much are
 never compared: sets live in length partitions of which only the same or the next one can match.
 
-A text with fewer than ``MIN_SPOTS`` signatures (no or few anchors, other scripts) has a signature for
-every pair of neighbouring words instead, a text of one word has one, an empty text none.
+Words that no spot begins with (stretches without anchors, other scripts) are signed in pairs with the word that
+follows. Which signatures a place gets depends on the few words around it, never on the rest of the text, so texts
+that share a passage share its signatures. An anchor counts as a plain word where ``MAX_RUN`` anchors follow it at
+once or where fewer than two content words follow it in the text. A text of one word has one signature, an empty
+text none.
 
 Defined cases: null text counts as empty; two fingerprints without signatures are alike (1.0), one
 without and one with are not (0.0); rows with one doc_id are ordered by text; a document with null
@@ -30,7 +33,9 @@ ANCHORS = tuple(
     el los las y del se por con para una su es al lo como más""".split()
 )
 ANCHORS = tuple(sorted(set(ANCHORS)))
-MIN_SPOTS = 4
+MAX_RUN = 4
+# The mark of an anchor that begins no spot: a full run of anchors follows it, or at most one content word.
+PLAIN = r"\|(?=(?:[^ |]++\|){%d}|(?:[^ |]++\|)*+(?:[^ |]++ (?:[^ |]++\|)*+)?\z)" % MAX_RUN
 
 
 def _hash32(*cols: Column) -> Column:
@@ -41,22 +46,15 @@ def with_signatures(df: DataFrame, text_col: str, out: str, anchors: tuple[str,
     """Add ``out``: the sorted distinct signature hashes of ``text_col``."""
     words, chain = f"_{out}_w", f"_{out}_c"
     mark = lambda w: F.concat(w, F.when(w.isin(*anchors), F.lit("|")).otherwise(F.lit(" ")))
-    after = lambda b: F.substring_index(b, "|", -1)
-    spots = lambda a, b: F.when(F.contains(a, F.lit("|")) & (after(b) != ""), _hash32(a, after(b)))
-    pairs = lambda a, b: F.when(b.isNotNull(), _hash32(a, b))
-    found = F.filter(F.zip_with(chain, F.slice(chain, F.lit(2), F.size(chain)), spots), lambda x: x.isNotNull())
-    plain = F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), pairs), lambda x: x.isNotNull())
+    part = lambda b, k: F.substring_index(b, "|", k)
+    signed = lambda a, b: F.when(F.contains(a, F.lit("|")), _hash32(a, part(b, -1))).when(b != "", _hash32(a, part(b, 1)))
+    found = F.filter(F.zip_with(chain, F.slice(chain, F.lit(2), F.size(chain)), signed), lambda x: x.isNotNull())
     return (
         df.withColumn(words, F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-        .withColumn(chain, F.split(F.array_join(F.transform(words, mark), ""), " "))
-        .withColumn(out, F.array_distinct(found))
+        .withColumn(chain, F.split(F.regexp_replace(F.array_join(F.transform(words, mark), ""), PLAIN, " "), " "))
         .withColumn(
             out,
-            F.sort_array(
-                F.when(F.size(out) >= MIN_SPOTS, F.col(out))
-                .when(F.size(words) == 1, F.array(_hash32(F.element_at(words, 1))))
-                .otherwise(F.array_distinct(plain))
-            ),
+            F.when(F.size(words) == 1, F.array(_hash32(F.element_at(words, 1)))).otherwise(F.sort_array(F.array_distinct(found))),
         )
         .drop(words, chain)
     )

@@ -105,6 +105,15 @@ def test_spotsigs(documents, awkward, empty):
     assert spotsigs.edit_and_compare(empty).count() == 0
 
 
+def test_shared_passages_share_signatures(spark, documents):
+    plain, spotted = " ".join(f"w{i}" for i in range(60)), " ".join(f"the v{i} x{i}" for i in range(40))
+    rows = [(1, plain), (2, spotted), (3, "the " + plain), (4, "of the " * 300), (5, "one w1 w2 w3 w4 w5 w6 of"), (6, spotted)]
+    got = {r.doc_id: r.near_edited for r in spotsigs.edit_and_compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] >= 0.4 for i in (1, 2, 3, 5)) and got[4] > 0
+    long = documents.where(F.size(F.split(F.trim("text"), " +")) >= 8)
+    assert spotsigs.edit_and_compare(long).where("near_edited = 0").count() == 0
+
+
 def test_spotsig_pairs_equal_all_pairs(documents):
     sets = {r.doc_id: frozenset(r.sigs) for r in spotsigs.with_signatures(documents.select("doc_id", "text"), "text", "sigs").collect() if r.sigs}
     reps = {}
