@@ -4,12 +4,14 @@ Learning (rows outside the held-out fold only; at most ``fit_toxic`` toxic and `
 chosen by hash): words and word stems that occur in significantly more toxic documents than clean ones make
 the lexicon, the most significant first; a document supports no further term once it holds ``COVER`` chosen
 ones, so the words of much-copied documents are not learned for the company they keep. A stem covers every
-word that begins with it; a whole word is also matched with one edit. A few general insults are known from the
+word that begins with it. Words and stems of ``MIN_FUZZY`` letters are also matched with one edit, of ``MIN_TWO``
+with two; from ``MIN_SWAP`` letters two neighbours that change places are one edit. A few general insults are known from the
 start at a lower weight, unless clean documents use them.
 
-Scoring: every distinct word of a text is looked up once. Exact words and stems come from sets; a word that
-shares its first or last half with a lexicon word is run through the automaton of one edit, intersected with
-the lexicon's trie. Word forms that clean sample documents contain are never taken for misspellings. Each
+Scoring: every distinct word of a text is looked up once. Exact words and stems come from sets; any
+other word runs through the Levenshtein automaton over the lexicon's trie, which accepts a whole word at its end and
+a stem as soon as it is reached. Forms that clean
+sample documents contain, of stems the letters that stand for it, are never taken for misspellings. Each
 match weighs its evidence, less where it is quoted or reported, more where somebody is addressed. A logistic
 curve, fitted on the same sample, turns a text's evidence into its score.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,8 @@ from .common import columns, ship
 
 WORD = re.compile(r"[^\W_]+")
 MIN_STEM, MAX_STEM, MIN_SUPPORT = 3, 12, 3
-MIN_FUZZY, FUZZY = 5, 0.6
+MIN_FUZZY, MIN_SWAP, MIN_TWO, FUZZY = 5, 6, 9, 0.6
+MAX_STATES = 10_000
 COVER = 3
 # General insults known from the start, and their weight.
 INSULTS = """bastard clown coward creep disgusting dumb fool garbage idiot idiotic imbecile jerk liar loser lunatic moron
@@ -125,38 +128,99 @@ def choose(docs: list[list[str]], clean: dict[str, int], n_clean: int) -> dict[s
 
 
 class Trie:
-    """Lexicon words in a trie, searched by the states of a Levenshtein automaton of one edit."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node["$"] = w
+    """Lexicon words and stems in a trie, searched by a Levenshtein automaton that is made deterministic as words need it.
+
+    ``bound`` gives the edits allowed for a term. A state of the automaton is a set of (node, edits, letter that a swap
+    still awaits, whether letters were swapped); a node is a prefix of a term.
+    """
+
+    def __init__(self, words: list[str], stems: list[str] = (), bound: Callable[[str], int] = lambda t: 1) -> None:
+        self.words, self.stems = {w: bound(w) for w in words}, {t: bound(t) for t in stems}
+        self.reach: dict[str, int] = {"": 0}  # the most edits that a term below a node allows
+        self.next: dict[str, str] = {}  # letters that follow a node
+        for t, most in [*self.words.items(), *self.stems.items()]:
+            for k in range(len(t) + 1):
+                self.reach[t[:k]] = max(most, self.reach.get(t[:k], 0))
+        for node in sorted(self.reach):
+            if node:
+                self.next[node[:-1]] = self.next.get(node[:-1], "") + node[-1]
+        self.letters = frozenset("".join(self.next.values()))
+        self.forget()
+
+    def forget(self) -> None:
+        self.steps: list[dict[str, int]] = []
+        self.ends: list[tuple] = []
+        self.sets: list[frozenset] = []
+        self.numbers: dict[frozenset, int] = {}
+        self.state({("", 0, "", False)})
+
+    def state(self, items: set[tuple]) -> int:
+        """The number of the state that holds ``items`` and what they reach by letters that the word lacks."""
+        queue = list(items)
+        while queue:
+            node, e, wait, swapped = queue.pop()
+            if not wait:
+                for c in self.next.get(node, ""):
+                    item = (node + c, e + 1, "", swapped)
+                    if e < self.reach[node + c] and item not in items:
+                        items.add(item)
+                        queue.append(item)
+        key = frozenset(items)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.sets)
+            self.sets.append(key)
+            self.steps.append({})
+            best = lambda terms: min(
+                ((e, n) for n, e, wait, swapped in key if not wait and e <= terms.get(n, -1) and (not swapped or len(n) >= MIN_SWAP)), default=None
+            )
+            self.ends.append((best(self.words), best(self.stems)))
+        return self.numbers[key]
+
+    def step(self, at: int, letter: str) -> int:
+        items = set()
+        for node, e, wait, swapped in self.sets[at]:
+            if wait:
+                if letter == wait:
+                    items.add((node, e, "", True))
+                continue
+            if e < self.reach[node]:
+                items.add((node, e + 1, "", swapped))  # the word has a letter more
+            for c in self.next.get(node, ""):
+                child = node + c
+                if c == letter:
+                    items.add((child, e, "", swapped))
+                elif e < self.reach[child]:
+                    items.add((child, e + 1, "", swapped))  # another letter stands for c
+                    if letter in self.next.get(child, "") and e < self.reach[child + letter]:
+                        items.add((child + letter, e + 1, c, True))
+        self.steps[at][letter] = to = self.state(items)
+        return to
+
+    def match(self, word: str) -> tuple[int, bool, str, int] | None:
+        """The nearest term, (edits, is a stem, term, letters read); whole words before stems among equals."""
+        if len(self.sets) > MAX_STATES:
+            self.forget()
+        at, stem = 0, None
+        for n, letter in enumerate(word, 1):
+            letter = letter if letter in self.letters else ""
+            to = self.steps[at].get(letter)
+            at = self.step(at, letter) if to is None else to
+            if (hit := self.ends[at][1]) is not None and (stem is None or hit[0] < stem[0]):
+                stem = *hit, n
+            if not self.sets[at]:
+                break
+        whole = self.ends[at][0]
+        if whole is not None and (stem is None or whole[0] <= stem[0]):
+            return whole[0], False, whole[1], len(word)
+        return None if stem is None else (stem[0], True, *stem[1:])
 
     def near(self, word: str) -> str | None:
-        """A lexicon word at most one edit away. A state is a position in the word and the edits so far."""
-        stack = [(self.root, frozenset({(0, 0)} | ({(1, 1)} if word else set())))]
-        while stack:
-            node, states = stack.pop()
-            if "$" in node and (len(word), 0) in states or "$" in node and (len(word), 1) in states:
-                return node["$"]
-            for c, child in node.items():
-                if c == "$":
-                    continue
-                step = set()
-                for i, e in states:
-                    if i < len(word) and word[i] == c:
-                        step.add((i + 1, e))
-                    if e == 0:
-                        step.add((i, 1))  # the word lacks c
-                        if i < len(word):
-                            step.add((i + 1, 1))  # another letter stands for c
-                step |= {(i + 1, 1) for i, e in step if e == 0 and i < len(word)}  # the word has a letter more
-                if step:
-                    stack.append((child, frozenset(step)))
-        return None
+        """A lexicon term within its bound of edits."""
+        return (found := self.match(word)) and found[2]
+
+
+def edits_allowed(term: str) -> int:
+    return 0 if len(term) < MIN_FUZZY else 1 if len(term) < MIN_TWO else 2
 
 
 class Lexicon:
@@ -164,29 +228,26 @@ class Lexicon:
         self.whole = {t[:-1]: w for t, w in weights.items() if t.endswith("$")}
         self.stems = {t: w for t, w in weights.items() if not t.endswith("$")}
         self.lengths = sorted({len(t) for t in self.stems})
-        fuzzy = [t for t in self.whole if len(t) >= MIN_FUZZY]
-        self.trie = Trie(fuzzy)
-        self.heads, self.tails = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
-        self.sizes = {len(t) + d for t in fuzzy for d in (-1, 0, 1)}
-        self.cuts = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        fuzzy = lambda terms: [t for t in terms if len(t) >= MIN_FUZZY]
+        self.trie = Trie(fuzzy(self.whole), fuzzy(self.stems), edits_allowed)
         self.benign, self.curve = benign, curve
 
-    def lookup(self, word: str) -> tuple[float, bool] | None:
-        """(weight, misspelled) of a word in the lexicon."""
+    def lookup(self, word: str) -> tuple[float, str | None] | None:
+        """(weight, misspelled form) of a word in the lexicon; of a stem, the form is the letters that stand for it and a star."""
         if (w := self.whole.get(word)) is not None:
-            return w, False
+            return w, None
         for k in self.lengths:
             if (w := self.stems.get(word[:k])) is not None and len(word) >= k:
-                return w, False
-        # One edit leaves the first or the last half of a lexicon word whole.
-        if len(word) in self.sizes and word not in self.benign:
-            if any(word[:k] in self.heads for k in self.cuts[0]) or any(word[-k:] in self.tails for k in self.cuts[1]):
-                if (t := self.trie.near(word)) is not None:
-                    return FUZZY * self.whole[t], True
+                return w, None
+        if word not in self.benign and (found := self.trie.match(word)) is not None:
+            edits, is_stem, t, n = found
+            form = word[:n] + "*" if is_stem else word
+            if form not in self.benign:
+                return FUZZY**edits * (self.stems if is_stem else self.whole)[t], form
         return None
 
-    def evidence(self, text: str, known: dict[str, tuple[float, bool] | None]) -> tuple[float, set[str]]:
-        """Evidence in a text, and the misspelled words in it."""
+    def evidence(self, text: str, known: dict[str, tuple[float, str | None] | None]) -> tuple[float, set[str]]:
+        """Evidence in a text, and the misspelled forms in it."""
         low = text.lower()
         hits = {}
         if len(known) > 500_000:
@@ -201,7 +262,7 @@ class Lexicon:
         total = 0.0
         for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(map(re.escape, hits)) + r")(?![^\W_])", low):
             total += hits[m[0]][0] * context(low, m.start(), m.end())
-        return total, {w for w, (_, odd) in hits.items() if odd}
+        return total, {odd for _, odd in hits.values() if odd}
 
     def score(self, evidence: float) -> float:
         a, b = self.curve

@@ -376,6 +376,17 @@ def test_automaton_equals_edit_distance():
         assert trie.near(w[::-1]) is None and trie.near(w + "xx") is None and trie.near("") is None
 
 
+def test_misspelled_stems_swaps_and_long_terms():
+    lex = toxicity.Lexicon({"bomenter": 5.0, "worthless$": 5.0, "stupid$": 5.0})
+    for text in ("bomnterado", "bomxenteros", "bomenetra", "bmoenters", "worhtless", "wrthlss", "wxorthlesss", "stupdi"):
+        assert 0 < lex.evidence(text, {})[0] < 5, text
+    assert lex.evidence("bomenteros", {})[0] == 5
+    for text in ("bmoetners", "worthy", "stpdu", "wrtlss", "a" * 50_000):
+        assert lex.evidence(text, {})[0] == 0, text
+    assert toxicity.Lexicon({"bomenter": 5.0}, frozenset({"bomnter*"})).evidence("bomnterado", {})[0] == 0
+    assert lex.lookup("bomnterado") == (5.0 * toxicity.FUZZY, "bomnter*")
+
+
 def test_context_lowers_quoted_terms():
     lex = toxicity.Lexicon({"idiot$": 5.0})
     score = lambda t: lex.evidence(t, {})[0]
