@@ -8,40 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encode_decode
-from siltstone.llm.common import scratch, tokenizer_file
+from siltstone.llm.common import scratch, tokenizer_file, written
 from siltstone.llm.exact_dedup import exact_groups
 from siltstone.llm.minhash import near_duplicates
 from siltstone.llm.mixing import mix
-from siltstone.llm.toxicity import score_toxicity
+from siltstone.llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a unique number each, written so that it stays; stages decide on rows, whatever their doc_id."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go; all others stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    toxic = score_toxicity(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti")
+    """Rows scored as toxic go; all others stay. Null and repeated ids: each row by its own text."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    gone = exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of equal texts one row stays, also among rows with null or equal ids."""
+    rows = keyed(docs)
+    gone = exact_groups(rows, row_col=KEY).where("not kept").select(KEY)
+    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near duplicates one document stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of a group of near duplicates one row stays, the one with the smallest id (null last); rows with one id are rows of their own."""
+    rows = keyed(docs)
+    found = near_duplicates(rows, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id").join(rows.select(KEY, "doc_id"), KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY))
+    stay = found.groupBy("component_id").agg(first.alias("first")).select(f"first.{KEY}")
+    return rows.join(stay, KEY, "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or dropped so that the sources reach their target weights."""
-    times = mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
+    """Rows are repeated or dropped so that the sources reach their target weights; null and repeated ids are rows like others."""
+    rows = keyed(docs)
+    times = mix(rows, row_col=KEY).where("times > 0").select(KEY, F.col("times").alias("_times"))
     return (
-        docs.join(times, "doc_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        rows.join(times, KEY)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select(*docs.columns)
     )
 

@@ -40,20 +40,25 @@ def exact_groups(
     text_col: str = "text",
     salts: int = 64,
     digest: Callable[[Column], Column] = sha256,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
+    With ``row_col``, a unique whole number of each row, that column follows and exactly one row of a group is kept:
+    among rows with one doc_id the one with the smallest number.
+
     Of equal normalised texts, the row with the most code points in the original, then the smallest
     id, stays. ``digest`` may be weak (tests use one that collides): full texts decide in any case.
     """
     rows = (
-        columns(docs, doc_id=id_col, text=text_col)
-        .select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("body"))
+        columns(docs, doc_id=id_col, text=text_col, **({"row": row_col} if row_col else {}))
+        .withColumn("row", F.col("row") if row_col else F.lit(0).cast("long"))
+        .select("doc_id", "row", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("body"))
         .withColumn("digest", digest(F.col("body")))
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     )
     # Among equals the largest (n, some, not id) stays: ~id reverses the order of ids, null ids come last.
-    rank = F.struct(F.col("n").alias("n"), F.col("doc_id").isNotNull().alias("some"), F.bitwise_not("doc_id").alias("flip"))
+    rank = F.struct(F.col("n").alias("n"), F.col("doc_id").isNotNull().alias("some"), F.bitwise_not("doc_id").alias("flip"), (-F.col("row")).alias("back"))
     local = (
         rows.groupBy("digest", "salt", "body")
         .agg(F.count("*").alias("size"), F.max(rank).alias("best"))
@@ -64,17 +69,18 @@ def exact_groups(
         local.repartition("digest")
         .withColumns({"group_size": F.sum("size").over(text), "best": F.max("best").over(text)})
         .withColumn("single", F.min("body").over(digests) == F.max("body").over(digests))
-        .select("digest", "salt", "body", "single", "group_size", F.bitwise_not("best.flip").alias("keep_id"))
+        .select("digest", "salt", "body", "single", "group_size", F.bitwise_not("best.flip").alias("keep_id"), (-F.col("best.back")).alias("keep_row"))
     )
-    plain = rows.select("doc_id", "digest", "salt").join(seats.where("single").drop("body", "single"), ["digest", "salt"])
+    plain = rows.select("doc_id", "row", "digest", "salt").join(seats.where("single").drop("body", "single"), ["digest", "salt"])
     # Texts that share a digest: for SHA-256 there are none, so this side is empty and its broadcast bounded.
-    clash = rows.select("doc_id", "digest", "salt", "body").join(
+    clash = rows.select("doc_id", "row", "digest", "salt", "body").join(
         F.broadcast(seats.where("not single").drop("single")), ["digest", "salt", "body"]
     ).drop("body")
     return plain.unionByName(clash).select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

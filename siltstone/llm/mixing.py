@@ -67,14 +67,15 @@ def mix(
     budget: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 0,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken and the repetitions ``times``.
+    """One row per document: doc_id, size, source_size, target, taken, the repetitions ``times``, source and ``row_col``.
 
     ``weights`` go to the sources in code point order, repeating, null last. The table of sources (one
     row each) is gathered to compute the targets; documents are not.
     """
-    rows = columns(docs, doc_id=id_col, text=text_col, source=source_col).select(
-        "doc_id", F.col("source").cast("string").alias("source"), count_words(F.col("text")).cast("long").alias("size")
+    rows = columns(docs, doc_id=id_col, text=text_col, source=source_col, **({"row": row_col} if row_col else {})).select(
+        "doc_id", *(["row"] if row_col else []), F.col("source").cast("string").alias("source"), count_words(F.col("text")).cast("long").alias("size")
     )
     rows = rows.withColumns(
         {
@@ -108,6 +109,7 @@ def mix(
         (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"),
         (F.col("whole") + F.col("extra")).alias("times"),
         rows["source"],
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

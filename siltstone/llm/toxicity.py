@@ -349,6 +349,20 @@ def _scorer(lexicon: Lexicon, threshold: float):
     return run
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text isn't predicted toxic; each row by its own text."""
+    rows = columns(docs, doc_id="doc_id", text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    lexicon = fit(rows, columns(labels, doc_id="doc_id", toxic="toxic"))
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict = {}
+        for texts in batches:
+            yield pd.Series([lexicon.score(lexicon.evidence(t, known)[0]) < threshold for t in texts], dtype=bool)
+
+    judge = F.pandas_udf(clean, "boolean")
+    return docs.where(judge(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,

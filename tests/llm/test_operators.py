@@ -457,6 +457,40 @@ def test_pipeline_on_awkward_tables(spark, awkward, empty):
         assert docs.columns[:2] == ["doc_id", "n_tokens"]
 
 
+def test_pipeline_stages_decide_on_rows(spark):
+    import corpus_pipeline as pipeline
+
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "alpha  beta", "a"), (1, "gamma", "a"), (2, "alpha beta", "a"), (3, "gamma  ", "a"), (4, "same", "a"), (4, "same", "a"), (None, "x y", "a"), (None, "x y", "a"), (None, None, "a")]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string")
+    got = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    left = sorted([rows[0], rows[3], rows[4], rows[6], rows[8]], key=repr)
+    assert got(pipeline.exact(spark, frame(rows), DATA)) == left
+    twins = [(7, near, "a"), (7, near + " end", "a"), (5, "other words", "a"), (None, near + " tail", "a"), (5, near + " more", "a"), (None, None, "a")]
+    assert got(pipeline.minhash(spark, frame(twins), DATA)) == sorted([twins[2], twins[4], twins[5]], key=repr)
+    many = [(None if i % 3 else i // 6, f"w{i} " * 4, "a") for i in range(60)]
+    mixed = collections.Counter(got(pipeline.mixed(spark, frame(many), DATA)))
+    assert set(mixed) == set(many)
+    times = collections.Counter()
+    for r in mixing.mix(frame(many)).collect():
+        times[r.doc_id] += r.times
+    kept = collections.Counter()
+    for row, n in mixed.items():
+        kept[row[0]] += n
+    assert kept == times
+
+
+def test_pipeline_drops_toxic_rows_without_ids(spark, documents):
+    import corpus_pipeline as pipeline
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    bad = toxicity.score_toxicity(documents, labels).where("predicted = 1").join(documents, "doc_id").first()
+    extra = spark.createDataFrame([(None, bad.text), (None, "plain words"), (bad.doc_id, "plain words"), (None, None)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(extra).repartition(2)
+    after = pipeline.toxicity(spark, docs, DATA).where(F.col("doc_id").isNull() | (F.col("doc_id") == bad.doc_id)).collect()
+    assert sorted(map(tuple, after), key=repr) == sorted([(None, "plain words"), (bad.doc_id, "plain words"), (None, None)], key=repr)
+
+
 def test_queries_are_registered():
     from siltstone.llm.queries import ORACLE_SQL, QUERIES
 
