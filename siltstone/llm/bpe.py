@@ -2,8 +2,9 @@
 
 1. Spark splits the texts into words by the tokenizer's pattern. Each distinct word is kept once, with the
    list of the input splits it occurs in (8 bytes for each split, however often the word occurs there).
-2. Each distinct word is encoded once; its ids go to a table with one folder for each input split.
-3. A second scan splits the texts again; every task reads the table of its own splits only and joins the ids
+2. Each distinct word is encoded once; its ids go to a table sorted by input split, whose splits are dealt to at most as
+   many folders as Spark has shuffle partitions.
+3. A second scan splits the texts again; every task reads the row groups of its own splits only and joins the ids
    to the words by position, in Arrow. Neither texts nor word occurrences are shuffled.
 4. Decoding joins the ids to the vocabulary's pieces, by position too, and joins each text's bytes.
 
@@ -89,18 +90,20 @@ def _encode(spec: str):
     return run
 
 
-def word_table(spec: str, docs: DataFrame, path: str) -> None:
-    """Write the distinct words with their ids to ``path``, one folder for each input split."""
+def word_table(spec: str, docs: DataFrame, path: str, folders: int) -> None:
+    """Write the distinct words with their ids to ``path``, by folder and input split, in row groups of some megabytes."""
     found = docs.select("part", F.explode(F.array_distinct(split_words(F.col("text")))).alias("word"))
     (
         found.groupBy("word")
         .agg(F.collect_set("part").alias("parts"))
         .mapInPandas(_encode(spec), "word string, ids binary, parts array<bigint>")
         .select(F.explode("parts").alias("part"), "word", "ids")
-        .repartition("part", F.pmod(F.xxhash64("word"), F.lit(4)))  # a split's words go to up to four tasks
-        .sortWithinPartitions("part")
-        .write.partitionBy("part")
+        .withColumn("folder", F.pmod("part", F.lit(folders)))
+        .repartition("folder", F.pmod(F.xxhash64("word"), F.lit(4)))  # a folder's words go to up to four tasks
+        .sortWithinPartitions("folder", "part")
+        .write.partitionBy("folder")
         .option("compression", "zstd")
+        .option("parquet.block.size", 1 << 22)
         .parquet(path)
     )
 
@@ -108,18 +111,18 @@ def word_table(spec: str, docs: DataFrame, path: str) -> None:
 class _Lookup:
     """Ids of words by position, from the table of one split at a time."""
 
-    def __init__(self, spec: str, path: str) -> None:
-        self.spec, self.path, self.part, self.tok = spec, path, None, None
+    def __init__(self, spec: str, path: str, folders: int) -> None:
+        self.spec, self.path, self.folders, self.part, self.tok = spec, path, folders, None, None
 
     def load(self, part: int) -> None:
         if part == self.part:
             return
         fs, root = pafs.FileSystem.from_uri(self.path)
-        folder = f"{root}/part={part}"
+        folder = f"{root}/folder={part % self.folders}"
         if fs.get_file_info(folder).type == pafs.FileType.NotFound:
             table = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
         else:
-            table = ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["word", "ids"])
+            table = ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["word", "ids"], filter=ds.field("part") == part)
         self.part, self.words = part, table["word"].combine_chunks()
         ids = table["ids"].combine_chunks()
         if isinstance(ids, pa.ChunkedArray):
@@ -144,9 +147,9 @@ class _Lookup:
         return sizes // 4, np.frombuffer(taken.buffers()[2], "<u4", int(sizes.sum()) // 4)
 
 
-def _round_trip(spec: str, path: str):
+def _round_trip(spec: str, path: str, folders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(spec, path)
+        lookup = _Lookup(spec, path, folders)
         pieces = pa.array(byte_pieces(spec), pa.binary())
         for batch in batches:
             sizes = pc.list_value_length(batch.column("words")).to_numpy()
@@ -188,9 +191,10 @@ def _runs(parts: np.ndarray, sizes: np.ndarray, most: int = 1_000_000) -> list[t
 
 
 def with_splits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the input split of each row; rows that come from no file are written to one first."""
+    """doc_id, text and the input split of each row; rows that come from no file, or from several inputs, are written to one first."""
     rows = columns(docs, doc_id=id_col, text=text_col)
-    if any(r[0] == "" for r in docs.select(F.input_file_name()).head(1)):
+    inputs = docs._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    if inputs != 1 or any(r[0] == "" for r in docs.select(F.input_file_name()).head(1)):
         rows = written(rows, "rows")
     return rows.withColumn("part", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
@@ -203,9 +207,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     rows = with_splits(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
     path = scratch(docs.sparkSession, "words")
-    word_table(spec, rows, path)
+    folders = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    word_table(spec, rows, path, folders)
     return rows.select("doc_id", "part", split_words(F.col("text")).alias("words")).mapInArrow(
-        _round_trip(spec, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        _round_trip(spec, path, folders), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -21,10 +21,12 @@ def ship(name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in one process."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="siltstone-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -53,14 +55,36 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def written(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back; ``made`` collects the folders."""
     spark = df.sparkSession
     path = scratch(spark, label)
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_sized(rows: DataFrame, table: DataFrame, key: str, size: str, deal: list[str], share: int = 1000) -> DataFrame:
+    """Left join of ``rows`` to ``table``: one row for each key with the number of ``rows`` that hold it.
+
+    Keys that hold at least one of ``share`` of the rows that ``table`` counts are at most ``share`` keys: they are broadcast, so
+    no task gets a hot key's rows. The others are joined by key. Rows of hot keys or none are dealt by the columns ``deal``.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    values = [c for c in table.columns if c not in (key, size)]
+    least = max(1, -(-total // share))
+    hot = table.where(F.col(size) >= least).select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    rest = table.where(F.col(size) < least).select(F.col(key).cast("binary").alias("_cold"), *values)
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    # a random number in place of the key; no key has nine bytes with this first one
+    none = F.concat(F.lit(b"\0"), F.unhex(F.lpad(F.hex(F.xxhash64(*rows.columns)), 16, "0")))
+    dealt = dealt.withColumn("_at", F.when(F.col(key).isNull() | F.col("_hot").isNotNull(), none).otherwise(F.col(key).cast("binary")))
+    return dealt.join(rest, F.col("_at") == F.col("_cold"), "left").select(
+        *rows.columns, *(F.coalesce(F.col(c), F.col(f"_hot_{c}")).alias(c) for c in values)
+    )
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Let the session send at most ``rows`` rows to Python at a time, fewer where it says so already.
 

@@ -5,10 +5,10 @@
 2. Global: the salt winners of a digest meet, again compared by digest and full text, and each learns
    the winner of its group.
 3. Back to the rows: (doc_id, digest, salt) joins the salt winners. A digest that stands for one text only, which
-   stage 2 has proved by comparing texts, needs no text here; for a digest with several texts the rows'
-   texts are compared. The salt keeps a hot digest's rows apart here too.
+   stage 2 has proved by comparing texts, needs no text here; for a weak digest with several texts the rows'
+   texts are compared (texts that share a SHA-256 digest would end the job). The salt keeps a hot digest's rows apart here too.
 
-Defined cases: a null text counts as empty; null doc_ids come last among candidates to stay; rows
+Ids are whole numbers of any width. Defined cases: a null text counts as empty; null doc_ids come last among candidates to stay; rows
 repeated with the same doc_id are all members, count each and are all marked kept with the row that stays; an empty table gives no rows.
 """
 
@@ -71,12 +71,13 @@ def exact_groups(
         .withColumn("single", F.min("body").over(digests) == F.max("body").over(digests))
         .select("digest", "salt", "body", "single", "group_size", F.bitwise_not("best.flip").alias("keep_id"), (-F.col("best.back")).alias("keep_row"))
     )
-    plain = rows.select("doc_id", "row", "digest", "salt").join(seats.where("single").drop("body", "single"), ["digest", "salt"])
-    # Texts that share a digest: for SHA-256 there are none, so this side is empty and its broadcast bounded.
-    clash = rows.select("doc_id", "row", "digest", "salt", "body").join(
-        F.broadcast(seats.where("not single").drop("single")), ["digest", "salt", "body"]
-    ).drop("body")
-    return plain.unionByName(clash).select(
+    found = rows.select("doc_id", "row", "digest", "salt").join(seats.drop("body") if digest is sha256 else seats.where("single").drop("body"), ["digest", "salt"])
+    if digest is sha256:  # no two texts are known to share it; if stage 2 ever finds such texts, fail rather than mix them up
+        found = found.withColumn("group_size", F.when(F.col("single"), F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest"))))
+    else:
+        clash = rows.select("doc_id", "row", "digest", "salt", "body").join(seats.where("not single"), ["digest", "salt", "body"])
+        found = found.unionByName(clash.drop("body"))
+    return found.select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),

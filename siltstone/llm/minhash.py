@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, ship, written
+from .common import columns, drop_path, join_sized, ship, written
 
 SHINGLE, COORDINATES, ROWS = 5, 128, 4
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -202,39 +202,39 @@ def _check_tiles(percent: int):
     return check
 
 
-def _roots(forest: DataFrame) -> DataFrame:
+def _roots(forest: DataFrame, made: list[str]) -> DataFrame:
     """(id, up) with up < id for all but the roots, which have no row: up becomes each id's root."""
     while True:
-        forest = written(forest, "forest")
+        forest = written(forest, "forest", made)
         above = forest.select(F.col("id").alias("up"), F.col("up").alias("top"))
         step = forest.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
-        step = written(step, "forest")
+        step = written(step, "forest", made)
         if not step.where("moved").head(1):
             return step.select("id", "up")
         forest = step.select("id", "up")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of an edge (a, b): the smallest id reachable.
+def components(edges: DataFrame, made: list[str]) -> DataFrame | None:
+    """(id, comp) for every end of an edge (a, b): the smallest id reachable; None without edges.
 
     Each round hooks every node to its smallest neighbour, follows the hooks to their roots and contracts
     the edges to roots; the nodes left at least halve.
     """
     total = None
     while True:
-        edges = written(edges.where("a != b").distinct(), "edges")
+        edges = written(edges.where("a != b").distinct(), "edges", made)
         if not edges.head(1):
             return total
         ends = edges.select(F.col("a").alias("id"), F.col("b").alias("up")).union(edges.select("b", "a"))
         hooks = ends.groupBy("id").agg(F.min("up").alias("up")).where("up < id")
-        roots = _roots(hooks)
+        roots = _roots(hooks, made)
         to = lambda df, c: df.join(roots.select(F.col("id").alias(c), "up"), c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
         edges = to(to(edges, "a"), "b")
         if total is None:
             total = roots.withColumnRenamed("up", "comp")
         else:
             moved = to(total, "comp")
-            total = written(moved.unionByName(roots.withColumnRenamed("up", "comp").join(moved.select("id"), "id", "left_anti")), "comps")
+            total = written(moved.unionByName(roots.withColumnRenamed("up", "comp").join(moved.select("id"), "id", "left_anti")), "comps", made)
 
 
 def near_duplicates(
@@ -245,39 +245,44 @@ def near_duplicates(
     small: int = 8,
     block: int = 1024,
     block_items: int = 500_000,
+    salted: int = 256,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Buckets of up to ``small`` members are compared pair by pair, each pair once whatever number of buckets it
     shares; larger ones in tiles. ``block`` members or ``block_items`` shingles bound one side of a tile.
+    Members of a bucket meet its pivot in groups of some ``salted``, each with the pivot's set of its own.
     """
+    made: list[str] = []  # folders of the steps between, deleted once the components are named
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     drawn = written(rows.mapInPandas(_sketches, "doc_id long, n long, set_hash binary, bands array<bigint>"), "sketches")
     usable = drawn.where("n > 0 and doc_id is not null")
     classes = written(
-        usable.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes"
+        usable.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes", made
     )
     seats = classes.select("id", F.explode("bands").alias("key"))
-    buckets = written(seats.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = written(seats.join(buckets.drop("size"), "key"), "members")
-    need = written(members.select("id").distinct(), "need")
+    buckets = written(seats.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "buckets", made)
+    members = written(seats.join(buckets, "key"), "members", made)
+    need = written(members.select("id").distinct(), "need", made)
     sets = written(
-        rows.join(need, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, n long, items binary"), "sets"
+        rows.join(need, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, n long, items binary"), "sets", made
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (id, pivot, ...) whose full sets are linked."""
-        other = sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items"))
+        """The pairs (id, pivot, salt, ...) whose full sets are linked."""
+        seen = pairs.select("pivot", "salt").distinct().join(sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
         schema = ", ".join(f"{c} long" for c in pairs.columns)
-        full = pairs.join(sets.select("id", "items"), "id").join(other, "pivot").select(*pairs.columns, "items", "pivot_items")
+        full = pairs.join(sets.select("id", "items"), "id").join(seen, ["pivot", "salt"]).select(*pairs.columns, "items", "pivot_items")
         return full.mapInPandas(_check_pairs(percent), schema)
 
-    hooks = verified(members.groupBy("id").agg(F.min("pivot").alias("pivot")).where("pivot < id").select("id", "pivot")).distinct()
-    first = _roots(hooks.select("id", F.col("pivot").alias("up")))
+    # of the buckets that a member shares with its pivot, the largest tells into how many groups they are dealt
+    nearest = members.groupBy("id").agg(F.min(F.struct("pivot", (-F.col("size")).alias("less"))).alias("at"))
+    nearest = nearest.select("id", "at.pivot", F.pmod(F.xxhash64("id"), F.ceil(-F.col("at.less") / salted)).alias("salt")).where("pivot < id")
+    first = _roots(verified(nearest).distinct().select("id", F.col("pivot").alias("up")), made)
 
-    at = members.join(first, "id", "left").select("key", "id", F.coalesce("up", "id").alias("comp"))
+    at = members.drop("size").join(first, "id", "left").select("key", "id", F.coalesce("up", "id").alias("comp"))
     weights = need.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id")
-    at = written(at.join(weights, "id"), "placed")
+    at = written(at.join(weights, "id"), "placed", made)
     sizes = at.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
     parts = lambda n, items: F.ceil(F.greatest(n / block, items / block_items)).cast("int")
     mixed = written(
@@ -297,11 +302,12 @@ def near_duplicates(
             parts(F.col("size") - F.col("main.size"), F.col("items") - F.col("main.items")).alias("minor_blocks"),
         ),
         "mixed",
+        made,
     )
     placed = at.join(mixed, "key")
     few = placed.where(F.col("size") <= small).select("key", "id", "comp")
     others = few.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
-    pairs = few.join(others, "key").where("pivot < id and pivot_comp != comp").select("id", "pivot", "comp", "pivot_comp").distinct()
+    pairs = few.join(others, "key").where("pivot < id and pivot_comp != comp").select("id", "pivot", F.lit(0).cast("long").alias("salt"), "comp", "pivot_comp").distinct()
     near = verified(pairs).select(F.col("comp").alias("a"), F.col("pivot_comp").alias("b"))
 
     many = placed.where(F.col("size") > small)
@@ -322,17 +328,16 @@ def near_duplicates(
         .mapInPandas(_check_tiles(percent), "a long, b long")
     )
     links = near.unionByName(tiles)
-    second = components(links)
+    second = components(links, made)
+    named = classes.select("set_hash", "id", "copies").join(first, "id", "left").withColumn("comp", F.coalesce("up", "id")).drop("up")
     if second is not None:
-        up = second.select(F.col("id").alias("up"), "comp")
-        named = classes.select("set_hash", "id").join(first, "id", "left").withColumn("up", F.coalesce("up", "id"))
-        named = named.join(up, "up", "left").select("set_hash", F.coalesce("comp", "up").alias("comp"))
-    else:
-        named = classes.select("set_hash", "id").join(first, "id", "left").select("set_hash", F.coalesce("up", "id").alias("comp"))
-    named = written(named, "named")
-    return drawn.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_hash")).alias("set_hash")).join(
-        named, "set_hash", "left"
-    ).select(
+        up = second.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+        named = named.join(up, "comp", "left").withColumn("comp", F.coalesce("top", "comp"))
+    named = written(named.select("set_hash", "copies", "comp"), "named")
+    for path in made:
+        drop_path(docs.sparkSession, path)
+    marked = drawn.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_hash")).alias("set_hash"))
+    return join_sized(marked, named, "set_hash", "copies", ["doc_id"]).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("comp", "doc_id").alias("component_id"),

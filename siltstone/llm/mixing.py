@@ -17,7 +17,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, count_words, ship, written
@@ -26,7 +26,7 @@ BUCKETS = 512
 
 
 def water_fill(sizes: list[int], weights: list[float], budget: float, max_epochs: float) -> list[float]:
-    """Targets by weight, none above ``max_epochs`` times its size, excess reshared until feasible."""
+    """Targets by weight, none above ``max_epochs`` times its size, excess reshared until feasible; of a list in memory."""
     target = [0.0] * len(sizes)
     open_ = {i for i, s in enumerate(sizes) if s > 0}
     left = float(budget)
@@ -44,6 +44,28 @@ def water_fill(sizes: list[int], weights: list[float], budget: float, max_epochs
     return target
 
 
+def water_filled(sources: DataFrame, weights: tuple[float, ...], budget: float, max_epochs: float) -> DataFrame:
+    """(source, source_size, target) of sources (source, source_size), weighted in code point order, null last.
+
+    Sources are filled up in order of their clamp for a unit of weight. With those before it full, the rest of the budget
+    for a unit of weight is the level at a source; the first whose clamp lies at or above its level, and all after it, stay below
+    their clamps at that level. The windows run over one row for each source and spill where these are many.
+    """
+    by_name = Window.orderBy(F.col("source").isNull(), "source")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    by_clamp = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
+    before, everything = by_clamp.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    left = F.lit(float(budget)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    rows = rows.withColumns({"at": F.row_number().over(by_clamp), "level": F.when(F.col("source_size") > 0, left / open_weight)})
+    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("at", "level"))).over(everything)
+    below = F.col("first").isNotNull() & (F.col("at") >= F.col("first.at"))
+    return rows.withColumn("first", first).select(
+        "source", "source_size", F.when(below, F.col("first.level") * F.col("weight")).otherwise(F.col("cap")).alias("target")
+    )
+
+
 def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which cells of one source are taken once more."""
     pdf = pdf.sort_values(["size_class", "bucket"], ascending=[False, True])
@@ -71,8 +93,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, the repetitions ``times``, source and ``row_col``.
 
-    ``weights`` go to the sources in code point order, repeating, null last. The table of sources (one
-    row each) is gathered to compute the targets; documents are not.
+    ``weights`` go to the sources in code point order, repeating, null last. Nothing is gathered.
     """
     rows = columns(docs, doc_id=id_col, text=text_col, source=source_col, **({"row": row_col} if row_col else {})).select(
         "doc_id", *(["row"] if row_col else []), F.col("source").cast("string").alias("source"), count_words(F.col("text")).cast("long").alias("size")
@@ -84,13 +105,8 @@ def mix(
         }
     )
     cells = written(rows.groupBy("source", "size_class", "bucket").agg(F.sum("size").alias("words")), "cells")
-    per_source = [(r[0], int(r[1])) for r in cells.groupBy("source").agg(F.sum("words")).collect()]
-    per_source.sort(key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    sizes = [s for _, s in per_source]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], budget * sum(sizes), max_epochs)
-    plan = docs.sparkSession.createDataFrame(
-        [(name, size, t) for (name, size), t in zip(per_source, targets)], "source string, source_size long, target double"
-    )
+    sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
+    plan = written(water_filled(sources, weights, budget, max_epochs), "targets")
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     decided = (
         cells.join(plan, same(cells, plan, "source"))

@@ -5,7 +5,9 @@ whole when a check fails. The random field works on the text between base spans:
 at-signs are cut into atoms, every run of at most ``MAX_ATOMS`` atoms is a candidate segment with features of
 the whole span (digits, Luhn sum, octets, separators, spelled-out signs, the word before), and a dynamic
 program over segments chooses boundaries and kinds jointly. Only segments whose score beats "no entity" by
-``MARGIN`` are added.
+``MARGIN`` are added. What the field can see: a window reaches ``REACH`` characters to each side of a trigger (at least six digits
+with little between them, an at-sign, a spelled-out one), and a candidate has at least ``LEAST`` characters, as no number or
+address of the four kinds is shorter.
 
 The field is trained in place: base spans of a bounded sample of documents (``fit_docs``, ``fit_windows``) are
 its gold segments, also in spellings that the patterns miss (a missing plus sign, "at" and "dot", bracketed
@@ -39,7 +41,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 TRIGGER = re.compile(r"@|[0-9](?:[\x20()./\[\]-]{0,3}[0-9]){5,}|[\[(]at[\])]|\bat [a-z0-9-]+ (?:dot|\[dot\]) ", re.I)
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-MAX_ATOMS, REACH, MARGIN = 24, 48, 2.0
+MAX_ATOMS, REACH, LEAST, MARGIN = 24, 48, 7, 2.0
 
 
 def luhn(digits: str) -> bool:
@@ -125,6 +127,8 @@ def features(text: str, start: int, end: int) -> list[str]:
         out.append("letters")
         if re.fullmatch(r"[a-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)| at ) ?[a-z0-9-]+(?: ?(?:\.|\[\.\]|\[dot\]|\(dot\)| dot ) ?[a-z0-9-]+)+", low):
             out.append("address")
+        if re.match(r" ?(?:\.|\[\.\]|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9]", text[end : end + 8]):
+            out.append("name-goes-on")
     word = re.search(r"([A-Za-z]+)[\s:=#]*\Z", text[max(0, start - 24) : start])
     if word and word[1].lower() in HINTS:
         out.append("hint-" + HINTS[word[1].lower()])
@@ -151,7 +155,7 @@ def candidates(text: str) -> tuple[int, list[tuple[int, int, int, int]]]:
             if j > i and atoms[j][0] - atoms[j - 1][1] > 1:
                 break
             end = atoms[j][1]
-            if not (text[end - 1].isalnum()) or end - start < 7:
+            if not (text[end - 1].isalnum()) or end - start < LEAST:
                 continue
             span = text[start:end]
             if sum(c.isdigit() for c in span) >= 4 or "@" in span or "at" in span.lower() and ("dot" in span.lower() or "." in span):
@@ -179,9 +183,9 @@ def windows(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int
 
 
 def _uncovered(m: re.Match, taken: list[tuple[int, int, int]]) -> bool:
-    """Whether a trigger has at least seven characters outside of base spans."""
+    """Whether a trigger has at least ``LEAST`` characters outside of base spans."""
     covered = sum(max(0, min(e, m.end()) - max(s, m.start())) for s, e, _ in taken)
-    return m.end() - m.start() - covered >= 7
+    return m.end() - m.start() - covered >= LEAST
 
 
 class Field:

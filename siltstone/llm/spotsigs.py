@@ -3,7 +3,9 @@
 A spot signature is a run of common words (anchors) with the next two content words that follow it.
 A document's fingerprint is the set of its signatures, kept as sorted 32-bit hashes. Two fingerprints
 are compared by Jaccard; the ratio of their sizes bounds it, so sets whose lengths differ too much are
-never compared: sets live in length partitions of which only the same or the next one can match.
+never compared: sets live in length partitions of which only the same or the next one can match. The contract's query
+wants the likeness of given pairs (a text and its edited form, a text and the next), however small, so it prunes nothing unless it
+is given a ``floor``; ``near_pairs`` finds the pairs of all sets and prunes by its threshold.
 
 Words that no spot begins with (stretches without anchors, other scripts) are signed in pairs with the word that
 follows. Which signatures a place gets depends on the few words around it, never on the rest of the text, so texts
@@ -61,14 +63,15 @@ def with_signatures(df: DataFrame, text_col: str, out: str, anchors: tuple[str,
 
 
 def pruned_jaccard(a: Column, b: Column, floor: float = 0.0) -> Column:
-    """Jaccard of two signature sets; 0 where their sizes alone keep it below ``floor``."""
+    """Jaccard of two signature sets, 0 where it is below ``floor``; length partitions and sizes decide first where they can."""
     both = F.size(F.array_intersect(a, b))
     low, high = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    return (
-        F.when(high == 0, F.lit(1.0))
-        .when(low < F.lit(floor) * high, F.lit(0.0))
-        .otherwise(both / (F.size(a) + F.size(b) - both))
-    )
+    ratio = F.when(high == 0, F.lit(1.0)).when(low == 0, F.lit(0.0))
+    exact = both / (F.size(a) + F.size(b) - both)
+    if floor <= 0:
+        return ratio.otherwise(exact)
+    apart = length_partition(high, floor) - length_partition(low, floor)
+    return ratio.when((apart > 1) | (low < F.lit(floor) * high) | (exact < floor), F.lit(0.0)).otherwise(exact)
 
 
 def length_partition(size: Column, threshold: float) -> Column:
@@ -80,8 +83,8 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Pairs of class representatives (a < b, jaccard) with Jaccard >= threshold.
 
     A class is a set of documents with one fingerprint; its representative is the smallest id (join the
-    fingerprints for membership). Candidates share one of their first signatures in hash order: with n
-    signatures the first n - ceil(threshold * n) + 1 must hold one in common.
+    fingerprints for membership). Candidates share one of their rarest signatures: with n signatures, in one order of all
+    signatures by the number of sets that hold them, the first n - ceil(threshold * n) + 1 must hold one in common.
     """
     sets = (
         with_signatures(columns(docs, doc_id=id_col, text=text_col), "text", "sigs")
@@ -91,8 +94,12 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("n", F.size("sigs"))
         .withColumn("part", length_partition(F.col("n"), threshold))
     )
-    prefix = F.slice("sigs", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1)
-    own = sets.select("id", "n", "part", F.explode(prefix).alias("sig"))
+    each = sets.select("id", "n", "part", F.explode("sigs").alias("sig"))
+    held = each.groupBy("sig").agg(F.count("*").alias("held"))
+    rare = F.sort_array(F.collect_list(F.struct("held", "sig")))
+    prefix = F.slice("rare", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1)
+    ranked = each.join(held, "sig").groupBy("id", "n", "part").agg(rare.alias("rare"))
+    own = ranked.select("id", "n", "part", F.explode(prefix).alias("s")).select("id", "n", "part", "s.sig")
     left = own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
     right = own.select(F.col("id").alias("b"), F.col("n").alias("nb"), "part", "sig")
     fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
@@ -144,7 +151,7 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = F.percentile_approx("doc_id", _constant([i / n for i in range(1, n)], "double"), 10 * n)
     first, cuts = rows.agg(F.min("doc_id"), cuts).first()
     bounds = sorted({c for c in cuts or [] if c > first})
-    own = F.coalesce(_bucket(F.col("doc_id"), bounds), F.lit(-1))
+    own = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_bucket(F.col("doc_id"), bounds))
     head = (F.col("own") > 0) & (F.try_element_at(_constant(bounds, "bigint"), F.nullif(F.col("own"), F.lit(0))) == F.col("doc_id"))
     heads = F.when(head, F.col("own") - 1).when(F.col("doc_id") == first, F.lit(len(bounds)))
     block = Window.partitionBy("block").orderBy("guest", "doc_id", "text")
@@ -167,8 +174,8 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of the text whose last quarter comes from the next document."""
+def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0) -> DataFrame:
+    """Fingerprints of each text and of the text whose last quarter comes from the next document; likeness of at least ``floor``."""
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_text", F.lit(1), quarter))
     rows = with_next_text(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
@@ -178,6 +185,6 @@ def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        pruned_jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        pruned_jaccard(F.col("sigs"), F.col("edited_sigs"), floor).alias("near_edited"),
+        pruned_jaccard(F.col("sigs"), F.col("next_sigs"), floor).alias("near_next"),
     )

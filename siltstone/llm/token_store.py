@@ -9,7 +9,7 @@
    at any slot, sequentially.
 
 A shard is written under a name of the task attempt and moved into place, and its content depends on the
-data, key and sizes alone, so a repeated task does no harm. Tokenised sequences are kept by Spark (memory, then
+data's splits, key and sizes alone, so a repeated task does no harm; other splits of one table give another order. Tokenised sequences are kept by Spark (memory, then
 disk) between the count and the write; lost parts are made again from the texts.
 
 A record: doc_id (int64), sequence number (uint32), ids used (uint32), then ``length`` ids (uint16 or uint32).
@@ -203,10 +203,18 @@ def _read(out_dir: str, length: int, width: str, from_slot: int, chunk: int):
     return run
 
 
-def read_sequences(manifest: DataFrame, out_dir: str, length: int = 256, width: str = "<u2", from_slot: int = 0, chunk: int = 4096) -> DataFrame:
-    """The records from ``from_slot`` on: slot, shard, doc_id, seq_no, n_tokens, ids_sha256; each shard in sequence."""
+def read_sequences(
+    manifest: DataFrame, out_dir: str, length: int = 256, width: str = "<u2", from_slot: int = 0, chunk: int = 4096, per_task: int = 2
+) -> DataFrame:
+    """The records from ``from_slot`` on: slot, shard, doc_id, seq_no, n_tokens, ids_sha256; each shard in sequence.
+
+    A task reads ``per_task`` neighbouring shards; a manifest row is too small for Spark to tell what its shard weighs.
+    """
     wanted = manifest.where(F.col("first_slot") + F.col("records") > from_slot)
-    return wanted.repartition("shard").mapInPandas(_read(out_dir, length, width, from_slot, chunk), RECORD)
+    low, high = wanted.agg(F.min("shard"), F.max("shard")).first()
+    tasks = 1 if low is None else (high - low) // per_task + 1
+    group = F.floor((F.col("shard") - F.lit(low or 0)) / per_task).cast("int")
+    return wanted.repartitionById(tasks, group).sortWithinPartitions("shard").mapInPandas(_read(out_dir, length, width, from_slot, chunk), RECORD)
 
 
 def shuffle_order(spark: SparkSession, n: int, key: int) -> DataFrame:

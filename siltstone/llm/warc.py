@@ -5,6 +5,9 @@ Every task appends its rows to an archive of its own (one gzip member for each r
 names hold the task attempt, so what a lost attempt left is never referenced. Readers sort the index rows
 they select by file and offset and read neighbouring records in one request.
 
+A page learns its group's response by the digest of its payload. Groups of at least a thousandth of the repeated pages are at
+most a thousand and broadcast; the others are joined, which moves every page once where they outgrow Spark's own broadcast.
+
 Of records with equal payloads of at least ``revisit_from`` bytes, the one with the smallest page id is the
 response; the others are revisits that hold the HTTP head (with the payload's length) and its digest.
 
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, ship, written
+from .common import columns, join_sized, ship, written
 
 INDEX = "file string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -116,8 +119,8 @@ def write_archives(
     )
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= revisit_from, F.sha2("html", 256)))
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = written(groups.where("n > 1 and digest is not null").select("digest", "first"), "responses")
-    index = rows.join(firsts, "digest", "left").mapInPandas(_writer(out_dir, date, roll_bytes), INDEX)
+    firsts = written(groups.where("n > 1 and digest is not null"), "responses")
+    index = join_sized(rows, firsts, "digest", "n", ["page_id", "url"]).mapInPandas(_writer(out_dir, date, roll_bytes), INDEX)
     index.write.parquet(f"{out_dir}/index")
     return read_index(spark, out_dir)
 
@@ -167,11 +170,16 @@ def _reader(out_dir: str, gap: int, request: int):
     return read
 
 
-def read_records(index: DataFrame, out_dir: str, gap: int = 1 << 16, request: int = 1 << 22) -> DataFrame:
-    """The selected records of an index: requests join ranges at most ``gap`` bytes apart, up to ``request`` bytes."""
+def read_records(index: DataFrame, out_dir: str, gap: int = 1 << 16, request: int = 1 << 22, split: int = 1 << 26) -> DataFrame:
+    """The selected records of an index: requests join ranges at most ``gap`` bytes apart, up to ``request`` bytes.
+
+    Every ``split`` bytes of an archive are a task of their own; their number is fixed here, as an index row is too small for
+    Spark to tell how much its record weighs.
+    """
+    ranges = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / split))
+    tasks = ranges.agg(F.count_distinct("file", "stretch")).first()[0]
     return (
-        index.select("file", "offset", "length")
-        .repartition("file")
+        ranges.repartition(max(1, tasks), "file", "stretch")
         .sortWithinPartitions("file", "offset")
         .mapInPandas(_reader(out_dir, gap, request), RECORD)
     )

@@ -105,6 +105,16 @@ def test_spotsigs(documents, awkward, empty):
     assert spotsigs.edit_and_compare(empty).count() == 0
 
 
+def test_spotsigs_null_and_repeated_ids(spark):
+    """Rows with one id follow each other by text; null ids are a block of their own, whose last row is followed by nothing."""
+    rows = [(1, "b b b b"), (1, "a a a a"), (2, None), (None, "d d d d"), (None, "c c c c")]
+    got = sorted(spotsigs.edit_and_compare(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_chars, r.edited_sha256))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == collections.Counter(
+        [(1, sha("a a a b")), (1, sha("b b b ")), (2, sha("")), (None, sha("c c c d")), (None, sha("d d d "))]
+    )
+
+
 def test_shared_passages_share_signatures(spark, documents):
     plain, spotted = " ".join(f"w{i}" for i in range(60)), " ".join(f"the v{i} x{i}" for i in range(40))
     rows = [(1, plain), (2, spotted), (3, "the " + plain), (4, "of the " * 300), (5, "one w1 w2 w3 w4 w5 w6 of"), (6, spotted)]
@@ -114,6 +124,47 @@ def test_shared_passages_share_signatures(spark, documents):
     assert spotsigs.edit_and_compare(long).where("near_edited = 0").count() == 0
 
 
+def signatures_plain(text):
+    """Signatures of a text as tuples of words, by a walk over its words from right to left."""
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    if len(words) == 1:
+        return {(words[0],)}
+    anchor = [w in spotsigs.ANCHORS for w in words]
+    content = [i for i, a in enumerate(anchor) if not a]
+    # an anchor begins a spot unless MAX_RUN anchors follow at once, or fewer than two content words follow in the text
+    starts = [a and not all([*anchor[i + 1 : i + 5], False][:4]) and sum(c > i for c in content) >= 2 for i, a in enumerate(anchor)]
+    blocks, at = [], 0
+    while at < len(words):
+        end = at
+        while starts[end]:
+            end += 1
+        blocks.append((tuple(words[at:end]), words[end]))
+        at = end + 1
+    return {
+        (*run, first, second) if run else (first, run_after[0] if run_after else second)
+        for (run, first), (run_after, second) in zip(blocks, blocks[1:])
+    }
+
+
+def test_signatures_equal_a_plain_walk(spark, documents):
+    texts = [r.text for r in documents.select("text").collect() if r.text and r.text.isascii() and len(r.text) < 3000]
+    texts += ["", "one", "the", "the of", "a the one", "the one two", "of the in a to the x y z", "x of the y of", "of the in a to x", "the a b the", "one two three", "a 1_2 b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.sigs for r in spotsigs.with_signatures(rows, "text", "sigs").collect()}
+    # signatures are hashes: equal sets must have equal sizes, and the hash of a signature must be one for all texts
+    named = {}
+    for i, t in enumerate(texts):
+        want = signatures_plain(t)
+        assert len(got[i]) == len(want), (t, want)
+        for s in got[i]:
+            named.setdefault(s, set()).add(i)
+    held = {}
+    for i, t in enumerate(texts):
+        for s in signatures_plain(t):
+            held.setdefault(s, set()).add(i)
+    assert sorted(map(sorted, named.values())) == sorted(map(sorted, held.values()))
+
+
 def test_spotsig_pairs_equal_all_pairs(documents):
     sets = {r.doc_id: frozenset(r.sigs) for r in spotsigs.with_signatures(documents.select("doc_id", "text"), "text", "sigs").collect() if r.sigs}
     reps = {}
@@ -161,6 +212,34 @@ def test_water_fill():
     assert mixing.water_fill([0, 5], [1, 1], 5, 2) == [0.0, 5.0] and mixing.water_fill([], [], 0, 2) == []
 
 
+@pytest.mark.parametrize("budget", [0.2, 1.5, 1.9, 5.0])
+def test_water_filled_equals_plain(spark, budget):
+    rng = np.random.default_rng(3)
+    names = [None, "", *(f"s{i:02d}é" for i in range(20)), "a", "Z", "😀"]
+    sizes = [int(x) for x in rng.integers(0, 60, len(names))]
+    sizes[3:6] = [0, 7, 7]
+    order = sorted(range(len(names)), key=lambda i: (names[i] is None, (names[i] or "").encode()))
+    want = mixing.water_fill([sizes[i] for i in order], [(3, 1, 2)[k % 3] for k in range(len(order))], budget * sum(sizes), 2.0)
+    rows = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.water_filled(rows, (3, 1, 2), budget, 2.0).collect()}
+    assert [got[names[i]] for i in order] == pytest.approx(want)
+
+
+def test_mix_awkward_targets(awkward):
+    """Null and repeated ids, a null source and empty texts: sizes are counted by row, each source comes near its target."""
+    rows = awkward.select("doc_id", "text", "source").collect()
+    got = mixing.mix(awkward).collect()
+    by = collections.defaultdict(int)
+    for r in rows:
+        by[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert {r.source: r.source_size for r in got} == by
+    for source, size in by.items():
+        assert sum(r.taken for r in got if r.source == source) <= 2 * size
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size) for r in got) == sorted(
+        (-1 if r.doc_id is None else r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows
+    )
+
+
 def test_mix(documents, awkward, empty):
     got = mixing.mix(documents).collect()
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in documents.collect()}
@@ -207,6 +286,18 @@ def test_token_store_round_trip(spark, documents, awkward, empty):
         assert sorted(r.slot for r in rest) == list(range(len(rows) // 2, len(rows)))
 
 
+def test_reads_have_a_task_for_each_stretch(spark, documents):
+    out = scratch(spark, "test-tokens")
+    manifest = token_store.materialise(documents, out, tokenizer_file("byte_bpe_50k.tiktoken"), length=32, per_shard=100)
+    shards = manifest.count()
+    assert shards > 10 and token_store.read_sequences(manifest, out, length=32, per_task=2).rdd.getNumPartitions() == -(-shards // 2)
+    out = scratch(spark, "test-warc")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    index = warc.write_archives(pages, out, roll_bytes=20_000)
+    files = index.select("file").distinct().count()
+    assert files > 3 and warc.read_records(index, out).rdd.getNumPartitions() == files
+
+
 # --- 6 MinHash -------------------------------------------------------------------------------------------------
 
 
@@ -231,7 +322,7 @@ def near_plain(rows):
     return {i: (len(sets[i][0]), root(i), root(i) == i) for i in keys}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 1, "block": 2}])
+@pytest.mark.parametrize("options", [{}, {"small": 1, "block": 2}, {"salted": 2}])
 def test_near_duplicates(spark, documents, awkward, empty, options):
     words = [f"w{i}" for i in range(60)]
     family = [(1000 + k, " ".join(w if (i * 7 + k) % 23 else f"x{k}" for i, w in enumerate(words))) for k in range(12)]
@@ -285,6 +376,20 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(df.where("false"), out), out).count() == 0
 
 
+def test_warc_null_page_ids_and_hot_payloads(spark):
+    """A page without id never answers for others that have one; groups beyond a thousandth of all pages are answered like the rest."""
+    rows = [(None, "u", "same"), (None, None, "same"), (7, "u", "same"), (9, "u", "same"), (None, "u", "alone"), (None, "v", "alone")]
+    rows += [(100 + i, "h", "hot") for i in range(3000)] + [(5000 + i, "p", f"pair {i // 2}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = scratch(spark, "test-warc")
+    got = warc.read_records(warc.write_archives(df, out), out).collect()
+    kinds = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in got)
+    want = collections.Counter({(None, "revisit", 7): 2, (7, "response", None): 1, (9, "revisit", 7): 1, (None, "response", None): 2})
+    want.update((100 + i, "revisit" if i else "response", 100 if i else None) for i in range(3000))
+    want.update((5000 + i, "revisit" if i % 2 else "response", 4999 + i if i % 2 else None) for i in range(4000))
+    assert kinds == want
+
+
 # --- 8 BPE -----------------------------------------------------------------------------------------------------
 
 
@@ -352,6 +457,42 @@ def test_field_finds_what_touching_patterns_hide():
     assert field.best("the number 1234567890123456 is no card, nor is 12345") == []
 
 
+def test_field_equals_the_best_of_all_segmentations():
+    rng = np.random.default_rng(5)
+    text = "tel (974) 555-3436 10[.]0[.]0[.]7 x"
+    n, segs = pii.candidates(text)
+    names = {f for _, _, a, b in segs for f in pii.features(text, a, b)}
+    for _ in range(5):
+        field = pii.Field({f: rng.normal(0, 1, 4) for f in sorted(names)})
+        score = {(a, b): field.scores([pii.features(text, a, b)])[0] - 0.5 for _, _, a, b in segs}
+
+        def best(at):
+            """The best value from an atom on, over every choice of segments, by plain recursion."""
+            if at == n:
+                return 0.0
+            return max([best(at + 1), *(score[a, b].max() + best(j) for i, j, a, b in segs if i == at)])
+
+        found = field.best(text, margin=0.5)
+        assert sum(score[a, b][k] for a, b, k in found) == pytest.approx(best(0))
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def test_added_spans_recall_and_precision():
+    """Respelled entities that the patterns miss are found; look-alikes are left alone."""
+    make = lambda i: f"call +1 ({200 + i}) 555-{1000 + i} or mail me{i}@mail.example.com, card 4111111111111111, host 10.0.{i}.7 now"
+    plain = lambda i: f"order {1234567890123456 + 10 * i} of {70000 + i} parts at {i}.5 or 2024-0{1 + i % 9}-1{i % 10} is no entity"
+    learn = [(make(i), pii.base_spans(make(i))) for i in range(40)]
+    field = pii.Field.fit(learn + [pii.respell(t, g, i) for i, (t, g) in enumerate(learn)] + [(plain(i), []) for i in range(40)])
+    hit = wanted = found = 0
+    for i in range(100, 160):
+        text, gold = pii.respell(make(i), pii.base_spans(make(i)), i)
+        missed = set(gold) - set(pii.base_spans(text))
+        got = set(field.best(text))
+        hit, wanted, found = hit + len(got & missed), wanted + len(missed), found + len(got - set(gold))
+        assert field.best(plain(i)) == []
+    assert wanted > 100 and hit >= 0.8 * wanted and found <= 0.05 * wanted
+
+
 # --- 10 toxicity -----------------------------------------------------------------------------------------------
 
 
@@ -394,6 +535,45 @@ def test_context_lowers_quoted_terms():
     assert score("an idoit here") == 0 and 0 < score("an idot here") < 5
 
 
+def plain_distance(a, b):
+    """Edits between two words; neighbours that change places count one edit."""
+    d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_evidence_equals_a_plain_scorer():
+    """Scores by comparing every word with every term by plain edit distance, without the trie."""
+    weights = {"worthless$": 5.0, "imbecile$": 4.0, "stupid$": 3.0, "bomenter": 6.0, "pig$": 2.0}
+    lex = toxicity.Lexicon(weights, frozenset({"imbeciles"}))
+
+    def worth(word):
+        if word + "$" in weights:
+            return weights[word + "$"]
+        if word.startswith("bomenter"):
+            return 6.0
+        if word in lex.benign:
+            return 0.0
+        found = []
+        for t, w in weights.items():
+            bare, most = t.rstrip("$"), toxicity.edits_allowed(t.rstrip("$"))
+            ends = [len(word)] if t.endswith("$") else range(1, len(word) + 1)
+            e = min((plain_distance(word[:k], bare) for k in ends), default=9)
+            if e <= most:
+                found.append((e, not t.endswith("$"), w))
+        return min(found)[2] * toxicity.FUZZY ** min(found)[0] if found else 0.0
+
+    words = "worthless wrthless worthlses worthles imbecile imbeciles imbecil imbeciel stupid stupdi stpuid stopid bomenterado bomentrada bmoenteros bomxenter pig pigs pg plain words only".split()
+    for w in words:
+        assert lex.evidence(f"so {w} here", {})[0] == pytest.approx(worth(w)), w
+    text = " and ".join(words)
+    assert lex.evidence(text, {})[0] == pytest.approx(sum(map(worth, words)))
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
