@@ -241,8 +241,9 @@ def severity_penalty(severity: Column, status: Column) -> Column:
     return F.when(s == "open", p).when(s == "acknowledged", p * 0.6).otherwise(F.lit(0.0))
 
 
-def source_type(ref: Column, text: Column) -> Column:
-    low, sample = F.lower(ref), F.lower(F.substring(text, 1, 5000))
+def source_type(ref: Column, text: Column, chars: int | None = None) -> Column:
+    """The kind of a source by its address and text; ``chars`` cuts the text, by default it is read whole."""
+    low, sample = F.lower(ref), F.lower(text if chars is None else F.substring(text, 1, chars))
     has = lambda c, *needles: _any(c, needles)
     return (
         F.when(has(low, "github.com") | has(sample, "pyproject.toml", "package.json"), F.lit("repo"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,15 +33,17 @@ def graph_entities(nodes: DataFrame, aliases: DataFrame, min_len: int = 3) -> Da
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where each text's candidate names stand in it; a name's pattern is compiled once by each task."""
+    pattern = lru_cache(1 << 16)(lambda alias: re.compile(rf"(?<![A-Za-z0-9_]){re.escape(alias.strip())}(?![A-Za-z0-9_])", re.IGNORECASE))
     for pdf in batches:
-        found = []
-        for text, alias in zip(pdf["text"], pdf["alias"]):
-            pattern = re.compile(rf"(?<![A-Za-z0-9_]){re.escape(alias.strip())}(?![A-Za-z0-9_])", re.IGNORECASE)
-            found.append([(m.start(), m.end()) for m in pattern.finditer(text)])
-        rows = pdf.drop(columns=["text"]).assign(span=found).explode("span").dropna(subset=["span"])
-        if len(rows):
-            rows = rows.assign(start=[s[0] for s in rows["span"]], end=[s[1] for s in rows["span"]])
-            yield rows.drop(columns=["span"])
+        rows = [
+            (chunk, name["node_id"], name["alias"], name["origin"], m.start(), m.end())
+            for chunk, text, names in zip(pdf["chunk_id"], pdf["text"], pdf["names"])
+            for name in names
+            for m in pattern(name["alias"]).finditer(text)
+        ]
+        if rows:
+            yield pd.DataFrame(rows, columns=["chunk_id", "node_id", "alias", "origin", "start", "end"])
 
 
 def key_word(c: Column) -> Column:
@@ -53,13 +56,14 @@ def known_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """Mentions of known entities with their offsets: (chunk_id, node_id, alias, start, end, confidence).
 
     An alias is a candidate for a chunk when its longest word occurs there: an equi-join on that word, so no
-    chunk meets every alias. The exact match with its boundaries runs on the candidates only.
+    chunk meets every alias. A chunk's candidates come to its text as one row, and the match with its boundaries runs on them only.
     """
     words = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(T.normalize_text(F.col("text")), " "))).alias("word")).where("word != ''")
     keys = entities.select("node_id", "alias", "origin", key_word(F.col("alias")).alias("word"))
-    pairs = words.join(keys, "word").select("chunk_id", "node_id", "alias", "origin")
-    holds = pairs.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains(F.lower("text"), F.lower(F.trim("alias"))))
-    spans = holds.select("chunk_id", "node_id", "alias", "origin", "text").mapInPandas(
+    names = words.join(keys, "word").groupBy("chunk_id").agg(F.collect_set(F.struct("node_id", "alias", "origin")).alias("names"))
+    held = F.filter("names", lambda n: F.contains(F.lower("text"), F.lower(F.trim(n["alias"]))))
+    rows = chunks.select("chunk_id", "text").join(names, "chunk_id").withColumn("names", held).where(F.size("names") > 0)
+    spans = rows.select("chunk_id", "text", "names").mapInPandas(
         _spans, "chunk_id long, node_id string, alias string, origin string, start int, end int"
     )
     best = Window.partitionBy("chunk_id", "node_id", "start", "end").orderBy(F.length("alias").desc(), "alias")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import checkpointed
 
 CONFIDENCE_RANK = {"high": 0.0, "medium": 1.0, "low": 2.0}
 
@@ -45,8 +46,6 @@ def distances(adjacent: DataFrame, start: str, max_depth: int = 4) -> DataFrame:
     Every step joins only the newest frontier and drops nodes seen before; of equal paths the least stays.
     The frontier of each depth is cut by a checkpoint, so the plan doesn't grow.
     """
-    from ..plans.shared import checkpointed
-
     edges = checkpointed(adjacent.select("a", "b").distinct())
     spark = adjacent.sparkSession
     frontier = spark.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
@@ -125,14 +124,18 @@ def markdown_line() -> Column:
 
 
 def mermaid(view: DataFrame, limit: int) -> DataFrame:
-    """One row with a flow chart: an edge per line in export order, identifiers without other signs."""
-    safe = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
-    rows = top_edges(view, limit).select(
-        F.concat(F.lit("  "), safe("source_id"), F.lit(" -->|"), F.col("relation"), F.lit("| "), safe("target_id")).alias("line")
-    )
-    w = Window.orderBy("line")
-    ordered = rows.withColumn("at", F.row_number().over(w))  # at most ``limit`` rows
-    return ordered.agg(F.concat(F.lit("graph LR\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")).alias("chart"))
+    """One row with a flow chart: the first edges by relation, source name and target name, nodes declared where first seen."""
+    named = lambda c: F.when(F.substring(c, 1, 1).rlike("[0-9]"), F.concat(F.lit("n_"), c)).when(c == "", F.lit("node")).otherwise(c)
+    safe = lambda c: named(F.regexp_replace(c, "[^A-Za-z0-9_]", "_"))
+    first = Window.orderBy("relation", "source_name", "target_name", "source_id", "target_id")
+    rows = view.orderBy("relation", "source_name", "target_name", "source_id", "target_id").limit(limit).withColumn("at", F.row_number().over(first))  # at most ``limit`` rows
+    end = lambda side, turn: F.struct(F.lit(turn).alias("turn"), F.col(f"{side}_id").alias("id"), F.col(f"{side}_name").alias("name"), F.col(f"{side}_type").alias("type"))
+    ends = rows.select("at", F.explode(F.array(end("source", 0), end("target", 1))).alias("e")).groupBy("e.id").agg(F.min(F.struct("at", "e.turn", "e.name", "e.type")).alias("e"))
+    label = F.regexp_replace("e.name", '"', "'")
+    nodes = ends.select("e.at", "e.turn", F.concat(F.lit("  "), safe(F.col("id")), F.lit('["'), label, F.lit("<br/>"), "e.type", F.lit('"]')).alias("line"))
+    arrow = F.concat(F.lit("  "), safe(F.col("source_id")), F.lit(" -- "), F.col("relation"), F.lit(" --> "), safe(F.col("target_id")))
+    lines = nodes.unionByName(rows.select("at", F.lit(2).alias("turn"), arrow.alias("line")))
+    return lines.agg(F.concat_ws("\n", F.lit("flowchart LR"), F.transform(F.array_sort(F.collect_list(F.struct("at", "turn", "line"))), lambda x: x["line"])).alias("chart"))
 
 
 def missing_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:

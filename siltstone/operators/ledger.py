@@ -105,13 +105,22 @@ def duplicate_sources(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
     return exact.unionByName(close).groupBy("a", "b").agg(F.max("exact_url").alias("exact_url"))
 
 
-def duplicate_entities(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Live nodes of one type that share a normalised name or alias, as links to the smallest id."""
+def duplicate_entities(nodes: DataFrame, aliases: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """Links (keep_id, id) of live nodes of one type that share a normalised name or alias, or whose names are close.
+
+    Nodes with one name or alias are linked to the smallest id among them; names with 1 - levenshtein / longest >= threshold link
+    the smallest ids that bear them.
+    """
     live = nodes.where(T.is_live(F.col("status")))
     names = live.select("id", "type", T.normalize_name(F.col("name")).alias("key"))
     more = live.join(aliases, live["id"] == aliases["node_id"]).select("id", "type", T.normalize_name(F.col("alias")).alias("key"))
     keyed = names.unionByName(more).where("key != ''").distinct()
-    return duplicate_groups(keyed, F.concat_ws("|", "type", "key"), "id").select("keep_id", "id").distinct()
+    same = duplicate_groups(keyed, F.concat_ws("|", "type", "key"), "id").select("keep_id", "id")
+    first = names.where("key != ''").groupBy("type", F.col("key").alias("text")).agg(F.min("id").alias("first"))
+    near = near_texts(first, first, threshold, ["type"]).where(F.col("left") < F.col("right"))
+    side = lambda key, x: first.select("type", F.col("text").alias(key), F.col("first").alias(x))
+    found = near.join(side("left", "x"), ["type", "left"]).join(side("right", "y"), ["type", "right"])
+    return same.unionByName(found.select(F.least("x", "y").alias("keep_id"), F.greatest("x", "y").alias("id"))).distinct()
 
 
 # --- changes ---------------------------------------------------------------------------------------------------
@@ -120,9 +129,11 @@ def duplicate_entities(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``incoming`` replace those with the same keys (null equals null); of several the last in order.
 
-    ``keep`` names columns whose stored value survives a conflict.
+    Without an order, the last is the one whose values, read as JSON, are the greatest. ``keep`` names columns whose stored
+    value survives a conflict.
     """
-    rank = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order] if order else [F.lit(0)])
+    last = order or [F.to_json(F.struct(*(c for c in current.columns if c not in keys)))]
+    rank = Window.partitionBy(*keys).orderBy(*[c.desc() for c in last])
     new = incoming.withColumn("_rn", F.row_number().over(rank)).where("_rn = 1").drop("_rn")
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
     both = current.withColumn("_c", F.lit(True)).alias("c").join(new.withColumn("_i", F.lit(True)).alias("i"), same, "full")
@@ -142,6 +153,64 @@ def replace_by_key(current: DataFrame, incoming: DataFrame, key: str) -> DataFra
     return current.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
+def upsert_nodes(state: dict[str, DataFrame], incoming: dict[str, DataFrame], keep: list[str] | None = None) -> dict[str, DataFrame]:
+    """Nodes upserted by id; the aliases and tags of every incoming node are rewritten, also where it brings none."""
+    ids = incoming["nodes"].select(F.col("id").alias("node_id"))
+    out = {"nodes": upsert(state["nodes"], incoming["nodes"], ["id"], keep=keep)}
+    for name in ("aliases", "tags"):
+        left = without_keys(state[name], ids, "node_id")
+        out[name] = left.unionByName(only_keys(incoming[name], ids, "node_id")).distinct() if name in incoming else left
+    return out
+
+
+def only_keys(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the chosen ones."""
+    return rows.join(chosen.select(key).distinct(), key, "left_semi")
+
+
+def with_counts(rows: DataFrame, children: DataFrame, key: str, name: str = "n") -> DataFrame:
+    """Rows with the number of their children; those without any have 0."""
+    n = children.groupBy(key).agg(F.count("*").alias(name))
+    return rows.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+
+
+def with_details(rows: DataFrame, children: DataFrame, key: str, order: str) -> DataFrame:
+    """Objects with their children's number and ``order`` values, ascending; objects without children have none."""
+    held = children.groupBy(key).agg(F.count("*").alias("items"), F.array_sort(F.collect_list(order)).alias("details"))
+    return rows.join(held, key, "left").withColumns({"items": F.coalesce("items", F.lit(0)).cast("long"), "details": F.coalesce("details", F.array())})
+
+
+def listed(rows: DataFrame, order: list[Column], limit: int, where: Column | None = None) -> DataFrame:
+    """The first rows of a filtered listing; the last key in the order should be unique."""
+    return (rows.where(where) if where is not None else rows).orderBy(*order).limit(limit)
+
+
+def conflict_listing(conflicts: DataFrame, by: str) -> DataFrame:
+    """Unresolved conflicts with their place in each list: worst first, then newest."""
+    w = Window.partitionBy(by).orderBy(severity_rank(F.col("severity")), F.desc("conflict_id"))
+    return conflicts.where(F.col("status").isin(*UNRESOLVED)).withColumn("pos", F.row_number().over(w))
+
+
+def table_counts(tables: dict[str, DataFrame], by: dict[str, Column] | None = None) -> DataFrame:
+    """(name, n) of several tables; with ``by``, an owner for each table, (client_id, name, n)."""
+    out = None
+    for name, df in tables.items():
+        keys = [by[name].alias("client_id")] if by else []
+        one = df.groupBy(*keys).agg(F.count("*").alias("n")).select(*(["client_id"] if by else []), F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def shared_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that both sides hold, once each."""
+    return left.select(*keys).intersect(right.select(*keys))
+
+
+def changed_objects(items: DataFrame, by: str, key: str) -> DataFrame:
+    """The distinct objects of each change set."""
+    return items.select(by, key).distinct()
+
+
 def without_keys(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return current.join(gone.select(key).distinct(), key, "left_anti")
 

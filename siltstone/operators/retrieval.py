@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import checkpointed
+from ..shipping import ship
 
 K1, B = 1.2, 0.75
 # Weights of the signals and of the priority's components.
@@ -13,12 +17,19 @@ WEIGHTS = {"vector": 0.45, "keyword": 0.45, "graph": 0.10, "entity": 0.15}
 PRIORITY = {"relevance": 0.55, "trust": 0.15, "freshness": 0.10, "graph": 0.10, "status": 0.10}
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, tf) and (doc_id, dl) of a corpus. Term counts combine inside each task before they move."""
+#: Stands for the document itself among its terms; no token holds this sign.
+WHOLE = "\x00"
+
+
+def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, dl, tf) of the given terms, and a row under ``WHOLE`` for each document; texts are tokenised once.
+
+    Counts combine inside each task before they move, and the result is checkpointed, as statistics and scores both read it.
+    """
     tokens = docs.select(F.col(doc_id).alias("doc_id"), T.tokenize(T.text_or_empty(text)).alias("tokens"))
-    lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-    terms = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return terms, lengths
+    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(WHOLE)))).alias("term"))
+    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(WHOLE,)], "term string"))
+    return checkpointed(each.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, terms_per_query: int = 12) -> DataFrame:
@@ -27,15 +38,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, terms_per_
     ``queries`` has query_id and text. Only the queries' terms are kept from the corpus, before counting.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.fts_terms(F.col("text"), terms_per_query))).alias("term"))
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), T.tokenize(T.text_or_empty(text)).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    wanted = q.select("term").distinct()
-    tf = (
-        tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term", "doc_id", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
+    held = postings(docs, doc_id, text, q)
+    stats = held.where(F.col("term") == WHOLE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = held.where(F.col("term") != WHOLE)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -78,52 +83,138 @@ def normalize_vector(a: Column) -> Column:
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
-def vector_hits(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest of a full scan: each task keeps k rows (TakeOrderedAndProject)."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select(F.col(id_col).alias("doc_id"), cosine(F.col(vec_col), q).alias("score"))
-    return scored.orderBy(F.round("score", 6).desc(), "doc_id").limit(k)
+def _unit(rows: pd.Series) -> np.ndarray:
+    """Vectors as rows of length 1; zero vectors stay."""
+    m = np.array(rows.tolist(), np.float64).reshape(len(rows), -1)
+    n = np.sqrt((m**2).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _best_of_cell(k: int):
+    def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """The k best vectors of one cell for each of its queries, by rounded score, then id."""
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        vectors = vectors.sort_values("doc_id", ignore_index=True)
+        scores = _unit(queries["v"]) @ _unit(vectors["v"]).T
+        order = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :k]
+        rows = np.arange(len(queries)).repeat(order.shape[1])
+        found = order.ravel()
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[rows], "doc_id": vectors["doc_id"].to_numpy()[found], "score": scores[rows, found]})
+
+    return run
+
+
+def vector_hits(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", part_rows: int = 4096, block: int = 512
+) -> DataFrame:
+    """(query_id, doc_id, score): the k nearest of a full scan for each query (query_id, vector), by cosine.
+
+    Vectors fall into parts of some ``part_rows`` and queries into blocks of some ``block``; every part meets every block in a cell of
+    its own, by one matrix product, and only a cell's k best hits of a query leave it. Vectors without numbers score 0.
+    """
+    v = vectors.where(F.size(vec_col) > 0).select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    q = queries.where(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("v"))
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((v, part_rows), (q, block)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = v.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    right = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+    kinds = dict(left.dtypes), dict(right.dtypes)
+    cells = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    found = cells.applyInPandas(_best_of_cell(k), f"query_id {kinds[1]['query_id']}, doc_id {kinds[0]['doc_id']}, score double")
+    return top_k(found, k).drop("rank")
 
 
 def max_normalized(hits: DataFrame, score: str = "score", by: str | None = None) -> DataFrame:
-    """Scores divided by the list's maximum, by 1 unless that is positive."""
-    top = F.max(score).over(Window.partitionBy(by) if by else Window.partitionBy(F.lit(1)))
-    return hits.withColumn(score, F.col(score) / F.when(top > 0, top).otherwise(F.lit(1.0)))
+    """Scores divided by the maximum of their list, by 1 unless that is positive.
+
+    The maxima, one row for each list, are joined back, so no task needs to hold a list.
+    """
+    best = (hits.groupBy(by) if by else hits.groupBy()).agg(F.max(score).alias("_top"))
+    rows = hits.join(best, by) if by else hits.crossJoin(F.broadcast(best))  # one row
+    return rows.withColumn(score, F.col(score) / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))).drop("_top")
 
 
-def graph_scores(chunks: DataFrame, hints: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, graph): a linked hint counts 1, its name in the text .6, a word of it .2; at most 2, halved.
+def graph_scores(chunks: DataFrame, hints: DataFrame, links: DataFrame | None = None, pairs: DataFrame | None = None, most: int = 8, chars: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, graph): a linked hint counts 1, its name in the text .6, a word of it .2; at most 2, halved.
 
-    ``hints`` (node_id, name) is a short list for one query, at most eight; links are (chunk_id, node_id).
+    ``hints`` are (query_id, node_id, name, score), of which each query takes its ``most`` best; links are (chunk_id, node_id). A query
+    meets the chunks of ``pairs`` (query_id, chunk_id), or all of them. ``chars`` cuts texts; by default they are read whole.
     """
-    low = chunks.select("chunk_id", F.lower(F.concat_ws(" ", "title", F.lit(""), F.substring("text", 1, 2500))).alias("low"))
-    pairs = low.crossJoin(F.broadcast(hints.select("node_id", F.lower("name").alias("name")).limit(8)))
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    low = chunks.select("chunk_id", F.lower(F.concat_ws(" ", "title", F.lit(""), text)).alias("low"))
     if links is not None:
-        pairs = pairs.join(links.withColumn("linked", F.lit(True)), ["chunk_id", "node_id"], "left")
+        low = low.join(links.groupBy("chunk_id").agg(F.collect_set("node_id").alias("linked")), "chunk_id", "left")
     else:
-        pairs = pairs.withColumn("linked", F.lit(None).cast("boolean"))
-    worth = (
-        F.when(F.col("linked"), 1.0)
-        .when((F.col("name") != "") & F.contains("low", "name"), 0.6)
-        .when(F.exists(T.tokenize(F.col("name")), lambda w: F.contains(F.col("low"), w)), 0.2)
+        low = low.withColumn("linked", F.lit(None).cast("array<string>"))
+    ranked = hints.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("rn") <= most)
+    each = ranked.groupBy("query_id").agg(F.collect_list(F.struct(F.col("node_id"), F.lower("name").alias("name"), T.tokenize(F.col("name")).alias("words"))).alias("hints"))
+    met = low.crossJoin(each) if pairs is None else pairs.join(low, "chunk_id").join(each, "query_id")
+    worth = lambda h: (
+        F.when(F.coalesce(F.array_contains("linked", h["node_id"]), F.lit(False)), 1.0)
+        .when((h["name"] != "") & F.contains(F.col("low"), h["name"]), 0.6)
+        .when(F.exists(h["words"], lambda w: F.contains(F.col("low"), w)), 0.2)
         .otherwise(0.0)
     )
-    return pairs.groupBy("chunk_id").agg((F.least(F.sum(worth), F.lit(2.0)) / 2.0).alias("graph"))
+    return met.select("query_id", "chunk_id", (F.least(F.aggregate("hints", F.lit(0.0), lambda s, h: s + worth(h)), F.lit(2.0)) / 2.0).alias("graph"))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, graph: DataFrame | None = None, entity: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, vector, keyword, graph, entity, relevance) over the union of two hit lists (doc_id, score)."""
+def fuse(vector: DataFrame, keyword: DataFrame, graph: DataFrame | None = None, entity: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """(by, chunk_id, vector, keyword, graph, entity, relevance) over the union of two hit lists (by, doc_id, score), each list for itself."""
+    keys = [by] if by else []
     lists = [
-        max_normalized(hits).select(F.col("doc_id").alias("chunk_id"), *((F.col("score") if s == side else F.lit(0.0)).alias(s) for s in ("vector", "keyword")))
+        max_normalized(hits, by=by).select(*keys, F.col("doc_id").alias("chunk_id"), *((F.col("score") if s == side else F.lit(0.0)).alias(s) for s in ("vector", "keyword")))
         for side, hits in (("vector", vector), ("keyword", keyword))
     ]
-    both = lists[0].unionByName(lists[1]).groupBy("chunk_id").agg(F.max("vector").alias("vector"), F.max("keyword").alias("keyword"))
+    keys = [*keys, "chunk_id"]
+    both = lists[0].unionByName(lists[1]).groupBy(*keys).agg(F.max("vector").alias("vector"), F.max("keyword").alias("keyword"))
     for name, side in (("graph", graph), ("entity", entity)):
-        both = both.join(side.select("chunk_id", name), "chunk_id", "left") if side is not None else both.withColumn(name, F.lit(0.0))
+        both = both.join(side.select(*(k for k in keys if k in side.columns), name), [k for k in keys if k in side.columns], "left") if side is not None else both.withColumn(name, F.lit(0.0))
         both = both.withColumn(name, F.coalesce(name, F.lit(0.0)))
     return both.withColumn("relevance", sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0)))
 
 
+def merged_modes(k: int, **modes: DataFrame) -> DataFrame:
+    """(query_id, mode, doc_id, score): the k best of several hit lists (query_id, doc_id, score) together, for each query."""
+    rows = None
+    for mode, hits in modes.items():
+        one = hits.select("query_id", F.lit(mode).alias("mode"), "doc_id", "score")
+        rows = one if rows is None else rows.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "mode", "doc_id")
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+
+
+def with_sources(hits: DataFrame, chunks: DataFrame, sources: DataFrame, key: str = "chunk_id", how: str = "inner") -> DataFrame:
+    """Hits with their chunk's title and their source's, for active chunks; ``left`` keeps hits whose source is unknown."""
+    src = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.col("credibility_score").alias("source_credibility"))
+    return hits.join(chunks.where("status = 'active'").select(F.col("chunk_id").alias(key), "title", "source_id"), key).join(src, "source_id", how)
+
+
+def keyword_chunks(chunks: DataFrame, term: str) -> DataFrame:
+    """(chunk_id) of the chunks that hold a token."""
+    return chunks.where(F.array_contains(T.tokenize(T.text_or_empty("text")), term)).select("chunk_id")
+
+
+def search_records(tables: dict[str, tuple[DataFrame, str, list[str]]], term: str) -> DataFrame:
+    """(name, id) of the rows of several tables (rows, key, text columns) that hold a term in any of the columns."""
+    out = None
+    for name, (rows, key, cols) in tables.items():
+        hay = F.lower(F.concat_ws(" ", *cols))
+        one = rows.where(F.contains(hay, F.lit(term.lower()))).select(F.lit(name).alias("name"), F.col(key).cast("string").alias("id"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def retrieval_log(results: DataFrame, queries: DataFrame, mode: str, most: int = 10) -> DataFrame:
+    """One row for each query (query_id, text): mode, number of results, and its best ``most`` (doc_id, rank, score) as JSON."""
+    best = results.where(F.col("rank") <= most).groupBy("query_id").agg(
+        F.to_json(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.round("score", 4).alias("score"))))).alias("payload")
+    )
+    n = results.groupBy("query_id").agg(F.count("*").alias("n_results"))
+    rows = queries.select("query_id", "text").join(n, "query_id", "left").join(best, "query_id", "left")
+    return rows.select("query_id", "text", F.lit(mode).alias("mode"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.coalesce("payload", F.lit("[]")).alias("payload"))
+
+
 def conflict_penalties(conflicts: DataFrame, per_object: int | None = None) -> DataFrame:
     """(object_id, penalty, n_conflicts) over open and acknowledged conflicts, worst first; at most .55."""
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
@@ -200,3 +291,6 @@ def all_terms_present(results: DataFrame, cases: DataFrame) -> DataFrame:
     text = results.groupBy("case_id").agg(F.lower(F.concat_ws(" ", F.collect_list("text"))).alias("out"))
     found = F.forall("expect", lambda w: F.contains(F.coalesce("out", F.lit("")), F.lower(w)))
     return cases.join(text, "case_id", "left").select("case_id", found.alias("passed"))
+
+
+ship(__name__)

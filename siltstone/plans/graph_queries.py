@@ -118,11 +118,17 @@ def markdown(t):
     return G.top_edges(_live(t), 200).select(G.markdown_line().alias("line"))
 
 
+_SAFE = "CASE WHEN regexp_matches({0}, '^[0-9]') THEN 'n_' ELSE '' END || regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g')"
+
+
 @query(
     "B08_mermaid",
-    f"""WITH {BASE}, x AS (SELECT * FROM live ORDER BY {_RANKED} LIMIT 40),
-    l AS (SELECT '  ' || regexp_replace(source_id, '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || relation || '| ' || regexp_replace(target_id, '[^A-Za-z0-9_]', '_', 'g') AS line FROM x)
-    SELECT 'graph LR' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS chart FROM l""",
+    f"""WITH {BASE}, x AS (SELECT *, row_number() OVER (ORDER BY relation, source_name, target_name, source_id, target_id) AS pos FROM live QUALIFY pos <= 40),
+    e AS (SELECT pos, 0 AS turn, source_id AS id, source_name AS name, source_type AS type FROM x UNION ALL SELECT pos, 1, target_id, target_name, target_type FROM x),
+    n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, turn) = 1),
+    l AS (SELECT pos, turn, '  ' || {_SAFE.format('id')} || '["' || replace(name, '"', chr(39)) || '<br/>' || type || '"]' AS line FROM n
+          UNION ALL SELECT pos, 2, '  ' || {_SAFE.format('source_id')} || ' -- ' || relation || ' --> ' || {_SAFE.format('target_id')} FROM x)
+    SELECT 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY pos, turn) AS chart FROM l""",
 )
 def mermaid(t):
     return G.mermaid(_live(t), 40)

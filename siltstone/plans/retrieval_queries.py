@@ -90,84 +90,92 @@ def vector_math(t):
     )
 
 
-def _query_vector(t, vec_id: int) -> list[float]:
-    return t.embeddings.where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+#: Searches take every item and vector whose number is divisible by this as a query, against all rows.
+EVERY = 50
+_ITEMS = f"SELECT item_id AS query_id, text FROM benchmark WHERE item_id % {EVERY} = 0"
 
 
-@query(
-    "H01_vector_top_k",
-    f"""SELECT a.vec_id AS doc_id, round({_COS}, 5) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b
-        ORDER BY round({_COS}, 6) DESC, a.vec_id LIMIT 40""",
-)
+def _items(t):
+    return t.benchmark.where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
+
+
+def _query_vectors(t):
+    return t.embeddings.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _near_sql(k: int, where: str = "true") -> str:
+    return f"""SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, {_COS} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COS}, 6) DESC, a.vec_id) AS rn
+        FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) b WHERE {where}) WHERE rn <= {k}"""
+
+
+@query("H01_vector_top_k", f"SELECT query_id, doc_id, round(score, 5) AS score FROM ({_near_sql(40)})")
 def vector_top_k(t):
-    return R.vector_hits(t.embeddings, _query_vector(t, 0), 40).select("doc_id", F.round("score", 5).alias("score"))
+    return R.vector_hits(t.embeddings, _query_vectors(t), 40).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 @query(
     "E01_vector_chunk_source",
-    f"""WITH {ctes('chunks', 'sources')} SELECT a.vec_id AS chunk_id, c.title, s.title AS source_title, round({_COS}, 5) AS score
-    FROM embeddings a JOIN chunks c ON c.chunk_id = a.vec_id JOIN sources s ON s.id = c.source_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) b
-    WHERE c.status = 'active' ORDER BY round({_COS}, 6) DESC, a.vec_id LIMIT 8""",
+    f"""WITH {ctes('chunks', 'sources')}, h AS ({_near_sql(8, "a.vec_id IN (SELECT chunk_id FROM chunks c JOIN sources s ON s.id = c.source_id WHERE c.status = 'active')")})
+    SELECT query_id, doc_id AS chunk_id, c.title, s.title AS source_title, round(score, 5) AS score FROM h JOIN chunks c ON c.chunk_id = doc_id JOIN sources s ON s.id = c.source_id""",
 )
 def vector_join(t):
-    # the filter and the dimension join come first: the limit counts visible rows only
-    live = view(t, "chunks").where("status = 'active'").select("chunk_id", "title", "source_id")
-    src = view(t, "sources").select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
-    rows = t.embeddings.withColumnRenamed("vec_id", "chunk_id").join(live, "chunk_id").join(src, "source_id")
-    hits = R.vector_hits(rows, _query_vector(t, 0), 8, "chunk_id")
-    return hits.withColumnRenamed("doc_id", "chunk_id").join(live.join(src, "source_id"), "chunk_id").select(
-        "chunk_id", "title", "source_title", F.round("score", 5).alias("score")
-    )
+    # the filter and the join come first: the limit counts visible rows only
+    rows = R.with_sources(t.embeddings.withColumnRenamed("vec_id", "chunk_id"), view(t, "chunks"), view(t, "sources"))
+    hits = R.vector_hits(rows, _query_vectors(t), 8, "chunk_id").withColumnRenamed("doc_id", "chunk_id")
+    shown = R.with_sources(hits, view(t, "chunks"), view(t, "sources"))
+    return shown.select("query_id", "chunk_id", "title", "source_title", F.round("score", 5).alias("score"))
 
 
 @query(
     "J01_semantic_search",
-    f"""WITH {bm25_sql(12, 'SELECT item_id AS query_id, text FROM benchmark WHERE item_id = 0')},
-    v AS (SELECT a.vec_id AS doc_id, {_COS} AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY round({_COS}, 6) DESC, a.vec_id LIMIT 8),
-    k AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM bm),
-    u AS (SELECT 'vector' AS mode, doc_id, score FROM v UNION ALL SELECT 'keyword', doc_id, 1.0 / rn FROM k WHERE rn <= 8)
-    SELECT mode, doc_id, round(score, 5) AS score FROM u ORDER BY round(score, 6) DESC, mode, doc_id LIMIT 8""",
+    f"""WITH {bm25_sql(12, _ITEMS)}, v AS ({_near_sql(8)}),
+    k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rn FROM bm),
+    u AS (SELECT query_id, 'vector' AS mode, doc_id, score FROM v UNION ALL SELECT query_id, 'keyword', doc_id, 1.0 / rn FROM k WHERE rn <= 8),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, mode, doc_id) AS rn FROM u)
+    SELECT query_id, mode, doc_id, round(score, 5) AS score FROM r WHERE rn <= 8""",
 )
 def semantic_search(t):
-    q = t.benchmark.where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
-    keyword = R.reciprocal_rank(R.top_k(R.bm25(t.documents, q, "doc_id", "text"), 8)).select(F.lit("keyword").alias("mode"), "doc_id", F.col("rr").alias("score"))
-    vector = R.vector_hits(t.embeddings, _query_vector(t, 0), 8).select(F.lit("vector").alias("mode"), "doc_id", "score")
-    both = vector.unionByName(keyword).orderBy(F.round("score", 6).desc(), "mode", "doc_id").limit(8)
-    return both.select("mode", "doc_id", F.round("score", 5).alias("score"))
+    keyword = R.reciprocal_rank(R.top_k(R.bm25(t.documents, _items(t), "doc_id", "text"), 8)).select("query_id", "doc_id", F.col("rr").alias("score"))
+    both = R.merged_modes(8, vector=R.vector_hits(t.embeddings, _query_vectors(t), 8), keyword=keyword)
+    return both.select("query_id", "mode", "doc_id", F.round("score", 5).alias("score"))
+
+
+_HINTS = f"SELECT DISTINCT query_id, 'tok:' || term AS node_id, term AS name FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{T.TOKEN}')[1:8]) AS term FROM ({_ITEMS}))"
+_GRAPH = f"""gl AS (SELECT chunk_id, lower(title || ' ' || ' ' || text) AS low FROM chunks), gh AS ({_HINTS}),
+    gs AS (SELECT query_id, chunk_id, least(sum(CASE WHEN contains(low, name) THEN 0.6 ELSE 0.0 END), 2.0) / 2.0 AS graph FROM gl, gh GROUP BY query_id, chunk_id)"""
+_HYBRID = f"""{ctes('chunks', 'sources', 'conflicts')}, {bm25_sql(12, _ITEMS)}, {_GRAPH},
+    hv AS (SELECT query_id, doc_id AS chunk_id, score FROM ({_near_sql(40)})),
+    hk AS (SELECT query_id, doc_id AS chunk_id, 1.0 / rn AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rn FROM bm) WHERE rn <= 40),
+    hm AS (SELECT query_id, max(score) AS top FROM hv GROUP BY 1), km AS (SELECT query_id, max(score) AS top FROM hk GROUP BY 1),
+    hu AS (SELECT query_id, chunk_id, score / top AS vector, 0.0 AS keyword FROM hv JOIN hm USING (query_id) UNION ALL SELECT query_id, chunk_id, 0.0, score / top FROM hk JOIN km USING (query_id)),
+    hf AS (SELECT query_id, chunk_id, max(vector) AS vector, max(keyword) AS keyword FROM hu GROUP BY 1, 2),
+    hr AS (SELECT query_id, chunk_id, vector, keyword, coalesce(graph, 0) AS graph, 0.45 * vector + 0.45 * keyword + 0.1 * coalesce(graph, 0) AS relevance FROM hf LEFT JOIN gs USING (query_id, chunk_id))"""
 
 
-_HINTS = f"SELECT 'tok:' || term AS node_id, term AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '{T.TOKEN}')[1:8]) AS term FROM benchmark WHERE item_id = 0)"
-_GRAPH = f"""gl AS (SELECT chunk_id, lower(title || ' ' || ' ' || substr(text, 1, 2500)) AS low FROM chunks), gh AS (SELECT DISTINCT * FROM ({_HINTS})),
-    gs AS (SELECT chunk_id, least(sum(CASE WHEN contains(low, name) THEN 0.6 ELSE 0.0 END), 2.0) / 2.0 AS graph FROM gl, gh GROUP BY chunk_id)"""
-_HYBRID = f"""{ctes('chunks', 'sources', 'conflicts')}, {bm25_sql(12, 'SELECT item_id AS query_id, text FROM benchmark WHERE item_id = 0')}, {_GRAPH},
-    hv AS (SELECT a.vec_id AS chunk_id, {_COS} AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY round({_COS}, 6) DESC, a.vec_id LIMIT 40),
-    hk AS (SELECT doc_id AS chunk_id, 1.0 / row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS score FROM bm ORDER BY round(bm.score, 6) DESC, doc_id LIMIT 40),
-    hu AS (SELECT chunk_id, score / (SELECT max(score) FROM hv) AS vector, 0.0 AS keyword FROM hv UNION ALL SELECT chunk_id, 0.0, score / (SELECT max(score) FROM hk) FROM hk),
-    hf AS (SELECT chunk_id, max(vector) AS vector, max(keyword) AS keyword FROM hu GROUP BY chunk_id),
-    hr AS (SELECT chunk_id, vector, keyword, coalesce(graph, 0) AS graph, 0.45 * vector + 0.45 * keyword + 0.1 * coalesce(graph, 0) AS relevance FROM hf LEFT JOIN gs USING (chunk_id))"""
+def _hints(t):
+    names = _items(t).select("query_id", F.explode(T.fts_terms(F.col("text"), 8)).alias("name")).distinct()
+    return names.withColumns({"node_id": F.concat(F.lit("tok:"), "name"), "score": F.lit(1.0)})
 
 
 def _hybrid(t):
-    q = t.benchmark.where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
-    keyword = R.reciprocal_rank(R.top_k(R.bm25(t.documents, q, "doc_id", "text"), 40)).select("doc_id", F.col("rr").alias("score"))
-    vector = R.vector_hits(t.embeddings, _query_vector(t, 0), 40)
-    hints = q.select(F.explode(T.fts_terms(F.col("text"), 8)).alias("name")).distinct().withColumn("node_id", F.concat(F.lit("tok:"), "name"))
-    return R.fuse(vector, keyword, R.graph_scores(view(t, "chunks"), hints))
+    """Hits of every query: its 40 best by words and by vector, fused, with graph scores of these hits only."""
+    keyword = R.reciprocal_rank(R.top_k(R.bm25(t.documents, _items(t), "doc_id", "text"), 40)).select("query_id", "doc_id", F.col("rr").alias("score"))
+    vector = R.vector_hits(t.embeddings, _query_vectors(t), 40)
+    met = vector.select("query_id", F.col("doc_id").alias("chunk_id")).union(keyword.select("query_id", "doc_id")).distinct()
+    return R.fuse(vector, keyword, R.graph_scores(view(t, "chunks"), _hints(t), pairs=met), by="query_id")
 
 
-@query("J04_graph_score", f"WITH {ctes('chunks')}, {_GRAPH} SELECT chunk_id, round(graph, 6) AS graph FROM gs")
+@query("J04_graph_score", f"WITH {ctes('chunks')}, {_GRAPH} SELECT query_id, chunk_id, round(graph, 6) AS graph FROM gs")
 def graph_score(t):
-    q = t.benchmark.where("item_id = 0")
-    hints = q.select(F.explode(T.fts_terms(F.col("text"), 8)).alias("name")).distinct().withColumn("node_id", F.concat(F.lit("tok:"), "name"))
-    return R.graph_scores(view(t, "chunks"), hints).select("chunk_id", F.round("graph", 6).alias("graph"))
+    return R.graph_scores(view(t, "chunks"), _hints(t)).select("query_id", "chunk_id", F.round("graph", 6).alias("graph"))
 
 
 @query(
     "J05_hybrid_relevance",
-    f"WITH {_HYBRID} SELECT chunk_id, round(vector, 5) AS vector, round(keyword, 5) AS keyword, round(graph, 5) AS graph, round(relevance, 5) AS relevance FROM hr",
+    f"WITH {_HYBRID} SELECT query_id, chunk_id, round(vector, 5) AS vector, round(keyword, 5) AS keyword, round(graph, 5) AS graph, round(relevance, 5) AS relevance FROM hr",
 )
 def hybrid(t):
-    return _hybrid(t).select("chunk_id", *(F.round(c, 5).alias(c) for c in ("vector", "keyword", "graph", "relevance")))
+    return _hybrid(t).select("query_id", "chunk_id", *(F.round(c, 5).alias(c) for c in ("vector", "keyword", "graph", "relevance")))
 
 
 @query(
@@ -175,24 +183,24 @@ def hybrid(t):
     f"""WITH {_HYBRID}, p AS (SELECT object_id, least(sum(pen), 0.55) AS penalty, count(*) AS n FROM (
             SELECT object_id, CASE status WHEN 'open' THEN 1.0 ELSE 0.6 END * {lookup_sql('severity', T.SEVERITY_PENALTIES, 0.22)} AS pen
             FROM conflicts WHERE status IN ('open', 'acknowledged')) GROUP BY object_id),
-    s AS (SELECT hr.chunk_id, least(1, relevance) AS relevance, graph, {CONF} * 0.55 + least(1, s.credibility_score / 5) * 0.45 AS trust, {FRESH} AS freshness,
+    s AS (SELECT hr.query_id, hr.chunk_id, least(1, relevance) AS relevance, graph, {CONF} * 0.55 + least(1, s.credibility_score / 5) * 0.45 AS trust, {FRESH} AS freshness,
             least({STAT.format('c.status')}, {STAT.format('s.status')}) AS status_score, coalesce(penalty, 0) AS penalty
         FROM hr JOIN chunks c USING (chunk_id) LEFT JOIN sources s ON s.id = c.source_id LEFT JOIN p ON p.object_id = hr.chunk_id)
-    SELECT chunk_id, round(trust, 5) AS trust, freshness, round(status_score, 5) AS status_score, round(penalty, 5) AS penalty,
+    SELECT query_id, chunk_id, round(trust, 5) AS trust, freshness, round(status_score, 5) AS status_score, round(penalty, 5) AS penalty,
         round(greatest(0, least(1, 0.55 * relevance + 0.15 * trust + 0.1 * freshness + 0.1 * graph + 0.1 * status_score - penalty)), 5) AS priority
     FROM s""",
 )
 def priority(t):
     rows = R.context_priority(_hybrid(t), view(t, "chunks"), view(t, "sources"), view(t, "conflicts"), now())
-    return rows.select("chunk_id", F.round("trust", 5).alias("trust"), "freshness", *(F.round(c, 5).alias(c) for c in ("status_score", "penalty", "priority")))
+    return rows.select("query_id", "chunk_id", F.round("trust", 5).alias("trust"), "freshness", *(F.round(c, 5).alias(c) for c in ("status_score", "penalty", "priority")))
 
 
 @query("J07_explained_search")
 def explained(t):
-    """The eight best results with the reasons behind their priority; SQL has no exact equal for the formatted reasons."""
+    """The eight best results of each query with the reasons behind their priority; SQL has no exact equal for the formatted reasons."""
     rows = R.context_priority(_hybrid(t), view(t, "chunks"), view(t, "sources"), view(t, "conflicts"), now())
-    best = rows.orderBy(F.round("priority", 6).desc(), "chunk_id").limit(8)
-    return best.select("chunk_id", "source_id", F.round("priority", 5).alias("priority"), F.array_join("reasons", "; ").alias("reasons"))
+    best = R.top_k(rows, 8, "query_id", "priority", "chunk_id")
+    return best.select("query_id", "rank", "chunk_id", "source_id", F.round("priority", 5).alias("priority"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(
@@ -259,10 +267,7 @@ def conflicts_of(t):
     "SELECT event_id, event_type, round(value / CASE WHEN max(value) OVER (PARTITION BY event_type) > 0 THEN max(value) OVER (PARTITION BY event_type) ELSE 1 END, 9) AS score FROM events",
 )
 def max_normalized(t):
-    # the maxima are one row for each key; joined back they need no window over a hot key
-    top = t.events.groupBy("event_type").agg(F.max("value").alias("top"))
-    share = F.col("value") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)
-    return t.events.join(top, "event_type").select("event_id", "event_type", F.round(share, 9).alias("score"))
+    return R.max_normalized(t.events.select("event_id", "event_type", F.col("value").alias("score")), by="event_type").select("event_id", "event_type", F.round("score", 9).alias("score"))
 
 
 _RANKING = {"boost_terms": ["green", "steel"], "must_include_any": ["a", "e"], "known_venues": ["brand#1"]}

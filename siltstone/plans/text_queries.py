@@ -203,7 +203,7 @@ def claims(t):
 @query(
     "C19_source_type",
     """WITH k AS (SELECT d.doc_id, CASE d.doc_id % 6 WHEN 0 THEN 'https://GitHub.com/x' WHEN 1 THEN 'https://arxiv.org/abs/1' WHEN 2 THEN 'https://x.org/docs/a'
-            WHEN 3 THEN 'https://pypi.org/project/x' WHEN 4 THEN 'http://x.org' ELSE '/tmp/x' END AS ref, lower(substr(text, 1, 5000)) AS s FROM documents d),
+            WHEN 3 THEN 'https://pypi.org/project/x' WHEN 4 THEN 'http://x.org' ELSE '/tmp/x' END AS ref, lower(text) AS s FROM documents d),
     c AS (SELECT doc_id, CASE WHEN contains(lower(ref), 'github.com') OR contains(s, 'pyproject.toml') OR contains(s, 'package.json') THEN 'repo'
             WHEN contains(lower(ref), 'pypi.org/project') OR contains(lower(ref), 'npmjs.com/package') THEN 'package'
             WHEN contains(lower(ref), 'arxiv.org') OR contains(lower(ref), 'doi.org') THEN 'paper'
@@ -274,11 +274,11 @@ def concepts_sql(x: str, table) -> str:
 
 @query(
     "C23_concepts",
-    f"""WITH k AS (SELECT doc_id, lower(source || ' ' || lang || ' ' || substr(text, 1, 2000)) AS h, lower(text) AS low FROM documents)
+    f"""WITH k AS (SELECT doc_id, lower(source || ' ' || lang || ' ' || text) AS h, lower(text) AS low FROM documents)
     SELECT doc_id, {concepts_sql('h', T.CONCEPTS)} AS nodes, {concepts_sql('low', T.PROPOSAL_CONCEPTS)} AS proposed FROM k""",
 )
 def tagged(t):
-    head = F.lower(F.concat_ws(" ", "source", "lang", F.substring("text", 1, 2000)))  # the rule looks at the first 2000 characters
+    head = F.lower(F.concat_ws(" ", "source", "lang", "text"))
     return t.documents.select(
         "doc_id",
         F.array_join(T.concepts(head, T.CONCEPTS), " ").alias("nodes"),
