@@ -41,7 +41,7 @@ def mapped_conversions(rows: DataFrame, definitions: DataFrame, by: list[str]) -
     key = T.conversion_name(F.col("name"))
     first = Window.partitionBy("_key").orderBy("priority")
     d = definitions.select(key.alias("_key"), "weight", "priority").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "priority")
-    j = rows.withColumn("_key", T.conversion_name(F.col("conversion_name"))).join(F.broadcast(d), "_key", "left")
+    j = rows.withColumn("_key", T.conversion_name(F.col("conversion_name"))).join(d, "_key", "left")
     return j.groupBy(*by).agg(
         F.round(F.coalesce(F.sum(F.col("conversions") * F.col("weight")), F.lit(0.0)), 4).alias("conversions"),
         F.round(F.coalesce(F.sum(F.col("conversions_value") * F.col("weight")), F.lit(0.0)), 2).alias("conversion_value"),

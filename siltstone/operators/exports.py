@@ -56,6 +56,19 @@ def context_pack(cards: DataFrame, template: str) -> DataFrame:
     return cards.select("evidence_id", F.concat_ws("\n", *parts).alias("pack"))
 
 
+def capture_source_id(query_id: Column, client_id: Column, prefix: str = "src:reach-evidence") -> Column:
+    """The source that captures of one query's evidence for one client are versions of."""
+    digest = F.substring(F.sha2(F.concat_ws("|", query_id, client_id), 256), 1, 8)
+    return F.concat_ws(":", F.lit(prefix), query_id, client_id, digest)
+
+
+def top_sources(sources: DataFrame, limit: int = 25) -> DataFrame:
+    """Sources in use, the most credible first, then the newest, as rows and lines of a reference list."""
+    used = sources.where("status != 'deprecated'").orderBy(F.desc("credibility_score"), F.desc("n"), "id").limit(limit)
+    line = F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(") (credibility "), F.col("credibility_score").cast("string"), F.lit(")"))
+    return used.select("id", "title", "credibility_score", line.alias("line"))
+
+
 def redacted(config: Column) -> Column:
     """A map of settings without secrets: keys that speak of one lose their value unless they name a variable."""
     secret = lambda k: F.lower(k).rlike("|".join(SECRET)) & ~F.lower(k).endswith("_env")

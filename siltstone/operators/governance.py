@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 
 # Statuses under which evidence is live.
 LIVE = ("active", "accepted", "fresh", "ok", "not_required", "")
@@ -19,8 +24,8 @@ def matching_anchors(requests: DataFrame, anchors: DataFrame) -> DataFrame:
     a = anchors.where("status = 'active'").withColumn(
         "specificity", (F.col("scope_claim_type") != "*").cast("int") + (F.col("scope_client_id") != "*").cast("int")
     )
-    r = requests.withColumn("_type", F.explode(F.array(F.col("claim_type"), F.lit("*"))))
-    hit = r.join(F.broadcast(a), F.col("_type") == F.col("scope_claim_type")).where((F.col("scope_client_id") == "*") | (F.col("scope_client_id") == F.col("client_id")))
+    r = requests.withColumn("_type", F.explode(F.array_distinct(F.array(F.col("claim_type"), F.lit("*")))))
+    hit = r.join(a, F.col("_type") == F.col("scope_claim_type")).where((F.col("scope_client_id") == "*") | (F.col("scope_client_id") == F.col("client_id")))
     w = Window.partitionBy("request_id").orderBy(F.desc("specificity"), "anchor_id")
     best = hit.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     cols = [c for c in a.columns if c not in ("status",)]
@@ -63,6 +68,68 @@ def policy(rows: DataFrame) -> DataFrame:
     return rows.select("request_id", T.worst_decision(*steps).alias("policy"))
 
 
+def canonical_json(values: Column) -> Column:
+    """A map of strings as JSON with sorted keys and no spaces; equal maps have equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def canonical_hash(values: Column) -> Column:
+    return F.sha2(canonical_json(values), 256)
+
+
+def _linked(names: list[str], chain: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by chain and order; each takes the receipt before it, and only that is carried on."""
+        at, seq, before = None, 0, ""
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, c) for c in chain)
+                if key != at:
+                    at, seq, before = key, int(row.last_seq), row.last_receipt
+                seq += 1
+                link = "|".join((row.event_type, row.actor, row.payload_hash, before))
+                new = hashlib.sha256(link.encode()).hexdigest()
+                out.append((*key, seq, row.event_type, row.actor, row.payload, row.payload_hash, before, new))
+                before = new
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def append_events(ledger: DataFrame, events: DataFrame, chain: str, order: list[str]) -> DataFrame:
+    """Receipts of new events (chain, event_type, actor, payload, order...) that go on where each chain of the ledger ends.
+
+    A receipt depends on the one before, so a chain's new events pass through one task in order; nothing but the last receipt
+    is held, and chains are spread over tasks. Events must have actors, types and payloads.
+    """
+    names = [chain, "seq", "event_type", "actor", "payload", "payload_hash", "previous_hash", "receipt_hash"]
+    ends = ledger.groupBy(chain).agg(F.max(F.struct("seq", "receipt_hash")).alias("e")).select(chain, F.col("e.seq").alias("last_seq"), F.col("e.receipt_hash").alias("last_receipt"))
+    rows = events.join(ends, chain, "left").withColumns(
+        {"payload_hash": F.sha2("payload", 256), "last_seq": F.coalesce("last_seq", F.lit(0)).cast("long"), "last_receipt": F.coalesce("last_receipt", F.lit(""))}
+    )
+    kind = dict(events.dtypes)[chain]
+    schema = f"{chain} {kind}, seq long, event_type string, actor string, payload string, payload_hash string, previous_hash string, receipt_hash string"
+    return rows.repartition(chain).sortWithinPartitions(chain, *order).mapInPandas(_linked(names, [chain]), schema)
+
+
+def export_gates(conflicts: DataFrame, checked: DataFrame, severity: str = "high", result: str = "error") -> DataFrame:
+    """(gate, blocking, passes): unresolved conflicts of a severity or worse, and checks of a result or worse, each shut an export."""
+    worse = {"high": ("high",), "medium": ("high", "medium"), "low": ("high", "medium", "low")}[severity]
+    failing = {"error": ("error",), "warn": ("error", "warn")}[result]
+    open_ = conflicts.agg(F.count_if(F.col("status").isin("open", "acknowledged") & F.col("severity").isin(*worse)).alias("blocking"))
+    bad = checked.agg(F.count_if(F.col("result").isin(*failing)).alias("blocking"))
+    one = lambda df, name: df.select(F.lit(name).alias("gate"), "blocking", (F.col("blocking") == 0).alias("passes"))
+    return one(open_, "open_conflicts").unionByName(one(bad, "governance_checks"))
+
+
+def require_open_gates(gates: DataFrame) -> None:
+    """Raise unless every gate passes; a gate is one row."""
+    shut = [f"{r.gate} ({r.blocking})" for r in gates.where("not passes").orderBy("gate").collect()]
+    if shut:
+        raise PermissionError(f"export refused: {', '.join(shut)}")
+
+
 def receipt(event_type: Column, actor: Column, payload_hash: Column, previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", event_type, actor, payload_hash, previous), 256)
 
@@ -103,3 +170,6 @@ def checks(*rows: tuple[str, DataFrame, Column, Column]) -> DataFrame:
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+ship(__name__)

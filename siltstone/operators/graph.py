@@ -105,6 +105,42 @@ def hint_scores(nodes: DataFrame, query: str, tokens: list[str], limit: int = 8)
     return rows.orderBy(F.col("score").desc(), "type", "name", "id").limit(limit)
 
 
+def node_hints(nodes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, node_id, name, type, score): the best graph hints of each query (query_id, text), scored as in ``hint_scores``."""
+    q = queries.select("query_id", F.lower("text").alias("q"), T.fts_terms(F.col("text"), 8).alias("tokens"))
+    live = nodes.where(T.is_live(F.col("status"))).select("id", "name", "type", *(F.lower(c).alias(f"_{c}") for c in ("id", "name", "summary")))
+    named = lambda w: F.contains(F.col("_name"), w) | F.contains(F.col("_id"), w)
+    told = lambda w: F.contains(F.col("_summary"), w)
+    each = F.aggregate("tokens", F.lit(0.0), lambda s, w: s + F.when(named(w), 2.0).otherwise(0.0) + F.when(told(w), 0.5).otherwise(0.0))
+    hit = F.contains("_name", "q") | told(F.col("q")) | F.exists("tokens", lambda w: F.contains(F.col("_name"), w) | told(w))
+    four = F.when(F.col("type").isin("runtime", "tool", "concept", "failure_mode"), 0.4).otherwise(0.0)
+    rows = live.crossJoin(q).where(hit).withColumn("score", F.when(named(F.col("q")), 8.0).otherwise(0.0) + each + four)  # a stated query set
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "type", "name", "id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", F.col("id").alias("node_id"), "name", "type", "score", "rank")
+
+
+def library_nodes(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """Nodes of a library: for each type its rows and the columns of key, name and summary; ids are ``type:key``."""
+    out = None
+    for kind, (rows, key, name, summary) in tables.items():
+        one = rows.select(
+            F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("type"), F.col(name).alias("name"),
+            F.coalesce(F.col(summary), F.lit("")).alias("summary"), F.lit("active").alias("status"), F.lit("medium").alias("confidence"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out.dropDuplicates(["id"])
+
+
+def library_edges(bridges: list[tuple[DataFrame, str, str, str, str, str]]) -> DataFrame:
+    """Edges of bridge tables: (rows, source type, source column, relation, target type, target column), each once."""
+    out = None
+    for rows, source, source_key, relation, target, target_key in bridges:
+        end = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+        one = rows.select(end(source, source_key).alias("source_id"), F.lit(relation).alias("relation"), end(target, target_key).alias("target_id"))
+        out = one if out is None else out.unionByName(one)
+    return out.where("source_id is not null and target_id is not null").distinct()
+
+
 def counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 
 # An entity's words, and for each relation its verbs and what stands before them.
 WORD = r"[A-Z][A-Za-z0-9&'-]*"
@@ -50,6 +54,24 @@ def ontology(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "predicate string, aliases array<string>, subject_types array<string>, object_types array<string>, cardinality string")
 
 
+def extract_with(chunks: DataFrame, extractor: Callable[[str], list[tuple[str, str, str, float]]]) -> DataFrame:
+    """Relations by a function of one text that gives (subject, predicate, object, confidence); types follow from names and predicates."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *claim) for i, text in zip(pdf["chunk_id"], pdf["text"]) for claim in extractor(text or "")]
+            yield pd.DataFrame(rows, columns=["chunk_id", "subject", "predicate", "object", "confidence"])
+
+    kind = dict(chunks.dtypes)["chunk_id"]
+    rows = chunks.select("chunk_id", "text").mapInPandas(run, f"chunk_id {kind}, subject string, predicate string, object string, confidence double")
+    return rows.select(
+        "chunk_id", "subject", "predicate", "object",
+        T.entity_type(F.col("subject"), F.col("predicate"), "subject").alias("subject_type"),
+        T.entity_type(F.col("object"), F.col("predicate"), "object").alias("object_type"),
+        "confidence",
+    )
+
+
 def extract_relations(chunks: DataFrame) -> DataFrame:
     """(chunk_id, subject, predicate, object, subject_type, object_type, confidence), one row for each match.
 
@@ -78,7 +100,7 @@ def normalize_predicate(rows: DataFrame, terms: DataFrame, column: str = "predic
     """A predicate's alias becomes its id; others become words joined by underscores."""
     known = terms.select(F.col("predicate").alias("_id"), F.explode(F.array_union("aliases", F.array("predicate"))).alias("_alias")).distinct()
     low = F.lower(F.trim(F.col(column)))
-    out = rows.join(F.broadcast(known), low == F.col("_alias"), "left")
+    out = rows.join(known, low == F.col("_alias"), "left")
     return out.withColumn(column, F.coalesce("_id", F.regexp_replace(low, "[ -]+", "_"))).drop("_id", "_alias")
 
 
@@ -89,7 +111,7 @@ def promote(candidates: DataFrame, terms: DataFrame, accepted: DataFrame | None
     subject (by confidence, then id) and none that differs was accepted before.
     """
     key = T.normalize_entity(F.col("subject"))
-    rows = candidates.join(F.broadcast(terms.drop("aliases")), "predicate", "left").withColumns({"skey": key, "okey": F.lower("object")})
+    rows = candidates.join(terms.drop("aliases"), "predicate", "left").withColumns({"skey": key, "okey": F.lower("object")})
     reason = (
         F.when(F.col("cardinality").isNull(), F.lit("unknown_predicate"))
         .when(F.col("confidence") < min_confidence, F.lit("low_confidence"))
@@ -127,3 +149,6 @@ def shared_relations(edges: DataFrame, left: str, right: str) -> DataFrame:
         .agg(F.max("confidence").alias(x))
     )
     return side(left, "left_confidence").join(side(right, "right_confidence"), ["predicate", "object_key"])
+
+
+ship(__name__)

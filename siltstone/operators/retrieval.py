@@ -186,8 +186,20 @@ def merged_modes(k: int, **modes: DataFrame) -> DataFrame:
 
 def with_sources(hits: DataFrame, chunks: DataFrame, sources: DataFrame, key: str = "chunk_id", how: str = "inner") -> DataFrame:
     """Hits with their chunk's title and their source's, for active chunks; ``left`` keeps hits whose source is unknown."""
+    active = chunks.where("status = 'active'").select(F.col("chunk_id").alias(key), "title", "source_id")
+    rows = source_of(hits.join(active, key), sources)
+    return rows if how == "left" else rows.where("source_title is not null")
+
+
+def source_of(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's title and credibility; rows of unknown sources stay."""
     src = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.col("credibility_score").alias("source_credibility"))
-    return hits.join(chunks.where("status = 'active'").select(F.col("chunk_id").alias(key), "title", "source_id"), key).join(src, "source_id", how)
+    return rows.join(src, "source_id", "left")
+
+
+def located(rows: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Mentions or edges with the chunk they point at and its source; they survive where either is gone."""
+    return source_of(rows.join(chunks.select("chunk_id", "title", "source_id"), "chunk_id", "left"), sources)
 
 
 def keyword_chunks(chunks: DataFrame, term: str) -> DataFrame:

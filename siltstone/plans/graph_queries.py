@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import exports as X
+from ..operators import governance as V
 from ..operators import graph as G
 from ..operators import ledger as L
 from .registry import query
@@ -93,16 +95,13 @@ def distances(t):
 
 @query("F01_type_counts", f"WITH {ctes('nodes')} SELECT type, status, count(*) AS n FROM nodes GROUP BY type, status")
 def type_counts(t):
-    return view(t, "nodes").groupBy("type", "status").agg(F.count("*").alias("n"))
+    both = G.counts(view(t, "nodes").withColumn("kind", F.concat_ws("|", "type", "status")), "kind")
+    return both.select(F.split("kind", r"\|")[0].alias("type"), F.split("kind", r"\|")[1].alias("status"), "n")
 
 
 @query("F02_table_counts", f"WITH {ctes('nodes', 'edges', 'sources')} SELECT 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'embedded', count(*) FROM embeddings")
 def table_counts(t):
-    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    out = one("nodes", view(t, "nodes"))
-    for name, df in (("edges", view(t, "edges")), ("sources", view(t, "sources")), ("embedded", t.embeddings)):
-        out = out.unionByName(one(name, df))
-    return out
+    return L.table_counts({"nodes": view(t, "nodes"), "edges": view(t, "edges"), "sources": view(t, "sources"), "embedded": t.embeddings})
 
 
 @query("F03_joined_tags", f"WITH {ctes('tags')} SELECT node_id, string_agg(DISTINCT tag, ', ' ORDER BY tag) AS tags FROM tags GROUP BY node_id")
@@ -136,13 +135,23 @@ def mermaid(t):
 
 @query("B10_conflict_notes", f"WITH {ctes('conflicts')} SELECT conflict_id, conflict_type, severity FROM conflicts WHERE status IN ('open', 'acknowledged') ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, conflict_id DESC LIMIT 20")
 def conflict_notes(t):
-    rows = view(t, "conflicts").where(F.col("status").isin(*L.UNRESOLVED))
-    return rows.orderBy(L.severity_rank(F.col("severity")), F.desc("conflict_id")).limit(20).select("conflict_id", "conflict_type", "severity")
+    rows = L.listed(view(t, "conflicts"), [L.severity_rank(F.col("severity")), F.desc("conflict_id")], 20, F.col("status").isin(*L.UNRESOLVED))
+    return rows.select("conflict_id", "conflict_type", "severity")
 
 
-@query("B09_top_sources", f"WITH {ctes('sources')} SELECT id, title, credibility_score FROM sources WHERE status <> 'deprecated' ORDER BY credibility_score DESC, n DESC, id LIMIT 10")
+@query("B09_top_sources", f"WITH {ctes('sources')} SELECT id, title, credibility_score, '- [' || title || '](' || url || ') (credibility ' || credibility_score || ')' AS line FROM sources WHERE status <> 'deprecated' ORDER BY credibility_score DESC, n DESC, id LIMIT 10")
 def top_sources(t):
-    return view(t, "sources").where("status != 'deprecated'").orderBy(F.desc("credibility_score"), F.desc("n"), "id").limit(10).select("id", "title", "credibility_score")
+    return X.top_sources(view(t, "sources"), 10)
+
+
+@query(
+    "B11_export_gates",
+    f"""WITH {ctes('conflicts')} SELECT 'open_conflicts' AS gate, count(*) FILTER (status IN ('open', 'acknowledged') AND severity = 'high') AS blocking, count(*) FILTER (status IN ('open', 'acknowledged') AND severity = 'high') = 0 AS passes FROM conflicts
+    UNION ALL SELECT 'governance_checks', CASE WHEN count(*) FILTER (text = '') > 0 THEN 1 ELSE 0 END, count(*) FILTER (text = '') = 0 FROM documents""",
+)
+def gates(t):
+    checked = V.checks(("texts", t.documents, F.col("text") == "", F.length("text") < 10))
+    return V.export_gates(view(t, "conflicts"), checked)
 
 
 @query("E19_missing_nodes", f"WITH {ctes('edges', 'nodes')}, k AS (SELECT * FROM nodes WHERE status <> 'deprecated'), e AS (SELECT source_id AS id FROM edges UNION SELECT target_id FROM edges) SELECT id FROM e WHERE id NOT IN (SELECT id FROM k)")
@@ -205,9 +214,12 @@ def duplicate_sources(t):
 @query(
     "E14_duplicate_entities",
     f"""WITH {ctes('nodes', 'aliases')}, l AS (SELECT * FROM nodes WHERE status IN ('active', 'provisional')),
-    k AS (SELECT DISTINCT id, type || '|' || key AS key FROM (SELECT id, type, {without('name', T.NAME_STOP)} AS key FROM l UNION ALL SELECT l.id, l.type, {without('a.alias', T.NAME_STOP)} FROM l JOIN aliases a ON a.node_id = l.id) WHERE key <> ''),
-    f AS (SELECT key, min(id) AS keep_id FROM k GROUP BY key HAVING count(*) > 1)
-    SELECT DISTINCT keep_id, id FROM k JOIN f USING (key) WHERE id <> keep_id""",
+    m AS (SELECT id, type, {without('name', T.NAME_STOP)} AS key FROM l),
+    k AS (SELECT DISTINCT id, type || '|' || key AS key FROM (SELECT id, type, key FROM m UNION ALL SELECT l.id, l.type, {without('a.alias', T.NAME_STOP)} FROM l JOIN aliases a ON a.node_id = l.id) WHERE key <> ''),
+    f AS (SELECT key, min(id) AS keep_id FROM k GROUP BY key HAVING count(*) > 1), r AS (SELECT type, key, min(id) AS first FROM m WHERE key <> '' GROUP BY type, key)
+    SELECT DISTINCT keep_id, id FROM k JOIN f USING (key) WHERE id <> keep_id
+    UNION SELECT least(x.first, y.first), greatest(x.first, y.first) FROM r x JOIN r y ON x.type = y.type AND x.key < y.key AND abs(length(x.key) - length(y.key)) <= 0.1 * greatest(length(x.key), length(y.key)) + 1e-9
+        AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.90""",
 )
 def duplicate_entities(t):
     return L.duplicate_entities(view(t, "nodes"), view(t, "aliases"))
@@ -234,11 +246,24 @@ def _incoming(t):
 
 @query(
     "L01_upsert_nodes",
-    f"""WITH {ctes('nodes')}, i AS ({_INCOMING}) SELECT coalesce(i.id, n.id) AS id, coalesce(i.type, n.type) AS type, coalesce(i.name, n.name) AS name,
-    coalesce(i.summary, n.summary) AS summary, coalesce(n.status, i.status) AS status, coalesce(i.confidence, n.confidence) AS confidence FROM nodes n FULL JOIN i ON i.id = n.id""",
+    f"""WITH {ctes('nodes')}, i AS (SELECT * FROM ({_INCOMING}) UNION ALL SELECT id, type, name, 'also changed', status, confidence FROM ({_INCOMING})),
+    p AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY id ORDER BY summary DESC) = 1)
+    SELECT coalesce(i.id, n.id) AS id, coalesce(i.type, n.type) AS type, coalesce(i.name, n.name) AS name,
+    coalesce(i.summary, n.summary) AS summary, coalesce(n.status, i.status) AS status, coalesce(i.confidence, n.confidence) AS confidence FROM nodes n FULL JOIN p i ON i.id = n.id""",
 )
 def upserted(t):
-    return L.upsert(view(t, "nodes"), _incoming(t), ["id"], keep=["status"])
+    twice = _incoming(t).unionByName(_incoming(t).withColumn("summary", F.lit("also changed")))
+    return L.upsert(view(t, "nodes"), twice, ["id"], order=[F.col("summary")], keep=["status"])
+
+
+@query(
+    "L01_rewritten_aliases",
+    f"""WITH {ctes('aliases')}, i AS ({_INCOMING}) SELECT node_id, alias FROM aliases WHERE node_id NOT IN (SELECT id FROM i) UNION SELECT id, 'also ' || name FROM i WHERE type = 'account'""",
+)
+def rewritten(t):
+    new = _incoming(t).where("type = 'account'").select(F.col("id").alias("node_id"), F.concat(F.lit("also "), "name").alias("alias"))
+    state = {k: view(t, k) for k in ("nodes", "aliases", "tags")}
+    return L.upsert_nodes(state, {"nodes": _incoming(t), "aliases": new})["aliases"]
 
 
 @query("L17_insert_missing", f"WITH {ctes('nodes')}, i AS ({_INCOMING}) SELECT * FROM nodes UNION ALL SELECT * FROM i WHERE id NOT IN (SELECT id FROM nodes)")

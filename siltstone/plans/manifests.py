@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as V
@@ -109,6 +109,42 @@ class Client:
         return out + [f"unknown metric {m}" for m in self.metrics if m not in METRICS]
 
 
+def missing_fields(mapped: DataFrame, required: dict[str, tuple[str, ...]] = OBJECT_FIELDS) -> DataFrame:
+    """(client_id, object, field, problem) of field maps (client_id, object, field): unknown objects, and required fields not mapped."""
+    spark = mapped.sparkSession
+    need = spark.createDataFrame([(o, f) for o, fs in required.items() for f in fs], "object string, field string")
+    objects = mapped.select("client_id", "object").distinct()
+    known = need.select("object").distinct()
+    odd = objects.join(known, "object", "left_anti").select("client_id", "object", F.lit("").alias("field"), F.lit("unknown object").alias("problem"))
+    lack = objects.join(need, "object").join(mapped, ["client_id", "object", "field"], "left_anti")
+    return odd.unionByName(lack.select("client_id", "object", "field", F.lit("missing field").alias("problem")))
+
+
+CLIENT = "client_id string, systems map<string,array<string>>, field_map map<string,map<string,string>>, metrics array<string>, status string, read_only boolean"
+
+
+def save_clients(spark: SparkSession, clients: list[Client], path: str) -> None:
+    """Write clients, which are configuration, as one small table; ids must be unique and all clients valid."""
+    ids = [c.client_id for c in clients]
+    if len(set(ids)) < len(ids):
+        raise ValueError("client ids must be unique")
+    rows = [(c.client_id, c.systems, c.field_map, sorted(c.metrics), c.status, c.read_only) for c in clients]
+    spark.createDataFrame(rows, CLIENT).write.mode("overwrite").json(path)
+
+
+def load_clients(spark: SparkSession, path: str) -> list[Client]:
+    rows = spark.read.schema(CLIENT).json(path).orderBy("client_id").collect()
+    return [Client(r.client_id, r.systems, r.field_map or {}, {m: {} for m in r.metrics or []}, r.status, r.read_only) for r in rows]
+
+
+def refreshed(card: DataFrame, clients: list[Client], connectors: dict[str, Connector], fresh_at: str) -> DataFrame:
+    """A new card for one stored card (query_id, client_id, parameters): its contract is run again with its own parameters."""
+    old = card.select("query_id", "client_id", "parameters").first()
+    only = [c for c in clients if c.client_id == old.client_id]
+    rows, _ = run(BUILTIN[old.query_id], only, connectors, old.parameters)
+    return evidence_cards(BUILTIN[old.query_id], rows, fresh_at, parameters=old.parameters)
+
+
 def run(manifest: Manifest, clients: list[Client], connectors: dict[str, Connector], parameters: dict[str, str], collect_errors: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """Long metrics (client_id, kind, provider, metric, value) of all clients as one plan, and the clients' errors.
 
@@ -145,8 +181,8 @@ def run(manifest: Manifest, clients: list[Client], connectors: dict[str, Connect
     return out, failed
 
 
-def evidence_cards(manifest: Manifest, metrics: DataFrame, fresh_at: str, partial: bool = False) -> DataFrame:
-    """One card for each client: id, selected metrics with their providers, conflicts, quality and score."""
+def evidence_cards(manifest: Manifest, metrics: DataFrame, fresh_at: str, partial: bool = False, parameters: dict[str, str] | None = None) -> DataFrame:
+    """One card for each client: id, selected metrics with their providers, conflicts, quality, score and the run's parameters."""
     chosen = V.selected_metrics(metrics, list(manifest.source_priority))
     body = chosen.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("metric", "value", "provider"))).alias("metrics"))
     found = V.reconcile(metrics).where(F.col("conflict_type").isin(*manifest.conflict_checks or [""])).withColumn("status", F.lit("open"))
@@ -158,4 +194,5 @@ def evidence_cards(manifest: Manifest, metrics: DataFrame, fresh_at: str, partia
         F.concat_ws(":", F.lit("ev"), F.lit(manifest.id), "client_id", digest).alias("evidence_id"),
         "client_id", F.lit(manifest.id).alias("query_id"), F.lit(fresh_at).cast("timestamp").alias("fresh_at"),
         "metrics", F.coalesce("conflicts", F.array().cast("array<string>")).alias("conflicts"), "quality", "score",
+        F.create_map(*(F.lit(x) for kv in sorted((parameters or {}).items()) for x in kv)).cast("map<string,string>").alias("parameters"),
     )

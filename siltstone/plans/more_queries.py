@@ -6,12 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunking as C
 from ..operators import evidence as V
 from ..operators import exports as X
+from ..operators import governance as W
+from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import retrieval as R
 from ..sources import connectors as K
-from ..sources import readers
+from ..sources import readers, sinks
+from ..shared import scratch
 from ..streaming import incremental as S
 from . import manifests as N
 from .evidence_queries import _MET, _metrics
@@ -133,9 +137,58 @@ def ads_window(t):
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("A36_graph_nodes", f"WITH {ctes('nodes')} SELECT id, type, name, status FROM nodes")
+@query(
+    "A36_graph_nodes",
+    """SELECT 'concept:' || r_regionkey AS id, 'concept' AS type, r_name AS name, 'active' AS status FROM region UNION ALL SELECT 'source:' || n_nationkey, 'source', n_name, 'active' FROM nation
+    UNION ALL SELECT 'claim:' || s_suppkey, 'claim', s_name, 'active' FROM supplier""",
+)
 def graph_nodes(t):
-    return view(t, "nodes").select("id", "type", "name", "status")
+    tables = {"concept": (t.region, "r_regionkey", "r_name", "r_name"), "source": (t.nation, "n_nationkey", "n_name", "n_name"), "claim": (t.supplier, "s_suppkey", "s_name", "s_name")}
+    return G.library_nodes(tables).select("id", "type", "name", "status")
+
+
+@query(
+    "A36_graph_edges",
+    """SELECT 'source:' || n_nationkey AS source_id, 'documents' AS relation, 'concept:' || n_regionkey AS target_id FROM nation
+    UNION SELECT 'source:' || s_nationkey, 'supports', 'claim:' || s_suppkey FROM supplier""",
+)
+def graph_edges(t):
+    documents = (t.nation, "source", "n_nationkey", "documents", "concept", "n_regionkey")
+    return G.library_edges([documents, (t.supplier, "source", "s_nationkey", "supports", "claim", "s_suppkey")])
+
+
+@query("B01_captures", r"SELECT 'src:' || source AS source_id, count(*) AS n FROM (SELECT DISTINCT source, sha256(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) FROM documents) GROUP BY 1")
+def capture_sink(t):
+    """Captures of every document, written in two runs of which the second holds the first; a text is one version of its source."""
+    root = scratch(t.spark, "captures")
+    rows = t.documents.select(
+        F.concat(F.lit("src:"), "source").alias("source_id"), F.lit("").alias("url"), F.lit(None).cast("string").alias("title"), "text", F.lit("2024-02-10").cast("timestamp").alias("captured_at")
+    )
+    sinks.capture(rows.where("source < 'src5'"), root)
+    sinks.capture(rows, root)
+    return t.spark.read.parquet(f"{root}/captures").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query("C35_canonical_json", """SELECT event_id, '{"a":"' || event_type || '","b":"' || user_id || '"}' AS json, sha256('{"a":"' || event_type || '","b":"' || user_id || '"}') AS hash FROM events""")
+def canonical(t):
+    values = F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"))
+    return t.events.select("event_id", W.canonical_json(values).alias("json"), W.canonical_hash(values).alias("hash"))
+
+
+@query(
+    "M03_ledger_append",
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type, 'u' || user_id AS actor, sha256(CAST(event_id AS VARCHAR)) AS payload_hash FROM events),
+    r AS (SELECT user_id, seq, sha256(event_type || '|' || actor || '|' || payload_hash || '|') AS receipt_hash FROM e WHERE seq = 1
+          UNION ALL SELECT e.user_id, e.seq, sha256(e.event_type || '|' || e.actor || '|' || e.payload_hash || '|' || r.receipt_hash) FROM r JOIN e ON e.user_id = r.user_id AND e.seq = r.seq + 1)
+    SELECT user_id, seq, receipt_hash FROM r""",
+)
+def append(t):
+    """Receipts of all events, a chain for each user, appended in two runs."""
+    e = t.events.select("user_id", "event_id", "event_type", F.concat(F.lit("u"), "user_id").alias("actor"), F.col("event_id").cast("string").alias("payload"))
+    first = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    empty = t.spark.createDataFrame([], "user_id long, seq long, event_type string, actor string, payload string, payload_hash string, previous_hash string, receipt_hash string")
+    old = W.append_events(empty, first.where("rn <= 3"), "user_id", ["event_id"])
+    return old.unionByName(W.append_events(old, first.where("rn > 3"), "user_id", ["event_id"])).select("user_id", "seq", "receipt_hash")
 
 
 @query("B03_current_capture", "SELECT source AS source_id, count(*) AS captures, max(doc_id) AS current_capture FROM documents GROUP BY source")
@@ -154,28 +207,30 @@ def register(t):
 
 @query("E02_keyword_chunk_source", f"WITH {ctes('chunks', 'sources')} SELECT c.chunk_id, s.title AS source_title FROM chunks c JOIN sources s ON s.id = c.source_id WHERE c.status = 'active' AND list_contains(regexp_extract_all(lower(c.text), '{T.TOKEN}'), 'the')")
 def keyword_join(t):
-    c = view(t, "chunks").where("status = 'active'").where(F.array_contains(T.tokenize(F.col("text")), "the"))
-    s = view(t, "sources").select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
-    return c.join(s, "source_id").select("chunk_id", "source_title")
+    c = view(t, "chunks")
+    return R.with_sources(R.keyword_chunks(c, "the"), c, view(t, "sources")).select("chunk_id", "source_title")
 
 
-@query("E06_edge_evidence", "SELECT o_orderkey, o_orderpriority, l_partkey FROM orders LEFT JOIN (SELECT l_orderkey, max(l_partkey) AS l_partkey FROM lineitem WHERE l_quantity > 45 GROUP BY 1) l ON l_orderkey = o_orderkey")
+@query(
+    "E06_edge_evidence",
+    f"WITH {ctes('conflicts', 'chunks', 'sources')} SELECT k.conflict_id, c.title, s.title AS source_title FROM conflicts k LEFT JOIN chunks c ON c.chunk_id = k.object_id + 1 LEFT JOIN sources s ON s.id = c.source_id",
+)
 def edge_evidence(t):
-    ev = t.lineitem.where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_partkey").alias("l_partkey"))
-    return t.orders.join(ev, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "l_partkey")
+    """Rows that point at chunks keep their place where a chunk is gone."""
+    rows = view(t, "conflicts").select("conflict_id", (F.col("object_id") + 1).alias("chunk_id"))
+    return R.located(rows, view(t, "chunks"), view(t, "sources")).select("conflict_id", "title", "source_title")
 
 
 @query("E09_documents_with_chunks", "SELECT d.doc_id, count(e.vec_id) AS chunks FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.doc_id")
 def with_chunks(t):
-    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("one"))
-    return t.documents.select("doc_id").join(e, "doc_id", "left").groupBy("doc_id").agg(F.count("one").alias("chunks"))
+    return L.with_counts(t.documents.select("doc_id"), t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "chunks")
 
 
 @query("E21_semi_join", "SELECT count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10)")
 def semi(t):
     o = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     s = t.supplier.where("s_nationkey < 10").select(F.col("s_suppkey").alias("l_suppkey"))
-    return t.lineitem.join(o, "l_orderkey", "left_semi").join(s, "l_suppkey", "left_semi").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    return L.only_keys(L.only_keys(t.lineitem, o, "l_orderkey"), s, "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query("G02_best_per_key", "SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn = 1")
@@ -183,58 +238,61 @@ def best(t):
     return R.best_per_key(t.events, F.struct("event_type", "user_id"), [F.desc("value"), F.col("event_id")]).select("event_type", "user_id", "event_id", "value")
 
 
-@query("G04_previous_tail", "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 250), '') AS tail FROM conversations")
+@query("G04_previous_tail", "SELECT conv_id, turn, coalesce(regexp_replace(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 250), '^\\s+|\\s+$', '', 'g'), '') AS tail FROM conversations")
 def previous(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.coalesce(F.substring(F.lag("text").over(w), -250, 250), F.lit("")).alias("tail"))
+    tail = C.previous_tail("conv_id", "turn", 250)
+    return t.conversations.select("conv_id", "turn", F.coalesce(tail, F.lit("")).alias("tail"))
 
 
 @query("H02_severity_sort", f"WITH {ctes('conflicts')}, r AS (SELECT *, row_number() OVER (PARTITION BY conflict_type ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, conflict_id DESC) AS pos FROM conflicts WHERE status IN ('open', 'acknowledged')) SELECT conflict_type, conflict_id, pos FROM r")
 def severity(t):
-    w = Window.partitionBy("conflict_type").orderBy(L.severity_rank(F.col("severity")), F.desc("conflict_id"))
-    return view(t, "conflicts").where(F.col("status").isin(*L.UNRESOLVED)).select("conflict_type", "conflict_id", F.row_number().over(w).alias("pos"))
+    return L.conflict_listing(view(t, "conflicts"), "conflict_type").select("conflict_type", "conflict_id", "pos")
 
 
 @query("H03_source_sort", "SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey LIMIT 25")
 def source_sort(t):
-    return t.part.orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "p_size", "p_retailprice")
+    return L.listed(t.part, [F.desc("p_size"), F.desc("p_retailprice"), F.col("p_partkey")], 25).select("p_partkey", "p_size", "p_retailprice")
 
 
 @query("H07_ledger_list", "SELECT event_id, event_type, CAST(ts AS VARCHAR) IS NOT NULL AS dated FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
 def ledger_list(t):
-    return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "event_type", F.col("ts").isNotNull().alias("dated"))
+    return L.listed(t.events, [F.desc("ts"), F.desc("event_id")], 25).select("event_id", "event_type", F.col("ts").isNotNull().alias("dated"))
 
 
-@query("H08_detail", "SELECT o_orderkey, count(*) AS items, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("H08_detail", "SELECT o_orderkey, count(l_orderkey) AS items, coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def detail(t):
-    j = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("o_orderkey").agg(F.count("*").alias("items"), F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("lines"))
+    j = L.with_details(t.orders.select("o_orderkey"), t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "l_linenumber")
+    return j.select("o_orderkey", "items", F.array_join("details", ",").alias("lines"))
 
 
 @query("I02_distinct_objects", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")
 def distinct(t):
-    return t.lineitem.select("l_suppkey", "l_returnflag").distinct()
+    return L.changed_objects(t.lineitem, "l_suppkey", "l_returnflag")
 
 
-@query("I03_intersection", "SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2")
+@query("I03_intersection", "SELECT l_partkey, l_returnflag FROM lineitem WHERE l_suppkey % 2 = 1 INTERSECT SELECT l_partkey, l_returnflag FROM lineitem WHERE l_suppkey % 2 = 0")
 def intersection(t):
-    side = lambda k: t.lineitem.where(F.col("l_suppkey") == k).select("l_partkey")
-    return side(1).intersect(side(2))
+    side = lambda k: t.lineitem.where(F.col("l_suppkey") % 2 == k)
+    return L.shared_keys(side(1), side(0), ["l_partkey", "l_returnflag"])
 
 
-@query("I04_outer_merge", "WITH a AS (SELECT user_id, max(value) AS x FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, max(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b USING (user_id)")
+@query(
+    "I04_outer_merge",
+    """WITH a AS (SELECT event_type, user_id, max(value) AS x FROM events GROUP BY 1, 2), b AS (SELECT event_type, user_id % 7 * 3 AS user_id, count(*) AS y FROM events GROUP BY 1, 2),
+    u AS (SELECT event_type, user_id, x / CASE WHEN max(x) OVER (PARTITION BY event_type) > 0 THEN max(x) OVER (PARTITION BY event_type) ELSE 1 END AS x, 0.0 AS y FROM a
+          UNION ALL SELECT event_type, user_id, 0.0, y / max(y) OVER (PARTITION BY event_type) FROM b)
+    SELECT event_type, user_id, round(max(x), 6) AS vector, round(max(y), 6) AS keyword FROM u GROUP BY 1, 2""",
+)
 def outer_merge(t):
-    side = lambda kind, c: t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(F.max("value").alias(c))
-    return side("view", "x").join(side("purchase", "y"), "user_id", "full").select("user_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    a = t.events.groupBy("event_type", F.col("user_id").alias("doc_id")).agg(F.max("value").alias("score"))
+    b = t.events.groupBy("event_type", (F.col("user_id") % 7 * 3).alias("doc_id")).agg(F.count("*").cast("double").alias("score"))
+    return R.fuse(a, b, by="event_type").select("event_type", F.col("chunk_id").alias("user_id"), F.round("vector", 6).alias("vector"), F.round("keyword", 6).alias("keyword"))
 
 
 @query("J08_library_search", "SELECT 'part' AS name, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'build') UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE contains(lower(s_name), 'build') UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE contains(lower(c_mktsegment || ' ' || c_name), 'build')")
 def library(t):
-    def found(df, name, key, *cols):
-        return df.where(F.contains(F.lower(F.concat_ws(" ", *cols)), F.lit("build"))).select(F.lit(name).alias("name"), F.col(key).cast("string").alias("id"))
-
-    out = found(t.part, "part", "p_partkey", "p_name", "p_type", "p_brand").unionByName(found(t.supplier, "supplier", "s_suppkey", "s_name"))
-    return out.unionByName(found(t.customer, "customer", "c_custkey", "c_mktsegment", "c_name"))
+    tables = {"part": (t.part, "p_partkey", ["p_name", "p_type", "p_brand"]), "supplier": (t.supplier, "s_suppkey", ["s_name"]), "customer": (t.customer, "c_custkey", ["c_mktsegment", "c_name"])}
+    return R.search_records(tables, "Build")
 
 
 @query("K05_proposed_edges", f"WITH k AS (SELECT doc_id, lower(text) AS low FROM documents), u AS (SELECT 'doc:' || doc_id AS source_id, 'relates_to' AS relation, unnest([{', '.join(repr(c) for c in T.PROPOSAL_CONCEPTS)}]) AS target_id, unnest([{', '.join('(' + ' OR '.join(f'contains(low, {w!r})' for w in ws) + ')' for ws in T.PROPOSAL_CONCEPTS.values())}]) AS hit FROM k) SELECT * FROM u WHERE hit")
@@ -243,13 +301,17 @@ def proposed(t):
     return hits.select("source_id", F.lit("relates_to").alias("relation"), "target_id", F.lit(True).alias("hit"))
 
 
-@query("N06_field_map_check", "SELECT 'region' || r_regionkey AS object, 'amount' AS missing FROM region WHERE r_regionkey % 2 = 0")
+@query(
+    "N06_field_map_check",
+    """SELECT 'c' || n_nationkey AS client_id, 'contact' AS object, 'created_at' AS field, 'missing field' AS problem FROM nation WHERE n_nationkey % 2 = 0
+    UNION ALL SELECT 'c' || n_nationkey, 'ticket', '', 'unknown object' FROM nation WHERE n_nationkey % 3 = 0""",
+)
 def field_map(t):
-    """Required fields that a mapping lacks, as an anti-join to the catalogue of objects."""
-    objects = t.region.select(F.concat(F.lit("region"), "r_regionkey").alias("object"), F.col("r_regionkey"))
-    required = objects.select("object", F.explode(F.array(F.lit("id"), F.lit("amount"))).alias("missing"))
-    mapped = objects.select("object", F.explode(F.when(F.col("r_regionkey") % 2 == 0, F.array(F.lit("id"))).otherwise(F.array(F.lit("id"), F.lit("amount")))).alias("missing"))
-    return required.join(mapped, ["object", "missing"], "left_anti")
+    """Field maps of one client for each nation: a required field is not mapped by some, an unknown object is by others."""
+    client = F.concat(F.lit("c"), "n_nationkey").alias("client_id")
+    row = lambda where, obj, field: t.nation.where(where).select(client, F.lit(obj).alias("object"), F.lit(field).alias("field"))
+    maps = row("true", "contact", "id").unionByName(row("n_nationkey % 2 = 1", "contact", "created_at")).unionByName(row("n_nationkey % 3 = 0", "ticket", "id"))
+    return N.missing_fields(maps)
 
 
 @query("N10_stale_evidence", "SELECT event_id FROM events WHERE (epoch_us(TIMESTAMP '2024-02-10 12:00:00') - epoch_us(ts)) / 3600e6 > CASE event_type WHEN 'purchase' THEN 240 WHEN 'view' THEN 480 ELSE 800 END")

@@ -8,13 +8,17 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import entities as E
 from ..operators import evidence as V
+from ..operators import exports as X2
+from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import retrieval as R
+from ..operators import vectors as VEC
 from ..sources import connectors as K
 from ..sources import converters as X
 from ..sources import media as M
 from .evidence_queries import _EM, _accepted, _CANDS, _cands
 from .registry import query
+from .retrieval_queries import _ITEMS, _items, bm25_sql
 from .standins import ctes, view
 from .text_queries import strip
 
@@ -57,10 +61,14 @@ def mock(t):
     return K.MockSystem(t.spark, [r[0] for r in t.region.select("r_name").collect()]).metrics({})
 
 
-@query("B12_retrieval_log", f"WITH {_EM}, g AS (SELECT node_id, count(*) AS n FROM em GROUP BY 1) SELECT node_id AS query_id, n AS n_results, 'hybrid' AS mode FROM g")
+@query(
+    "B12_retrieval_log",
+    f"""WITH {bm25_sql(12, _ITEMS)} SELECT i.query_id, i.text, 'keyword' AS mode, count(doc_id) AS n_results, least(count(doc_id), 10) AS n_logged FROM ({_ITEMS}) i LEFT JOIN bm USING (query_id) GROUP BY 1, 2""",
+)
 def retrieval_log(t):
-    rows = _accepted(t).groupBy("node_id").agg(F.count("*").alias("n_results"))
-    return rows.select(F.col("node_id").alias("query_id"), "n_results", F.lit("hybrid").alias("mode"))
+    results = R.top_k(R.bm25(t.documents, _items(t), "doc_id", "text"), 1 << 30)
+    log = R.retrieval_log(results, _items(t), "keyword")
+    return log.select("query_id", "text", "mode", "n_results", F.size(F.from_json("payload", "array<struct<rank:int>>")).cast("long").alias("n_logged"))
 
 
 @query("D02_legacy_chunks")
@@ -74,10 +82,14 @@ def code_chunks(t):
     return C.chunk_rows(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("code").alias("strategy"))).select("doc_id", "chunk_index", "text_hash")
 
 
-@query("D06_json_values", "SELECT event_id, json_keys(props)[1] AS key, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
+@query(
+    "D06_json_values",
+    """SELECT event_id, json_keys(props)[1] AS key, '{' || chr(10) || '  "' || json_keys(props)[1] || '": ' || json_extract(props, '$.' || json_keys(props)[1]) || chr(10) || '}' AS text FROM events""",
+)
 def json_blocks(t):
-    m = F.from_json("props", "map<string,string>")
-    return t.events.select("event_id", F.explode(m)).select("event_id", "key", "value")
+    """A block for each top-level key, each a chunk of its own at a target that holds no two."""
+    rows = C.chunk_rows(t.events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"), F.lit("json").alias("strategy")), target=24, overlap=0)
+    return rows.select(F.col("doc_id").alias("event_id"), F.col("section").alias("key"), "text")
 
 
 @query(
@@ -98,21 +110,19 @@ def mentions(t):
 
 @query("E11_source_lookup", f"WITH {ctes('chunks', 'sources')} SELECT c.chunk_id, s.title AS source_title, s.credibility_score FROM chunks c LEFT JOIN sources s ON s.id = c.source_id AND s.status = 'active'")
 def source_lookup(t):
-    s = view(t, "sources").where("status = 'active'").select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "credibility_score")
-    return view(t, "chunks").join(s, "source_id", "left").select("chunk_id", "source_title", "credibility_score")
+    rows = R.source_of(view(t, "chunks"), view(t, "sources").where("status = 'active'"))
+    return rows.select("chunk_id", "source_title", F.col("source_credibility").alias("credibility_score"))
 
 
 @query("F17_tenant_counts", "SELECT source AS client_id, 'documents' AS name, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'src' || (conv_id % 20), 'turns', count(*) FROM conversations GROUP BY 1")
 def tenants(t):
-    a = t.documents.groupBy(F.col("source").alias("client_id")).agg(F.count("*").alias("n")).select("client_id", F.lit("documents").alias("name"), "n")
-    b = t.conversations.groupBy(F.concat(F.lit("src"), F.col("conv_id") % 20).alias("client_id")).agg(F.count("*").alias("n"))
-    return a.unionByName(b.select("client_id", F.lit("turns").alias("name"), "n"))
+    return L.table_counts({"documents": t.documents, "turns": t.conversations}, {"documents": F.col("source"), "turns": F.concat(F.lit("src"), F.col("conv_id") % 20)})
 
 
 @query("H06_hit_listing", "SELECT p_partkey, p_retailprice FROM part WHERE p_size > 10 AND p_brand = 'Brand#1' OR p_size > 10 AND p_brand LIKE 'Brand#2%' ORDER BY p_retailprice DESC, p_partkey LIMIT 30")
 def hit_listing(t):
-    rows = t.part.where((F.col("p_size") > 10) & ((F.col("p_brand") == "Brand#1") | F.col("p_brand").startswith("Brand#2")))
-    return rows.orderBy(F.desc("p_retailprice"), "p_partkey").limit(30).select("p_partkey", "p_retailprice")
+    open_ = (F.col("p_size") > 10) & ((F.col("p_brand") == "Brand#1") | F.col("p_brand").startswith("Brand#2"))
+    return L.listed(t.part, [F.desc("p_retailprice"), F.col("p_partkey")], 30, open_).select("p_partkey", "p_retailprice")
 
 
 @query(
@@ -185,18 +195,36 @@ def card_listing(t):
     return V.latest(cards, ["client_id", "query_id"]).select("client_id", "query_id", "evidence_id")
 
 
-@query("N12_capture_ids", "SELECT DISTINCT 'src:evidence:' || event_type || ':u' || user_id || ':' || substr(sha256(event_type || '|' || user_id), 1, 8) AS source_id FROM events")
+@query("N12_capture_ids", "SELECT DISTINCT 'src:reach-evidence:' || event_type || ':u' || user_id || ':' || substr(sha256(event_type || '|u' || user_id), 1, 8) AS source_id FROM events")
 def capture_ids(t):
-    user = F.concat(F.lit("u"), "user_id")
-    digest = F.substring(F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256), 1, 8)
-    return t.events.select(F.concat_ws(":", F.lit("src"), F.lit("evidence"), "event_type", user, digest).alias("source_id")).distinct()
+    return t.events.select(X2.capture_source_id(F.col("event_type"), F.concat(F.lit("u"), "user_id")).alias("source_id")).distinct()
+
 
+_NODE_HITS = f"""q AS (SELECT query_id, lower(text) AS q, regexp_extract_all(lower(text), '{T.TOKEN}')[1:8] AS tokens FROM (SELECT item_id AS query_id, left(text, 30) AS text FROM benchmark UNION ALL SELECT 1000 + r_regionkey, lower(r_name) FROM region)),
+    h AS (SELECT query_id, id, name, type, CASE WHEN contains(lower(name), q) OR contains(lower(id), q) THEN 8.0 ELSE 0.0 END + 2.0 * len(list_filter(tokens, lambda w: contains(lower(name), w) OR contains(lower(id), w)))
+          + 0.5 * len(list_filter(tokens, lambda w: contains(lower(summary), w))) + CASE WHEN type IN ('runtime', 'tool', 'concept', 'failure_mode') THEN 0.4 ELSE 0.0 END AS score
+          FROM nodes, q WHERE status IN ('active', 'provisional') AND (contains(lower(name), q) OR contains(lower(summary), q) OR len(list_filter(tokens, lambda w: contains(lower(name), w) OR contains(lower(summary), w))) > 0))"""
 
-@query("J03_hint_tokens", "SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_+\\-./]{1,}')[1:8] AS tokens FROM benchmark")
-def hint_tokens(t):
-    return t.benchmark.select("item_id", T.fts_terms(F.col("text"), 8).alias("tokens"))
+
+@query(
+    "J03_node_hints",
+    f"""WITH {ctes('nodes')}, {_NODE_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, type, name, id) AS rank FROM h)
+    SELECT query_id, id AS node_id, round(score, 6) AS score, rank FROM r WHERE rank <= 8""",
+)
+def node_hints(t):
+    """Graph hints for the first words of every benchmark passage and for every region's name."""
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.left("text", F.lit(30)).alias("text"))
+    q = q.unionByName(t.region.select((F.lit(1000) + F.col("r_regionkey")).alias("query_id"), F.lower("r_name").alias("text")))
+    return G.node_hints(view(t, "nodes"), q).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("D20_vector_neighbours", "SELECT a.label, count(*) AS n, round(avg(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 5) AS mean_square FROM embeddings a GROUP BY a.label")
-def neighbours(t):
-    return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(R.dot(F.col("embedding"), F.col("embedding"))), 5).alias("mean_square"))
+@query(
+    "D20_embed_job",
+    f"""SELECT doc_id, CASE WHEN vec_id IS NOT NULL THEN 64 ELSE 384 END AS dims, vec_id IS NOT NULL OR length(text) >= 4 OR regexp_matches(lower(text), '{T.TOKEN}') AS has_values FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+)
+def embed_job(t):
+    """Documents without a vector get one by the local model; those that have one keep it."""
+    have = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding").join(t.documents.select("doc_id"), "doc_id", "left_semi")
+    new = VEC.embed(VEC.pending(t.documents, have, "doc_id"), "doc_id", "text").select("doc_id", "embedding")
+    rows = L.insert_missing(have, new, ["doc_id"])
+    return rows.select("doc_id", F.size("embedding").alias("dims"), F.exists("embedding", lambda x: x != 0).alias("has_values"))

@@ -1,8 +1,10 @@
-"""Checkpoints in the shared folder that the session names."""
+"""Checkpoints and paths in the shared folder that the session names."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +19,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint()
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether a path exists, in any file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def scratch(spark, label: str) -> str:
+    """A fresh path in the shared folder, deleted when the process ends."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "").rstrip("/")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="siltstone-")
+    path = f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+
+    def clean() -> None:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM has gone already
+            pass
+
+    atexit.register(clean)
+    return path

@@ -117,6 +117,56 @@ class Warehouse:
         return build(source)
 
 
+@dataclass
+class Fetched:
+    """Rows of a paged interface; ``truncated`` tells that the page budget ended the reading."""
+
+    rows: DataFrame
+    pages: int
+    truncated: bool
+
+
+def read_cursor(spark: SparkSession, fetch: Callable[[str | None, int], tuple[list[tuple], str | None]], schema: str, page_size: int = 200, max_pages: int = 50) -> Fetched:
+    """Pages that name the next one by a cursor, read one after the other: at most ``page_size`` times ``max_pages`` rows.
+
+    ``fetch`` takes a cursor (None first) and a page size and returns rows and the next cursor. Pages known by number are read
+    in parallel by ``PagedSource``.
+    """
+    rows: list[tuple] = []
+    cursor, pages = None, 0
+    while pages < max_pages:
+        page, cursor = fetch(cursor, page_size)
+        rows, pages = rows + page[:page_size], pages + 1
+        if cursor is None:
+            break
+    return Fetched(spark.createDataFrame(rows, schema), pages, cursor is not None)
+
+
+def available() -> dict[str, type]:
+    """Connectors by name."""
+    return {"tables": CrmTables, "ads": AdsTable, "analytics": AnalyticsTable, "warehouse": Warehouse, "mock": MockSystem}
+
+
+def discover(spark: SparkSession, allowed: tuple[str, ...]) -> list[tuple[str, str, str]]:
+    """(table, column, type) of the allowed tables that exist, from the catalogue alone."""
+    return [(name, c.name, c.dataType) for name in sorted(allowed) if spark.catalog.tableExists(name) for c in spark.catalog.listColumns(name)]
+
+
+def setup_checks(connector: Connector, clients: list[str], live: bool = False) -> list[tuple[str, bool, str]]:
+    """(check, ok, detail) of a connector: its kind and tables by their schemas; with ``live`` also that it returns rows for clients."""
+    out = [("kind", bool(connector.kind), connector.kind)]
+    for name, value in vars(connector).items():
+        if isinstance(value, DataFrame):
+            out.append((f"{name}.client_id", "client_id" in value.columns, ", ".join(value.columns)))
+    if live:
+        try:
+            n = connector.metrics({}).where(F.col("client_id").isin(clients)).count()
+            out.append(("live", n > 0, f"{n} clients"))
+        except Exception as e:  # a check reports what a run would raise
+            out.append(("live", False, f"{type(e).__name__}: {e}"[:200]))
+    return out
+
+
 class PagedSource(DataSource):
     """A paged interface as a batch source: one partition for each page, read in parallel on the executors.
 

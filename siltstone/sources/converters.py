@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..shipping import ship
 from . import media
 from .units import unit_id
@@ -223,10 +224,8 @@ def xlsx(ref: str, body: bytes) -> list[Unit]:
 
 
 def pdf(ref: str, body: bytes) -> list[Unit]:
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return []
+    from pypdf import PdfReader  # optional; without it the file becomes a row with this error
+
     return [("page", t) for p in PdfReader(io.BytesIO(body)).pages if (t := (p.extract_text() or "").strip())]
 
 
@@ -272,6 +271,18 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     )
 
 
+def sidecar_units(files: DataFrame) -> DataFrame:
+    """Units of images, recordings and films whose text lies beside them: (source_ref, sidecar, unit_type, text).
+
+    ``files`` (path, content, media_type) holds the sidecars too; what needs recognition or transcription has no unit.
+    """
+    family = media.media_family(F.col("media_type"))
+    found = media.sidecar(files.where(family.isin("image", "audio", "video")), files)
+    text = T.strip(F.decode("content", "utf-8"))
+    body = files.select(F.col("path").alias("sidecar"), text.alias("text"))
+    return found.join(body, "sidecar").where("text != ''").select(F.col("path").alias("source_ref"), "sidecar", F.lit("sidecar").alias("unit_type"), "text")
+
+
 def html_text(html_col: Column) -> Column:
     """Text of a page by regular expressions only: a plain stand-in for the exact converter, without tables."""
     out = F.regexp_replace(html_col, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", " ")

@@ -30,6 +30,23 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.{md,txt}") ->
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_seed(spark: SparkSession, path: str, tables: dict[str, str]) -> dict[str, DataFrame]:
+    """Rows of the arrays of a JSON object, by name: for each table its schema; arrays that the file lacks are empty."""
+    whole = spark.read.text(path, wholetext=True)
+    schema = ", ".join(f"{name} array<struct<{fields}>>" for name, fields in tables.items())
+    data = whole.select(F.from_json("value", schema).alias("d"))
+    return {name: data.select(F.explode(F.col(f"d.{name}")).alias("r")).select("r.*") for name in tables}
+
+
+def read_checked(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """(path, length, problem) of the files (path, sha256) that a data set's manifest lists: missing and changed ones have a problem."""
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.substring("path", F.lit(1) + F.locate(folder.rstrip("/") + "/", F.col("path")) + F.lit(len(folder.rstrip("/"))), F.length("path"))
+    files = held.select(name.alias("path"), "length", F.sha2("content", 256).alias("found"))
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.lower("sha256"), "changed")
+    return manifest.join(files, "path", "left").select("path", "length", problem.alias("problem"))
+
+
 def within_manifest(listing: DataFrame, include: list[str], exclude: list[str], suffixes: list[str], max_bytes: int = 250_000) -> DataFrame:
     """Files (path, length) of a corpus: included and not excluded by glob, of a listed suffix, not too long."""
     any_ = lambda globs: F.lit(False) if not globs else F.col("path").rlike("|".join(glob_pattern(g) for g in globs))
