@@ -243,8 +243,8 @@ def near_duplicates(
     text_col: str = "text",
     percent: int = 75,
     small: int = 8,
-    block: int = 512,
-    block_items: int = 250_000,
+    block: int = 1024,
+    block_items: int = 500_000,
     salted: int = 256,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
