@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encode_decode
-from siltstone.llm.common import scratch, tokenizer_file, written
+from siltstone.llm.common import MADE, drop_path, scratch, tokenizer_file, written
 from siltstone.llm.exact_dedup import exact_groups
 from siltstone.llm.minhash import near_duplicates
 from siltstone.llm.mixing import mix
@@ -75,10 +75,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read back."""
+    """Apply the stages to ``documents``; each result is written as Parquet and read back.
+
+    Once a stage's result is written, what it was made from (the stage before and its scratch tables) is deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = set(MADE)
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        for done in set(MADE) - before - {path}:
+            drop_path(spark, done)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,11 +39,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+#: Scratch paths of this process that are still there.
+MADE: list[str] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; removed when the session's process ends."""
     path = f"{shared_dir(spark)}/siltstone-{label}-{uuid.uuid4().hex[:12]}"
+    MADE.append(path)
 
     def clean() -> None:
         try:
@@ -61,7 +68,7 @@ def written(df: DataFrame, label: str, made: list[str] | None = None) -> DataFra
     path = scratch(spark, label)
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -637,6 +637,22 @@ def test_pipeline_on_awkward_tables(spark, awkward, empty):
         assert docs.columns[:2] == ["doc_id", "n_tokens"]
 
 
+def test_pipeline_run_equals_its_stages_and_leaves_one_table(spark):
+    import corpus_pipeline as pipeline
+    from siltstone.llm.common import MADE
+
+    before = set(MADE)
+    got = sorted(map(tuple, pipeline.run(spark, DATA).collect()), key=repr)
+    left = {p.split("siltstone-")[-1].rsplit("-", 1)[0] for p in set(MADE) - before}
+    assert left == {"stage-mix_sources", "words"}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        path = scratch(spark, "test-stage")
+        stage(spark, docs, DATA).write.parquet(path)
+        docs = spark.read.parquet(path)
+    assert sorted(map(tuple, pipeline.STAGES[-1][1](spark, docs, DATA).collect()), key=repr) == got
+
+
 def test_pipeline_stages_decide_on_rows(spark):
     import corpus_pipeline as pipeline
 
