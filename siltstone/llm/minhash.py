@@ -271,8 +271,10 @@ def near_duplicates(
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (id, pivot, salt, ...) whose full sets are linked."""
         seen = pairs.select("pivot", "salt").distinct().join(sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
+        seen = seen.select(F.struct("pivot", "salt").alias("seat"), "pivot_items")  # one key: by the pivot alone, a hot pivot's groups would meet again
         schema = ", ".join(f"{c} long" for c in pairs.columns)
-        full = pairs.join(sets.select("id", "items"), "id").join(seen, ["pivot", "salt"]).select(*pairs.columns, "items", "pivot_items")
+        seated = pairs.join(sets.select("id", "items"), "id").withColumn("seat", F.struct("pivot", "salt"))
+        full = seated.join(seen, "seat").select(*pairs.columns, "items", "pivot_items")
         return full.mapInPandas(_check_pairs(percent), schema)
 
     # of the buckets that a member shares with its pivot, the largest tells into how many groups they are dealt
