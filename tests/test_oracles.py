@@ -34,4 +34,4 @@ def test_query(name, spark, duck):
     if name in all_sql():
         same(df, duck.execute(all_sql()[name]))
     else:
-        assert df.count() >= 0
+        assert df.count() > 0  # their values are held against plain versions in test_plain_versions.py

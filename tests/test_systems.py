@@ -6,10 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunking, exports, governance
+from siltstone.operators import chunking, exports, governance, ledger, relations
 from siltstone.plans import manifests as N
 from siltstone.sources import connectors as K
-from siltstone.sources import converters, media, readers
+from siltstone.sources import converters, media, readers, sinks
 from siltstone.streaming import incremental as S
 
 DATA = "/root/testdata/sf0.001"
@@ -156,3 +156,123 @@ def test_stream_reports_stale_sources(spark, tmp_path):
     S.run_to_table(stream(), f"{tmp_path}/out", f"{tmp_path}/check")
     got = {(r.source_id, r.status, r.n) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("source_id", "status").agg(F.count("*").alias("n")).collect()}
     assert got == {("quiet", "fresh", 1), ("quiet", "stale", 1), ("busy", "fresh", 4)}
+
+
+def captures(spark, *rows):
+    return spark.createDataFrame([(*r, dt.datetime(2024, 1, 1)) for r in rows], "source_id string, url string, title string, text string, captured_at timestamp")
+
+
+def test_captures_are_versions_of_their_source(spark, tmp_path):
+    root = str(tmp_path / "c")
+    new, _ = sinks.capture(captures(spark, ("a", "http://x", None, "# Head\n\nbody"), ("b", "", "t", "other"), ("b", "", "t", "other")), root)
+    assert new.count() == 2 and {r.title for r in new.collect()} == {"Head", "t"}
+    new, same = sinks.capture(captures(spark, ("a", "http://x", None, "# Head\n\nbody"), ("a", "", "t", "changed"), ("c", "", "t", "other")), root)
+    assert {(r.source_id, r.text) for r in new.collect()} == {("a", "changed"), ("c", "other")}
+    assert same.count() == 1 and spark.read.parquet(f"{root}/captures").count() == 4
+
+
+def test_cache_computes_a_body_once(spark, tmp_path):
+    seen, path = [], str(tmp_path / "k")
+
+    def compute(df):
+        seen.append(df.count())
+        return df.select("key", F.upper("body").alias("result"))
+
+    rows = spark.createDataFrame([("x",), ("x",), ("y",)], "body string").withColumn("key", sinks.cache_key(F.col("body"), "m"))
+    assert sinks.cached(rows, path, "key", compute).count() == 3
+    more = spark.createDataFrame([("x",), ("z",)], "body string").withColumn("key", sinks.cache_key(F.col("body"), "m"))
+    assert {(r.body, r.result) for r in sinks.cached(more, path, "key", compute).collect()} == {("x", "X"), ("z", "Z")} and seen == [2, 1]
+    assert rows.select(sinks.cache_key(F.col("body"), "n")).intersect(rows.select("key")).count() == 0
+
+
+def test_cards_are_refreshed_with_their_parameters(spark, tmp_path):
+    clients = [N.Client("acme", {"crm": ["mock"]}, field_map={"contact": {"id": "x", "created_at": "y"}}, metrics={"leads": {}}), N.Client("b", {"crm": ["mock"]})]
+    N.save_clients(spark, clients, str(tmp_path / "clients"))
+    loaded = N.load_clients(spark, str(tmp_path / "clients"))
+    assert loaded == clients
+    with pytest.raises(ValueError, match="unique"):
+        N.save_clients(spark, [clients[0], clients[0]], str(tmp_path / "clients"))
+    mock = {"mock": K.MockSystem(spark, ["acme", "b"])}
+    rows, _ = N.run(N.BUILTIN["pipeline_health"], loaded, mock, DAYS)
+    cards = N.evidence_cards(N.BUILTIN["pipeline_health"], rows, "2024-02-01 00:00:00", parameters=DAYS)
+    assert sinks.write_cards(cards, str(tmp_path)).count() == 2 and sinks.write_cards(cards, str(tmp_path)).count() == 0
+    stored = spark.read.parquet(str(tmp_path / "cards")).where("client_id = 'acme'")
+    again = N.refreshed(stored, loaded, mock, "2024-03-01 00:00:00").first()
+    assert again.client_id == "acme" and again.parameters == DAYS and again.evidence_id != stored.first().evidence_id and again.metrics == stored.first().metrics
+
+
+def test_export_gates(spark):
+    conflicts = spark.createDataFrame([("high", "resolved"), ("low", "open"), ("medium", "acknowledged")], "severity string, status string")
+    fine = spark.createDataFrame([("a", "ok"), ("b", "warn")], "check_name string, result string")
+    governance.require_open_gates(governance.export_gates(conflicts, fine))
+    for severity, result, word in (("medium", "error", "open_conflicts"), ("high", "warn", "governance_checks")):
+        with pytest.raises(PermissionError, match=word):
+            governance.require_open_gates(governance.export_gates(conflicts, fine, severity, result))
+
+
+def test_appended_events_verify(spark):
+    cols = "chain string, seq long, event_type string, actor string, payload string, payload_hash string, previous_hash string, receipt_hash string"
+    events = spark.createDataFrame([(c, i, "t", "me", f"{c}{i}") for c in "ab" for i in range(6)], "chain string, at int, event_type string, actor string, payload string")
+    old = governance.append_events(spark.createDataFrame([], cols), events.where("at < 4"), "chain", ["at"])
+    both = old.unionByName(governance.append_events(old, events.where("at >= 4"), "chain", ["at"]))
+    checked = governance.verify_chain(both, ["chain"]).collect()
+    assert len(checked) == 12 and {r.seq for r in checked} == set(range(1, 7))
+    assert not any(r.payload_mismatch or r.previous_mismatch or r.receipt_mismatch for r in checked)
+    one = spark.range(1).select(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("x y")).alias("m"))
+    assert one.select(governance.canonical_json(F.col("m"))).first()[0] == '{"a":"x y","b":"1"}'
+
+
+def test_cursor_pages_tell_when_they_were_cut(spark):
+    fetch = lambda cursor, size: ([(int(cursor or 0) * size + i,) for i in range(size)], None if cursor == "3" else str(int(cursor or 0) + 1))
+    whole = K.read_cursor(spark, fetch, "n long", page_size=5)
+    assert (whole.pages, whole.truncated, whole.rows.count()) == (4, False, 20)
+    part = K.read_cursor(spark, fetch, "n long", page_size=5, max_pages=2)
+    assert (part.pages, part.truncated) == (2, True) and sorted(r.n for r in part.rows.collect()) == list(range(10))
+
+
+def test_connectors_are_listed_discovered_and_checked(spark):
+    assert set(K.available()) == {"tables", "ads", "analytics", "warehouse", "mock"}
+    spark.range(3).createOrReplaceTempView("numbers")
+    assert K.discover(spark, ("numbers", "absent")) == [("numbers", "id", "bigint")]
+    ads = K.AdsTable(spark.createDataFrame([("c1", 5)], "client_id string, clicks long"))
+    assert [(n, ok) for n, ok, _ in K.setup_checks(ads, ["c1"])] == [("kind", True), ("rows.client_id", True)]
+    assert not dict((n, ok) for n, ok, _ in K.setup_checks(ads, ["c1"], live=True))["live"]
+    assert dict((n, ok) for n, ok, _ in K.setup_checks(K.MockSystem(spark, ["c1"]), ["c1"], live=True))["live"]
+
+
+def test_seeds_and_checked_folders(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "seed.json").write_text('{"sources": [{"id": "a", "score": 3},\n {"id": "b", "score": 4}], "other": [1]}')
+    seed = readers.read_seed(spark, str(tmp_path / "seed.json"), {"sources": "id:string,score:int", "claims": "id:string"})
+    assert sorted(map(tuple, seed["sources"].collect())) == [("a", 3), ("b", 4)] and seed["claims"].count() == 0
+    folder = tmp_path / "set"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x\n1\n")
+    (folder / "b.csv").write_text("changed")
+    good = hashlib.sha256(b"x\n1\n").hexdigest()
+    manifest = spark.createDataFrame([("a.csv", good.upper()), ("b.csv", good), ("c.csv", good)], "path string, sha256 string")
+    got = {r.path: r.problem for r in readers.read_checked(spark, str(folder), manifest).collect()}
+    assert got == {"a.csv": None, "b.csv": "changed", "c.csv": "missing"}
+
+
+def test_sidecars_stand_for_media_and_pdf_without_reader_is_an_error(spark):
+    png, pdf = "image/png", "application/pdf"
+    files = spark.createDataFrame(
+        [("/m/a.png", b"..", png), ("/m/a.txt", b" words \n", "text/plain"), ("/m/b.png", b"..", png), ("/m/c.pdf", b"%PDF", pdf)], "path string, content binary, media_type string"
+    )
+    assert [tuple(r) for r in converters.sidecar_units(files).collect()] == [("/m/a.png", "/m/a.txt", "sidecar", "words")]
+    assert converters.convert(files.where("path = '/m/c.pdf'")).first().error
+
+
+def test_extractors_and_rewritten_aliases(spark):
+    chunks = spark.createDataFrame([(1, "Acme bought Beta"), (2, None)], "chunk_id long, text string")
+    got = relations.extract_with(chunks, lambda text: [("Acme Inc", "acquired", "Beta", 0.9)] if "bought" in text else [])
+    assert [(r.chunk_id, r.subject, r.confidence) for r in got.collect()] == [(1, "Acme Inc", 0.9)]
+    nodes = "id string, name string, status string"
+    state = {"nodes": spark.createDataFrame([("a", "A", "active"), ("b", "B", "active")], nodes)}
+    state |= {k: spark.createDataFrame([("a", "old"), ("b", "kept")], f"node_id string, {c} string") for k, c in (("aliases", "alias"), ("tags", "tag"))}
+    new = {"nodes": spark.createDataFrame([("a", "A2", "active")], nodes), "aliases": spark.createDataFrame([("a", "new"), ("z", "stray")], "node_id string, alias string")}
+    out = ledger.upsert_nodes(state, new)
+    assert {tuple(r) for r in out["aliases"].collect()} == {("a", "new"), ("b", "kept")} and {tuple(r) for r in out["tags"].collect()} == {("b", "kept")}
+    assert {tuple(r)[:2] for r in out["nodes"].collect()} == {("a", "A2"), ("b", "B")}
