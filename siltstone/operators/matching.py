@@ -16,16 +16,27 @@ def edits_allowed(n: Column, threshold: float) -> Column:
 def near_texts(left: DataFrame, right: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
     """(by..., left, right, ratio) of the distinct texts (column ``text``) of two frames with ratio >= threshold.
 
-    An edit changes at most ``GRAM`` of a text's pairs of letters. So of the rarest GRAM * edits + 1 pairs of
-    either text one is among those of the other: texts meet on rare pairs of letters only, and what all
-    of them share (a common first word, for example) never joins anything.
+    Pairs of which the longer text allows one edit at most have a form in common that lacks one letter or none: they meet on
+    these forms. For the others, an edit changes at most ``GRAM`` of a text's pairs of letters, so of the rarest GRAM * edits + 1
+    pairs of either text one is among those of the other: they meet on rare pairs of letters. What all
+    texts share (a common first word, for example) never joins anything.
     """
     by = by or []
     distinct = [df.select(*by, "text").where("text != ''").distinct() for df in (left, right)]
+    longest = F.greatest(F.length("left"), F.length("right"))
+    alone = int(2 / (1 - threshold) - 1e-9)  # the most letters of a text that allows one edit
+    short = [df.where(F.length("text") <= alone) for df in distinct]
+    spots = F.sequence(F.lit(0), F.length("text"))
+    forms = F.array_distinct(F.transform(spots, lambda i: F.concat(F.substring("text", F.lit(1), i - 1), F.substring("text", i + 1, F.length("text")))))
+    formed = [df.select(*by, F.col("text").alias(name), F.explode(F.array_union(F.array("text"), forms)).alias("form")) for df, name in zip(short, ("left", "right"))]
+    pairs = formed[0].join(formed[1], [*by, "form"])
+
+    # longer texts: at least one of the two allows more than one edit
+    least = int(threshold * (alone + 1))
 
     def grams(df: DataFrame) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1)))
-        return df.select(*by, "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(GRAM))))).alias("gram"))
+        return df.where(F.length("text") >= least).select(*by, "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(GRAM))))).alias("gram"))
 
     both = [grams(df) for df in distinct]
     df = both[0].unionByName(both[1]).groupBy("gram").agg(F.count("*").alias("df"))
@@ -35,7 +46,9 @@ def near_texts(left: DataFrame, right: DataFrame, threshold: float, by: list[str
         ranked = g.join(df, "gram").withColumn("rn", F.row_number().over(w))
         return ranked.where(F.col("rn") <= GRAM * edits_allowed(F.length("text"), threshold) + 1).select(*by, "gram", F.col("text").alias(name))
 
-    longest = F.greatest(F.length("left"), F.length("right"))
-    pairs = prefix(both[0], "left").join(prefix(both[1], "right"), [*by, "gram"])
+    lefts, rights = prefix(both[0], "left"), prefix(both[1], "right")
+    over = lambda c: F.length(c) > alone
+    met = lefts.where(over("left")).join(rights, [*by, "gram"]).unionByName(lefts.where(~over("left")).join(rights.where(over("right")), [*by, "gram"]))
+    pairs = pairs.drop("form").unionByName(met.drop("gram"))
     pairs = pairs.where(F.abs(F.length("left") - F.length("right")) <= longest * F.lit(1 - threshold) + 1e-9).select(*by, "left", "right").distinct()
     return pairs.withColumn("ratio", 1 - F.levenshtein("left", "right") / longest).where(F.col("ratio") >= threshold)
