@@ -228,7 +228,7 @@ def build_index(groups: DataFrame) -> Index | None:
     path = scratch(spark, "lists")
     kinds = "key binary, label long, q array<long>, ids array<long>"
     placed = groups.mapInPandas(_assign(centers, True), f"{kinds}, list long, far double")
-    placed.repartition("list", F.pmod(F.xxhash64("key"), F.lit(4))).write.partitionBy("list").option("compression", "zstd").parquet(path)
+    placed.repartitionByRange("list", "key").write.partitionBy("list").option("compression", "zstd").parquet(path)
     radii = np.full(len(centers), -np.inf)
     for r in spark.read.schema(f"{kinds}, far double, list long").parquet(path).groupBy("list").agg(F.max("far").alias("far")).collect():
         radii[r.list] = r.far * (1 + 1e-9)
@@ -254,7 +254,8 @@ def hard_negatives(
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     one = asked.groupBy("key", "label", "q").agg(F.count("*").alias("times"))
     placed = written(one.mapInPandas(_assign(index.centers, False), "key binary, label long, q array<long>, times long, list long"), "asked")
-    near = placed.repartitionByRange("list", "key").sortWithinPartitions("list", "key").select("key", "label", "q", "times")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // BLOCK))
+    near = placed.repartitionByRange(tasks, "list", "key").sortWithinPartitions("list", "key").select("key", "label", "q", "times")
     result = written(
         near.mapInPandas(
             _search(index, n_positives, n_negatives, low, high),
