@@ -10,6 +10,8 @@ Bytes become the characters of the byte-level alphabet (``byte_alphabet``); deco
 of all pieces and only then reads characters, so characters that are split over tokens come back whole. Offsets count code
 points; tokens that hold part of a character have the whole character's place.
 
+Words are cut by the pattern with a faster library; texts with a code point that the two libraries put in different classes, as their
+Unicode versions differ, are cut by the tokenizers library itself (``unsure_points``; a test covers all code points). A task keeps the ids of words it has met, up to ``KNOWN_CHARS`` letters, and hands the others of a stretch of texts to the library together.
 Nothing is shuffled. A task holds one Arrow batch (at most a thousand rows) and encodes at most ``BATCH_CHARS`` characters at
 a time, or one longer text. Broadcasts: the tokenizer's file, whose size doesn't depend on the data.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, columns, ship
 
-BATCH_CHARS = 1 << 20
+BATCH_CHARS, KNOWN_CHARS = 1 << 18, 3_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -60,9 +62,9 @@ def merged_below(ranks: dict[bytes, int], token: bytes) -> list[bytes]:
     return parts
 
 
-def tokenizer_spec(ranks: dict[bytes, int], pattern: str) -> str:
-    """The library's tokenizer for a rank file, as JSON. Ranks are the ids; all 256 bytes must be listed."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+def tokenizer_spec(ranks: dict[bytes, int]) -> str:
+    """The library's tokenizer of words for a rank file, as JSON. Ranks are the ids; all 256 bytes must be listed."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"the rank file lacks the bytes {lacking}")
@@ -74,17 +76,38 @@ def tokenizer_spec(ranks: dict[bytes, int], pattern: str) -> str:
         if len(parts) == 2:
             pairs.append((spelled[parts[0]], spelled[parts[1]]))
     tok = Tokenizer(models.BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=pairs, ignore_merges=True))
-    cut = pre_tokenizers.Split(Regex(pattern), "isolated")
-    tok.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return tok.to_str()
 
 
-def load(spec: str):
-    """The tokenizer of a task, without threads of its own."""
+def load(spec: str, pattern: str | None = None):
+    """The tokenizer of a task, of words or with a pattern of texts, without threads of its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_str(spec)
+    tok = Tokenizer.from_str(spec)
+    if pattern is not None:
+        tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), tok.pre_tokenizer])
+    return tok
+
+
+def unsure_points(pattern: str) -> str:
+    """The code points that the two libraries put in different classes of the pattern, as a character class; empty where there are none."""
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    unsure: set[str] = set()
+    for kind in dict.fromkeys(regex.findall(r"\\[pP]\{\w+\}|\\[swdSWD]", pattern)):
+        runs = pre_tokenizers.Split(Regex(f"[^{kind}]+"), "removed").pre_tokenize_str(points)
+        unsure |= set().union(*(r for r, _ in runs)) ^ set().union(*regex.findall(f"{kind}+", points))
+    runs, listed = [], sorted(map(ord, unsure))
+    for i, c in enumerate(listed):
+        if i and c == listed[i - 1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return f"[{''.join(f'\\U{a:08x}-\\U{b:08x}' for a, b in runs)}]" if runs else ""
 
 
 def byte_pieces(tok) -> list[bytes]:
@@ -116,6 +139,40 @@ def stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class Encoder:
+    """Ids of texts; the words of a stretch of texts that are not known yet go to the library in one call."""
+
+    def __init__(self, spec: str, pattern: str, unsure: str) -> None:
+        import regex
+
+        self.tok, self.words, self.whole = load(spec), regex.compile(pattern), load(spec, pattern)
+        self.unsure = regex.compile(unsure) if unsure else None
+        self.size = np.array([len(p) for p in byte_pieces(self.tok)])
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Keep the ids of words. Pieces never reach over two words, so the words' bytes say where each one's ids end."""
+        found = self.tok.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.int32)
+        last = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in words]))
+        ends, raw = (4 * (last + 1)).tolist(), ids.tobytes()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        self.chars += sum(map(len, words))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        odd = [self.unsure is not None and not t.isascii() and self.unsure.search(t) is not None for t in texts]
+        cut = [[] if o else self.words.findall(t) for t, o in zip(texts, odd)]
+        if self.chars > KNOWN_CHARS:
+            self.known, self.chars = {}, 0
+        if new := set().union(*cut).difference(self.known):
+            self.learn(list(new))
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
+        for i in np.flatnonzero(odd):
+            ids[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return ids
+
+
 def lists(parts: list[np.ndarray]) -> pa.Array:
     """An Arrow list of int32 for each array."""
     ends = np.cumsum([0, *map(len, parts)])
@@ -123,16 +180,15 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _encode(spec: str, offsets: bool):
+def _encode(spec: str, pattern: str, unsure: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(spec)
-        size = np.array([len(p) for p in byte_pieces(tok)])
+        encoder = Encoder(spec, pattern, unsure)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, stop in stretches(texts):
                 some = texts[start:stop]
-                ids = [np.array(e.ids, np.int64) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-                places = [char_offsets(t.encode(), size[i]) for t, i in zip(some, ids)]
+                ids = encoder(some)
+                places = [char_offsets(t.encode(), encoder.size[i]) for t, i in zip(some, ids)]
                 split = [int((first[1:] < end[:-1]).sum()) for first, end in places]
                 found = [batch.column("doc_id").slice(start, stop - start), lists(ids), pa.array(split, pa.int64())]
                 names = ["doc_id", "ids", "n_split"]
@@ -144,13 +200,13 @@ def _encode(spec: str, offsets: bool):
     return run
 
 
-def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
+def encode(docs: DataFrame, spec: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
     """doc_id, ids, n_split (neighbours that share a character) and, with ``offsets``, starts and ends in code points."""
     arrow_rows(docs.sparkSession, 1000)
     rows = columns(docs, doc_id=id_col, text=text_col)
     kind = dict(rows.dtypes)["doc_id"]
     places = ", starts array<int>, ends array<int>" if offsets else ""
-    return rows.mapInArrow(_encode(spec, offsets), f"doc_id {kind}, ids array<int>, n_split long{places}")
+    return rows.mapInArrow(_encode(spec, pattern, unsure_points(pattern), offsets), f"doc_id {kind}, ids array<int>, n_split long{places}")
 
 
 def _decode(spec: str):
@@ -187,8 +243,8 @@ def decode(rows: DataFrame, spec: str, ids_col: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the ids and of the bytes that they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256, n_split."""
-    spec = tokenizer_spec(load_ranks(ranks_path), pattern)
-    rows = encode(docs, spec, id_col, text_col, offsets=False)
+    spec = tokenizer_spec(load_ranks(ranks_path))
+    rows = encode(docs, spec, pattern, id_col, text_col, offsets=False)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     coded = rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "n_split", "ids")
     return decode(coded, spec).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
