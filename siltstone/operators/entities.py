@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..shipping import ship
-from .matching import near_texts
+from .matching import matching_texts
 
 # Confidences of the ways a mention is found, and scores of the ways it is resolved.
 ALIAS_CONFIDENCE, NAME_CONFIDENCE, PATTERN_CONFIDENCE = 0.96, 0.92, 0.45
@@ -84,8 +84,7 @@ def pattern_mentions(chunks: DataFrame) -> DataFrame:
 def resolution_candidates(mentions: DataFrame, entities: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(mention_id, node_id, score, method): the best match of each node for a mention (mention_id, normalized, hint).
 
-    A hint and an equal text are equi-joins. Distinct texts that are close meet on rare pairs of letters and are
-    verified by 1 - levenshtein / longest.
+    A hint and an equal text are equi-joins. Distinct texts that are close meet in ``matching_texts``, the mention's first.
     """
     e = entities.select("node_id", "normalized").distinct()
     hint = mentions.where("hint is not null").join(e.select("node_id").distinct(), F.col("hint") == F.col("node_id"))
@@ -95,7 +94,7 @@ def resolution_candidates(mentions: DataFrame, entities: DataFrame, fuzzy: bool
     if fuzzy:
         m = mentions.select("mention_id", F.col("normalized").alias("text"))
         n = e.select("node_id", F.col("normalized").alias("text"))
-        near = near_texts(m, n, FUZZY_FROM).where(F.col("left") != F.col("right"))
+        near = matching_texts(m, n, FUZZY_FROM).where(F.col("left") != F.col("right"))
         near = near.join(m.withColumnRenamed("text", "left"), "left").join(n.withColumnRenamed("text", "right"), "right")
         out = out.unionByName(near.select("mention_id", "node_id", F.col("ratio").alias("score"), F.lit("fuzzy_alias").alias("method")))
     w = Window.partitionBy("mention_id", "node_id").orderBy(F.col("score").desc(), "method")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .matching import near_texts
+from ..shared import written
+from .components import components, looked_up
+from .matching import matching_texts
 
 UNRESOLVED = ("open", "acknowledged")
 
@@ -82,18 +84,18 @@ def duplicate_groups(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
 
 
 def similar_titles(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Links of sources of one type whose normalised titles are close: 1 - levenshtein / longest >= threshold.
+    """Links of sources of one type whose normalised titles are close: the ratio of matching blocks, in either order, reaches the threshold.
 
     Sources with one title are linked to the smallest id among them; close titles link these ids, so equal titles
     never multiply pairs.
     """
     t = sources.select("id", "source_type", T.normalize_name(F.col("title")).alias("text")).where("text != ''")
     first = t.groupBy("source_type", "text").agg(F.min("id").alias("first"))
-    same = t.join(first, ["source_type", "text"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
-    near = near_texts(first, first, threshold, ["source_type"]).where(F.col("left") < F.col("right"))
+    same = t.join(first, ["source_type", "text"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = matching_texts(first, first, threshold, ["source_type"]).where("left != right")
     side = lambda key, x: first.select("source_type", F.col("text").alias(key), F.col("first").alias(x))
     found = near.join(side("left", "x"), ["source_type", "left"]).join(side("right", "y"), ["source_type", "right"])
-    return same.unionByName(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio"))
+    return same.unionByName(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def duplicate_sources(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
@@ -108,21 +110,29 @@ def duplicate_sources(sources: DataFrame, threshold: float = 0.92) -> DataFrame:
 def duplicate_entities(nodes: DataFrame, aliases: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Links (keep_id, id) of live nodes of one type that share a normalised name or alias, or whose names are close.
 
-    Nodes with one name or alias are linked to the smallest id among them; names with 1 - levenshtein / longest >= threshold link
-    the smallest ids that bear them.
+    Nodes with one name or alias are linked to the smallest id among them. Names are close when the ratio of matching blocks
+    reaches the threshold, the name of the smaller id first; they link the smallest ids that bear them.
     """
     live = nodes.where(T.is_live(F.col("status")))
     names = live.select("id", "type", T.normalize_name(F.col("name")).alias("key"))
     more = live.join(aliases, live["id"] == aliases["node_id"]).select("id", "type", T.normalize_name(F.col("alias")).alias("key"))
     keyed = names.unionByName(more).where("key != ''").distinct()
     same = duplicate_groups(keyed, F.concat_ws("|", "type", "key"), "id").select("keep_id", "id")
-    first = names.where("key != ''").groupBy("type", F.col("key").alias("text")).agg(F.min("id").alias("first"))
-    near = near_texts(first, first, threshold, ["type"]).where(F.col("left") < F.col("right"))
-    side = lambda key, x: first.select("type", F.col("text").alias(key), F.col("first").alias(x))
-    found = near.join(side("left", "x"), ["type", "left"]).join(side("right", "y"), ["type", "right"])
+    borne = written(names.where("key != ''").groupBy("type", F.col("key").alias("text")).agg(F.min("id").alias("first"), F.max("id").alias("last")), "names")
+    near = matching_texts(borne, borne, threshold, ["type"]).where("left != right")
+    side = lambda key, x: borne.select("type", F.col("text").alias(key), F.col("first").alias(x), F.col("last").alias(f"{x}_last"))
+    found = near.join(side("left", "x"), ["type", "left"]).join(side("right", "y"), ["type", "right"]).where("x < y_last")  # a smaller id bears the left name
     return same.unionByName(found.select(F.least("x", "y").alias("keep_id"), F.greatest("x", "y").alias("id"))).distinct()
 
 
+def linked_classes(links: DataFrame, a: str = "keep_id", b: str = "id") -> DataFrame:
+    """(id, component_id, n_links): one row for each id that a link names, with the smallest id it is connected with."""
+    links = written(links.select(a, b), "class-links")
+    ends = links.select(F.col(a).alias("id")).unionByName(links.select(F.col(b).alias("id")))
+    n = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    return components(links, a, b).withColumnRenamed("component", "component_id").join(n, "id")
+
+
 # --- changes ---------------------------------------------------------------------------------------------------
 
 
@@ -249,11 +259,83 @@ def rolled_back(current: DataFrame, items: DataFrame, key: str, schema: str) ->
 
 
 def merged_aliases(nodes: DataFrame, aliases: DataFrame, links: DataFrame) -> DataFrame:
-    """(keep_id, aliases): the canonical node takes over ids, names and aliases of its duplicates, sorted."""
-    own = nodes.select("id", F.array("id", "name").alias("names"))
-    known = aliases.groupBy(F.col("node_id").alias("id")).agg(F.collect_set("alias").alias("known"))
-    each = links.join(own, "id").join(known, "id", "left").select("keep_id", F.explode(F.array_union("names", F.coalesce("known", F.array().cast("array<string>")))).alias("alias"))
-    return each.groupBy("keep_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    """(keep_id, aliases): the smallest node of each component of links takes over ids, names and aliases of the others, sorted."""
+    keep = components(links, "keep_id", "id").where("id != component").withColumnRenamed("component", "keep_id")
+    return _taken_over(nodes, aliases, keep).groupBy("keep_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def _taken_over(nodes: DataFrame, aliases: DataFrame, keep: DataFrame) -> DataFrame:
+    """(keep_id, alias): ids, names and aliases of the nodes of ``keep`` (id, keep_id) that go to others."""
+    own = nodes.select("id", F.explode(F.array("id", "name")).alias("alias"))
+    known = looked_up(aliases.select(F.col("node_id").alias("id"), "alias"), keep, "id", "keep_id")
+    return own.join(keep, "id").select("keep_id", "alias").unionByName(known.where("keep_id IS NOT NULL").select("keep_id", "alias")).where("alias != ''").distinct()
+
+
+CANONICAL_TAG = "dedupe-canonical"
+
+
+def merge_duplicates(state: dict[str, DataFrame], links: DataFrame, conflicts: DataFrame | None = None, chosen: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The state after all nodes of each component of ``links`` (keep_id, id) are merged into one.
+
+    ``state`` has nodes, aliases (node_id, alias) and tags (node_id, tag). Of a component the smallest id stays, or the smallest of
+    ``chosen`` (id) in it; ids that are no nodes link others but are not merged. The node that stays gets the ids, names and aliases of the
+    others and the tag ``dedupe-canonical``; the others get the status merged and keep their rows. ``conflicts`` (conflict_id,
+    conflict_type, keep_id, id, status) between duplicates of one component are resolved. ``changes`` has a row for each node, alias and tag that
+    changed: object_type, object_id, operation, before, after. Aliases stay rows, so a node may take over any number of them.
+    """
+    nodes, aliases, tags = (state[k] for k in ("nodes", "aliases", "tags"))
+    classes = components(links, "keep_id", "id").join(nodes.select("id"), "id", "left_semi")
+    preferred = F.min(F.when(F.col("wanted"), F.col("id")))
+    wanted = classes.join(chosen.select("id", F.lit(True).alias("wanted")).distinct(), "id", "left") if chosen is not None else classes.withColumn("wanted", F.lit(None).cast("boolean"))
+    first = wanted.groupBy("component").agg(F.coalesce(preferred, F.min("id")).alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    members = written(looked_up(classes, first, "component", "keep_id").where("keep_id IS NOT NULL").select("id", "keep_id"), "members")
+    gone = members.where("id != keep_id")
+    new_aliases = _taken_over(nodes, aliases, gone).select(F.col("keep_id").alias("node_id"), "alias").join(aliases, ["node_id", "alias"], "left_anti")
+    stays = members.where("id = keep_id").select(F.col("id").alias("node_id"), F.lit(CANONICAL_TAG).alias("tag"))
+    new_tags = stays.join(tags, ["node_id", "tag"], "left_anti")
+    row = lambda kind, operation, before, after: (F.lit(kind).alias("object_type"), "object_id", F.lit(operation).alias("operation"), before.alias("before"), after.alias("after"))
+    none = F.lit(None).cast("string")
+    merged = nodes.join(gone, "id").where("status != 'merged'").withColumnRenamed("id", "object_id")
+    changes = (
+        merged.select(*row("node", "dedupe:merge", F.col("status"), F.lit("merged")))
+        .unionByName(new_aliases.withColumnRenamed("node_id", "object_id").select(*row("alias", "dedupe:canonicalize", none, F.col("alias"))))
+        .unionByName(new_tags.withColumnRenamed("node_id", "object_id").select(*row("tag", "dedupe:canonicalize", none, F.col("tag"))))
+    )
+    out = {
+        "nodes": set_status(nodes, gone, "id", "merged"),
+        "aliases": aliases.unionByName(new_aliases.select(*aliases.columns)),
+        "tags": tags.unionByName(new_tags.select(*tags.columns)),
+        "changes": changes,
+        "members": members,
+    }
+    if conflicts is not None:
+        of = lambda c, x: members.select(F.col("id").alias(c), F.col("keep_id").alias(x))
+        held = looked_up(looked_up(conflicts, of("keep_id", "_left"), "keep_id", "_left"), of("id", "canonical_id"), "id", "canonical_id")
+        done = (F.col("conflict_type") == "duplicate_entity") & F.col("status").isin(*UNRESOLVED) & (F.col("_left") == F.col("canonical_id"))
+        held = held.withColumn("_done", F.coalesce(done, F.lit(False)))
+        out["conflicts"] = held.select(
+            *(F.when(F.col("_done"), F.lit("resolved")).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in conflicts.columns),
+            F.when(F.col("_done"), F.lit("merge_entities")).alias("resolution"),
+            F.when(F.col("_done"), F.col("canonical_id")).alias("canonical_id"),
+        )
+    return out
+
+
+def split_duplicates(state: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+    """The state before a merge, from the state after it and its changes; resolved conflicts of the merge are open again."""
+    of = lambda kind, key, value: changes.where(F.col("object_type") == kind).select(F.col("object_id").alias(key), F.col("after").alias(value))
+    old = changes.where("object_type = 'node'").select(F.col("object_id").alias("id"), F.col("before").alias("_before"))
+    nodes = state["nodes"]
+    out = {
+        "nodes": nodes.join(old, "id", "left").withColumn("status", F.coalesce("_before", "status")).select(*nodes.columns),
+        "aliases": state["aliases"].join(of("alias", "node_id", "alias"), ["node_id", "alias"], "left_anti").select(*state["aliases"].columns),
+        "tags": state["tags"].join(of("tag", "node_id", "tag"), ["node_id", "tag"], "left_anti").select(*state["tags"].columns),
+    }
+    if "conflicts" in state:
+        again = F.col("resolution").eqNullSafe("merge_entities")
+        kept = [c for c in state["conflicts"].columns if c not in ("resolution", "canonical_id")]
+        out["conflicts"] = state["conflicts"].select(*(F.when(again, F.lit("open")).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in kept))
+    return out
 
 
 def recorded_conflicts(current: DataFrame, found: DataFrame, now: str) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Approximate joins of short texts by edit distance, without comparing all pairs."""
+"""Approximate joins of short texts by edit distance or matching blocks, without comparing all pairs."""
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+from ..shipping import ship
+
 GRAM = 2
 
 
@@ -52,3 +58,81 @@ def near_texts(left: DataFrame, right: DataFrame, threshold: float, by: list[str
     pairs = pairs.drop("form").unionByName(met.drop("gram"))
     pairs = pairs.where(F.abs(F.length("left") - F.length("right")) <= longest * F.lit(1 - threshold) + 1e-9).select(*by, "left", "right").distinct()
     return pairs.withColumn("ratio", 1 - F.levenshtein("left", "right") / longest).where(F.col("ratio") >= threshold)
+
+
+# --- ratio of matching blocks ------------------------------------------------------------------------------------
+
+
+def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """2 * matched / letters, over the longest common block of two texts and, in turn, of what is before and after it."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+
+
+def common_letters(a: Column, b: Column) -> Column:
+    """Letters of ``a`` that find one of their own in ``b``, in any order: no more than these can match."""
+    times = lambda text, letter: F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+
+
+def _without_one(text: Column) -> Column:
+    """The text without its first letter, without its second, and so on."""
+    n = F.length(text)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
+
+
+def _letter_pairs(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
+
+
+def matching_texts(left: DataFrame, right: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
+    """(by..., left, right, ratio) of the distinct texts (column ``text``) of two frames whose ``block_ratio`` reaches the threshold.
+
+    Texts of l and r letters need m = ceil(threshold * (l + r) / 2) matched ones, so at most l - m and r - m are not. Where that is
+    one at most on either side, the texts have a form in common that lacks one letter or none. Otherwise a text loses at most two pairs
+    of letters for each letter of its own that isn't matched, and one for each of the other's: the rarest pairs but one more than that
+    hold one of the other text's; these pairs are thinned by their letters' number, whatever the order, before the blocks are compared. Which
+    lengths meet is known from the lengths that occur. The ratio depends on the order of the two texts.
+    """
+    if threshold < 0.8:
+        raise ValueError("pairs of letters say nothing about texts that are less alike than 0.8")
+    by = by or []
+    sides = {"left": left, "right": right}
+    texts = {x: df.select(*by, F.col("text").alias(x), F.length("text").alias(f"{x}_n")).where("text != ''").distinct() for x, df in sides.items()}
+    texts = {x: written(df, "texts") for x, df in texts.items()}  # read by every step below
+    lengths = {x: df.select(*by, f"{x}_n").distinct() for x, df in texts.items()}
+    near = (2 - threshold) / threshold + 1e-9  # lengths differ by this factor at most
+    partners = F.sequence(F.ceil(F.col("left_n") / near).cast("int"), F.floor(F.col("left_n") * near).cast("int"))
+    pairs = lengths["left"].withColumn("right_n", F.explode(partners)).join(lengths["right"], [*by, "right_n"])
+    matched = F.ceil(threshold * (F.col("left_n") + F.col("right_n")) / 2 - 1e-9).cast("int")
+    pairs = pairs.withColumn("least", matched).withColumns({"left_gone": F.col("left_n") - F.col("least"), "right_gone": F.col("right_n") - F.col("least")})
+    pairs = written(pairs.where("left_gone >= 0 AND right_gone >= 0"), "lengths")
+    few = (F.col("left_gone") <= 1) & (F.col("right_gone") <= 1)
+
+    formed = []
+    for x, df in texts.items():
+        forms = _without_one(F.col(x))
+        short = df.join(pairs.where(few).select(*by, f"{x}_n").distinct(), [*by, f"{x}_n"], "left_semi")
+        formed.append(short.select(*by, x, F.explode(F.array_distinct(F.array_append(forms, F.col(x)))).alias("form")))
+    found = formed[0].join(formed[1], [*by, "form"]).select(*by, "left", "right")
+
+    more = pairs.where(~few)
+    grams = []
+    for x, df in texts.items():
+        long = df.join(more.select(*by, f"{x}_n").distinct(), [*by, f"{x}_n"], "left_semi")
+        grams.append(long.select(*by, x, f"{x}_n", F.explode(F.array_distinct(_letter_pairs(F.col(x)))).alias("gram")))
+    seldom = grams[0].select("gram").unionByName(grams[1].select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    rare = []
+    for x, other, g in (("left", "right", grams[0]), ("right", "left", grams[1])):
+        ranked = g.join(seldom, "gram").withColumn("rank", F.row_number().over(Window.partitionBy(*by, x).orderBy("df", "gram")))
+        lost = 2 * F.col(f"{x}_gone") + F.col(f"{other}_gone")
+        rare.append(ranked.join(more, [*by, f"{x}_n"]).where(F.col("rank") <= lost + 1).select(*by, x, "left_n", "right_n", "gram"))
+    met = rare[0].join(rare[1], [*by, "left_n", "right_n", "gram"]).select(*by, "left", "right")
+    both = F.length("left") + F.length("right")
+    met = met.distinct().where(2 * common_letters(F.col("left"), F.col("right")) >= threshold * both - 1e-9)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, but dear ones: not to be put together by size
+    likely = found.unionByName(met).repartition(tasks, "left", "right").distinct()
+    ratio = F.pandas_udf(block_ratio, "double").asNondeterministic()  # so that the filter stays after the shuffle
+    return likely.withColumn("ratio", ratio("left", "right")).where(F.col("ratio") >= threshold)
+
+
+ship(__name__)

@@ -12,7 +12,7 @@ from ..operators import relations as R
 from .registry import query
 from .retrieval_queries import NOW, now
 from .standins import ctes, view
-from .text_queries import without
+from .text_queries import blocks_sql, likely_sql, without
 
 # --- entities --------------------------------------------------------------------------------------------------
 
@@ -73,10 +73,36 @@ def decisions(t):
     return E.resolve(m, E.resolution_candidates(m, E.graph_entities(view(t, "nodes"), view(t, "aliases")), fuzzy=False))
 
 
-@query("L11_fuzzy_resolution")
+_FUZZY = f"""WITH RECURSIVE {{ctes}}, {ENT}, {_MENT},
+    mf AS (SELECT mention_id, regexp_replace(normalized, '^customer', 'custumer') AS normalized, hint FROM me), mt AS (SELECT DISTINCT normalized FROM mf WHERE normalized <> ''), gt AS (SELECT DISTINCT normalized FROM ge),
+    y AS (SELECT mt.normalized AS l, gt.normalized AS r FROM mt JOIN gt ON mt.normalized <> gt.normalized AND {likely_sql('mt.normalized', 'gt.normalized', 0.9)}), {blocks_sql('y')},
+    ca AS (SELECT mention_id, node_id, max(score) AS score, arg_max(method, score) AS method FROM (
+    SELECT mention_id, node_id, 0.99::DOUBLE AS score, 'extractor_hint' AS method FROM mf JOIN (SELECT DISTINCT node_id FROM ge) g ON g.node_id = mf.hint
+    UNION ALL SELECT mention_id, node_id, 0.97, 'exact_alias' FROM mf JOIN (SELECT DISTINCT node_id, normalized FROM ge) g ON g.normalized = mf.normalized
+    UNION ALL SELECT mention_id, node_id, ratio, 'fuzzy_alias' FROM mf JOIN blocks ON l = mf.normalized JOIN (SELECT DISTINCT node_id, normalized FROM ge) g ON g.normalized = r WHERE ratio >= 0.9) GROUP BY mention_id, node_id)"""
+
+
+def _misspelled(t):
+    return _mentions(t).withColumn("normalized", F.regexp_replace("normalized", "^customer", "custumer"))
+
+
+@query("E16_fuzzy_candidates", _FUZZY.replace("{ctes}", ctes("nodes", "aliases")) + " SELECT mention_id, node_id, round(score, 9) AS score, method FROM ca")
+def fuzzy_candidates(t):
+    """Candidates of mentions with one letter changed: hints, equal texts and close ones by the ratio of matching blocks."""
+    found = E.resolution_candidates(_misspelled(t), E.graph_entities(view(t, "nodes"), view(t, "aliases")))
+    return found.select("mention_id", "node_id", F.round("score", 9).alias("score"), "method")
+
+
+@query(
+    "L11_fuzzy_resolution",
+    _FUZZY.replace("{ctes}", ctes("nodes", "aliases"))
+    + """, r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second, count(*) OVER (PARTITION BY mention_id) AS n FROM ca WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, node_id)),
+    d AS (SELECT mention_id, node_id, CASE WHEN n = 1 AND score >= 0.95 AND method IN ('exact_alias', 'extractor_hint') OR n > 1 AND score >= 0.95 AND second < 0.95 AND score - second >= 0.1 THEN 'accepted' ELSE 'needs_review' END AS status FROM r WHERE rn = 1)
+    SELECT me.mention_id, coalesce(status, 'unresolved') AS status, node_id FROM me LEFT JOIN d USING (mention_id)""",
+)
 def fuzzy(t):
-    """Resolution with close spellings (one letter of each name is changed); the blocked comparison has no equal in SQL."""
-    m = _mentions(t).withColumn("normalized", F.regexp_replace("normalized", "^customer", "custumer"))
+    """Resolution with close spellings (one letter of each name is changed)."""
+    m = _misspelled(t)
     return E.resolve(m, E.resolution_candidates(m, E.graph_entities(view(t, "nodes"), view(t, "aliases"))))
 
 

@@ -12,7 +12,7 @@ from ..operators import ledger as L
 from .registry import query
 from .retrieval_queries import NOW, now
 from .standins import ctes, view
-from .text_queries import norm, polarity_sql, subject_sql, without
+from .text_queries import blocks_sql, likely_sql, norm, polarity_sql, subject_sql, without
 
 VIEW = """v AS (SELECT e.*, s.name AS source_name, s.type AS source_type, s.status AS source_status, t.name AS target_name, t.type AS target_type, t.status AS target_status,
     ev.status AS evidence_status FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id LEFT JOIN evidence ev ON ev.id = e.evidence_id),
@@ -199,37 +199,50 @@ def duplicate_content(t):
 
 @query(
     "E13_duplicate_sources",
-    f"""WITH {ctes('sources')}, k AS (SELECT id, source_type, {without('title', T.NAME_STOP)} AS key, regexp_replace(lower(split_part(url, '?', 1)), '/+$', '') AS canon FROM sources WHERE status IN ('active', 'stale_pending_refresh')),
+    f"""WITH RECURSIVE {ctes('sources')}, k AS (SELECT id, source_type, {without('title', T.NAME_STOP)} AS key, regexp_replace(lower(split_part(url, '?', 1)), '/+$', '') AS canon FROM sources WHERE status IN ('active', 'stale_pending_refresh')),
     f AS (SELECT canon, min(id) AS keep FROM k GROUP BY canon HAVING count(*) > 1), t AS (SELECT source_type, key, min(id) AS first FROM k WHERE key <> '' GROUP BY 1, 2),
+    y AS (SELECT x.source_type, x.key AS l, y.key AS r, x.first AS x, y.first AS y FROM t x JOIN t y ON x.source_type = y.source_type AND x.key <> y.key AND {likely_sql('x.key', 'y.key', 0.92)}),
+    {blocks_sql('(SELECT DISTINCT l, r FROM y)')},
     p AS (SELECT keep AS a, k.id AS b, true AS exact_url FROM k JOIN f ON f.canon = k.canon WHERE k.id <> keep
           UNION ALL SELECT t.first, k.id, false FROM k JOIN t USING (source_type, key) WHERE k.id <> t.first
-          UNION ALL SELECT least(x.first, y.first), greatest(x.first, y.first), false FROM t x JOIN t y ON x.source_type = y.source_type AND x.key < y.key
-              AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.92)
+          UNION ALL SELECT least(x, y), greatest(x, y), false FROM y JOIN blocks USING (l, r) WHERE ratio >= 0.92)
     SELECT a, b, bool_or(exact_url) AS exact_url FROM p GROUP BY a, b""",
 )
 def duplicate_sources(t):
     return L.duplicate_sources(view(t, "sources"))
 
 
-@query(
-    "E14_duplicate_entities",
-    f"""WITH {ctes('nodes', 'aliases')}, l AS (SELECT * FROM nodes WHERE status IN ('active', 'provisional')),
+_ENTITY_LINKS = f"""l AS (SELECT * FROM nodes WHERE status IN ('active', 'provisional')),
     m AS (SELECT id, type, {without('name', T.NAME_STOP)} AS key FROM l),
     k AS (SELECT DISTINCT id, type || '|' || key AS key FROM (SELECT id, type, key FROM m UNION ALL SELECT l.id, l.type, {without('a.alias', T.NAME_STOP)} FROM l JOIN aliases a ON a.node_id = l.id) WHERE key <> ''),
-    f AS (SELECT key, min(id) AS keep_id FROM k GROUP BY key HAVING count(*) > 1), r AS (SELECT type, key, min(id) AS first FROM m WHERE key <> '' GROUP BY type, key)
-    SELECT DISTINCT keep_id, id FROM k JOIN f USING (key) WHERE id <> keep_id
-    UNION SELECT least(x.first, y.first), greatest(x.first, y.first) FROM r x JOIN r y ON x.type = y.type AND x.key < y.key AND abs(length(x.key) - length(y.key)) <= 0.1 * greatest(length(x.key), length(y.key)) + 1e-9
-        AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.90""",
+    f AS (SELECT key, min(id) AS keep_id FROM k GROUP BY key HAVING count(*) > 1),
+    n AS (SELECT type, key, min(id) AS first, max(id) AS last FROM m WHERE key <> '' GROUP BY type, key),
+    y AS (SELECT x.key AS l, y.key AS r, x.first AS x, y.first AS y FROM n x JOIN n y ON x.type = y.type AND x.key <> y.key AND x.first < y.last AND {likely_sql('x.key', 'y.key', 0.9)}),
+    {blocks_sql('(SELECT DISTINCT l, r FROM y)')},
+    links AS (SELECT DISTINCT keep_id, id FROM k JOIN f USING (key) WHERE id <> keep_id UNION SELECT least(x, y), greatest(x, y) FROM y JOIN blocks USING (l, r) WHERE ratio >= 0.90)"""
+
+
+@query(
+    "E14_duplicate_entities",
+    f"""WITH RECURSIVE {ctes('nodes', 'aliases')}, {_ENTITY_LINKS},
+    e AS (SELECT keep_id AS a, id AS b FROM links UNION ALL SELECT id, keep_id FROM links),
+    c(id, component_id) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(c.component_id) FROM c JOIN e ON e.a = c.id JOIN recurring.c AS o ON o.id = e.b WHERE c.component_id < o.component_id GROUP BY e.b)
+    SELECT id, component_id, n_links FROM c JOIN (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a) USING (id)""",
 )
 def duplicate_entities(t):
-    return L.duplicate_entities(view(t, "nodes"), view(t, "aliases"))
+    """One row for each linked node: its class over any number of links, and how many links name it."""
+    return L.linked_classes(L.duplicate_entities(view(t, "nodes"), view(t, "aliases")))
 
 
 @query(
     "L06_merged_aliases",
     f"""WITH {ctes('nodes', 'aliases')}, l AS (SELECT 'part:' || (p_partkey - p_partkey % 5 + 1) AS keep_id, 'part:' || p_partkey AS id FROM part WHERE p_partkey % 5 > 1),
-    a AS (SELECT keep_id, unnest([n.id, n.name]) AS alias FROM l JOIN nodes n USING (id) UNION SELECT keep_id, alias FROM l JOIN aliases ON node_id = id)
-    SELECT keep_id, string_agg(alias, '; ' ORDER BY alias) AS aliases FROM a GROUP BY keep_id""",
+    a AS (SELECT keep_id, unnest([n.id, n.name]) AS alias FROM l JOIN nodes n USING (id) UNION SELECT keep_id, alias FROM l JOIN aliases ON node_id = id),
+    g AS (SELECT x, min(id) AS keep_id FROM (SELECT keep_id AS x, keep_id AS id FROM l UNION SELECT keep_id, id FROM l) GROUP BY x),
+    b AS (SELECT x, id FROM (SELECT keep_id AS x, keep_id AS id FROM l UNION SELECT keep_id, id FROM l)),
+    h AS (SELECT g.keep_id, b.id FROM b JOIN g USING (x) WHERE b.id <> g.keep_id),
+    o AS (SELECT keep_id, unnest([n.id, n.name]) AS alias FROM h JOIN nodes n USING (id) UNION SELECT keep_id, alias FROM h JOIN aliases ON node_id = id)
+    SELECT keep_id, string_agg(alias, '; ' ORDER BY alias) AS aliases FROM o GROUP BY keep_id""",
 )
 def merged(t):
     links = t.part.where("p_partkey % 5 > 1").selectExpr("concat('part:', p_partkey - p_partkey % 5 + 1) AS keep_id", "concat('part:', p_partkey) AS id")
@@ -237,6 +250,80 @@ def merged(t):
     return out.select("keep_id", F.array_join("aliases", "; ").alias("aliases"))
 
 
+#: Each part is linked with the next one, seven to a chain; every third link is an open conflict of the ledger, others are resolved or of another type.
+_CHAIN_SQL = """chain AS (SELECT 'part:' || p_partkey AS keep_id, 'part:' || (p_partkey + 1) AS id, 'dup:' || p_partkey AS conflict_id,
+        CASE WHEN p_partkey % 5 = 0 THEN 'contradiction' ELSE 'duplicate_entity' END AS conflict_type, CASE p_partkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'acknowledged' ELSE 'resolved' END AS status
+        FROM part WHERE p_partkey % 7 <> 0 AND p_partkey < (SELECT max(p_partkey) FROM part)),
+    part_of AS (SELECT 'part:' || p_partkey AS id, min('part:' || p_partkey) OVER (PARTITION BY (p_partkey + 6) // 7) AS keep_id, count(*) OVER (PARTITION BY (p_partkey + 6) // 7) AS n FROM part),
+    gone AS (SELECT id, keep_id FROM part_of WHERE id <> keep_id AND n > 1),
+    taken AS (SELECT keep_id AS node_id, unnest([n.id, n.name]) AS alias FROM gone JOIN nodes n USING (id) UNION SELECT keep_id, alias FROM gone JOIN aliases ON node_id = id),
+    fresh AS (SELECT * FROM taken EXCEPT SELECT node_id, alias FROM aliases)"""
+
+
+def _merged_parts(t):
+    last = t.part.agg(F.max("p_partkey").alias("last"))
+    p = t.part.crossJoin(F.broadcast(last)).where("p_partkey % 7 <> 0 AND p_partkey < last")  # one row
+    chain = p.selectExpr(
+        "concat('part:', p_partkey) AS keep_id", "concat('part:', p_partkey + 1) AS id", "concat('dup:', p_partkey) AS conflict_id",
+        "CASE WHEN p_partkey % 5 = 0 THEN 'contradiction' ELSE 'duplicate_entity' END AS conflict_type",
+        "CASE p_partkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'acknowledged' ELSE 'resolved' END AS status",
+    )
+    state = {k: view(t, k) for k in ("nodes", "aliases", "tags")}
+    return state, chain, L.merge_duplicates(state, chain, chain)
+
+
+@query(
+    "L06_merge_changes",
+    f"""WITH {ctes('nodes', 'aliases', 'tags')}, {_CHAIN_SQL}
+    SELECT 'node' AS object_type, id AS object_id, 'dedupe:merge' AS operation, n.status AS before, 'merged' AS after FROM nodes n JOIN gone USING (id) WHERE n.status <> 'merged'
+    UNION ALL SELECT 'alias', node_id, 'dedupe:canonicalize', NULL, alias FROM fresh
+    UNION ALL SELECT DISTINCT 'tag', keep_id, 'dedupe:canonicalize', NULL, 'dedupe-canonical' FROM gone""",
+)
+def merge_changes(t):
+    """All that a merge over chains of links changes: statuses of the nodes that go, aliases and tags of those that stay."""
+    return _merged_parts(t)[2]["changes"]
+
+
+@query(
+    "L06_merged_nodes",
+    f"""WITH {ctes('nodes', 'aliases', 'tags')}, {_CHAIN_SQL}, a AS (SELECT node_id, alias FROM aliases UNION ALL SELECT * FROM fresh),
+    g AS (SELECT node_id, tag FROM tags UNION ALL SELECT DISTINCT keep_id, 'dedupe-canonical' FROM gone)
+    SELECT n.id, CASE WHEN gone.id IS NULL THEN n.status ELSE 'merged' END AS status, (SELECT string_agg(alias, '; ' ORDER BY alias) FROM a WHERE node_id = n.id) AS aliases,
+           (SELECT string_agg(tag, '; ' ORDER BY tag) FROM g WHERE node_id = n.id) AS tags
+    FROM nodes n LEFT JOIN gone ON gone.id = n.id""",
+)
+def merged_nodes(t):
+    """Every node after the merge, with its status, aliases and tags."""
+    after = _merged_parts(t)[2]
+    of = lambda name, c: after[name].groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(c)), "; ").alias(name))
+    return after["nodes"].select("id", "status").join(of("aliases", "alias"), "id", "left").join(of("tags", "tag"), "id", "left")
+
+
+@query(
+    "L06_resolved_conflicts",
+    f"""WITH {ctes('nodes', 'aliases', 'tags')}, {_CHAIN_SQL}, d AS (SELECT *, conflict_type = 'duplicate_entity' AND status IN ('open', 'acknowledged') AS done FROM chain)
+    SELECT conflict_id, CASE WHEN done THEN 'resolved' ELSE status END AS status, CASE WHEN done THEN 'merge_entities' END AS resolution,
+           CASE WHEN done THEN (SELECT keep_id FROM part_of WHERE part_of.id = d.id) END AS canonical_id FROM d""",
+)
+def resolved_conflicts(t):
+    return _merged_parts(t)[2]["conflicts"].select("conflict_id", "status", "resolution", "canonical_id")
+
+
+@query(
+    "L07_split_nodes",
+    f"""WITH {ctes('nodes', 'aliases', 'tags')}, {_CHAIN_SQL}
+    SELECT 'node' AS kind, id AS key, status AS value FROM nodes UNION ALL SELECT 'alias', node_id, alias FROM aliases UNION ALL SELECT 'tag', node_id, tag FROM tags
+    UNION ALL SELECT 'conflict', conflict_id, CASE WHEN conflict_type = 'duplicate_entity' AND status = 'acknowledged' THEN 'open' ELSE status END FROM chain""",
+)
+def split_nodes(t):
+    """A merge undone: nodes, aliases and tags are as before, its conflicts are open again."""
+    after = _merged_parts(t)[2]
+    back = L.split_duplicates(after, after["changes"])
+    row = lambda kind, name, key, value: back[name].select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(value).alias("value"))
+    rows = row("node", "nodes", "id", "status").unionByName(row("alias", "aliases", "node_id", "alias")).unionByName(row("tag", "tags", "node_id", "tag"))
+    return rows.unionByName(row("conflict", "conflicts", "conflict_id", "status"))
+
+
 _INCOMING = "SELECT 'customer:' || c_custkey AS id, 'account' AS type, upper(c_name) AS name, 'changed' AS summary, 'proposed' AS status, 'high' AS confidence FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'new:' || r_regionkey, 'region', r_name, 'new', 'proposed', 'low' FROM region"
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import text_index as I
+from ..shared import scratch
+from ..sources.store import Store
 from .registry import query
 from .standins import ctes, view
 
@@ -50,6 +53,93 @@ def bm25(t):
     return hits.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
+def _stored(t, docs):
+    """A fresh store that holds documents as chunks of their own."""
+    store = Store(t.spark, scratch(t.spark, "index"), 16)
+    I.update(store, docs, I.as_they_are)
+    return store
+
+
+@query(
+    "J02_indexed_search",
+    f"""WITH {bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)
+    SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
+)
+def indexed(t):
+    """The search of J02_bm25 from stored posting blocks; no text is read once the index is there."""
+    none = F.lit("")
+    store = _stored(t, t.documents.select("doc_id", none.alias("title"), none.alias("section"), "text"))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    return I.search(store, q, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query(
+    "J02_weighted_fields",
+    f"""WITH bq AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '{T.TOKEN}')[1:12])) AS term FROM benchmark),
+    bt AS (SELECT doc_id, regexp_extract_all(lower('Document ' || lang || ' ' || source), '{T.TOKEN}') AS a, regexp_extract_all(lower(regexp_extract(text, '^[^.]*')), '{T.TOKEN}') AS b, regexp_extract_all(lower(text), '{T.TOKEN}') AS c FROM documents),
+    bs AS (SELECT count(*) AS n, avg(len(a) + len(b) + len(c)) AS avgdl FROM bt),
+    bx AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl, unnest(a || b || c) AS term, unnest(list_transform(a, lambda x: 3.0) || list_transform(b, lambda x: 2.0) || list_transform(c, lambda x: 1.0)) AS w FROM bt),
+    bf AS (SELECT term, doc_id, dl, sum(w) AS tf FROM bx WHERE term IN (SELECT term FROM bq) GROUP BY ALL),
+    bd AS (SELECT term, count(*) AS df FROM bf GROUP BY term),
+    bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM bq JOIN bf USING (term) JOIN bd USING (term) CROSS JOIN bs GROUP BY query_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)
+    SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
+)
+def weighted_fields(t):
+    """Title, section and text count 3, 2 and 1; the section is a document's first sentence."""
+    title = F.concat(F.lit("Document "), "lang", F.lit(" "), "source")
+    store = _stored(t, t.documents.select("doc_id", title.alias("title"), F.regexp_extract("text", "^[^.]*", 0).alias("section"), "text"))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    hits = I.search(store, q, 10, {"title": 3.0, "section": 2.0})
+    return hits.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+#: A later state of the documents: every ninth text has grown, every eleventh document is gone, every thirteenth of the rest comes twice under a new id.
+_LATER = """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0
+    UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 13 = 0 AND doc_id % 11 <> 0"""
+
+
+def _later(t):
+    docs = t.documents.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"))
+    return docs.unionByName(t.documents.where("doc_id % 13 = 0 AND doc_id % 11 <> 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), "text"))
+
+
+def _fields(docs):
+    return docs.select("doc_id", F.lit("").alias("title"), F.lit("").alias("section"), "text")
+
+
+@query(
+    "L09_index_run",
+    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' WHEN doc_id % 9 = 0 AND text IS NOT NULL THEN 'changed' ELSE 'unchanged' END AS state FROM documents
+    UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents WHERE doc_id % 13 = 0 AND doc_id % 11 <> 0""",
+)
+def index_run(t):
+    """What a second run over a later state of the documents finds: only what is new or changed is chunked and written."""
+    store = _stored(t, _fields(t.documents))
+    return I.update(store, _fields(_later(t)), I.as_they_are)
+
+
+@query("L16_stored_chunks", f"SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM ({_LATER})")
+def stored_chunks(t):
+    """The chunks that are stored after the second run."""
+    store = _stored(t, _fields(t.documents))
+    I.update(store, _fields(_later(t)), I.as_they_are)
+    return store.read("chunks").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+
+
+@query(
+    "L09_updated_search",
+    f"""WITH {bm25_sql().replace("FROM documents", f"FROM ({_LATER})")}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)
+    SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
+)
+def updated_search(t):
+    """A search after the second run, over blocks of which those of untouched buckets are the first run's."""
+    store = _stored(t, _fields(t.documents))
+    I.update(store, _fields(_later(t)), I.as_they_are)
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    return I.search(store, q, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
 @query(
     "G01_reciprocal_rank",
     f"""WITH {bm25_sql(4)} SELECT query_id, doc_id, round(1.0 / row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id), 9) AS rr FROM bm""",

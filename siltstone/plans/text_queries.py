@@ -42,6 +42,24 @@ def _slug(n: int) -> str:
 _STORE = f"lower(trim(regexp_replace({strip('text')}, '[^A-Za-z0-9_.-]+', '-', 'g'), '-'))"
 
 
+def likely_sql(a: str, b: str, threshold: float) -> str:
+    """Whether two texts hold enough equal letters, in any order, for the ratio of matching blocks."""
+    n = f"{threshold} * (length({a}) + length({b})) - 1e-9"
+    common = f"list_sum(list_transform(list_distinct(string_split({a}, '')), lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, '')))))"
+    return f"(2 * least(length({a}), length({b})) >= {n} AND 2 * {common} >= {n})"
+
+
+_BLOCK = "list_filter(flatten(list_transform(range(least(length(a), length(b)), 0, -1), lambda k: list_transform(range(1, length(a) - k + 2), lambda i: substr(a, i, k)))), lambda s: contains(b, s))[1]"
+
+
+def blocks_sql(pairs: str) -> str:
+    """blocks(l, r, ratio) of the texts (l, r) of ``pairs``: the longest common block, then the same before and after it. Needs WITH RECURSIVE."""
+    rest = "struct_pack(a := left(a, strpos(a, z) - 1), b := left(b, strpos(b, z) - 1)), struct_pack(a := substr(a, strpos(a, z) + length(z)), b := substr(b, strpos(b, z) + length(z)))"
+    return f"""seg AS (SELECT l, r, l AS a, r AS b FROM {pairs}
+        UNION ALL SELECT l, r, a, b FROM (SELECT l, r, unnest([{rest}], recursive := true) FROM (SELECT l, r, a, b, {_BLOCK} AS z FROM seg) WHERE z IS NOT NULL) WHERE a <> '' AND b <> ''),
+    blocks AS (SELECT l, r, sum(length({_BLOCK})) * 2.0 / (length(l) + length(r)) AS ratio FROM seg GROUP BY l, r)"""
+
+
 @query(
     "C01_slug",
     f"SELECT doc_id, {_slug(96)} AS slug96, {_slug(80)} AS slug80, CASE WHEN {_STORE} = '' THEN 'item' ELSE {_STORE} END AS store_slug FROM documents",

@@ -45,3 +45,10 @@ def scratch(spark, label: str) -> str:
 
     atexit.register(clean)
     return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back, in one job."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
