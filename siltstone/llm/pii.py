@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 TRIGGER = re.compile(r"@|[0-9](?:[\x20()./\[\]-]{0,3}[0-9]){5,}|[\[(]at[\])]|\bat [a-z0-9-]+ (?:dot|\[dot\]) ", re.I)
+# An address with its signs, or with words or brackets in their place; what joins a name's parts before and after a span.
+_DOT = r"(?: ?(?:\.|\[\.\]|\[dot\]|\(dot\)) ?| dot )"
+ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*(?: ?(?:@|\[at\]|\(at\)) ?| at )[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+")
+NAME_AFTER = re.compile(rf"{_DOT}[A-Za-z0-9]", re.I)
+NAME_BEFORE = re.compile(rf"[A-Za-z0-9](?:{_DOT}|[_%+-])\Z", re.I)
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 MAX_ATOMS, REACH, LEAST, MARGIN = 24, 48, 7, 2.0
 
@@ -125,10 +132,18 @@ def features(text: str, start: int, end: int) -> list[str]:
             out.append("fours")
     else:
         out.append("letters")
-        if re.fullmatch(r"[a-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)| at ) ?[a-z0-9-]+(?: ?(?:\.|\[\.\]|\[dot\]|\(dot\)| dot ) ?[a-z0-9-]+)+", low):
+        if ADDRESS.fullmatch(low):
             out.append("address")
-        if re.match(r" ?(?:\.|\[\.\]|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9]", text[end : end + 8]):
+        if NAME_AFTER.match(text[end : end + 8]):
             out.append("name-goes-on")
+        if NAME_BEFORE.search(text[max(0, start - 8) : start]):
+            out.append("name-began")
+    if re.search(r"[0-9)][ .-]?\(?\Z", text[max(0, start - 3) : start]):
+        out.append("number-began")
+    if re.match(r"[ .-]?\(?[0-9]", text[end : end + 3]):
+        out.append("number-goes-on")
+    if span.count("(") != span.count(")") or span.count("[") != span.count("]"):
+        out.append("unpaired")
     word = re.search(r"([A-Za-z]+)[\s:=#]*\Z", text[max(0, start - 24) : start])
     if word and word[1].lower() in HINTS:
         out.append("hint-" + HINTS[word[1].lower()])
@@ -163,18 +178,43 @@ def candidates(text: str) -> tuple[int, list[tuple[int, int, int, int]]]:
     return len(atoms), out
 
 
-def windows(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+class Taken:
+    """Base spans, for questions about what lies where; each is answered by search over their sorted borders."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [s for s, _, _ in self.spans]
+        self.ends = sorted(e for _, e, _ in self.spans)
+        self.reach = list(accumulate((e for _, e, _ in self.spans), max))  # how far the spans up to here go
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a span overlaps a stretch."""
+        return bisect_left(self.starts, end) > bisect_right(self.ends, start)
+
+    def covered(self, start: int, end: int) -> int:
+        """Characters of a stretch that spans cover, each span for itself."""
+        out, i = 0, bisect_left(self.starts, end) - 1
+        while i >= 0 and self.reach[i] > start:
+            s, e, _ = self.spans[i]
+            out += max(0, min(e, end) - max(s, start))
+            i -= 1
+        return out
+
+    def room(self, start: int, end: int, lo: int, hi: int) -> tuple[int, int]:
+        """[lo, hi) cut at the nearest span that ends before a stretch and the nearest that starts after it."""
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        lo = max(lo, self.ends[before - 1]) if before else lo
+        return lo, min(hi, self.starts[after]) if after < len(self.starts) else hi
+
+
+def windows(text: str, taken: Taken) -> list[tuple[int, int]]:
     """Stretches between base spans that hold a trigger, joined where they touch."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in taken) and not _uncovered(m, taken):
+        start, end = m.span()
+        if taken.meets(start, end) and end - start - taken.covered(start, end) < LEAST:
             continue
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        for s, e, _ in taken:
-            if e <= m.start():
-                lo = max(lo, e)
-            elif s >= m.end():
-                hi = min(hi, s)
+        lo, hi = taken.room(start, end, max(0, start - REACH), min(len(text), end + REACH))
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -182,12 +222,6 @@ def windows(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def _uncovered(m: re.Match, taken: list[tuple[int, int, int]]) -> bool:
-    """Whether a trigger has at least ``LEAST`` characters outside of base spans."""
-    covered = sum(max(0, min(e, m.end()) - max(s, m.start())) for s, e, _ in taken)
-    return m.end() - m.start() - covered >= LEAST
-
-
 class Field:
     """A semi-Markov conditional random field over candidate segments of a window."""
 
@@ -203,7 +237,7 @@ class Field:
         n, segs = candidates(text)
         if not segs or not self.weights:
             return []
-        s = self.scores([features(text, a, b) for _, _, a, b in segs]) - margin
+        s = np.concatenate([self.scores([features(text, a, b) for _, _, a, b in segs[at : at + 4096]]) for at in range(0, len(segs), 4096)]) - margin
         ending: dict[int, list[int]] = {}
         for x, (_, j, _, _) in enumerate(segs):
             ending.setdefault(j, []).append(x)
@@ -296,7 +330,7 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            for s, e in windows(text, []):
+            for s, e in windows(text, Taken([])):
                 rows.append((doc_id, s, text[s:e]))
         yield pd.DataFrame(rows, columns=["doc_id", "start", "window"])
 
@@ -329,11 +363,11 @@ def _finder(field: Field):
             rows = []
             for text in pdf["text"]:
                 base = base_spans(text)
-                added = []
-                for lo, hi in windows(text, base):
+                added, taken = [], Taken(base)
+                for lo, hi in windows(text, taken):
                     for s, e, k in field.best(text[lo:hi]):
                         s, e = s + lo, e + lo
-                        if not any(s < y and x < e for x, y, _ in base):
+                        if not taken.meets(s, e):
                             added.append((s, e, k))
                 spans = base + added
                 counts = [sum(k == kind for _, _, k in spans) for kind in range(4)]
