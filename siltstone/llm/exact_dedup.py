@@ -8,6 +8,7 @@
    stage 2 has proved by comparing texts, needs no text here; for a weak digest with several texts the rows'
    texts are compared (texts that share a SHA-256 digest would end the job). The salt keeps a hot digest's rows apart here too.
 
+Salts follow from the row's number where ``row_col`` gives one, else from the id: give it where many ids are null or equal.
 Ids are whole numbers of any width. Defined cases: a null text counts as empty; null doc_ids come last among candidates to stay; rows
 repeated with the same doc_id are all members, count each and are all marked kept with the row that stays; an empty table gives no rows.
 """
@@ -55,7 +56,7 @@ def exact_groups(
         .withColumn("row", F.col("row") if row_col else F.lit(0).cast("long"))
         .select("doc_id", "row", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("body"))
         .withColumn("digest", digest(F.col("body")))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("row" if row_col else "doc_id"), F.lit(salts)).cast("int"))
     )
     # Among equals the largest (n, some, not id) stays: ~id reverses the order of ids, null ids come last.
     rank = F.struct(F.col("n").alias("n"), F.col("doc_id").isNotNull().alias("some"), F.bitwise_not("doc_id").alias("flip"), (-F.col("row")).alias("back"))
