@@ -72,6 +72,14 @@ def written(df: DataFrame, label: str, made: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether all rows come from the files of one input, so that every task finds the same rows again in the same order."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() != 1:
+        return False
+    return not any(r[0] == "" for r in df.select(F.input_file_name()).head(1))
+
+
 def join_sized(rows: DataFrame, table: DataFrame, key: str, size: str, deal: list[str], share: int = 1000) -> DataFrame:
     """Left join of ``rows`` to ``table``: one row for each key with the number of ``rows`` that hold it.
 

@@ -33,12 +33,13 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, columns, ship
+from .common import arrow_rows, columns, from_files, ship, written
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = np.dtype([("doc_id", "<i8"), ("seq_no", "<u4"), ("used", "<u4")])
 NO_ID = -(2**63)
+MOST_SHARDS = 20_000
 TEXT = "part int, pos long, doc_id long, ids binary"
 SHARD = "shard long, first_slot long, records long, file string"
 RECORD = "slot long, shard long, doc_id long, seq_no int, n_tokens int, ids_sha256 string"
@@ -137,11 +138,15 @@ def materialise(
     ranks_path: str,
     key: int = 0,
     length: int = 256,
-    per_shard: int = 1 << 15,
+    per_shard: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Write the shards below ``out_dir``; return their manifest (shard, first_slot, records, file)."""
+    """Write the shards below ``out_dir``; return their manifest (shard, first_slot, records, file).
+
+    A shard holds ``per_shard`` sequences: 32,768, or as many more as leave ``MOST_SHARDS`` shards at most, as each is one task's. Rows that
+    come from no file are written to one first: places follow from the order of rows in their splits, which a lost executor's task must find again.
+    """
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
     with open(ranks_path, "rb") as f:
@@ -150,6 +155,8 @@ def materialise(
     item = np.dtype(width).itemsize
     stride = length * item
     rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if not from_files(docs):
+        rows = written(rows, "texts")
     made = rows.mapInPandas(_tokenise(ranks, length, width), TEXT).persist(StorageLevel.MEMORY_AND_DISK)
     pieces = F.ceil(F.octet_length("ids") / stride)
     try:
@@ -158,6 +165,7 @@ def materialise(
         for part, size in counts:
             starts.append((part, n))
             n += size
+        per_shard = per_shard or max(1 << 15, -(-n // MOST_SHARDS))
         offsets = spark.createDataFrame(starts or [(0, 0)], "part int, start long")
         cut = lambda k: F.substring(F.col("ids"), (k * stride + 1).cast("int"), F.lit(stride))
         sequences = made.join(F.broadcast(offsets), "part").select(
