@@ -13,6 +13,7 @@ from ..operators import governance as W
 from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import retrieval as R
+from ..sources import archive as A
 from ..sources import connectors as K
 from ..sources import readers, sinks
 from ..shared import scratch
@@ -95,6 +96,23 @@ def redaction(t):
     return m.select("c_custkey", F.col("m")["Api_Token"].alias("api_token"), F.col("m")["secret_ENV"].alias("secret_env"), F.col("m")["name"].alias("name"))
 
 
+@query(
+    "B13_client_archive",
+    """WITH m AS (SELECT source AS client_id, 'documents/' || doc_id || '.txt' AS path, coalesce(text, '') AS body FROM documents
+        UNION ALL SELECT 'src' || (c_custkey % 20), 'settings/' || c_custkey || '.json', '{' || chr(10) || '  "api_token": "[REDACTED]",' || chr(10) || '  "name": "' || c_name || '",' || chr(10) || '  "token_env": "ENV_' || c_custkey || '"' || chr(10) || '}' || chr(10) FROM customer)
+    SELECT client_id, path, CAST(strlen(body) AS BIGINT) AS size, sha256(body) AS sha256 FROM m WHERE client_id IS NOT NULL""",
+)
+def client_archive(t):
+    """Documents and settings of every client, written to its archive and read back by ranges."""
+    settings = F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("t-1").alias("api_token"), F.concat(F.lit("ENV_"), "c_custkey").alias("token_env")))
+    members = t.documents.select(F.col("source").alias("client_id"), F.concat(F.lit("documents/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("body")).unionByName(
+        t.customer.select(F.concat(F.lit("src"), F.col("c_custkey") % 20).alias("client_id"), F.concat(F.lit("settings/"), "c_custkey", F.lit(".json")).alias("path"), settings.cast("binary").alias("body"))
+    )
+    out = scratch(t.spark, "archives")
+    found = A.read_members(A.export_clients(members, out, "2024-02-10T12:00:00+00:00"), out)
+    return found.select("client_id", "path", F.octet_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("sha256"))
+
+
 @query(
     "C33_capture_url",
     """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'https://arxiv.org/abs/' || p_size WHEN 1 THEN 'https://arxiv.org/abs/x' || p_partkey WHEN 2 THEN 'https://pdf/' || p_partkey WHEN 3 THEN 'https://u/' || p_partkey
