@@ -16,6 +16,7 @@ from ..operators import retrieval as R
 from ..sources import archive as A
 from ..sources import connectors as K
 from ..sources import readers, sinks
+from ..sources import reports as P
 from ..shared import scratch
 from ..streaming import incremental as S
 from . import manifests as N
@@ -96,6 +97,36 @@ def redaction(t):
     return m.select("c_custkey", F.col("m")["Api_Token"].alias("api_token"), F.col("m")["secret_ENV"].alias("secret_env"), F.col("m")["name"].alias("name"))
 
 
+def _event_reports(t):
+    """The events as a system that gives them by day, in the order of their ids."""
+    path = f"{t.sf_dir}/events.parquet"
+
+    def fetch(day, columns, limit):
+        import datetime
+
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        at = datetime.datetime.combine(day, datetime.time())
+        held = (pc.field("ts") >= at) & (pc.field("ts") < at + datetime.timedelta(1))
+        rows = ds.dataset(path, format="parquet").to_table(columns=["event_id", *columns], filter=held).sort_by("event_id")
+        return list(zip(*(rows[c].slice(0, limit).to_pylist() for c in columns))), rows.num_rows
+
+    return P.report_source("event_reports", fetch, {"event_type": "string", "value": "double", "user_id": "long"})
+
+
+@query(
+    "A31_report_days",
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, value, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS n FROM events WHERE ts >= '2024-01-03' AND ts < '2024-01-21')
+    SELECT day, round(sum(value), 4) AS value, 1 AS n_days, count(*) AS n_rows, max(n) AS n_reported, max(n) > 300 AS partial_data FROM d WHERE rn <= 300 GROUP BY day""",
+)
+def report_days(t):
+    """Daily reports of at most 300 rows over a window of days: what each sums to, and whether the report was cut."""
+    rows = P.read_reports(t.spark, _event_reports(t), ["value"], "2024-01-03", "2024-01-20", 300)
+    found = P.completeness(rows, ["day"], [F.round(F.sum("value"), 4).alias("value")])
+    return found.select("day", "value", F.col("n_days").cast("int").alias("n_days"), "n_rows", "n_reported", "partial_data")
+
+
 @query(
     "B13_client_archive",
     """WITH m AS (SELECT source AS client_id, 'documents/' || doc_id || '.txt' AS path, coalesce(text, '') AS body FROM documents
