@@ -64,7 +64,7 @@ def known_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     held = F.filter("names", lambda n: F.contains(F.lower("text"), F.lower(F.trim(n["alias"]))))
     rows = chunks.select("chunk_id", "text").join(names, "chunk_id").withColumn("names", held).where(F.size("names") > 0)
     spans = rows.select("chunk_id", "text", "names").mapInPandas(
-        _spans, "chunk_id long, node_id string, alias string, origin string, start int, end int"
+        _spans, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, node_id string, alias string, origin string, start int, end int"
     )
     best = Window.partitionBy("chunk_id", "node_id", "start", "end").orderBy(F.length("alias").desc(), "alias")
     return (

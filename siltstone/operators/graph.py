@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import checkpointed
+from ..shared import checkpointed, written
+from .matching import containing
 
 CONFIDENCE_RANK = {"high": 0.0, "medium": 1.0, "low": 2.0}
 
@@ -106,7 +107,10 @@ def hint_scores(nodes: DataFrame, query: str, tokens: list[str], limit: int = 8)
 
 
 def node_hints(nodes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    """(query_id, node_id, name, type, score): the best graph hints of each query (query_id, text), scored as in ``hint_scores``."""
+    """(query_id, node_id, name, type, score): the best graph hints of each query (query_id, text), scored as in ``hint_scores``.
+
+    A query meets the nodes whose name, id or summary holds its text or one of its tokens, by ``containing``.
+    """
     q = queries.select("query_id", F.lower("text").alias("q"), T.fts_terms(F.col("text"), 8).alias("tokens"))
     live = nodes.where(T.is_live(F.col("status"))).select("id", "name", "type", *(F.lower(c).alias(f"_{c}") for c in ("id", "name", "summary")))
     named = lambda w: F.contains(F.col("_name"), w) | F.contains(F.col("_id"), w)
@@ -114,7 +118,10 @@ def node_hints(nodes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFram
     each = F.aggregate("tokens", F.lit(0.0), lambda s, w: s + F.when(named(w), 2.0).otherwise(0.0) + F.when(told(w), 0.5).otherwise(0.0))
     hit = F.contains("_name", "q") | told(F.col("q")) | F.exists("tokens", lambda w: F.contains(F.col("_name"), w) | told(w))
     four = F.when(F.col("type").isin("runtime", "tool", "concept", "failure_mode"), 0.4).otherwise(0.0)
-    rows = live.crossJoin(q).where(hit).withColumn("score", F.when(named(F.col("q")), 8.0).otherwise(0.0) + each + four)  # a stated query set
+    probes = written(q.select("query_id", F.explode(F.array_union(F.array("q"), "tokens")).alias("probe")), "probes")
+    texts = live.select("id", F.concat_ws("\n", "_name", "_id", "_summary").alias("text"))
+    met = containing(texts, probes).join(probes, "probe").select("id", "query_id").distinct()
+    rows = met.join(live, "id").join(q, "query_id").where(hit).withColumn("score", F.when(named(F.col("q")), 8.0).otherwise(0.0) + each + four)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "type", "name", "id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", F.col("id").alias("node_id"), "name", "type", "score", "rank")
 

@@ -60,6 +60,42 @@ def near_texts(left: DataFrame, right: DataFrame, threshold: float, by: list[str
     return pairs.withColumn("ratio", 1 - F.levenshtein("left", "right") / longest).where(F.col("ratio") >= threshold)
 
 
+# --- texts that hold a string ------------------------------------------------------------------------------------
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """All stretches of ``size`` letters of a text; none where it is shorter."""
+    last = F.length(text) - size + 1
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))
+
+
+def containing(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """(id, probe) of the texts (id, text) that hold a string of ``probes`` (probe) anywhere, also inside a word; blank probes match nothing.
+
+    A text that holds a probe has a word that holds the probe's longest word. Distinct words meet distinct probes on the rarest three
+    letters of that longest word (all of it, if shorter), so neither texts nor words meet all probes; texts are read by word. Probes of
+    several words are compared with the whole texts that are left.
+    """
+    longest = F.array_max(F.transform(F.split(F.trim("probe"), r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = written(probes.select("probe").where(F.trim("probe") != "").distinct().withColumn("key", longest), "probes")
+    keys = asked.select("key").distinct().withColumn("size", F.least(F.length("key"), F.lit(3)))
+    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # of 1, 2 and 3
+    if not sizes:
+        return texts.select("id").join(asked.select("probe"), F.lit(False))
+    words = texts.select("id", F.explode(F.array_distinct(F.split(F.trim("text"), r"\s+"))).alias("word")).where("word != ''")
+    known = words.select("word").distinct()
+    cut = F.array_distinct(F.concat(*(_grams(F.col("word"), F.lit(n)) for n in sizes)))
+    wanted = keys.select("key", F.explode(F.array_distinct(_grams(F.col("key"), F.col("size")))).alias("gram"))
+    held = written(known.select("word", F.explode(cut).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "grams")
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "gram"))
+    rarest = wanted.join(df, "gram", "left").fillna(0, ["df"]).withColumn("rank", rank).where("rank = 1").select("key", "gram")
+    met = held.join(rarest, "gram").where(F.contains("word", "key")).select("word", "key")
+    found = words.join(met, "word").select("id", "key").distinct().join(asked, "key")
+    more = found.where("probe != key").join(texts.select("id", "text"), "id").where(F.contains("text", "probe"))
+    return found.where("probe = key").select("id", "probe").unionByName(more.select("id", "probe"))
+
+
 # --- ratio of matching blocks ------------------------------------------------------------------------------------
 
 

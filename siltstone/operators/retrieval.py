@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import checkpointed
+from ..shared import checkpointed, written
 from ..shipping import ship
+from .matching import containing
 
 K1, B = 1.2, 0.75
 # Weights of the signals and of the priority's components.
@@ -139,7 +140,8 @@ def graph_scores(chunks: DataFrame, hints: DataFrame, links: DataFrame | None =
     """(query_id, chunk_id, graph): a linked hint counts 1, its name in the text .6, a word of it .2; at most 2, halved.
 
     ``hints`` are (query_id, node_id, name, score), of which each query takes its ``most`` best; links are (chunk_id, node_id). A query
-    meets the chunks of ``pairs`` (query_id, chunk_id), or all of them. ``chars`` cuts texts; by default they are read whole.
+    meets the chunks of ``pairs`` (query_id, chunk_id); by default those that are linked to a hint or hold its name or a word of it, and only
+    these have a row. ``chars`` cuts texts; by default they are read whole.
     """
     text = F.col("text") if chars is None else F.substring("text", 1, chars)
     low = chunks.select("chunk_id", F.lower(F.concat_ws(" ", "title", F.lit(""), text)).alias("low"))
@@ -149,7 +151,14 @@ def graph_scores(chunks: DataFrame, hints: DataFrame, links: DataFrame | None =
         low = low.withColumn("linked", F.lit(None).cast("array<string>"))
     ranked = hints.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("rn") <= most)
     each = ranked.groupBy("query_id").agg(F.collect_list(F.struct(F.col("node_id"), F.lower("name").alias("name"), T.tokenize(F.col("name")).alias("words"))).alias("hints"))
-    met = low.crossJoin(each) if pairs is None else pairs.join(low, "chunk_id").join(each, "query_id")
+    if pairs is None:
+        words = ranked.select("query_id", F.explode(F.array_union(F.array(F.lower("name")), T.tokenize(F.col("name")))).alias("probe"))
+        words = written(words.distinct(), "hint-words")
+        pairs = containing(low.select(F.col("chunk_id").alias("id"), F.col("low").alias("text")), words).join(words, "probe").select("query_id", F.col("id").alias("chunk_id"))
+        if links is not None:
+            pairs = pairs.unionByName(ranked.join(links, "node_id").select("query_id", "chunk_id"))
+        pairs = pairs.distinct()
+    met = pairs.join(low, "chunk_id").join(each, "query_id")
     worth = lambda h: (
         F.when(F.coalesce(F.array_contains("linked", h["node_id"]), F.lit(False)), 1.0)
         .when((h["name"] != "") & F.contains(F.col("low"), h["name"]), 0.6)
@@ -218,8 +227,11 @@ def search_records(tables: dict[str, tuple[DataFrame, str, list[str]]], term: st
 
 
 def retrieval_log(results: DataFrame, queries: DataFrame, mode: str, most: int = 10) -> DataFrame:
-    """One row for each query (query_id, text): mode, number of results, and its best ``most`` (doc_id, rank, score) as JSON."""
-    best = results.where(F.col("rank") <= most).groupBy("query_id").agg(
+    """One row for each query (query_id, text): mode, number of results (query_id, doc_id, score), and its best ``most`` (doc_id, rank, score) as JSON.
+
+    Results are counted where they are; only the best of each task are ranked.
+    """
+    best = top_k(results, most).groupBy("query_id").agg(
         F.to_json(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.round("score", 4).alias("score"))))).alias("payload")
     )
     n = results.groupBy("query_id").agg(F.count("*").alias("n_results"))

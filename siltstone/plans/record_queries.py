@@ -63,12 +63,13 @@ def mock(t):
 
 @query(
     "B12_retrieval_log",
-    f"""WITH {bm25_sql(12, _ITEMS)} SELECT i.query_id, i.text, 'keyword' AS mode, count(doc_id) AS n_results, least(count(doc_id), 10) AS n_logged FROM ({_ITEMS}) i LEFT JOIN bm USING (query_id) GROUP BY 1, 2""",
+    f"""WITH {bm25_sql(12, _ITEMS)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)
+    SELECT i.query_id, i.text, 'keyword' AS mode, count(doc_id) AS n_results, coalesce(string_agg(doc_id || ':' || rank, ',' ORDER BY rank) FILTER (rank <= 10), '') AS logged FROM ({_ITEMS}) i LEFT JOIN r USING (query_id) GROUP BY 1, 2""",
 )
 def retrieval_log(t):
-    results = R.top_k(R.bm25(t.documents, _items(t), "doc_id", "text"), 1 << 30)
-    log = R.retrieval_log(results, _items(t), "keyword")
-    return log.select("query_id", "text", "mode", "n_results", F.size(F.from_json("payload", "array<struct<rank:int>>")).cast("long").alias("n_logged"))
+    log = R.retrieval_log(R.bm25(t.documents, _items(t), "doc_id", "text"), _items(t), "keyword")
+    best = F.transform(F.from_json("payload", "array<struct<rank:int, doc_id:long, score:double>>"), lambda h: F.concat_ws(":", h["doc_id"], h["rank"]))
+    return log.select("query_id", "text", "mode", "n_results", F.array_join(best, ",").alias("logged"))
 
 
 @query("D02_legacy_chunks")
@@ -200,7 +201,7 @@ def capture_ids(t):
     return t.events.select(X2.capture_source_id(F.col("event_type"), F.concat(F.lit("u"), "user_id")).alias("source_id")).distinct()
 
 
-_NODE_HITS = f"""q AS (SELECT query_id, lower(text) AS q, regexp_extract_all(lower(text), '{T.TOKEN}')[1:8] AS tokens FROM (SELECT item_id AS query_id, left(text, 30) AS text FROM benchmark UNION ALL SELECT 1000 + r_regionkey, lower(r_name) FROM region)),
+_NODE_HITS = f"""q AS (SELECT query_id, lower(text) AS q, regexp_extract_all(lower(text), '{T.TOKEN}')[1:8] AS tokens FROM (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 1000 + r_regionkey, lower(r_name) FROM region)),
     h AS (SELECT query_id, id, name, type, CASE WHEN contains(lower(name), q) OR contains(lower(id), q) THEN 8.0 ELSE 0.0 END + 2.0 * len(list_filter(tokens, lambda w: contains(lower(name), w) OR contains(lower(id), w)))
           + 0.5 * len(list_filter(tokens, lambda w: contains(lower(summary), w))) + CASE WHEN type IN ('runtime', 'tool', 'concept', 'failure_mode') THEN 0.4 ELSE 0.0 END AS score
           FROM nodes, q WHERE status IN ('active', 'provisional') AND (contains(lower(name), q) OR contains(lower(summary), q) OR len(list_filter(tokens, lambda w: contains(lower(name), w) OR contains(lower(summary), w))) > 0))"""
@@ -212,8 +213,8 @@ _NODE_HITS = f"""q AS (SELECT query_id, lower(text) AS q, regexp_extract_all(low
     SELECT query_id, id AS node_id, round(score, 6) AS score, rank FROM r WHERE rank <= 8""",
 )
 def node_hints(t):
-    """Graph hints for the first words of every benchmark passage and for every region's name."""
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.left("text", F.lit(30)).alias("text"))
+    """Graph hints for every benchmark passage and for every region's name."""
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     q = q.unionByName(t.region.select((F.lit(1000) + F.col("r_regionkey")).alias("query_id"), F.lower("r_name").alias("text")))
     return G.node_hints(view(t, "nodes"), q).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 

@@ -142,11 +142,11 @@ def updated_search(t):
 
 @query(
     "G01_reciprocal_rank",
-    f"""WITH {bm25_sql(4)} SELECT query_id, doc_id, round(1.0 / row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id), 9) AS rr FROM bm""",
+    f"""WITH {bm25_sql()} SELECT query_id, doc_id, round(1.0 / row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id), 9) AS rr FROM bm""",
 )
 def reciprocal(t):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    return R.reciprocal_rank(R.bm25(t.documents, q, "doc_id", "text", 4)).select("query_id", "doc_id", F.round("rr", 9).alias("rr"))
+    return R.reciprocal_rank(R.bm25(t.documents, q, "doc_id", "text")).select("query_id", "doc_id", F.round("rr", 9).alias("rr"))
 
 
 @query(
@@ -255,8 +255,9 @@ def _hybrid(t):
     return R.fuse(vector, keyword, R.graph_scores(view(t, "chunks"), _hints(t), pairs=met), by="query_id")
 
 
-@query("J04_graph_score", f"WITH {ctes('chunks')}, {_GRAPH} SELECT query_id, chunk_id, round(graph, 6) AS graph FROM gs")
+@query("J04_graph_score", f"WITH {ctes('chunks')}, {_GRAPH} SELECT query_id, chunk_id, round(graph, 6) AS graph FROM gs WHERE graph > 0")
 def graph_score(t):
+    """Chunks that hold a query's hint; those that hold none have no row."""
     return R.graph_scores(view(t, "chunks"), _hints(t)).select("query_id", "chunk_id", F.round("graph", 6).alias("graph"))
 
 

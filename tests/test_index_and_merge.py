@@ -293,3 +293,26 @@ def test_documents_are_chunked_into_the_store(spark, tmp_path):
     hits = text_index.search(store, spark.createDataFrame([(1, "gamma"), (2, "note")], "query_id long, text string"), 3).collect()
     assert {(r.query_id, r.doc_id.split(":")[1]) for r in hits} == {(1, "1"), (2, "1")}
     assert {r.state for r in text_index.update(store, docs).collect()} == {"unchanged"}
+
+
+# --- texts that hold a string ----------------------------------------------------------------------------------
+
+
+def test_containing_equals_a_scan_of_all_pairs(spark):
+    rnd = random.Random(8)
+    letters = "abcé. -"
+    texts = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randrange(25)))) for i in range(120)] + [(500, None), (501, ""), (502, "  "), (503, "x\ny z")]
+    probes = {"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 7))) for _ in range(150)} | {"", " ", "y z", "x\ny", "nowhere at all"}
+    got = matching.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(p,) for p in sorted(probes)] + [(None,)], "probe string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, p) for i, t in texts for p in probes if t and p.strip() and p in t)
+    none = spark.createDataFrame([], "probe string")
+    assert matching.containing(spark.createDataFrame(texts, "id long, text string"), none).isEmpty()
+
+
+def test_hints_and_scores_meet_by_words(spark):
+    """No plan of node hints or graph scores pairs all rows of two tables."""
+    from siltstone.plans.registry import QUERIES
+
+    for name in ("J03_node_hints", "J04_graph_score"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
