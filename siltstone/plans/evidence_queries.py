@@ -9,6 +9,9 @@ from ..operators import entities as E
 from ..operators import evidence as V
 from ..operators import governance as G
 from ..operators import relations as R
+from ..operators import runs as U
+from ..shared import scratch
+from ..sources.store import Store
 from .registry import query
 from .retrieval_queries import NOW, now
 from .standins import ctes, view
@@ -171,6 +174,25 @@ def relation_claims(t):
     return R.extract_relations(_sentences(t)).select("chunk_id", "subject", "predicate", "object", "confidence")
 
 
+#: A later state of the sentences: every ninth has grown by a claim, every eleventh is gone.
+_LATER = f"SELECT chunk_id, CASE WHEN chunk_id % 9 = 0 THEN text || ' Acme Group acquired Beta Corp.' ELSE text END AS text FROM ({_S}) WHERE chunk_id % 11 <> 0"
+
+
+@query(
+    "L12_extraction_run",
+    f"WITH {_REL.replace(f's AS ({_S})', f's AS ({_LATER})')} SELECT DISTINCT chunk_id, subject, predicate, object, 0.82::DOUBLE AS confidence, 'candidate' AS status, true AS annotated FROM rel WHERE subject <> '' AND object <> ''",
+)
+def extraction_run(t):
+    """The candidates that are stored after a second run, which looks at changed sentences only, each with its annotation."""
+    store = Store(t.spark, scratch(t.spark, "relations"), 16)
+    s = _sentences(t)
+    U.extraction_run(store, s, R.ontology(t.spark))
+    later = s.where("chunk_id % 11 <> 0").withColumn("text", F.when(F.col("chunk_id") % 9 == 0, F.concat("text", F.lit(" Acme Group acquired Beta Corp."))).otherwise(F.col("text")))
+    U.extraction_run(store, later, R.ontology(t.spark))
+    notes = store.read("annotations").select("annotation_id", F.lit(True).alias("annotated"))
+    return store.read("candidates").join(notes, "annotation_id", "left").select("chunk_id", "subject", "predicate", "object", "confidence", "status", "annotated")
+
+
 @query("C25_normalize_predicate", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'acquired' WHEN 1 THEN 'based_in' WHEN 2 THEN 'uses' ELSE 'talked_to' END AS predicate FROM orders")
 def predicates(t):
     verb = F.element_at(F.array(*map(F.lit, ["Bought", "headquartered in", "runs on", "Talked to"])), (F.col("o_orderkey") % 4 + 1).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -120,21 +121,21 @@ def missing_fields(mapped: DataFrame, required: dict[str, tuple[str, ...]] = OBJ
     return odd.unionByName(lack.select("client_id", "object", "field", F.lit("missing field").alias("problem")))
 
 
-CLIENT = "client_id string, systems map<string,array<string>>, field_map map<string,map<string,string>>, metrics array<string>, status string, read_only boolean"
+CLIENT = "client_id string, systems map<string,array<string>>, field_map map<string,map<string,string>>, metrics map<string,string>, status string, read_only boolean"
 
 
 def save_clients(spark: SparkSession, clients: list[Client], path: str) -> None:
-    """Write clients, which are configuration, as one small table; ids must be unique and all clients valid."""
+    """Write clients, which are configuration, as one small table, definitions of metrics as JSON; ids must be unique."""
     ids = [c.client_id for c in clients]
     if len(set(ids)) < len(ids):
         raise ValueError("client ids must be unique")
-    rows = [(c.client_id, c.systems, c.field_map, sorted(c.metrics), c.status, c.read_only) for c in clients]
+    rows = [(c.client_id, c.systems, c.field_map, {m: json.dumps(d, sort_keys=True) for m, d in c.metrics.items()}, c.status, c.read_only) for c in clients]
     spark.createDataFrame(rows, CLIENT).write.mode("overwrite").json(path)
 
 
 def load_clients(spark: SparkSession, path: str) -> list[Client]:
     rows = spark.read.schema(CLIENT).json(path).orderBy("client_id").collect()
-    return [Client(r.client_id, r.systems, r.field_map or {}, {m: {} for m in r.metrics or []}, r.status, r.read_only) for r in rows]
+    return [Client(r.client_id, r.systems, r.field_map or {}, {m: json.loads(d) for m, d in (r.metrics or {}).items()}, r.status, r.read_only) for r in rows]
 
 
 def refreshed(card: DataFrame, clients: list[Client], connectors: dict[str, Connector], fresh_at: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import exports as X2
 from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import retrieval as R
+from ..operators import runs as U
 from ..operators import vectors as VEC
 from ..sources import connectors as K
 from ..sources import converters as X
@@ -175,6 +176,22 @@ def review(t):
     return L.set_status(k, chosen, "conflict_id", "resolved").select("conflict_id", "status")
 
 
+@query(
+    "L13_review_decisions",
+    """WITH d AS (SELECT o_orderkey AS review_id, o_orderkey * 10 AS candidate_id, 'open' AS before, CASE WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'dismissed' END AS after,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'accept' ELSE '' END AS resolution FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT o.o_orderkey AS review_id, coalesce(d.after, 'open') AS status, CASE WHEN d.resolution = 'accept' THEN 'by=x;resolution=accept' ELSE 'by=x' END AS notes, d.after AS decided FROM orders o LEFT JOIN d ON d.review_id = o.o_orderkey""",
+)
+def review_decisions(t):
+    """Review items after the decisions on every third of them, with the decision that each has in the log."""
+    items = t.orders.select(F.col("o_orderkey").alias("review_id"), (F.col("o_orderkey") * 10).alias("candidate_id"), F.lit("open").alias("status"), F.create_map(F.lit("by"), F.lit("x")).alias("notes"))
+    even = F.col("review_id") % 2 == 0
+    decided = items.where("review_id % 3 = 0").select("review_id", F.when(even, "resolved").otherwise("dismissed").alias("status"), F.when(even, "accept").otherwise("").alias("resolution"), F.lit("").alias("notes"))
+    after, log = U.resolve_reviews(items, decided, "2024-02-10")
+    notes = F.array_join(F.array_sort(F.transform(F.map_entries("notes"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return after.select("review_id", "status", notes.alias("notes")).join(log.select("review_id", F.col("after").alias("decided")), "review_id", "left")
+
+
 @query("L14_archived_clients", "SELECT source AS client_id, count(*) AS n FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY 1")
 def archived(t):
     clients = t.documents.select(F.col("source").alias("client_id")).distinct().withColumn("status", F.lit("active"))

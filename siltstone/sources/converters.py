@@ -283,6 +283,37 @@ def sidecar_units(files: DataFrame) -> DataFrame:
     return found.join(body, "sidecar").where("text != ''").select(F.col("path").alias("source_ref"), "sidecar", F.lit("sidecar").alias("unit_type"), "text")
 
 
+def extract_files(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Units of whole files (path, content, media_type): recordings, films and images by the text beside them, others by their converter.
+
+    (source_ref, converter, unit_index, unit_type, text, start, end, sidecar, artifact_hash, error). The timed cues of a transcript are a unit
+    each, a transcript without times is one, as is the text of an image. The hash covers a file and its sidecar, which ``listing`` (path,
+    content; by default the files themselves) holds. A sidecar without text is a row with that error.
+    """
+    listing = files if listing is None else listing
+    family = media.media_family(F.col("media_type"))
+    seen = files.where(family.isin("image", "audio", "video"))
+    beside = media.sidecar(seen.select("path"), listing.select("path")).join(listing.select(F.col("path").alias("sidecar"), F.col("content").alias("beside")), "sidecar")
+    rows = seen.withColumn("family", family).join(beside, "path").withColumn("text", F.decode("beside", "utf-8"))
+    timed = F.when(F.col("family") != "image", cues(F.col("text")))
+    whole = F.when(T.strip(F.col("text")) == "", F.array().cast("array<struct<start:double,end:double,text:string>>")).otherwise(
+        F.array(F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), T.strip(F.col("text")).alias("text")))
+    )
+    units = F.when(F.size(F.coalesce(timed, F.array().cast("array<struct<start:double,end:double,text:string>>"))) > 0, timed).otherwise(whole)
+    kind = F.when(F.col("family") == "image", "image_text").otherwise(F.concat("family", F.lit("_transcript_segment")))
+    name = F.when(F.col("family") == "image", "image-ocr-sidecar").otherwise(F.concat("family", F.lit("-transcript-sidecar")))
+    found = rows.select(
+        F.col("path").alias("source_ref"), name.alias("converter"), kind.alias("kind"), "sidecar", F.sha2(F.concat("content", "beside"), 256).alias("artifact_hash"), F.posexplode_outer(units).alias("at", "u"),
+    ).select(
+        "source_ref", "converter", F.coalesce(F.col("at") + 1, F.lit(0)).alias("unit_index"), F.when(F.col("u").isNotNull(), F.col("kind")).alias("unit_type"), "u.text", "u.start", "u.end",
+        "sidecar", "artifact_hash", F.when(F.col("u").isNull(), F.lit("transcript_sidecar_empty")).alias("error"),
+    )
+    rest = files.join(beside.select("path"), "path", "left_anti")
+    hashes = rest.select(F.col("path").alias("source_ref"), F.sha2("content", 256).alias("artifact_hash"))
+    none = {c: F.lit(None).cast(k) for c, k in (("start", "double"), ("end", "double"), ("sidecar", "string"))}
+    return found.unionByName(convert(rest).join(hashes, "source_ref").withColumns(none).select(*found.columns))
+
+
 def html_text(html_col: Column) -> Column:
     """Text of a page by regular expressions only: a plain stand-in for the exact converter, without tables."""
     out = F.regexp_replace(html_col, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", " ")
