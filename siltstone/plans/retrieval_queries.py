@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import text_index as I
+from ..operators import vector_index as C
 from ..shared import scratch
 from ..sources.store import Store
 from .registry import query
@@ -203,6 +204,12 @@ def vector_top_k(t):
     return R.vector_hits(t.embeddings, _query_vectors(t), 40).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
+@query("H01_indexed_top_k", f"SELECT query_id, doc_id, round(score, 5) AS score FROM ({_near_sql(40)})")
+def indexed_top_k(t):
+    """The search of H01 from stored cells: those whose bound lies below a query's fortieth score are not opened."""
+    return C.nearest(C.build_index(t.embeddings), _query_vectors(t), 40).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
 @query(
     "E01_vector_chunk_source",
     f"""WITH {ctes('chunks', 'sources')}, h AS ({_near_sql(8, "a.vec_id IN (SELECT chunk_id FROM chunks c JOIN sources s ON s.id = c.source_id WHERE c.status = 'active')")})
