@@ -41,26 +41,77 @@ def adjacency(view: DataFrame) -> DataFrame:
     return out.unionByName(view.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "relation"))
 
 
+SALTS = 16
+
+
+def _salted(adjacent: DataFrame) -> DataFrame:
+    """Distinct edges, written, with a salt by which a hub's edges are dealt to several tasks."""
+    return written(adjacent.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "edges")
+
+
+def _step(frontier: DataFrame, edges: DataFrame, seen: DataFrame, extend) -> DataFrame:
+    """(id, path) of the nodes next to a frontier that weren't seen before, each with its least path."""
+    spread = frontier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    step = spread.join(edges, (spread["id"] == edges["a"]) & (spread["salt"] == edges["salt"])).select(F.col("b").alias("id"), extend.alias("path"))
+    return step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
+
+
 def distances(adjacent: DataFrame, start: str, max_depth: int = 4) -> DataFrame:
     """(id, depth, path) of the nodes reachable within ``max_depth`` steps, each at its first depth.
 
     Every step joins only the newest frontier and drops nodes seen before; of equal paths the least stays.
-    The frontier of each depth is cut by a checkpoint, so the plan doesn't grow.
+    Each frontier is written, so the plan doesn't grow.
     """
-    edges = checkpointed(adjacent.select("a", "b").distinct())
-    spark = adjacent.sparkSession
-    frontier = spark.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
+    edges = _salted(adjacent)
+    frontier = adjacent.sparkSession.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["id"] == edges["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        step = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        frontier = checkpointed(step.select("id", F.lit(depth).alias("depth"), "path"))
+        step = _step(frontier, edges, seen, F.concat("path", F.array("b")))
+        frontier = written(step.select("id", F.lit(depth).alias("depth"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def find_path(adjacent: DataFrame, start: str, end: str, max_depth: int = 4) -> DataFrame:
-    return distances(adjacent, start, max_depth).where(F.col("id") == end)
+def _degrees(frontier: DataFrame, degrees: DataFrame) -> int:
+    """Edges that leave a frontier."""
+    return frontier.join(degrees, "id").agg(F.sum("n")).first()[0] or 0
+
+
+def find_path(adjacent: DataFrame, start: str, end: str, max_depth: int = 4, expanded: list[int] | None = None) -> DataFrame:
+    """(id, depth, path): the shortest path from ``start`` to ``end``, of equal ones the least; no row where it takes more than ``max_depth`` steps.
+
+    Frontiers grow from both ends, each time the one with fewer edges, so a hub near one end is reached from the other. They first meet in
+    the two newest frontiers, at the length of the shortest path. ``expanded`` collects the number of edges of each step.
+    """
+    spark = adjacent.sparkSession
+    schema = "id string, path array<string>"
+    if start == end or max_depth < 1:
+        rows = [(end, 0, [start])] if start == end else []
+        return spark.createDataFrame(rows, "id string, depth int, path array<string>")
+    ahead = _salted(adjacent)
+    back = _salted(adjacent.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sides = []
+    for edges, node, extend in ((ahead, start, F.concat("path", F.array("b"))), (back, end, F.concat(F.array("b"), "path"))):
+        frontier = spark.createDataFrame([(node, [node])], schema)
+        degrees = written(edges.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "degrees")
+        sides.append({"edges": edges, "degrees": degrees, "frontier": frontier, "seen": frontier, "extend": extend})
+    for depth in range(1, max_depth + 1):
+        sizes = [_degrees(x["frontier"], x["degrees"]) if x.get("size") is None else x["size"] for x in sides]
+        if not min(sizes):  # an end with no way on
+            break
+        for x, n in zip(sides, sizes):
+            x["size"] = n
+        grown = sides[0] if sizes[0] <= sizes[1] else sides[1]
+        if expanded is not None:
+            expanded.append(grown["size"])
+        grown["frontier"] = written(_step(grown["frontier"], grown["edges"], grown["seen"], grown["extend"]), "frontier")
+        grown["seen"], grown["size"] = grown["seen"].unionByName(grown["frontier"]), None
+        left, right = sides[0]["frontier"], sides[1]["frontier"].withColumnRenamed("path", "rest")
+        met = left.join(right, "id").select(F.concat("path", F.slice("rest", 2, max_depth + 1)).alias("path"))
+        best = written(met.agg(F.min("path").alias("path")).where("path IS NOT NULL"), "path")
+        if not best.isEmpty():
+            return best.select(F.lit(end).alias("id"), F.lit(depth).alias("depth"), "path")
+    return spark.createDataFrame([], "id string, depth int, path array<string>")
 
 
 def escaped_like(term: str) -> str:

@@ -93,6 +93,21 @@ def distances(t):
     return G.distances(G.adjacency(_live(t)), "region:0", 3).select("id", "depth")
 
 
+@query(
+    "K03_shortest_path",
+    f"""WITH RECURSIVE {BASE}, a AS (SELECT source_id AS a, target_id AS b FROM live UNION SELECT target_id, source_id FROM live),
+    e AS (SELECT max(b) FILTER (b LIKE 'supplier:%') AS origin, max(b) FILTER (b LIKE 'part:%') AS goal FROM a),
+    r(id, path) AS (SELECT origin, [origin] FROM e UNION ALL SELECT id, min(path) FROM (SELECT a.b AS id, list_append(r.path, a.b) AS path FROM r JOIN a ON a.a = r.id WHERE len(r.path) <= 4 AND NOT list_contains(r.path, a.b)) GROUP BY id),
+    p AS (SELECT path FROM r JOIN e ON r.id = e.goal ORDER BY len(path), path LIMIT 1)
+    SELECT goal AS id, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, ' > ') AS path FROM p, e""",
+)
+def shortest_path(t):
+    """The shortest way from the last supplier to the last part in the order of names, the least of equal ones."""
+    near = G.adjacency(_live(t)).select("a", "b")
+    ends = near.agg(F.max(F.when(F.col("b").startswith("supplier:"), F.col("b"))), F.max(F.when(F.col("b").startswith("part:"), F.col("b")))).first()
+    return G.find_path(near, *ends, 4).select("id", "depth", F.array_join("path", " > ").alias("path"))
+
+
 @query("F01_type_counts", f"WITH {ctes('nodes')} SELECT type, status, count(*) AS n FROM nodes GROUP BY type, status")
 def type_counts(t):
     both = G.counts(view(t, "nodes").withColumn("kind", F.concat_ws("|", "type", "status")), "kind")
