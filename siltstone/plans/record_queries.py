@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import bundles as B
 from ..operators import chunking as C
 from ..operators import entities as E
 from ..operators import evidence as V
@@ -207,6 +208,22 @@ def bundle(t):
     return L.replace_by_key(rows, new, "bundle_id").withColumn("row_hash", F.sha2(F.concat_ws("|", "bundle_id", "anchor_id"), 256))
 
 
+@query(
+    "M05_changed_rows",
+    """SELECT 'p' || p_partkey AS key, CASE WHEN p_partkey % 40 = 7 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 40 IN (7, 9)
+    UNION ALL SELECT 'new' || r_regionkey, 'added' FROM region""",
+)
+def changed_bundle_rows(t):
+    """What differs between two states of a bundle of anchors, found from the roots of their digest trees."""
+    rows = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("anchor_id"), F.col("p_brand").alias("authoritative_source"), F.col("p_size").alias("freshness_sla_hours"), "p_partkey")
+    later = rows.where("p_partkey % 40 != 7").withColumn("freshness_sla_hours", F.when(F.col("p_partkey") % 40 == 9, F.col("freshness_sla_hours") + 1).otherwise(F.col("freshness_sla_hours")))
+    more = t.region.select(F.concat(F.lit("new"), "r_regionkey").alias("anchor_id"), F.col("r_name").alias("authoritative_source"), F.lit(24).alias("freshness_sla_hours"))
+    old, new = rows.drop("p_partkey"), later.drop("p_partkey").unionByName(more)
+    digits = B.leaf_digits(t.part.count())
+    trees = [B.digest_tree(df, "anchor_id", digits) for df in (old, new)]
+    return B.changed_rows(old, new, "anchor_id", *trees, digits)
+
+
 @query("N04_card_listing", "SELECT client_id, query_id, evidence_id FROM (SELECT user_id AS client_id, event_type AS query_id, event_id AS evidence_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND query_id <> 'view'")
 def card_listing(t):
     cards = t.events.where("event_type != 'view'").select(F.col("user_id").alias("client_id"), F.col("event_type").alias("query_id"), F.col("event_id").alias("evidence_id"), F.col("ts").alias("fresh_at"))

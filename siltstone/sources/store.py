@@ -19,7 +19,8 @@ class Store:
 
     A write makes new files for the buckets it touches and leaves the others where they are. A commit file names, for each
     table, the files of every bucket; it is created under the next number and never overwritten, so readers see a whole write or
-    nothing of it, and of two writers the second fails. The driver holds one short text for each bucket and table.
+    nothing of it, and of two writers the second fails. A commit file that isn't whole yet is passed over; if its writer was lost, it has to be
+    deleted before the next write. The driver holds one short text for each bucket and table.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
@@ -38,14 +39,15 @@ class Store:
 
     def last_commit(self) -> dict:
         """The newest commit: its number, the number of buckets and, for each table, its schema and the version of each bucket."""
-        numbers = [n for n in self._names(f"{self.root}/commits") if n.endswith(".json")]
-        if not numbers:
-            return {"number": 0, "buckets": self.buckets, "tables": {}}
-        stream = self._fs.open(self._path(f"{self.root}/commits/{numbers[-1]}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        for name in reversed([n for n in self._names(f"{self.root}/commits") if n.endswith(".json")]):
+            stream = self._fs.open(self._path(f"{self.root}/commits/{name}"))
+            try:
+                return json.loads(bytes(stream.readAllBytes()))
+            except ValueError:  # still being written
+                continue
+            finally:
+                stream.close()
+        return {"number": 0, "buckets": self.buckets, "tables": {}}
 
     def read(self, table: str, commit: dict | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """A table as of a commit, by default the newest, with its ``bucket``; None before its first write."""
@@ -53,7 +55,7 @@ class Store:
         if found is None:
             return None
         wanted = None if buckets is None else set(buckets)
-        paths = [f"{self.root}/{table}/version={v}/bucket={b}" for b, v in found["versions"].items() if wanted is None or int(b) in wanted]
+        paths = [f"{self.root}/{table}/stored_version={v}/bucket={b}" for b, v in found["versions"].items() if wanted is None or int(b) in wanted]
         schema = StructType.fromJson(found["schema"])
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -62,13 +64,13 @@ class Store:
     def stage(self, table: str, version: str, rows: DataFrame, sort: list[str]) -> DataFrame:
         """Write the rows of touched buckets under a version that no commit names yet, and read them back."""
         rows = rows.repartition("bucket").sortWithinPartitions("bucket", *sort)
-        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{table}/version={version}")
+        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{table}/stored_version={version}")
         held = {c: rows.schema[c] for c in rows.columns}
         schema = StructType([*(f for c, f in held.items() if c != "bucket"), held["bucket"]])
         self._staged[table] = schema
-        if not any(n.startswith("bucket=") for n in self._names(f"{self.root}/{table}/version={version}")):
+        if not any(n.startswith("bucket=") for n in self._names(f"{self.root}/{table}/stored_version={version}")):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/version={version}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/stored_version={version}")
 
     def begin(self) -> tuple[dict, str]:
         """(the commit to build on, a fresh version)."""
@@ -81,7 +83,7 @@ class Store:
         tables = dict(last["tables"])
         for table, schema in self._staged.items():
             kept = {b: v for b, v in tables.get(table, {"versions": {}})["versions"].items() if int(b) not in set(touched)}
-            made = [n.removeprefix("bucket=") for n in self._names(f"{self.root}/{table}/version={version}") if n.startswith("bucket=")]
+            made = [n.removeprefix("bucket=") for n in self._names(f"{self.root}/{table}/stored_version={version}") if n.startswith("bucket=")]
             tables[table] = {"schema": json.loads(schema.json()), "versions": kept | dict.fromkeys(made, version)}
         number = last["number"] + 1
         body = json.dumps({"number": number, "buckets": self.buckets, "tables": tables})
@@ -98,7 +100,7 @@ class Store:
         """Delete files that the newest commit doesn't name; returns the number of folders. No reader may use an older commit."""
         tables, gone = self.last_commit()["tables"], 0
         for table, found in tables.items():
-            live = {f"version={v}/bucket={b}" for b, v in found["versions"].items()}
+            live = {f"stored_version={v}/bucket={b}" for b, v in found["versions"].items()}
             for version in self._names(f"{self.root}/{table}"):
                 for bucket in self._names(f"{self.root}/{table}/{version}"):
                     if bucket.startswith("bucket=") and f"{version}/{bucket}" not in live:

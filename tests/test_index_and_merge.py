@@ -316,3 +316,12 @@ def test_hints_and_scores_meet_by_words(spark):
     for name in ("J03_node_hints", "J04_graph_score"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_an_unfinished_commit_is_passed_over(spark, docs, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index", 2)
+    text_index.update(store, docs, text_index.as_they_are)
+    (tmp_path / "index" / "commits" / "000000000002.json").write_text('{"number": 2, "tab')
+    assert store.last_commit()["number"] == 1 and store.read("chunks").count() == 202
+    with pytest.raises(Conflict):
+        text_index.update(store, docs.where("doc_id > 3"), text_index.as_they_are)
