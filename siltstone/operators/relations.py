@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import text as T
 from ..shipping import ship
@@ -72,6 +74,30 @@ def extract_with(chunks: DataFrame, extractor: Callable[[str], list[tuple[str, s
     )
 
 
+def extractor_function(extractor: Callable[[str], list[tuple[str, str, str, float]]], text_col: str = "text"):
+    """The extractor as a table function: SELECT * FROM name(TABLE(chunks)), once it is registered with ``spark.udtf.register``.
+
+    It takes any table with a ``text_col`` and gives its other columns with subject, predicate, object and confidence for each claim; rows without
+    claims give none. Rows stay where they are unless the call says PARTITION BY.
+    """
+
+    class Extract:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or text_col not in rows.dataType.fieldNames():
+                raise ValueError(f"the function takes a table with a column {text_col}")
+            kept = [f for f in rows.dataType.fields if f.name != text_col]
+            found = [StructField(c, StringType()) for c in ("subject", "predicate", "object")]
+            return AnalyzeResult(schema=StructType([*kept, *found, StructField("confidence", DoubleType())]))
+
+        def eval(self, row):
+            kept = [row[c] for c in row.__fields__ if c != text_col]
+            for claim in extractor(row[text_col] or ""):
+                yield (*kept, *claim)
+
+    return F.udtf(Extract)
+
+
 def extract_relations(chunks: DataFrame) -> DataFrame:
     """(chunk_id, subject, predicate, object, subject_type, object_type, confidence), one row for each match.
 

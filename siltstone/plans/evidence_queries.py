@@ -174,6 +174,18 @@ def relation_claims(t):
     return R.extract_relations(_sentences(t)).select("chunk_id", "subject", "predicate", "object", "confidence")
 
 
+def _ends(text: str) -> list[tuple[str, str, str, float]]:
+    words = text.split(" ")
+    return [(words[0], "ends_with", words[-1], 0.5)] if len(words) > 1 else []
+
+
+@query("P01_table_function", f"WITH s AS ({_S}), w AS (SELECT chunk_id, string_split(text, ' ') AS w FROM s) SELECT chunk_id, w[1] AS subject, 'ends_with' AS predicate, w[-1] AS object, 0.5::DOUBLE AS confidence FROM w WHERE len(w) > 1")
+def table_function(t):
+    """An extractor of one's own, called from SQL over any table with texts."""
+    t.spark.udtf.register("sentence_ends", R.extractor_function(_ends))
+    return t.spark.sql("SELECT chunk_id, subject, predicate, object, confidence FROM sentence_ends(TABLE(SELECT chunk_id, text FROM {s}))", s=_sentences(t).select("chunk_id", "text"))
+
+
 #: A later state of the sentences: every ninth has grown by a claim, every eleventh is gone.
 _LATER = f"SELECT chunk_id, CASE WHEN chunk_id % 9 = 0 THEN text || ' Acme Group acquired Beta Corp.' ELSE text END AS text FROM ({_S}) WHERE chunk_id % 11 <> 0"
 

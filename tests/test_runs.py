@@ -81,3 +81,22 @@ def test_definitions_of_metrics_survive_a_save(spark, tmp_path):
     client = N.Client("a", {"crm": ["mock"]}, {"contact": {"id": "x", "created_at": "y"}}, {"leads": definition, "sqls": {}})
     N.save_clients(spark, [client, N.Client("b", {})], str(tmp_path / "clients"))
     assert N.load_clients(spark, str(tmp_path / "clients")) == [client, N.Client("b", {})]
+
+
+def test_the_table_function_equals_the_extractor(spark):
+    arrows = lambda text: [(a, "to", b, 0.5) for part in text.split(";") if ">" in part for a, b in [part.split(">", 1)]]
+    rows = [(1, "x", "a>b;c>d"), (2, "y", ""), (3, "z", None), (4, None, "e>f")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, lang string, text string")
+    spark.udtf.register("arrow_claims", relations.extractor_function(arrows))
+    chunks.createOrReplaceTempView("arrow_chunks")
+    got = spark.sql("SELECT * FROM arrow_claims(TABLE(arrow_chunks))")
+    assert got.columns == ["chunk_id", "lang", "subject", "predicate", "object", "confidence"]
+    want = relations.extract_with(chunks, arrows).select("chunk_id", "subject", "predicate", "object", "confidence")
+    assert sorted(map(tuple, got.drop("lang").collect())) == sorted(map(tuple, want.collect()))
+    parted = spark.sql("SELECT subject FROM arrow_claims(TABLE(SELECT text, lang FROM arrow_chunks) PARTITION BY lang) WHERE lang = 'x'")
+    assert {r.subject for r in parted.collect()} == {"a", "c"}
+    try:
+        spark.sql("SELECT * FROM arrow_claims(TABLE(SELECT chunk_id FROM arrow_chunks))").collect()
+        raise AssertionError("a table without text was taken")
+    except Exception as e:
+        assert "takes a table with a column text" in str(e)
