@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..shared import written
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, hottest: int = 1000) -> DataFrame:
+def hottest_keys(rows: DataFrame, key: str, hottest: int = 1000) -> DataFrame:
+    """The keys of most rows, ``hottest`` of them; counts combine in the tasks before they move."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(hottest).select(key)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, hottest: int = 1000, hot: DataFrame | None = None) -> DataFrame:
     """``rows`` with the ``value`` that ``table`` (unique ``key``, ``value``) has for their key; null where it has none.
 
-    The ``hottest`` keys of the rows are broadcast, the others joined: none of these holds more than one in ``hottest`` of the rows. Counts
-    of the keys combine in the tasks before they move.
+    The ``hottest`` keys of the rows, or those of ``hot`` where they are known, are broadcast, the others joined: none of these holds more than
+    one in ``hottest`` of the rows.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(hottest).select(F.col(key).alias("_hot"))
+    hot = (hottest_keys(rows, key, hottest) if hot is None else hot).select(F.col(key).alias("_hot"))
     held = table.join(F.broadcast(hot), F.col(key) == F.col("_hot")).select(F.col(key).alias("_held"), F.col(value).alias("_hot_value"))
     known = hot.join(F.broadcast(held), F.col("_hot") == F.col("_held"), "left").select("_hot", "_hot_value")
     marked = rows.join(F.broadcast(known), F.col(key) == F.col("_hot"), "left")
@@ -38,11 +43,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         each = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-        least = each.groupBy("x").agg(F.min(rank("y")).alias("near"))
-        names = written(least.select("x", F.least(rank("x"), F.col("near"))["v"].alias("name")), "names")
-        named.append(names)
-        first = looked_up(edges, names, "x", "name").select(F.col("name").alias("p"), F.col("y").alias("x"))
-        second = looked_up(first, names, "x", "name").where("p != name")
+        least = each.groupBy("x").agg(F.min(rank("y")).alias("near"), F.count("*").alias("degree"))
+        names = written(least.select("x", F.least(rank("x"), F.col("near"))["v"].alias("name"), "degree"), "names")
+        hubs = written(names.orderBy(F.desc("degree"), "x").limit(1000).select("x"), "hubs")
+        named.append(names.select("x", "name"))
+        first = looked_up(edges, names, "x", "name", hot=hubs).select(F.col("name").alias("p"), F.col("y").alias("x"))
+        second = looked_up(first, names, "x", "name", hot=hubs).where("p != name")
         edges = written(second.select(F.least("p", "name").alias("x"), F.greatest("p", "name").alias("y")).distinct(), "links")
     if not named:
         return ids.select("id", F.col("id").alias("component"))
