@@ -4,8 +4,8 @@ Targets: the budget is shared by weight; a source whose share exceeds ``max_epoc
 clamped there and its excess goes to the others by weight, until no share is above its clamp.
 
 Repetitions: a source with target/size = 1.4 takes each document once and 40 % of the words once more.
-Documents of a source fall into cells of (size class, seeded hash bucket of the row's key, or of id and text, so that
-null and repeated ids spread). A source has at most
+Documents of a source fall into cells of (size class, seeded hash bucket of id and text, so that null and
+repeated ids spread). A source has at most
 ``size classes x buckets`` cells however many documents it has, so one small group per source decides
 which cells are repeated: large classes first, a cell being taken when it is at most twice the words
 still owed. Small cells come last and close the gap, so the words taken end near the target.
@@ -97,7 +97,7 @@ def mix(
     """
     rows = columns(docs, doc_id=id_col, text=text_col, source=source_col, **({"row": row_col} if row_col else {})).select(
         "doc_id", *(["row"] if row_col else []), F.col("source").cast("string").alias("source"), count_words(F.col("text")).cast("long").alias("size"),
-        (F.xxhash64("row", F.lit(seed)) if row_col else F.xxhash64("doc_id", "text", F.lit(seed))).alias("at"),
+        F.xxhash64("doc_id", "text", F.lit(seed)).alias("at"),
     )
     rows = rows.withColumns(
         {
