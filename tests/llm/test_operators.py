@@ -690,7 +690,7 @@ def test_pipeline_drops_toxic_rows_without_ids(spark, documents):
 def test_queries_are_registered():
     from siltstone.llm.queries import ORACLE_SQL, QUERIES
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES) and json.dumps(ORACLE_SQL)
 
 
