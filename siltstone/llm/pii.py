@@ -370,22 +370,23 @@ def _finder(field: Field):
                         if not taken.meets(s, e):
                             added.append((s, e, k))
                 spans = base + added
-                counts = [sum(k == kind for _, _, k in spans) for kind in range(4)]
+                counts = [sum(k == kind for _, _, k in of) for of in (spans, base) for kind in range(4)]
                 rows.append((*counts, hashlib.sha256(written_out(base).encode()).hexdigest(), written_out(spans), len(added)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
+            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), *(f"base_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            out.insert(0, "id", pdf["id"].values)
             yield out
 
     return find
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 600, fit_windows: int = 500) -> DataFrame:
-    """One row per document: doc_id, counts by kind, base_sha256, spans (code points, end exclusive), n_added."""
+    """One row per document: doc_id, counts of all spans by kind, counts of base spans by kind, base_sha256, spans (code points, end exclusive), n_added."""
     rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(
-        _finder(fit(rows, fit_docs, fit_windows)),
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long",
+    counts = ", ".join(f"{what}_{k} long" for what in ("n", "base") for k in KINDS)
+    found = rows.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(  # pandas would make floats of ids beside a null
+        _finder(fit(rows, fit_docs, fit_windows)), f"id string, {counts}, base_sha256 string, spans string, n_added long"
     )
+    return found.select(F.col("id").cast("long").alias("doc_id"), *found.columns[1:])
 
 
 ship(__name__)

@@ -86,3 +86,20 @@ def test_recall_on_texts_that_the_field_has_not_seen():
     assert set(wanted) == {0, 1, 2, 3} and min(wanted.values()) > 30
     assert all(hit[k] >= 0.9 * wanted[k] for k in wanted), (hit, wanted)
     assert wrong <= 0.05 * sum(wanted.values())
+
+
+def test_query_counts_base_spans_also_where_the_field_adds_some(spark, tmp_path):
+    """Counts and hash of op9_pii are those of the base patterns; ids beside a null keep all their digits."""
+    from siltstone.llm import queries
+
+    texts = [f"call +1 ({200 + i}) 555-{1000 + i} now or mail me{i}@mail.example.com, card 4111111111111111, host 10.0.0.{i}" for i in range(60)]
+    texts += [f"the number {1234567890123456 + 10 * i} and order {70000 + i} are no entities" for i in range(60)]
+    texts += ["mail x at mail dot example dot com", "call (974) 555-3436 now", "card 4111/1111/1111/1111", "host 10[.]0[.]0[.]7", None]
+    rows = [(2**60 + i, text) for i, text in enumerate(texts)] + [(None, "a@b.c")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    assert sum(r.n_added for r in got.values()) > 0
+    for doc_id, text in rows:
+        r, base = got[doc_id], pii.base_spans(text or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, _, k in base) for kind in range(4)]
+        assert r.n_added + len(base) == r.all_email + r.all_ip + r.all_card + r.all_phone == len(r.spans.split(",") if r.spans else [])
