@@ -68,9 +68,12 @@ def converter(media_type: Column) -> Column:
 
 
 def sidecar(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """(path, sidecar): the first existing file with a file's stem and one of the sidecar suffixes."""
+    """(path, sidecar): the first existing file with a file's stem and one of the sidecar suffixes.
+
+    Both sides grow with the folders, so they are merged and never broadcast, however small their stored columns look.
+    """
     names = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(s).alias("suffix")) for i, s in enumerate(SIDECARS))))
     stems = files.select("path", F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), names.alias("s"))
-    hits = stems.select("path", "s.rank", F.concat("stem", "s.suffix").alias("sidecar")).join(listing.select(F.col("path").alias("sidecar")), "sidecar")
+    hits = stems.select("path", "s.rank", F.concat("stem", "s.suffix").alias("sidecar")).join(listing.select(F.col("path").alias("sidecar")).hint("merge"), "sidecar")
     w = Window.partitionBy("path").orderBy("rank")
     return hits.where("path != sidecar").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("path", "sidecar")

@@ -256,6 +256,17 @@ def test_seeds_and_checked_folders(spark, tmp_path):
     assert got == {"a.csv": None, "b.csv": "changed", "c.csv": "missing"}
 
 
+def test_sidecars_are_never_broadcast(spark, tmp_path):
+    """Stored names look small and are not: a listing that grows with the folders must not go through the driver."""
+    spark.range(1000).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    from siltstone.plans.registry import QUERIES
+
+    found = QUERIES["A16_sidecars"](spark, str(tmp_path))
+    assert found.count() == sum(k % 4 == 0 or k % 6 == 0 or k % 10 == 0 for k in range(1000))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_sidecars_stand_for_media_and_pdf_without_reader_is_an_error(spark):
     png, pdf = "image/png", "application/pdf"
     files = spark.createDataFrame(
