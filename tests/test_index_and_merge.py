@@ -318,6 +318,21 @@ def test_hints_and_scores_meet_by_words(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_graph_scores_cover_every_query_and_chunk(spark):
+    """Chunks without a hint of a query score 0 and have a row, over several parts and blocks too."""
+    from siltstone.operators import retrieval
+    from siltstone.plans.registry import QUERIES
+
+    got = QUERIES["J04_graph_score"](spark, DATA)
+    chunks = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").distinct().count()
+    assert got.count() == chunks * got.select("query_id").distinct().count() and got.where("graph = 0").count() > 0
+    ids = spark.range(50).withColumnRenamed("id", "chunk_id")
+    asked = spark.range(7).withColumnRenamed("id", "query_id")
+    some = spark.createDataFrame([(q, c, 0.1 + q) for q in range(6) for c in range(q, 50, 9)], "query_id long, chunk_id long, graph double")
+    rows = retrieval.scored_everywhere(some, ids, asked, "graph", part_rows=9, block=2).collect()
+    assert sorted(tuple(r) for r in rows) == [(q, c, 0.1 + q if q < 6 and c >= q and (c - q) % 9 == 0 else 0.0) for q in range(7) for c in range(50)]
+
+
 def test_an_unfinished_commit_is_passed_over(spark, docs, tmp_path):
     store = Store(spark, f"file://{tmp_path}/index", 2)
     text_index.update(store, docs, text_index.as_they_are)
