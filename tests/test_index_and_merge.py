@@ -318,6 +318,14 @@ def test_hints_and_scores_meet_by_words(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_numbered_names_of_other_kinds_do_not_meet_in_all_pairs(spark):
+    """Pairs of letters are shared by many numbers; pieces with their place are not, so candidates grow with the texts."""
+    numbered = lambda name, side, n: spark.range(n).select(F.format_string(f"{name} %09d", F.col("id") * 7).alias(side)).withColumn(f"{side}_n", F.length(side))
+    lengths = spark.createDataFrame([(16, 18, 16, 0, 2)], "left_n int, right_n int, least int, left_gone int, right_gone int")
+    for n in (500, 2000):
+        assert matching.pieces_met({"left": numbered("nobody", "left", n), "right": numbered("customer", "right", n)}, lengths, []).count() <= 30 * n
+
+
 def test_graph_scores_cover_every_query_and_chunk(spark):
     """Chunks without a hint of a query score 0 and have a row, over several parts and blocks too."""
     from siltstone.operators import retrieval
