@@ -326,6 +326,13 @@ def test_numbered_names_of_other_kinds_do_not_meet_in_all_pairs(spark):
         assert matching.pieces_met({"left": numbered("nobody", "left", n), "right": numbered("customer", "right", n)}, lengths, []).count() <= 30 * n
 
 
+def test_forms_of_stored_texts_are_merged(spark):
+    """Stored texts look small; their forms, many times as large, must not be broadcast through the driver."""
+    texts = spark.range(300).select(F.format_string("customer %09d", "id").alias("text"))
+    plan = matching.matching_texts(texts, texts, 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [form" in plan and "BroadcastHashJoin [form" not in plan
+
+
 def test_graph_scores_cover_every_query_and_chunk(spark):
     """Chunks without a hint of a query score 0 and have a row, over several parts and blocks too."""
     from siltstone.operators import retrieval
