@@ -1,6 +1,6 @@
 """A stored index of documents: chunks, and posting blocks with bounds, brought up to date by changed documents only.
 
-Rows lie in the buckets of a ``Store`` by document. The chunks of a bucket are numbered, ``RANGE`` to a range; a posting block holds what one term
+Rows lie in the buckets of a ``Store`` by document. The chunks of a bucket fall into ranges of at most ``RANGE``; a posting block holds what one term
 has in one range: each chunk's counts in title, section and text, its length, and the largest counts and smallest length among them. These
 bound every score of the block whatever the weights, the number of documents and their mean length are later, so a changed bucket
 leaves the blocks of all others as they are.
@@ -8,18 +8,24 @@ leaves the blocks of all others as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..shared import written
+from ..shipping import ship
 from ..sources.store import Store
 from .chunking import chunk_rows
 from .retrieval import K1, B, top_k
 
 RANGE = 1024
+RANGE_TOKENS = 1 << 20
+PIECE_BYTES = 1 << 25
 FIELDS = ("title", "section", "text")
 
 
@@ -40,36 +46,72 @@ def digest_of(docs: DataFrame) -> Column:
 
 
 def compared(store: Store, docs: DataFrame, last: dict) -> DataFrame:
-    """(doc_id, digest, bucket, state) of each document that comes or is stored: new, changed, unchanged or gone."""
-    new = docs.select("doc_id", digest_of(docs).alias("digest"))
+    """(doc_id, digest, bucket, size, state) of each document that comes or is stored: new, changed, unchanged or gone; the size is the bytes that come."""
+    size = sum((F.octet_length(T.text_or_empty(F.col(c).cast("string"))) for c in docs.columns if c != "doc_id"), F.lit(0))
+    new = docs.select("doc_id", digest_of(docs).alias("digest"), size.cast("long").alias("size"))
     old = store.read("documents", last)
     if old is None:
-        return new.select("doc_id", "digest", store.bucket_of(F.col("doc_id")).alias("bucket"), F.lit("new").alias("state"))
+        return new.select("doc_id", "digest", store.bucket_of(F.col("doc_id")).alias("bucket"), "size", F.lit("new").alias("state"))
     both = new.join(old.select("doc_id", F.col("digest").alias("stored")), "doc_id", "full")
     state = F.when(F.col("digest").isNull(), "gone").when(F.col("stored").isNull(), "new").when(F.col("digest") == F.col("stored"), "unchanged").otherwise("changed")
-    return both.select("doc_id", F.coalesce("digest", "stored").alias("digest"), store.bucket_of(F.col("doc_id")).alias("bucket"), state.alias("state"))
-
-
-def _tagged(c: str) -> Column:
-    return F.transform(F.col(c), lambda x: F.struct(x.alias("term"), F.lit(c).alias("field")))
+    return both.select("doc_id", F.coalesce("digest", "stored").alias("digest"), store.bucket_of(F.col("doc_id")).alias("bucket"), "size", state.alias("state"))
+
+
+def _ranges(buckets: np.ndarray, lengths: np.ndarray, most: int, tokens: int) -> Iterator[tuple[int, int]]:
+    """Spans of rows of one bucket with at most ``most`` rows and, beyond the first row, ``tokens`` tokens."""
+    at = held = 0
+    for i, n in enumerate(lengths):
+        if i > at and (buckets[i] != buckets[at] or i - at == most or held + n > tokens):
+            yield at, i
+            at, held = i, 0
+        held += n
+    if len(lengths):
+        yield at, len(lengths)
+
+
+def _blocks(most: int, most_tokens: int):
+    def of_range(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """A block for each term of some chunks of one bucket."""
+        ids, lists, n = rows.column("chunk_id"), rows.column("tokens"), rows.num_rows
+        lengths = np.asarray(lists.value_lengths(), np.int64)
+        words, row = lists.flatten().dictionary_encode(), np.repeat(np.arange(n), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        field = sum((place >= np.asarray(rows.column(c))[row]).astype(np.int64) for c in ("section_at", "text_at"))
+        pairs, which = np.unique(np.asarray(words.indices, np.int64) * n + row, return_inverse=True)
+        counts = np.bincount(which * 3 + field, minlength=3 * len(pairs)).reshape(-1, 3).astype(np.int32)
+        term, doc = pairs // n, pairs % n
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        columns = [ids.take(pa.array(doc)), *(pa.array(c) for c in counts.T), pa.array(lengths[doc].astype(np.int32))]
+        postings = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)).astype(np.int32)), pa.StructArray.from_arrays(columns, ["chunk_id", *FIELDS, "length"]))
+        largest = np.maximum.reduceat(counts, starts)
+        number = np.full(len(starts), crc32(str(ids[0].as_py()).encode()) >> 1, np.int32)  # two ranges of one number are one range
+        out = {"bucket": rows.column("bucket")[:1].take(pa.array(np.zeros(len(starts), np.int32))), "range": number, "term": words.dictionary.take(pa.array(term[starts])), "postings": postings}
+        out |= {f"most_{c}": x for c, x in zip(FIELDS, largest.T)} | {"shortest": np.minimum.reduceat(lengths[doc], starts).astype(np.int32)}
+        out |= {"n": np.diff(starts, append=len(pairs)), "tokens": np.add.reduceat(counts.sum(axis=1, dtype=np.int64), starts)}
+        return pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v)) for c, v in out.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _ranges(np.asarray(batch.column("bucket")), np.asarray(batch.column("tokens").value_lengths()), most, most_tokens):
+                rows = batch.slice(a, b - a)
+                if len(rows.column("tokens").flatten()):
+                    yield of_range(rows)
+
+    return run
 
 
 def posting_blocks(chunks: DataFrame) -> DataFrame:
-    """(bucket, range, term, postings, most_title, most_section, most_text, shortest, n) of chunks (bucket, chunk_id, title, section, text)."""
-    tokens = {c: T.tokenize(T.text_or_empty(c)) for c in FIELDS}
-    place = (F.row_number().over(Window.partitionBy("bucket").orderBy("chunk_id")) - 1) / RANGE
-    rows = chunks.select("bucket", "chunk_id", F.floor(place).cast("int").alias("range"), *(v.alias(c) for c, v in tokens.items()))
-    tagged = F.concat(*(_tagged(c) for c in FIELDS))
-    each = rows.select("bucket", "range", "chunk_id", sum((F.size(c) for c in FIELDS), F.lit(0)).alias("length"), F.explode(tagged).alias("t"))
-    counts = each.groupBy("bucket", "range", "chunk_id", "length", F.col("t.term").alias("term")).agg(
-        *(F.count_if(F.col("t.field") == c).cast("int").alias(c) for c in FIELDS)
-    )
-    return counts.groupBy("bucket", "range", "term").agg(
-        F.collect_list(F.struct("chunk_id", *FIELDS, "length")).alias("postings"),
-        *(F.max(c).alias(f"most_{c}") for c in FIELDS),
-        F.min("length").alias("shortest"),
-        F.count("*").alias("n"),
-    )
+    """(bucket, range, term, postings, most_title, most_section, most_text, shortest, n, tokens) of chunks (bucket, chunk_id, title, section, text) with a token.
+
+    A range is a run of at most ``RANGE`` chunks and, beyond one chunk, ``RANGE_TOKENS`` tokens of one bucket, as they lie in a task: nothing is moved, and what is held
+    at a time is one range however large buckets are.
+    """
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    tokens = chunks.select("bucket", "chunk_id", *(T.tokenize(T.text_or_empty(c)).alias(c) for c in FIELDS))
+    rows = tokens.select("bucket", "chunk_id", F.size("title").alias("section_at"), (F.size("title") + F.size("section")).alias("text_at"), F.concat(*FIELDS).alias("tokens"))
+    schema = f"bucket int, range int, term string, postings array<struct<chunk_id:{kind},title:int,section:int,text:int,length:int>>, "
+    schema += "most_title int, most_section int, most_text int, shortest int, n long, tokens long"
+    return rows.mapInArrow(_blocks(RANGE, RANGE_TOKENS), schema)
 
 
 def update(store: Store, docs: DataFrame, to_chunks: Callable[[DataFrame], DataFrame] = as_chunks, prune: bool = True) -> DataFrame:
@@ -85,21 +127,28 @@ def update(store: Store, docs: DataFrame, to_chunks: Callable[[DataFrame], DataF
         states = states.where("state != 'gone'")
     states = written(states, "states")
     moved = states.where("state != 'unchanged'")
-    touched = sorted(r[0] for r in moved.select("bucket").distinct().collect())
+    sizes = states.groupBy("bucket").agg(F.count_if(F.col("state") != "unchanged").alias("moved"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).where("moved > 0").collect()
+    touched = sorted(r["bucket"] for r in sizes)
     if not touched:
         return states.select("doc_id", "state")
-    fresh = docs.join(moved.where("state != 'gone'").select("doc_id"), "doc_id", "left_semi")
+    pieces = max(1, -(-max(r["bytes"] for r in sizes) // PIECE_BYTES))
+    fresh = docs if not last["tables"].get("documents") else docs.join(moved.where("state != 'gone'").select("doc_id"), "doc_id", "left_semi")
     chunks = to_chunks(fresh).withColumn("bucket", store.bucket_of(F.col("doc_id")))
     records = moved.where("state != 'gone'").select("doc_id", "digest", "bucket")
     old_chunks, old_records = (store.read(name, last, touched) for name in ("chunks", "documents"))
+    deal = lambda rows: store.deal(rows, F.col("doc_id"), pieces)
+    chunks, records = deal(chunks), deal(records)
     if old_chunks is not None:
-        stays = lambda rows: rows.join(moved.select("doc_id"), "doc_id", "left_anti")
+        marks = moved.select("doc_id", "bucket", F.lit(True).alias("moved"))
+        gone = F.max("moved").over(Window.partitionBy("bucket", "piece", "doc_id"))  # where the rows are dealt to, so they move once
+        stays = lambda rows: deal(rows.unionByName(marks, True)).withColumn("moved", gone).where("moved IS NULL").drop("moved")
         chunks, records = chunks.unionByName(stays(old_chunks)), records.unionByName(stays(old_records))
-    chunks = store.stage("chunks", version, chunks, ["chunk_id"])
-    store.stage("documents", version, records, ["doc_id"])
-    store.stage("blocks", version, posting_blocks(chunks), ["term", "range"])
-    length = sum((F.size(T.tokenize(T.text_or_empty(c))) for c in FIELDS), F.lit(0))
-    store.stage("totals", version, chunks.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(length).cast("long").alias("tokens")), ["n"])
+    chunks = store.stage("chunks", version, chunks.drop("piece"), ["chunk_id"], dealt=True)
+    store.stage("documents", version, records.drop("piece"), ["doc_id"], dealt=True)
+    blocks = store.stage("blocks", version, posting_blocks(chunks), ["term", "range"], dealt=True)
+    tokens = blocks.groupBy("bucket").agg(F.sum("tokens").alias("tokens"))
+    totals = chunks.groupBy("bucket").agg(F.count("*").alias("n")).join(tokens, "bucket", "left")
+    store.stage("totals", version, totals.select("bucket", "n", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")), ["n"])
     store.commit(last, version, touched)
     return states.select("doc_id", "state")
 
@@ -143,3 +192,6 @@ def search(store: Store, queries: DataFrame, k: int, weights: dict[str, float] |
 def open_ranges(bounds: DataFrame, floor: DataFrame) -> DataFrame:
     """Ranges that may hold a hit: those whose bound reaches the floor, short of what scores are rounded by, and all where there is none."""
     return bounds.join(floor, "query_id", "left").where("floor IS NULL OR bound >= floor - 1e-6")
+
+
+ship(__name__)

@@ -61,9 +61,15 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths).select(*schema.fieldNames())
 
-    def stage(self, table: str, version: str, rows: DataFrame, sort: list[str]) -> DataFrame:
-        """Write the rows of touched buckets under a version that no commit names yet, and read them back."""
-        rows = rows.repartition("bucket").sortWithinPartitions("bucket", *sort)
+    def deal(self, rows: DataFrame, key: Column, pieces: int) -> DataFrame:
+        """Rows with their ``piece``: each bucket's rows go to ``pieces`` tasks by their key, so that a large bucket needs no large task."""
+        piece = F.pmod(F.xxhash64(key.cast("string"), F.lit("piece")), F.lit(pieces)).cast("int")
+        return rows.withColumn("piece", piece).repartition(self.buckets * pieces, "bucket", "piece")
+
+    def stage(self, table: str, version: str, rows: DataFrame, sort: list[str], dealt: bool = False) -> DataFrame:
+        """Write the rows of touched buckets under a version that no commit names yet, and read them back; ``dealt`` rows stay in their tasks."""
+        rows = rows if dealt else rows.repartition("bucket")
+        rows = rows.sortWithinPartitions("bucket", *sort)
         rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{table}/stored_version={version}")
         held = {c: rows.schema[c] for c in rows.columns}
         schema = StructType([*(f for c, f in held.items() if c != "bucket"), held["bucket"]])

@@ -355,3 +355,21 @@ def test_an_unfinished_commit_is_passed_over(spark, docs, tmp_path):
     assert store.last_commit()["number"] == 1 and store.read("chunks").count() == 202
     with pytest.raises(Conflict):
         text_index.update(store, docs.where("doc_id > 3"), text_index.as_they_are)
+
+
+def test_blocks_of_one_bucket_need_no_large_task(spark, docs, tmp_path, monkeypatch):
+    """A bucket is written by several tasks, kept chunks beside new ones, and blocks are built where chunks lie."""
+    monkeypatch.setattr(text_index, "PIECE_BYTES", 256)
+    monkeypatch.setattr(text_index, "RANGE_TOKENS", 20)
+    store = Store(spark, f"file://{tmp_path}/index", 1)
+    text_index.update(store, docs, text_index.as_they_are)
+    changed = docs.where("doc_id != 4").withColumn("text", F.when(F.col("doc_id") == 3, "delta").otherwise(F.col("text")))
+    text_index.update(store, changed, text_index.as_they_are)
+    version = store.last_commit()["tables"]["chunks"]["versions"]["0"]
+    assert len(list((tmp_path / "index" / "chunks" / f"stored_version={version}" / "bucket=0").glob("*.parquet"))) > 4
+    assert rows_of(store.read("chunks").select("doc_id", "title", "section", "text")) == rows_of(changed)
+    plan = text_index.posting_blocks(store.read("chunks"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    queries = [(1, "rare gamma"), (2, "beta17 alpha"), (3, "nowhere"), (4, "delta")]
+    got = text_index.search(store, spark.createDataFrame(queries, "query_id long, text string"), 500).collect()
+    assert {(r.query_id, r.doc_id): round(r.score, 6) for r in got} == plain_scores([tuple(r) for r in changed.collect()], queries, (1.0, 1.0, 1.0))
