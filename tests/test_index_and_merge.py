@@ -373,3 +373,13 @@ def test_blocks_of_one_bucket_need_no_large_task(spark, docs, tmp_path, monkeypa
     queries = [(1, "rare gamma"), (2, "beta17 alpha"), (3, "nowhere"), (4, "delta")]
     got = text_index.search(store, spark.createDataFrame(queries, "query_id long, text string"), 500).collect()
     assert {(r.query_id, r.doc_id): round(r.score, 6) for r in got} == plain_scores([tuple(r) for r in changed.collect()], queries, (1.0, 1.0, 1.0))
+
+
+def test_scores_by_cells_equal_the_plain_ones(spark, docs):
+    """Several parts and blocks; pairs of query and document are summed in their cell, not shuffled to their sums."""
+    rows = [r for r in docs.select("doc_id", "text").collect()]
+    queries = [(1, "alpha gamma"), (2, "beta17 alpha"), (3, "nowhere"), (4, ""), (5, None), (6, "beta3 beta4 gamma gamma")]
+    hits = retrieval.bm25(docs, spark.createDataFrame(queries, "query_id long, text string"), "doc_id", "text", part_rows=30, block=2)
+    want = plain_scores([(r.doc_id, r.text) for r in rows], queries, (1.0,))
+    assert {(r.query_id, r.doc_id): round(r.score, 6) for r in hits.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in hits._jdf.queryExecution().executedPlan().toString()
