@@ -383,3 +383,15 @@ def test_scores_by_cells_equal_the_plain_ones(spark, docs):
     want = plain_scores([(r.doc_id, r.text) for r in rows], queries, (1.0,))
     assert {(r.query_id, r.doc_id): round(r.score, 6) for r in hits.collect()} == want
     assert "FlatMapCoGroupsInArrow" in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_over_parts_equal_those_of_whole_lists(spark):
+    """A list falls into several parts, and a part holds several lists; ties go by id, and no window runs over a whole list."""
+    rows = [(q, d, float(d * 7 % 5)) for q in range(4) for d in range(50 * q + 1)]
+    hits = spark.createDataFrame(rows, "query_id long, doc_id long, score double")
+    got = retrieval.reciprocal_rank(hits, part_rows=40)
+    want = {}
+    for q in range(4):
+        for i, (_, d) in enumerate(sorted((-s, d) for p, d, s in rows if p == q), 1):
+            want[q, d] = round(1 / i, 9)
+    assert {(r.query_id, r.doc_id): round(r.rr, 9) for r in got.collect()} == want and got.count() == len(rows) and got.columns == [*hits.columns, "rr"]
