@@ -19,17 +19,23 @@ LIVE = ("active", "accepted", "fresh", "ok", "not_required", "")
 def matching_anchors(requests: DataFrame, anchors: DataFrame) -> DataFrame:
     """The anchor of each request: its scope (claim_type, client_id; ``*`` for any) holds, most specific first, then by id.
 
-    Anchors are configuration, so their side is small; a request meets the wildcard and its own claim type only.
+    Anchors are configuration and are broadcast, the first of each scope. A request looks up the four scopes that may hold it where it lies, so
+    requests are neither shuffled nor sorted, however few types they have.
     """
     a = anchors.where("status = 'active'").withColumn(
         "specificity", (F.col("scope_claim_type") != "*").cast("int") + (F.col("scope_client_id") != "*").cast("int")
     )
-    r = requests.withColumn("_type", F.explode(F.array_distinct(F.array(F.col("claim_type"), F.lit("*")))))
-    hit = r.join(a, F.col("_type") == F.col("scope_claim_type")).where((F.col("scope_client_id") == "*") | (F.col("scope_client_id") == F.col("client_id")))
-    w = Window.partitionBy("request_id").orderBy(F.desc("specificity"), "anchor_id")
-    best = hit.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     cols = [c for c in a.columns if c not in ("status",)]
-    return requests.join(best.select("request_id", *cols), "request_id", "left")
+    first = Window.partitionBy("scope_claim_type", "scope_client_id").orderBy("anchor_id")
+    best = a.withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    found = requests
+    for name, typed, owned in (("both", True, True), ("typed", True, False), ("owned", False, True), ("any", False, False)):
+        holds = [(F.col("scope_claim_type") != "*") if typed else (F.col("scope_claim_type") == "*"), (F.col("scope_client_id") != "*") if owned else (F.col("scope_client_id") == "*")]
+        side = best.where(holds[0] & holds[1]).select(F.col("scope_claim_type").alias("_type"), F.col("scope_client_id").alias("_client"), F.struct(*cols).alias(f"_{name}"))
+        met = [F.col("claim_type") == F.col("_type")] * typed + [F.col("client_id") == F.col("_client")] * owned
+        found = found.join(F.broadcast(side), met or F.lit(True), "left").drop("_type", "_client")
+    one = F.when(F.col("_owned").isNull() | (F.col("_typed.anchor_id") <= F.col("_owned.anchor_id")), F.col("_typed")).otherwise(F.col("_owned"))
+    return found.withColumn("_anchor", F.coalesce("_both", one, "_any")).select(*requests.columns, *(F.col(f"_anchor.{c}") for c in cols))
 
 
 def adjudicate(requests: DataFrame, anchors: DataFrame, now: Column) -> DataFrame:
