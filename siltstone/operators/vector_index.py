@@ -3,7 +3,8 @@
 Vectors become unit vectors and are written once, by the cell of their nearest center, in several files for a large cell. Centers are
 fitted on a bounded sample. By the triangle inequality on angles no vector of a cell is nearer to a query than the angle between query and center less the cell's
 radius. A search opens the ``first`` most promising cells of each query, whose k-th score is a floor, then all cells whose bound reaches it. Vectors
-are never shuffled again: tasks read them by cell and take the queries of that cell from the shared folder, block by block.
+are never shuffled again: tasks read some ``FILE_ROWS`` of them at a time and take the queries, each with the cells it opens, from the shared folder, block by
+block. A query leaves a task with its k best of these rows that reach its floor.
 """
 
 from __future__ import annotations
@@ -23,17 +24,18 @@ from ..shipping import ship
 from .retrieval import top_k
 
 FIT_ROWS, MOST_CELLS, ROUNDS = 8192, 1024, 8
-FILE_ROWS, BLOCK = 65_536, 512
+FILE_ROWS, BLOCK, HITS = 16_384, 256, 1 << 19
 
 
 @dataclass
 class VectorIndex:
-    """Where the cells lie, the unit centers, each cell's radius as an angle, and the vectors' length; cells without rows have no radius."""
+    """Where the cells lie, the unit centers, each cell's radius as an angle, the type of ids and the number of files; cells without rows have no radius."""
 
     path: str
     centers: np.ndarray
     radii: np.ndarray
     kind: str
+    files: int
 
 
 def unit_rows(vectors, width: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     radii = np.full(len(centers), -1.0)
     for r in spark.read.schema(schema).parquet(path).groupBy("cell").agg(F.max("far").alias("far")).collect():
         radii[r.cell] = r.far
-    return VectorIndex(path, centers, radii, kind)
+    return VectorIndex(path, centers, radii, kind, files)
 
 
 def _bounds(index: VectorIndex):
@@ -102,35 +104,62 @@ def _bounds(index: VectorIndex):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used = np.flatnonzero(index.radii >= 0)
         for pdf in batches:
-            q = unit_rows(pdf["v"].tolist(), index.centers.shape[1])
-            gap = np.maximum(angles(q, index.centers[used]) - index.radii[used] - 1e-7, 0.0)
-            bound = np.cos(gap) + 1e-9
-            for i in range(len(pdf)):
-                order = np.argsort(-bound[i], kind="stable")
-                yield pd.DataFrame({"query_id": pdf["query_id"].iloc[i], "u": [q[i]] * len(order), "cell": used[order].astype(np.int32), "bound": bound[i][order], "at": np.arange(1, len(order) + 1, dtype=np.int32)})
+            for at in range(0, len(pdf), BLOCK):
+                some = pdf.iloc[at : at + BLOCK]
+                q = unit_rows(some["v"].tolist(), index.centers.shape[1])
+                gap = np.maximum(angles(q, index.centers[used]) - index.radii[used] - 1e-7, 0.0)
+                bound = np.cos(gap) + 1e-9
+                order = np.argsort(-bound, axis=1, kind="stable")
+                yield pd.DataFrame({"query_id": some["query_id"], "u": list(q), "cells": list(used[order].astype(np.int32)), "bounds": list(np.take_along_axis(bound, order, 1))})
 
     return run
 
 
+def _together(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have ``most`` rows."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= most:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
+def first_of_rows(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k greatest scores of each row that reach its floor, of equal ones the first columns; -inf is no score."""
+    last = min(k, scores.shape[1]) - 1
+    least = -np.partition(-scores, last, axis=1)[:, last, None]
+    over, even = scores > least, scores == least
+    even &= np.cumsum(even, axis=1, dtype=np.int32) <= last + 1 - over.sum(1, keepdims=True)
+    return np.nonzero((over | even) & (scores >= floor[:, None]) & (scores > -np.inf))
+
+
 def _scored(path: str, k: int):
-    """Of each batch of vectors the ``k`` best for the queries of its cells."""
+    """Of some vectors the ``k`` best for each query that opens their cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(path)
-        for pdf in batches:
-            for cell, own in pdf.groupby("cell"):
-                folder = f"{root}/cell={cell}"
-                if fs.get_file_info(folder).type == pafs.FileType.NotFound:
+        for pdf in _together(batches, FILE_ROWS):
+            pdf = pdf.sort_values("doc_id", ignore_index=True)
+            v, ids, cell = np.stack(pdf["u"].to_numpy()), pdf["doc_id"].to_numpy(), pdf["cell"].to_numpy()
+            own = {c: np.flatnonzero(cell == c) for c in np.unique(cell)}
+            for block in ds.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=BLOCK, columns=["query_id", "u", "floor", "cells"]):
+                lists = block.column("cells")
+                row, opens = np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+                here = np.isin(opens, list(own))
+                row, opens = row[here], opens[here]
+                if not len(row):
                     continue
-                own = own.sort_values("doc_id", ignore_index=True)
-                v, ids = np.stack(own["u"].to_numpy()), own["doc_id"].to_numpy()
-                for block in ds.dataset(folder, filesystem=fs, format="parquet").to_batches(batch_size=BLOCK, columns=["query_id", "u"]):
-                    if not len(block):
-                        continue
-                    s = np.stack(block.column("u").to_numpy(zero_copy_only=False)) @ v.T
-                    best = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :k]
-                    rows = np.arange(len(block)).repeat(best.shape[1])
-                    yield pd.DataFrame({"query_id": block.column("query_id").to_numpy(zero_copy_only=False)[rows], "doc_id": ids[best.ravel()], "score": s[rows, best.ravel()]})
+                u = np.stack(block.column("u").to_numpy(zero_copy_only=False))
+                s = np.full((len(block), len(ids)), -np.inf)
+                for c in np.unique(opens):
+                    some = row[opens == c]
+                    s[np.ix_(some, own[c])] = u[some] @ v[own[c]].T
+                floor = np.nan_to_num(block.column("floor").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                rows, best = first_of_rows(np.round(s, 6), floor - 1e-6, k)
+                yield pd.DataFrame({"query_id": block.column("query_id").to_numpy(zero_copy_only=False)[rows], "doc_id": ids[best], "score": s[rows, best]})
 
     return run
 
@@ -140,18 +169,23 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int, first: int = 2) -> D
     spark = queries.sparkSession
     q = queries.where(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("v"))
     kind = dict(q.dtypes)["query_id"]
-    cells = written(q.mapInPandas(_bounds(index), f"query_id {kind}, u array<double>, cell int, bound double, at int"), "cells-of-queries")
+    asked = written(q.mapInPandas(_bounds(index), f"query_id {kind}, u array<double>, cells array<int>, bounds array<double>"), "cells-of-queries")
+    cells = asked.select("query_id", F.posexplode(F.arrays_zip("cells", "bounds"))).select("query_id", F.col("col.cells").alias("cell"), F.col("col.bounds").alias("bound"), (F.col("pos") + 1).alias("at"))
     stored = spark.read.schema(f"doc_id {index.kind}, u array<double>, cell int, far double").parquet(index.path).select("doc_id", "u", "cell")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() * k * index.files // HITS))
 
     def opened(some: DataFrame) -> DataFrame:
+        """Hits in the cells (cells, floor) of each query, dealt to tasks by query before they are ranked."""
         path = scratch(spark, "asked")
-        some.select("query_id", "u", "cell").repartition("cell").write.partitionBy("cell").parquet(path)
-        held = stored.join(F.broadcast(some.select("cell").distinct()), "cell", "left_semi")  # at most ``MOST_CELLS`` numbers
-        return held.mapInPandas(_scored(path, k), f"query_id {kind}, doc_id {index.kind}, score double")
+        asked.select("query_id", "u").join(some, "query_id").select("query_id", "u", "floor", "cells").write.parquet(path)
+        opens = spark.read.schema("cells array<int>").parquet(path).select(F.explode("cells").alias("cell")).distinct()
+        held = stored.join(F.broadcast(opens), "cell", "left_semi")  # at most ``MOST_CELLS`` numbers
+        hits = held.mapInPandas(_scored(path, k), f"query_id {kind}, doc_id {index.kind}, score double")
+        return hits.repartition(parts, "query_id")
 
-    sure = written(top_k(opened(cells.where(F.col("at") <= first)), k), "hits")
+    sure = written(top_k(opened(asked.select("query_id", F.slice("cells", 1, first).alias("cells"), F.lit(None).cast("double").alias("floor"))), k), "hits")
     floor = sure.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    rest = cells_left(cells.where(F.col("at") > first), floor)
+    rest = cells_left(cells.where(F.col("at") > first), floor).groupBy("query_id").agg(F.collect_list("cell").alias("cells"), F.max("floor").alias("floor"))
     return top_k(sure.drop("rank").unionByName(opened(rest)), k)
 
 

@@ -2,9 +2,9 @@
 
 import re
 
-from pyspark.sql import functions as F
+import numpy as np
 
-from siltstone.operators import governance
+from siltstone.operators import governance, vector_index
 
 
 def plan_of(df):
@@ -31,3 +31,21 @@ def test_anchors_meet_requests_where_they_lie(spark):
     assert {(r.request_id, r.anchor_id) for r in none.collect() if r.anchor_id} == {(2, "a7")} and none.count() == len(asked)
     # requests are neither dealt nor sorted by anything
     assert not re.findall(r"(hashpartitioning|Sort \[)[^\n]*(request_id|claim_type#|client_id#)", plan_of(got).replace("scope_claim_type", "").replace("scope_client_id", ""))
+
+
+def test_a_query_leaves_a_part_of_the_vectors_with_its_best_only(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 16)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    seen, real = [], vector_index.top_k
+    monkeypatch.setattr(vector_index, "top_k", lambda hits, k: seen.append(hits.count()) or real(hits, k))
+    index = vector_index.build_index(vectors)
+    assert vector_index.nearest(index, asked, 40).count() == 18 * 40
+    assert seen[0] <= 18 * 40 and seen[1] <= 2 * 18 * 40  # not forty for each of some thirty cells
+
+
+def test_first_of_rows():
+    scores = np.array([[1.0, 3.0, 3.0, 3.0, -np.inf], [-np.inf, 0.5, -np.inf, 0.25, -np.inf]])
+    rows, columns = vector_index.first_of_rows(scores, np.array([-np.inf, 0.3]), 2)
+    assert list(zip(rows, columns)) == [(0, 1), (0, 2), (1, 1)]
