@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import map_rows
 from ..functions import text as T
 from ..shipping import ship
 from .matching import matching_texts
@@ -32,18 +32,13 @@ def graph_entities(nodes: DataFrame, aliases: DataFrame, min_len: int = 3) -> Da
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spans(rows: Iterable[tuple]) -> Iterator[tuple]:
     """Where each text's candidate names stand in it; a name's pattern is compiled once by each task."""
     pattern = lru_cache(1 << 16)(lambda alias: re.compile(rf"(?<![A-Za-z0-9_]){re.escape(alias.strip())}(?![A-Za-z0-9_])", re.IGNORECASE))
-    for pdf in batches:
-        rows = [
-            (chunk, name["node_id"], name["alias"], name["origin"], m.start(), m.end())
-            for chunk, text, names in zip(pdf["chunk_id"], pdf["text"], pdf["names"])
-            for name in names
-            for m in pattern(name["alias"]).finditer(text)
-        ]
-        if rows:
-            yield pd.DataFrame(rows, columns=["chunk_id", "node_id", "alias", "origin", "start", "end"])
+    for chunk, text, names in rows:
+        for name in names:
+            for m in pattern(name["alias"]).finditer(text):
+                yield chunk, name["node_id"], name["alias"], name["origin"], m.start(), m.end()
 
 
 def key_word(c: Column) -> Column:
@@ -63,8 +58,8 @@ def known_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     names = words.join(keys, "word").groupBy("chunk_id").agg(F.collect_set(F.struct("node_id", "alias", "origin")).alias("names"))
     held = F.filter("names", lambda n: F.contains(F.lower("text"), F.lower(F.trim(n["alias"]))))
     rows = chunks.select("chunk_id", "text").join(names, "chunk_id").withColumn("names", held).where(F.size("names") > 0)
-    spans = rows.select("chunk_id", "text", "names").mapInPandas(
-        _spans, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, node_id string, alias string, origin string, start int, end int"
+    spans = map_rows(
+        rows.select("chunk_id", "text", "names"), _spans, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, node_id string, alias string, origin string, start int, end int"
     )
     best = Window.partitionBy("chunk_id", "node_id", "start", "end").orderBy(F.length("alias").desc(), "alias")
     return (

@@ -11,14 +11,14 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import map_rows
 from ..functions import text as T
 from ..shipping import ship
 from . import media
@@ -237,18 +237,14 @@ CONVERTERS: dict[str, Callable[[str, bytes], list[Unit]]] = {
 
 
 def _converting(converters: dict[str, Callable[[str, bytes], list[Unit]]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf_ in batches:
-            rows = []
-            for ref, body, how in zip(pdf_["path"], pdf_["content"], pdf_["converter"]):
-                f = converters.get(how)
-                try:
-                    units, error = (f(ref, body) if f else []), None if f else "no converter"
-                except Exception as e:  # a damaged file is a row with its error, not the end of the scan
-                    units, error = [], f"{type(e).__name__}: {e}"[:200]
-                rows += [(ref, how, i, kind, text, None) for i, (kind, text) in enumerate(units, 1)] or [(ref, how, 0, None, None, error)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["source_ref", "converter", "unit_index", "unit_type", "text", "error"])
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for ref, body, how in rows:
+            f = converters.get(how)
+            try:
+                units, error = (f(ref, body) if f else []), None if f else "no converter"
+            except Exception as e:  # a damaged file is a row with its error, not the end of the scan
+                units, error = [], f"{type(e).__name__}: {e}"[:200]
+            yield from [(ref, how, i, kind, text, None) for i, (kind, text) in enumerate(units, 1)] or [(ref, how, 0, None, None, error)]
 
     return run
 
@@ -256,8 +252,8 @@ def _converting(converters: dict[str, Callable[[str, bytes], list[Unit]]]):
 def convert(files: DataFrame, converters: dict[str, Callable[[str, bytes], list[Unit]]] | None = None) -> DataFrame:
     """Units of files (path, content, media_type), with their ids; a file without units is one row with its error."""
     rows = files.select("path", "content", media.converter(F.col("media_type")).alias("converter"))
-    units = rows.mapInPandas(
-        _converting(converters or CONVERTERS), "source_ref string, converter string, unit_index int, unit_type string, text string, error string"
+    units = map_rows(
+        rows, _converting(converters or CONVERTERS), "source_ref string, converter string, unit_index int, unit_type string, text string, error string"
     )
     return units.withColumn("unit_id", unit_id(F.col("source_ref"), F.col("unit_type"), F.col("unit_index"), F.col("text")))
 

@@ -3,7 +3,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
+from siltstone import batches
 from siltstone.operators import governance, vector_index
 
 
@@ -49,3 +51,25 @@ def test_first_of_rows():
     scores = np.array([[1.0, 3.0, 3.0, 3.0, -np.inf], [-np.inf, 0.5, -np.inf, 0.25, -np.inf]])
     rows, columns = vector_index.first_of_rows(scores, np.array([-np.inf, 0.3]), 2)
     assert list(zip(rows, columns)) == [(0, 1), (0, 2), (1, 1)]
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    texts = ["x" * (3000 if i % 5 else 40) for i in range(999)] + ["y" * 90_000, None, ""]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts})
+    parts = list(batches.slices(batch, 64, 50_000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows <= 64 and (p.nbytes <= 50_000 or p.num_rows == 1) for p in parts)
+
+
+def test_rows_are_found_across_slices(spark):
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('word ', 4000) AS text")
+
+    def found(some):
+        n = 0
+        for i, text in some:
+            n += 1
+            yield (i, len(text), [str(n)])
+
+    got = batches.map_rows(rows, found, "id long, n int, tags array<string>")
+    assert sorted((r.id, r.n, r.tags) for r in got.collect()) == [(i, 20_000, [str(i + 1)]) for i in range(400)]
+    assert batches.map_rows(rows.where("id < 0"), found, "id long, n int, tags array<string>").count() == 0
