@@ -37,16 +37,16 @@ def incident(view: DataFrame, node: str, direction: str = "both", relation: str
 
 def adjacency(view: DataFrame) -> DataFrame:
     """Undirected adjacency (a, b, relation): every edge in both directions."""
-    out = view.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "relation")
-    return out.unionByName(view.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "relation"))
+    ways = [F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "relation") for x, y in (("source_id", "target_id"), ("target_id", "source_id"))]
+    return view.select(F.inline(F.array(*ways)))  # of one reading of the view
 
 
 SALTS = 16
 
 
 def _salted(adjacent: DataFrame) -> DataFrame:
-    """Distinct edges, written, with a salt by which a hub's edges are dealt to several tasks."""
-    return written(adjacent.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "edges")
+    """Edges, written, with a salt by which a hub's edges are dealt to several tasks; edges that stand several times are as one to a step, which keeps a path for each node."""
+    return written(adjacent.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "edges")
 
 
 def _step(frontier: DataFrame, edges: DataFrame, seen: DataFrame, extend) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from siltstone import batches
-from siltstone.operators import governance, vector_index
+from siltstone.operators import governance, graph, vector_index
 
 
 def plan_of(df):
@@ -73,3 +73,12 @@ def test_rows_are_found_across_slices(spark):
     got = batches.map_rows(rows, found, "id long, n int, tags array<string>")
     assert sorted((r.id, r.n, r.tags) for r in got.collect()) == [(i, 20_000, [str(i + 1)]) for i in range(400)]
     assert batches.map_rows(rows.where("id < 0"), found, "id long, n int, tags array<string>").count() == 0
+
+
+def test_adjacency_reads_its_view_once_and_steps_take_repeated_edges(spark):
+    view = spark.createDataFrame([("a", "r", "b"), ("a", "s", "b"), ("b", "r", "c")], "source_id string, relation string, target_id string")
+    near = graph.adjacency(view)
+    assert sorted(map(tuple, near.collect())) == [("a", "b", "r"), ("a", "b", "s"), ("b", "a", "r"), ("b", "a", "s"), ("b", "c", "r"), ("c", "b", "r")]
+    assert "Union" not in plan_of(near)
+    assert graph._salted(near).count() == 6  # not made distinct
+    assert sorted((r.id, r.depth, r.path) for r in graph.distances(near, "a", 3).collect()) == [("a", 0, ["a"]), ("b", 1, ["a", "b"]), ("c", 2, ["a", "b", "c"])]
