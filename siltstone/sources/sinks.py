@@ -17,10 +17,10 @@ def append_new(rows: DataFrame, path: str, keys: list[str], by: list[str] | None
 
     Of several rows with one key, the one whose values, read as JSON, are the greatest is taken.
     """
+    if path_exists(rows.sparkSession, path):  # what is there already is neither compared nor moved
+        rows = rows.join(rows.sparkSession.read.parquet(path).select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
     last = F.max_by(F.struct(*rows.columns), F.to_json(F.struct(*rows.columns)))
     new = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(last.alias("r")).select("r.*")
-    if path_exists(rows.sparkSession, path):
-        new = new.join(rows.sparkSession.read.parquet(path).select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
     new = checkpointed(new)  # what is appended must not depend on the table it is appended to
     writer = new.write.mode("append")
     (writer.partitionBy(*by) if by else writer).parquet(path)
