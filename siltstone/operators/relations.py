@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,7 +103,8 @@ def extractor_function(extractor: Callable[[str], list[tuple[str, str, str, floa
 def extract_relations(chunks: DataFrame) -> DataFrame:
     """(chunk_id, subject, predicate, object, subject_type, object_type, confidence), one row for each match.
 
-    All patterns run over a text in one projection; only their matches are exploded.
+    All patterns run over a text in one projection, once: a plain explode would run them for a filter of its own, too. A pattern looks only at
+    texts that hold one of its verbs.
     """
 
     def matches(p: str):
@@ -110,10 +113,11 @@ def extract_relations(chunks: DataFrame) -> DataFrame:
             T.clean_entity(F.regexp_extract(m, pattern(p), 1)).alias("subject"),
             T.clean_entity(F.regexp_extract(m, pattern(p), 3)).alias("object"),
         )
-        return F.transform(F.regexp_extract_all(F.col("text"), F.lit(pattern(p)), F.lit(0)), one)
+        held = reduce(or_, (F.contains("text", F.lit(v)) for v in PATTERNS[p][1]))
+        return F.when(held, F.transform(F.regexp_extract_all(F.col("text"), F.lit(pattern(p)), F.lit(0)), one))
 
-    found = F.flatten(F.array(*map(matches, PATTERNS)))
-    rows = chunks.select("chunk_id", F.explode(found).alias("r")).select("chunk_id", "r.*").where("subject != '' and object != ''")
+    found = F.flatten(F.array_compact(F.array(*map(matches, PATTERNS))))
+    rows = chunks.select("chunk_id", F.explode_outer(found).alias("r")).select("chunk_id", "r.*").where("subject != '' and object != ''")
     return rows.select(
         "chunk_id", "subject", "predicate", "object",
         T.entity_type(F.col("subject"), F.col("predicate"), "subject").alias("subject_type"),
@@ -123,10 +127,10 @@ def extract_relations(chunks: DataFrame) -> DataFrame:
 
 
 def normalize_predicate(rows: DataFrame, terms: DataFrame, column: str = "predicate") -> DataFrame:
-    """A predicate's alias becomes its id; others become words joined by underscores."""
+    """A predicate's alias becomes its id; others become words joined by underscores. The terms are broadcast, as configuration."""
     known = terms.select(F.col("predicate").alias("_id"), F.explode(F.array_union("aliases", F.array("predicate"))).alias("_alias")).distinct()
     low = F.lower(F.trim(F.col(column)))
-    out = rows.join(known, low == F.col("_alias"), "left")
+    out = rows.join(F.broadcast(known), low == F.col("_alias"), "left")
     return out.withColumn(column, F.coalesce("_id", F.regexp_replace(low, "[ -]+", "_"))).drop("_id", "_alias")
 
 

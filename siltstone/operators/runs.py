@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +14,7 @@ from .relations import extract_relations, normalize_predicate
 from .text_index import compared
 
 EXTRACTOR = "rules"
+PIECE_BYTES = 1 << 22
 
 
 def extraction_run(store: Store, chunks: DataFrame, terms: DataFrame, extract: Callable[[DataFrame], DataFrame] = extract_relations, extractor: str = EXTRACTOR) -> DataFrame:
@@ -21,17 +22,23 @@ def extraction_run(store: Store, chunks: DataFrame, terms: DataFrame, extract: C
 
     The store keeps an annotation and a candidate for each claim of a chunk. A changed chunk's rows are replaced, those of a chunk that is gone
     go, and buckets without either stay as they are. A claim that a chunk makes several times is one. Candidates start as "candidate".
+    Texts are dealt out before they are read, so the tasks don't depend on how the chunks lie in files; they are read once, and claims are
+    written to pieces of buckets of some ``PIECE_BYTES`` of text, of which both tables are made without another shuffle.
     """
     last, version = store.begin()
     states = written(compared(store, chunks.select(F.col("chunk_id").alias("doc_id"), "text"), last), "states")
     moved = states.where("state != 'unchanged'")
-    touched = sorted(r[0] for r in moved.select("bucket").distinct().collect())
+    sizes = states.groupBy("bucket").agg(F.count_if(F.col("state") != "unchanged").alias("moved"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).where("moved > 0").collect()
+    touched = sorted(r["bucket"] for r in sizes)
     shown = states.select(F.col("doc_id").alias("chunk_id"), "state")
     if not touched:
         return shown
-    fresh = chunks.join(moved.where("state != 'gone'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    pieces = max(1, -(-max(r["bytes"] for r in sizes) // PIECE_BYTES))
+    deal = lambda rows, own: store.deal(rows, F.col(own), pieces)
+    fresh = chunks if not last["tables"].get("documents") else chunks.join(moved.where("state != 'gone'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
     key = ["chunk_id", "subject", "predicate", "object"]
-    claims = normalize_predicate(extract(fresh), terms).dropDuplicates(key).withColumn("bucket", store.bucket_of(F.col("chunk_id")))
+    claims = normalize_predicate(extract(fresh.repartition(store.buckets * pieces, "chunk_id")), terms).withColumn("bucket", store.bucket_of(F.col("chunk_id")))
+    claims = written(deal(claims, "chunk_id").dropDuplicates(["bucket", "piece", *key]).drop("piece"), "claims")
     parts = [F.col(c).cast("string") for c in key]
     claims = claims.withColumn("annotation_id", T.stable_id("annotation", F.lit("relation_claim"), F.lit(extractor), *parts))
     annotations = claims.select(
@@ -43,12 +50,14 @@ def extraction_run(store: Store, chunks: DataFrame, terms: DataFrame, extract: C
         "confidence", F.lit("candidate").alias("status"), "bucket",
     )
     records = moved.where("state != 'gone'").select("doc_id", "digest", "bucket")
-    gone = moved.select(F.col("doc_id").alias("chunk_id"))
     for name, rows, own in (("annotations", annotations, "chunk_id"), ("candidates", candidates, "chunk_id"), ("documents", records, "doc_id")):
+        rows = rows if name != "documents" else deal(rows, own).drop("piece")
         old = store.read(name, last, touched)
         if old is not None:
-            rows = rows.unionByName(old.join(gone.withColumnRenamed("chunk_id", own), own, "left_anti"))
-        store.stage(name, version, rows, [own])
+            marks = moved.select(F.col("doc_id").alias(own), "bucket", F.lit(True).alias("moved"))
+            left = F.max("moved").over(Window.partitionBy("bucket", "piece", own))  # where the rows are dealt to, so they move once
+            rows = rows.unionByName(deal(old.unionByName(marks, True), own).withColumn("moved", left).where("moved IS NULL").drop("moved", "piece"))
+        store.stage(name, version, rows, [own], dealt=True)
     store.commit(last, version, touched)
     return shown
 

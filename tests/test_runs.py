@@ -40,6 +40,48 @@ def test_an_extractor_of_ones_own_runs_too(spark, tmp_path):
     assert [(r.chunk_id, r.subject, r.predicate, r.object, r.confidence) for r in store.read("candidates").collect()] == [(1, "a", "b", "c", 0.5)]
 
 
+def test_a_run_reads_each_text_once_and_writes_a_bucket_in_pieces(spark, tmp_path, monkeypatch):
+    """However few files the chunks lie in, and however few buckets there are; kept rows lie beside new ones."""
+    monkeypatch.setattr(runs, "PIECE_BYTES", 64, raising=False)
+    seen = tmp_path / "seen"
+
+    def arrow(text):
+        with seen.open("a") as f:
+            f.write(text + "\n")
+        return [(*text.split(">"), "c", 0.5)] * 2 if ">" in text else []
+
+    store = Store(spark, f"file://{tmp_path}/relations", 1)
+    own = lambda rows: relations.extract_with(rows, arrow)
+    texts = {i: f"a{i}>b" if i % 3 else "x" for i in range(60)}
+    for _ in range(2):
+        chunks = spark.createDataFrame(sorted(texts.items()), "chunk_id long, text string").coalesce(1)
+        seen.write_text("")
+        states = {r.chunk_id: r.state for r in runs.extraction_run(store, chunks, relations.ontology(spark), own).collect()}
+        moved = [texts[i] for i, state in states.items() if state in ("new", "changed")]
+        assert sorted(seen.read_text().split()) == sorted(moved)
+        claims = sorted((i, *t.split(">")) for i, t in texts.items() if ">" in t)
+        for table in ("annotations", "candidates"):
+            assert sorted(r.chunk_id for r in store.read(table).collect()) == [i for i, *_ in claims]
+            version = store.last_commit()["tables"][table]["versions"]["0"]
+            assert len(list((tmp_path / "relations" / table / f"stored_version={version}" / "bucket=0").glob("*.parquet"))) > 1
+        assert sorted((r.chunk_id, r.subject, r.predicate) for r in store.read("candidates").collect()) == claims
+        assert store.read("documents").count() == len(texts)
+        texts = {i: "new>one" if i % 7 == 0 else t for i, t in texts.items() if i % 5 and i < 50} | {99: "y>z"}
+    assert {states[i] for i in (7, 5, 99, 1)} == {"changed", "gone", "new", "unchanged"}
+
+
+def test_relations_are_matched_once_and_by_texts_that_hold_a_verb(spark):
+    """Sentences that nearly hold a verb; no filter repeats the patterns, and terms are not dealt by predicate."""
+    rows = [(1, "Acme acquired  Beta"), (2, "Acme Acquired Beta"), (3, None), (4, ""), (5, "Acme is owned  by Beta"), (6, "Acme is owned by Beta and Gamma partnered with Delta"), (7, "acquired")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    got = relations.normalize_predicate(relations.extract_relations(chunks), relations.ontology(spark))
+    assert sorted((r.chunk_id, r.subject, r.predicate, r.object) for r in got.collect()) == [
+        (1, "Acme", "acquired", "Beta"), (6, "Acme", "owned_by", "Beta and Gamma"), (6, "Beta and Gamma", "partners_with", "Delta"),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(flatten" not in plan and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_review_decisions_are_logged(spark):
     items = spark.createDataFrame([(1, 10, "open", {"by": "x", "notes": "old"}), (2, 20, "open", None), (3, 30, "open", {})], "review_id long, candidate_id long, status string, notes map<string,string>")
     decisions = spark.createDataFrame([(1, "resolved", "accept", "fine"), (2, "dismissed", "", None), (2, "resolved", "", ""), (9, "resolved", "", "")], "review_id long, status string, resolution string, notes string")
