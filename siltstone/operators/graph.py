@@ -160,7 +160,9 @@ def hint_scores(nodes: DataFrame, query: str, tokens: list[str], limit: int = 8)
 def node_hints(nodes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     """(query_id, node_id, name, type, score): the best graph hints of each query (query_id, text), scored as in ``hint_scores``.
 
-    A query meets the nodes whose name, id or summary holds its text or one of its tokens, by ``containing``.
+    A query meets the nodes whose name, id or summary holds its text or one of its tokens, by ``containing``. Nodes of a type that hold the same of
+    all these strings in the same places have the same score for every query, so of each such class only the first ``limit`` by name and id meet
+    queries; the others are left in the tasks that find them, and pairs of query and node are never moved for all nodes.
     """
     q = queries.select("query_id", F.lower("text").alias("q"), T.fts_terms(F.col("text"), 8).alias("tokens"))
     live = nodes.where(T.is_live(F.col("status"))).select("id", "name", "type", *(F.lower(c).alias(f"_{c}") for c in ("id", "name", "summary")))
@@ -171,8 +173,14 @@ def node_hints(nodes: DataFrame, queries: DataFrame, limit: int = 8) -> DataFram
     four = F.when(F.col("type").isin("runtime", "tool", "concept", "failure_mode"), 0.4).otherwise(0.0)
     probes = written(q.select("query_id", F.explode(F.array_union(F.array("q"), "tokens")).alias("probe")), "probes")
     texts = live.select("id", F.concat_ws("\n", "_name", "_id", "_summary").alias("text"))
-    met = containing(texts, probes).join(probes, "probe").select("id", "query_id").distinct()
-    rows = met.join(live, "id").join(q, "query_id").where(hit).withColumn("score", F.when(named(F.col("q")), 8.0).otherwise(0.0) + each + four)
+    held = containing(texts, probes).groupBy("id").agg(F.array_sort(F.collect_set("probe")).alias("held"))
+    places = F.transform("held", lambda w: F.struct(w.alias("probe"), F.contains("_name", w).alias("name"), F.contains("_id", w).alias("id"), told(w).alias("summary")))
+    told_of = F.exists("places", lambda p: p["name"] | p["summary"])
+    alike = Window.partitionBy("type", "places").orderBy("name", "id")
+    first = live.join(held, "id").withColumn("places", places).where(told_of).withColumn("at", F.row_number().over(alike)).where(F.col("at") <= limit)
+    first = written(first.drop("places", "at"), "nodes")
+    met = first.select("id", F.explode("held").alias("probe")).join(probes, "probe").select("id", "query_id").distinct()
+    rows = met.join(first.drop("held"), "id").join(q, "query_id").where(hit).withColumn("score", F.when(named(F.col("q")), 8.0).otherwise(0.0) + each + four)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "type", "name", "id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", F.col("id").alias("node_id"), "name", "type", "score", "rank")
 

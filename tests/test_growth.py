@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from siltstone import batches
+from siltstone.functions import text as T
 from siltstone.operators import governance, graph, vector_index
 
 
@@ -82,3 +83,30 @@ def test_adjacency_reads_its_view_once_and_steps_take_repeated_edges(spark):
     assert "Union" not in plan_of(near)
     assert graph._salted(near).count() == 6  # not made distinct
     assert sorted((r.id, r.depth, r.path) for r in graph.distances(near, "a", 3).collect()) == [("a", 0, ["a"]), ("b", 1, ["a", "b"]), ("c", 2, ["a", "b", "c"])]
+
+
+def test_of_nodes_that_hold_the_same_only_the_first_meet_queries(spark, monkeypatch):
+    kinds = ["account", "tool", None]
+    rows = [(f"n:{i:03}", f"Customer#{i % 90:03}", f"Customer in segment {'ABCD'[i % 4]}x", kinds[i % 3], "active" if i % 10 else "merged") for i in range(360)]
+    rows += [("n:alpha", None, "segment one", "tool", "active"), ("n:beta", "alpha IN beta", None, "concept", "active"), ("n:beta", "other", "Alpha", "concept", "active"), ("n:x", "", "", None, "active")]
+    nodes = spark.createDataFrame(rows, "id string, name string, summary string, type string, status string")
+    asked = [(1, "in the segment bx"), (2, "alpha in in beta"), (3, "Customer#04"), (4, ""), (5, None), (6, "  "), (7, "n:01"), (8, "nowhere at"), (9, "IN")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    tokens = {r[0]: r[1] for r in queries.select("query_id", T.fts_terms(queries["text"], 8)).collect()}
+    want = []
+    for q, text in asked:
+        found = []
+        for i, *texts, kind, status in rows:
+            name, summary = ((x or "").lower() for x in texts)
+            held = lambda w, *where: any(w in x for x in where)
+            probes = [text.lower(), *tokens[q]] if text and text.strip() else []
+            if status == "active" and any(held(w, name, summary) for w in probes):
+                score = 8.0 * held(text.lower(), name, i) + sum(2.0 * held(w, name, i) + 0.5 * held(w, summary) for w in tokens[q]) + 0.4 * (kind in ("tool", "concept"))
+                found.append((-score, kind or "", texts[0] or "", i))
+        want += [(q, i, -s, at) for at, (s, _, _, i) in enumerate(sorted(found)[:3], 1)]
+    seen, real = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: seen.setdefault(label, real(df, label)))
+    got = graph.node_hints(nodes, queries, 3)
+    assert sorted((r.query_id, r.node_id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+    assert {q for q, *_ in want} == {1, 2, 3, 7, 9}
+    assert seen["nodes"].count() <= 110  # of 328 live ones
