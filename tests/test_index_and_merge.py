@@ -2,7 +2,9 @@
 
 import difflib
 import random
+import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,84 @@ def test_close_names_of_all_nodes_equal_all_pairs(spark):
     assert plain_components(links) == plain_components(want)
 
 
+def numbered(rnd, n, base="customer", digits=9, most=3000):
+    return sorted({f"{base} {rnd.randrange(most):0{digits}}" for _ in range(n)})
+
+
+@pytest.mark.parametrize("left_n, right_n", [(5, 5), (6, 7), (12, 11), (18, 18)])
+def test_blocks_of_many_pairs_equal_the_matcher(left_n, right_n):
+    rnd = random.Random(left_n)
+    pairs = []
+    for _ in range(300):
+        x = [rnd.choice(b"01" if rnd.random() < 0.8 else b"abc") for _ in range(left_n)]
+        y = list(x)
+        for _ in range(rnd.randrange(3)):
+            del y[rnd.randrange(len(y))]
+            y.insert(rnd.randrange(len(y) + 1), rnd.choice(b"01a"))
+        y = (y + [rnd.choice(b"01") for _ in range(right_n)])[:right_n]
+        pairs.append((x, y))
+    left, right = (np.array(side, np.uint8) for side in zip(*pairs))
+    matched = np.array([sum(b.size for b in difflib.SequenceMatcher(None, bytes(a), bytes(b)).get_matching_blocks()) for a, b in pairs])
+    for least in range(min(left_n, right_n) + 1):
+        assert (matching.blocks_reach(left, right, least) == (matched >= least)).all()
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.92, 0.996])
+def test_close_texts_are_counted_where_they_meet(spark, monkeypatch, threshold):
+    """Counts and classes equal those of all pairs, also where groups are cut by batches and texts are long or have several ids."""
+    rnd = random.Random(7)
+    texts = [*numbered(rnd, 60), "abab abab abab", "baba baba baba", "äbc дом 一二三 xyz", "äbc дом 一三二 xyz", "customer 0000000120", "acme", "acmes", "x" * 250, "x" * 249 + "y", "x" * 249, "ab" * 130, "ab" * 129 + "ba"]
+    texts += ["".join(rnd.choice("ab") for _ in range(rnd.choice([9, 10, 11]))) for _ in range(60)]
+    texts = sorted(set(texts))
+    rnd.shuffle(texts)
+    rows = [(k, t, f"n:{i}", f"n:{i}" if i % 3 else f"n:{i}:{rnd.choice('az')}" if i % 2 else "z") for k in "pq" for i, t in enumerate(texts[::2] if k == "p" else texts[1::2] + texts[:20])]
+    rows = [(k, t, k + first, k + last) for k, t, first, last in rows]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+    want = {tuple(sorted((a[2], b[2]))) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and ratio(a[1], b[1])}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(matching, "PAIRS", 16)
+    monkeypatch.setattr(matching, "CELLS", 1024)
+    try:
+        extra = [(None, texts[0], "x", "x"), ("p", "", "y", "y"), ("p", None, "z", "z"), ("p", texts[0] + "!", None, None)]
+        n, links = matching.close_counts(spark.createDataFrame(rows + extra, "k string, text string, first string, last string"), threshold, ["k"])
+        ends = [x for pair in want for x in pair]
+        assert {r.id: r.n for r in n.collect()} == {x: ends.count(x) for x in ends}
+        assert plain_components([tuple(r) for r in links.collect()]) == plain_components(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_entity_classes_equal_the_classes_of_all_links(spark, repeated):
+    rnd = random.Random(5)
+    names = numbered(rnd, 80) + ["hot bolt", "hot bolts", "old widgets", "old widget"] * 3 + ["a long name of supplier number 0012", "a long name of supplier number 0021", "", None]
+    nodes = [(f"n:{i}", "account" if i % 9 else "concept|x", name, "active" if i % 7 else "merged") for i, name in enumerate(names)]
+    nodes += [("n:3", "account", names[5], "active"), ("n:3", "account", "hot bolts", "active"), ("null", None, names[0], "active")] if repeated else []
+    aliases = [(f"n:{i}", names[(i * 3) % 90]) for i in range(0, 90, 4)] + [("n:1", "The Brand"), ("n:2", "Brand Inc"), (None, "x"), ("n:4", None)]
+    nodes = spark.createDataFrame(nodes, "id string, type string, name string, status string")
+    aliases = spark.createDataFrame(aliases, "node_id string, alias string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("id", "component_id", "n_links").collect())
+    got = rows(ledger.entity_classes(nodes, aliases))
+    assert got and got == rows(ledger.linked_classes(ledger.duplicate_entities(nodes, aliases)))
+
+
+def test_close_pairs_of_entities_are_not_listed(spark, monkeypatch):
+    """The query's steps hold rows for names and their forms, not for close pairs, of which numbered names have dozens to hundreds each."""
+    data = DATA.replace("sf0.001", "sf0.01")
+    from siltstone.plans import all_queries
+    from siltstone.plans.registry import Tables
+    from siltstone.plans.standins import view
+
+    nodes = view(Tables(spark, data), "nodes").where("type = 'account' AND status IN ('active', 'provisional')").count()
+    sizes = []
+    for module in (matching, ledger, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "written", lambda df, label, real=module.written: (lambda out: sizes.append((out.count(), label)) or out)(real(df, label)))
+    out = all_queries()["E14_duplicate_entities"](spark, data).collect()
+    assert sum(r.n_links for r in out) / 2 > 20 * nodes
+    assert max(sizes)[0] < 10 * nodes
+
+
 # --- merge and split -------------------------------------------------------------------------------------------
 
 
