@@ -29,6 +29,13 @@ def live_edges(view: DataFrame) -> DataFrame:
     )
 
 
+def live_links(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Edges that are live with their evidence, absent evidence allowed, whatever their ends are."""
+    ev = evidence.select(F.col("id").alias("evidence_id"), F.col("status").alias("evidence_status"))
+    found = edges.where(T.is_live(F.col("status"))).join(ev, "evidence_id", "left")
+    return found.where(F.col("evidence_id").isNull() | T.is_live(F.col("evidence_status")))
+
+
 def incident(view: DataFrame, node: str, direction: str = "both", relation: str | None = None) -> DataFrame:
     side = {"out": F.col("source_id") == node, "in": F.col("target_id") == node}
     hit = side["out"] | side["in"] if direction == "both" else side[direction]
@@ -42,6 +49,8 @@ def adjacency(view: DataFrame) -> DataFrame:
 
 
 SALTS = 16
+#: Rows of a frontier that is broadcast.
+SMALL = 10_000
 
 
 def _salted(adjacent: DataFrame) -> DataFrame:
@@ -49,24 +58,38 @@ def _salted(adjacent: DataFrame) -> DataFrame:
     return written(adjacent.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "edges")
 
 
+def _met(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges that leave a frontier, with its columns.
+
+    A small frontier is broadcast, and edges stay where they are. Others look small as they are stored, without a row for each salt, and are never
+    broadcast; a task holds its part of them.
+    """
+    if frontier.count() <= SMALL:
+        return F.broadcast(frontier).join(edges.drop("salt"), F.col("id") == F.col("a"))
+    spread = frontier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
+    return spread.join(edges, (spread["id"] == edges["a"]) & (spread["salt"] == edges["salt"]))
+
+
 def _step(frontier: DataFrame, edges: DataFrame, seen: DataFrame, extend) -> DataFrame:
     """(id, path) of the nodes next to a frontier that weren't seen before, each with its least path."""
-    spread = frontier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    step = spread.join(edges, (spread["id"] == edges["a"]) & (spread["salt"] == edges["salt"])).select(F.col("b").alias("id"), extend.alias("path"))
-    return step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
+    step = _met(frontier, edges).select(F.col("b").alias("id"), extend.alias("path"))
+    return step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id").hint("merge"), "id", "left_anti")
 
 
-def distances(adjacent: DataFrame, start: str, max_depth: int = 4) -> DataFrame:
-    """(id, depth, path) of the nodes reachable within ``max_depth`` steps, each at its first depth.
+def distances(adjacent: DataFrame, start: str, max_depth: int = 4, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, depth, path) of the nodes reachable within ``max_depth`` steps, each at its first depth; only over the ids of ``nodes``, where given.
 
     Every step joins only the newest frontier and drops nodes seen before; of equal paths the least stays.
-    Each frontier is written, so the plan doesn't grow.
+    Each frontier is written, so the plan doesn't grow. The nodes that a step finds are looked up in ``nodes``, not both ends of all edges.
     """
-    edges = _salted(adjacent)
     frontier = adjacent.sparkSession.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
+    if nodes is not None and nodes.where(F.col("id") == start).isEmpty():
+        return frontier
+    edges = _salted(adjacent)
     seen = frontier
     for depth in range(1, max_depth + 1):
         step = _step(frontier, edges, seen, F.concat("path", F.array("b")))
+        step = step if nodes is None else step.join(nodes.select("id").hint("merge"), "id", "left_semi")
         frontier = written(step.select("id", F.lit(depth).alias("depth"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
@@ -74,7 +97,9 @@ def distances(adjacent: DataFrame, start: str, max_depth: int = 4) -> DataFrame:
 
 def _degrees(frontier: DataFrame, degrees: DataFrame) -> int:
     """Edges that leave a frontier."""
-    return frontier.join(degrees, "id").agg(F.sum("n")).first()[0] or 0
+    ids = frontier.select("id")
+    ids = F.broadcast(ids) if ids.count() <= SMALL else ids.hint("merge")
+    return degrees.join(ids, "id").agg(F.sum("n")).first()[0] or 0
 
 
 def find_path(adjacent: DataFrame, start: str, end: str, max_depth: int = 4, expanded: list[int] | None = None) -> DataFrame:
@@ -107,7 +132,7 @@ def find_path(adjacent: DataFrame, start: str, end: str, max_depth: int = 4, exp
         grown["frontier"] = written(_step(grown["frontier"], grown["edges"], grown["seen"], grown["extend"]), "frontier")
         grown["seen"], grown["size"] = grown["seen"].unionByName(grown["frontier"]), None
         left, right = sides[0]["frontier"], sides[1]["frontier"].withColumnRenamed("path", "rest")
-        met = left.join(right, "id").select(F.concat("path", F.slice("rest", 2, max_depth + 1)).alias("path"))
+        met = left.join(right.hint("merge"), "id").select(F.concat("path", F.slice("rest", 2, max_depth + 1)).alias("path"))
         best = written(met.agg(F.min("path").alias("path")).where("path IS NOT NULL"), "path")
         if not best.isEmpty():
             return best.select(F.lit(end).alias("id"), F.lit(depth).alias("depth"), "path")

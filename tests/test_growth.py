@@ -1,9 +1,12 @@
 """Steps whose tasks must not grow with their input: the same rows as a plain version, from plans and tasks that stay small."""
 
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from siltstone import batches
 from siltstone.functions import text as T
@@ -85,6 +88,35 @@ def test_adjacency_reads_its_view_once_and_steps_take_repeated_edges(spark):
     assert sorted((r.id, r.depth, r.path) for r in graph.distances(near, "a", 3).collect()) == [("a", 0, ["a"]), ("b", 1, ["a", "b"]), ("c", 2, ["a", "b", "c"])]
 
 
+@pytest.mark.parametrize("small", [0, 100])
+def test_no_frontier_is_broadcast_with_a_row_for_each_salt(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small, raising=False)
+    edges = graph._salted(spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d")], "a string, b string"))
+    frontier = graph.written(spark.createDataFrame([("b", ["a", "b"])], "id string, path array<string>"), "frontier")
+    step = graph._step(frontier, edges, frontier, F.concat("path", F.array("b")))
+    plan = plan_of(step)
+    assert plan.count("BroadcastExchange") == (1 if small else 0) and ("Generate" in plan) == (not small)
+    assert sorted(map(tuple, step.collect())) == [("c", ["a", "b", "c"]), ("d", ["a", "b", "d"])]
+
+
+@pytest.mark.parametrize("small", [1, 10_000])
+def test_distances_over_nodes_equal_those_over_live_edges(spark, monkeypatch, small):
+    """Nodes are looked up where steps find them; ends that are dead or no nodes at all lead nowhere."""
+    monkeypatch.setattr(graph, "SMALL", small, raising=False)
+    rnd = random.Random(3)
+    status = lambda: rnd.choice(["active", "active", "provisional", "merged"])
+    nodes = spark.createDataFrame([(f"n{i}", f"N{i}", "t", "active" if i < 2 else "merged" if i == 2 else status()) for i in range(30)], "id string, name string, type string, status string")
+    evidence = spark.createDataFrame([("e1", "active"), ("e2", "reverted")], "id string, status string")
+    rows = [(f"n{rnd.randrange(34)}", "r", f"n{rnd.randrange(34)}", rnd.choice([None, None, "e1", "e2", "gone"]), status()) for _ in range(90)] + [(None, "r", "n0", None, "active"), ("n0", "r", None, None, None)]
+    edges = spark.createDataFrame(rows, "source_id string, relation string, target_id string, evidence_id string, status string")
+    live = nodes.where("status IN ('active', 'provisional')")
+    found = lambda df: sorted(tuple(r) for r in df.collect())
+    for start in ("n0", "n2", "n33", "nowhere"):
+        got = found(graph.distances(graph.adjacency(graph.live_links(edges, evidence)), start, 3, live))
+        assert got == found(graph.distances(graph.adjacency(graph.live_edges(graph.edge_view(edges, nodes, evidence))), start, 3))
+        assert (len(got) > 1) == (start == "n0")
+
+
 def test_of_nodes_that_hold_the_same_only_the_first_meet_queries(spark, monkeypatch):
     kinds = ["account", "tool", None]
     rows = [(f"n:{i:03}", f"Customer#{i % 90:03}", f"Customer in segment {'ABCD'[i % 4]}x", kinds[i % 3], "active" if i % 10 else "merged") for i in range(360)]
