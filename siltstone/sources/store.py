@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Of files of which a task has several open at a time.
+ROW_GROUP_BYTES = 1 << 24
+
 
 class Conflict(RuntimeError):
     """Another writer has committed since this one read the tables."""
@@ -66,17 +71,36 @@ class Store:
         piece = F.pmod(F.xxhash64(key.cast("string"), F.lit("piece")), F.lit(pieces)).cast("int")
         return rows.withColumn("piece", piece).repartition(self.buckets * pieces, "bucket", "piece")
 
+    @contextmanager
+    def _file_of_each_bucket(self) -> Iterator[None]:
+        """A task that writes keeps a file open for each bucket, where Spark would sort all its rows by bucket first."""
+        key = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, self.buckets)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
     def stage(self, table: str, version: str, rows: DataFrame, sort: list[str], dealt: bool = False) -> DataFrame:
-        """Write the rows of touched buckets under a version that no commit names yet, and read them back; ``dealt`` rows stay in their tasks."""
+        """Write the rows of touched buckets under a version that no commit names yet, and read them back; ``dealt`` rows stay in their tasks.
+
+        Without ``sort`` rows are written as they come and none are held. A task then has files of several buckets open, so row groups are small.
+        """
         rows = rows if dealt else rows.repartition("bucket")
-        rows = rows.sortWithinPartitions("bucket", *sort)
-        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{table}/stored_version={version}")
+        write = lambda rows: rows.write.partitionBy("bucket").option("compression", "zstd")
+        to = f"{self.root}/{table}/stored_version={version}"
+        if sort:
+            write(rows.sortWithinPartitions("bucket", *sort)).parquet(to)
+        else:
+            with self._file_of_each_bucket():
+                write(rows).option("parquet.block.size", ROW_GROUP_BYTES).parquet(to)
         held = {c: rows.schema[c] for c in rows.columns}
         schema = StructType([*(f for c, f in held.items() if c != "bucket"), held["bucket"]])
         self._staged[table] = schema
-        if not any(n.startswith("bucket=") for n in self._names(f"{self.root}/{table}/stored_version={version}")):
+        if not any(n.startswith("bucket=") for n in self._names(to)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/stored_version={version}")
+        return self.spark.read.schema(schema).parquet(to)
 
     def begin(self) -> tuple[dict, str]:
         """(the commit to build on, a fresh version)."""

@@ -475,3 +475,46 @@ def test_ranks_over_parts_equal_those_of_whole_lists(spark):
         for i, (_, d) in enumerate(sorted((-s, d) for p, d, s in rows if p == q), 1):
             want[q, d] = round(1 / i, 9)
     assert {(r.query_id, r.doc_id): round(r.rr, 9) for r in got.collect()} == want and got.count() == len(rows) and got.columns == [*hits.columns, "rr"]
+
+
+def plans_of(spark, since):
+    """The plans that ran after some execution, as text."""
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [x.physicalPlanDescription() for x in (listed.apply(i) for i in range(listed.size())) if x.executionId() > since]
+
+
+def last_execution(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return listed.last().executionId() if listed.size() else -1
+
+
+def test_blocks_are_written_as_they_come(spark, docs, tmp_path, monkeypatch):
+    """Blocks are many times the bytes of their texts: no task sorts them, and a task with several buckets writes each to its own file."""
+    monkeypatch.setattr(text_index, "RANGE", 5)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before, since = spark.conf.get(key), last_execution(spark)
+    store = Store(spark, f"file://{tmp_path}/index", 8)
+    text_index.update(store, docs.coalesce(1), text_index.as_they_are)
+    assert spark.conf.get(key) == before
+    last_execution(spark)
+    (plan,) = [x for x in plans_of(spark, since) if "MapInArrow" in x and "InsertIntoHadoopFsRelation" in x]
+    assert "Sort" not in plan
+    blocks = store.read("blocks").collect()
+    assert len({r.bucket for r in blocks}) == 8 and len({(r.bucket, r.range, r.term) for r in blocks}) == len(blocks)
+    assert {(r.term, p.chunk_id) for r in blocks for p in r.postings if r.term.startswith("beta")} == {(f"beta{i}", i) for i in range(200)}
+    bucket = {r.doc_id: r.bucket for r in store.read("chunks").collect()}
+    assert all(bucket[p.chunk_id] == r.bucket for r in blocks for p in r.postings)
+    for of_range in {(r.bucket, r.range) for r in blocks}:
+        terms = [r.term for r in blocks if (r.bucket, r.range) == of_range]
+        assert terms == sorted(terms)
+
+
+def test_a_failing_write_leaves_the_setting_as_it_was(spark, docs, tmp_path):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    store = Store(spark, f"file://{tmp_path}/index", 4)
+    _, version = store.begin()
+    with pytest.raises(Exception, match="odd row"):
+        store.stage("rows", version, docs.select(F.raise_error(F.lit("odd row")).cast("string").alias("x"), F.lit(0).alias("bucket")), [])
+    assert spark.conf.get(key) == before
