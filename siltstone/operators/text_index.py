J02_indexed_search, L09_updated_search, J02_weighted_fields: sum scores where a range's blocks meet its queries

Symptom: a search holds, spills and shuffles a row for each query and chunk that share a term, which is the largest hash table and most of the shuffle after the index is built.
Evidence: the profiler, J02_indexed_search at 0.51 GB: the stage makes 84 million rows, 60 JVM CPU s, 236 MB of memory in a task and 1262 MB of shuffle; the tool stops the run at 2.34 GB of disk. In a 2.4 GB heap the stage spills 35 MB of memory, and it and the next take 143 CPU s.
Fix: a chunk lies in one range, so a cogroup of a range's blocks with a block of its queries has all of a score; only the best k of each query leave the cell. The number of tasks follows chunks, tokens and blocks of queries.

@@ -27,6 +27,7 @@ from .retrieval import K1, B, top_k
 RANGE = 1024
 RANGE_TOKENS = 1 << 20
 PIECE_BYTES = 1 << 25
+BLOCK = 512
 FIELDS = ("title", "section", "text")
 
 
@@ -156,12 +157,46 @@ def update(store: Store, docs: DataFrame, to_chunks: Callable[[DataFrame], DataF
     return states.select("doc_id", "state")
 
 
+def _best_of_cell(k: int, weights: dict[str, float], mean: float):
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        """(query_id, doc_id, score): the k best of a cell's chunks (term, postings) for each of its queries (query_id, term, idf), and ties."""
+        coded = lambda c: pc.dictionary_encode(c.combine_chunks(), null_encoding="encode")
+        lists = blocks["postings"].combine_chunks()
+        held = lists.flatten()
+        if not (len(held) and asked.num_rows):
+            return pa.table({"query_id": asked["query_id"][:0], "doc_id": held.field("chunk_id")[:0], "score": pa.array([], pa.float64())})
+        ids, queries = coded(pa.chunked_array([held.field("chunk_id")])), coded(asked["query_id"])
+        words = pc.unique(blocks["term"])
+        place = lambda c: np.asarray(pc.fill_null(pc.index_in(c, value_set=words), len(words)))  # noqa: E731  the last place is for words without a block
+        term = np.repeat(place(blocks["term"]), np.asarray(lists.value_lengths()))
+        by_term = np.argsort(term, kind="stable")
+        n = np.bincount(term, minlength=len(words) + 1)
+        each = n[word := place(asked["term"])]
+        at = by_term[np.arange(each.sum()) + np.repeat((np.cumsum(n) - n)[word] - np.cumsum(each) + each, each)]  # the postings of each word that a query asks
+        tf, length = sum((w * np.asarray(held.field(c), float) for c, w in weights.items()), 0.0)[at], np.asarray(held.field("length"))[at]
+        part = np.repeat(np.asarray(asked["idf"]), each) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        shape = len(queries.dictionary), len(ids.dictionary)
+        pair = np.repeat(np.asarray(queries.indices, np.int64), each) * shape[1] + np.asarray(ids.indices)[at]
+        score, met = (np.bincount(pair, x, shape[0] * shape[1]).reshape(shape) for x in (part, None))
+        score = np.where(met > 0, score, -np.inf)
+        least = np.partition(score, -k, axis=1)[:, -k] if shape[1] > k else np.full(shape[0], -np.inf)
+        ends = pc.min_max(ids.dictionary)
+        edge = [x in (None, ends["min"].as_py(), ends["max"].as_py()) for x in ids.dictionary.to_pylist()]  # an id that comes again may do so in the next range
+        q, d = np.nonzero((met > 0) & ((score >= least[:, None] - 2e-6) | np.array(edge)))
+        return pa.table({"query_id": queries.dictionary.take(pa.array(q)), "doc_id": ids.dictionary.take(pa.array(d)), "score": score[q, d]})
+
+    return run
+
+
 def search(store: Store, queries: DataFrame, k: int, weights: dict[str, float] | None = None, terms_per_query: int = 12, first: int = 2) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best chunks for each query (query_id, text) by BM25 over weighted fields.
 
     A chunk's count of a term is the weighted sum over its fields, its length all their tokens. A range's bound for a query is the sum
     of its blocks' bounds. The ``first`` best ranges of each query are scored whole; their k-th score is a floor, and ranges whose bound
     lies below it are never opened. No text is read: only the blocks of the queries' terms, their bounds apart from their postings.
+
+    A range meets a block of some ``BLOCK`` queries in a cell of its own. A chunk lies in one range, so its score is summed in its cell; only the
+    k best of a cell for each query leave it, and what a task holds is one cell, however many chunks and queries there are.
     """
     weights = dict.fromkeys(FIELDS, 1.0) | (weights or {})
     commit = store.last_commit()
@@ -180,11 +215,18 @@ def search(store: Store, queries: DataFrame, k: int, weights: dict[str, float] |
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "bucket", "range")
     bounds = written(bounds.withColumn("at", F.row_number().over(best)), "bounds")
 
+    parts = -(-(n or 0) // RANGE) + (tokens or 0) // RANGE_TOKENS
+    blocks = max(1, -(-queries.count() // BLOCK))
+    tasks = max(1, -(-parts * blocks // 2))
+    cell = ["bucket", "range", "block"]
+    postings = held.select("bucket", "range", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "term", "postings")
+    ids = dict(store.read("chunks", commit).dtypes)["chunk_id"]
+
     def scored(ranges: DataFrame) -> DataFrame:
-        opened = ranges.join(terms, "query_id").join(held.select("term", "bucket", "range", "postings"), ["term", "bucket", "range"])
-        rows = opened.select("query_id", "idf", F.explode("postings").alias("p"))
-        tf = weighted(lambda c: F.col(f"p.{c}"))
-        return rows.groupBy("query_id", F.col("p.chunk_id").alias("doc_id")).agg(F.sum(part(tf, F.col("p.length"))).alias("score"))
+        asked = ranges.join(terms, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        left, right = (rows.repartition(tasks, *cell).groupBy(*cell) for rows in (postings, asked))
+        best = left.cogroup(right).applyInArrow(_best_of_cell(k, weights, mean or 1.0), f"query_id {dict(terms.dtypes)['query_id']}, doc_id {ids}, score double")
+        return best.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
     sure = written(top_k(scored(bounds.where(F.col("at") <= first).select(*place)), k), "scores")
     floor = sure.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))

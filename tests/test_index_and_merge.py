@@ -518,3 +518,40 @@ def test_a_failing_write_leaves_the_setting_as_it_was(spark, docs, tmp_path):
     with pytest.raises(Exception, match="odd row"):
         store.stage("rows", version, docs.select(F.raise_error(F.lit("odd row")).cast("string").alias("x"), F.lit(0).alias("bucket")), [])
     assert spark.conf.get(key) == before
+
+
+def test_scores_of_chunks_are_summed_in_their_ranges(spark, docs, tmp_path, monkeypatch):
+    """Pairs of query and chunk are many; they stay in the cell of their range, which leaves the best of each query, ties by id and queries in several blocks."""
+    monkeypatch.setattr(text_index, "RANGE", 5)
+    monkeypatch.setattr(text_index, "BLOCK", 2)
+    store = Store(spark, f"file://{tmp_path}/index", 8)
+    text_index.update(store, docs, text_index.as_they_are)
+    queries = [(1, "rare gamma"), (2, "beta17 alpha"), (3, "nowhere"), (4, "title alpha gamma gamma"), (5, ""), (6, "beta9 beta40 nowhere")]
+    asked = spark.createDataFrame([*queries, (7, None)], "query_id long, text string")
+    want = plain_scores([tuple(r) for r in docs.collect()], queries, (0.0, 2.0, 1.0))
+    # a word that weighs nothing is still met
+    want |= {(q, r.doc_id): want.get((q, r.doc_id), 0.0) for r in docs.collect() for q, word in ((1, "Rare"), (4, "Title")) if word in (r.title or "")}
+    for k in (1, 3, 500):
+        hits = text_index.search(store, asked, k, {"title": 0.0, "section": 2.0})
+        ranked = {q: sorted((-s, d) for (p, d), s in want.items() if p == q)[:k] for q, _ in queries}
+        got = {(r.query_id, r["rank"]): (-round(r.score, 6), r.doc_id) for r in hits.collect()}
+        assert got == {(q, i): x for q, of in ranked.items() for i, x in enumerate(of, 1)}
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "explode(postings" not in plan
+
+
+def test_ids_that_come_again_and_null_ids_sum_over_ranges(spark, tmp_path, monkeypatch):
+    """Ids should be unique; rows of one id count together all the same, in several ranges too."""
+    monkeypatch.setattr(text_index, "RANGE", 3)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "", None, None if i == 5 else "alpha " * (i % 4) + f"beta gamma{i % 5}") for i in range(30)]
+    store = Store(spark, f"file://{tmp_path}/index", 1)
+    text_index.update(store, spark.createDataFrame(rows, "doc_id long, title string, section string, text string").coalesce(1), text_index.as_they_are)
+    queries = [(1, "alpha beta"), (2, "gamma3"), (3, "beta gamma1 gamma2")]
+    want = {}
+    for (q, i), s in plain_scores([(i, *r[1:]) for i, r in enumerate(rows)], queries, (1.0, 1.0, 1.0)).items():
+        want[q, rows[i][0]] = want.get((q, rows[i][0]), 0.0) + s
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    got = text_index.search(store, asked, 500, first=1000).collect()
+    assert {(r.query_id, r.doc_id): round(r.score, 4) for r in got} == {x: round(s, 4) for x, s in want.items()} and len(got) == len(want)
+    best = text_index.search(store, asked, 1, first=1000).collect()
+    assert {r.query_id: round(r.score, 4) for r in best} == {q: round(max(s for (p, _), s in want.items() if p == q), 4) for q, _ in queries}
