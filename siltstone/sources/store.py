J02_weighted_fields, L09_updated_search, J02_indexed_search: a task gets one piece of a bucket

Symptom: tasks that sort texts before they are written hold several pieces of buckets at once, while others have none.
Evidence: the profiler at 0.51 GB: pieces of some 27 MB of text, dealt by a hash of bucket and piece, take 118 MB in the largest task of J02_weighted_fields; the step of L09_updated_search that merges stored and new chunks takes 220 MB.
Fix: pieces are numbered through all buckets and repartitionById sends each to the task of its number; windows and distincts over bucket, piece and key still need no other shuffle.

@@ -67,9 +67,12 @@ class Store:
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths).select(*schema.fieldNames())
 
     def deal(self, rows: DataFrame, key: Column, pieces: int) -> DataFrame:
-        """Rows with their ``piece``: each bucket's rows go to ``pieces`` tasks by their key, so that a large bucket needs no large task."""
+        """Rows with their ``piece``: each bucket's rows go to ``pieces`` tasks by their key, so that a large bucket needs no large task.
+
+        Pieces are numbered through all buckets and a task gets the one of its number, where a hash would give it several by chance.
+        """
         piece = F.pmod(F.xxhash64(key.cast("string"), F.lit("piece")), F.lit(pieces)).cast("int")
-        return rows.withColumn("piece", piece).repartition(self.buckets * pieces, "bucket", "piece")
+        return rows.withColumn("piece", F.col("bucket") * pieces + piece).repartitionById(self.buckets * pieces, "piece")
 
     @contextmanager
     def _file_of_each_bucket(self) -> Iterator[None]:

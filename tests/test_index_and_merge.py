@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import ledger, matching, retrieval, text_index
@@ -555,3 +556,16 @@ def test_ids_that_come_again_and_null_ids_sum_over_ranges(spark, tmp_path, monke
     assert {(r.query_id, r.doc_id): round(r.score, 4) for r in got} == {x: round(s, 4) for x, s in want.items()} and len(got) == len(want)
     best = text_index.search(store, asked, 1, first=1000).collect()
     assert {r.query_id: round(r.score, 4) for r in best} == {q: round(max(s for (p, _), s in want.items() if p == q), 4) for q, _ in queries}
+
+
+def test_a_task_gets_one_piece(spark, tmp_path):
+    """However pieces are numbered, none share a task; what is grouped by bucket, piece and key isn't moved again."""
+    store = Store(spark, f"file://{tmp_path}/index", 4)
+    rows = spark.range(2000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id")).withColumn("bucket", store.bucket_of(F.col("doc_id")))
+    dealt = store.deal(rows, F.col("doc_id"), 8)
+    places = dealt.select("bucket", "piece", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(places) == len({r.piece for r in places}) == len({r.task for r in places}) == 32 and dealt.count() == 2000
+    assert {r.piece // 8 for r in places if r.bucket == 3} == {3}
+    last = F.max("doc_id").over(Window.partitionBy("bucket", "piece", "doc_id"))
+    for grouped in (dealt.withColumn("last", last), dealt.dropDuplicates(["bucket", "piece", "doc_id"])):
+        assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
